@@ -40,3 +40,56 @@ def flat(df: DataFrame, sep: str = ";") -> DataFrame:
 @register("a1_merge_findings_by_file")
 def a1_merge_findings_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(merge.merge_findings_by_file(fx.findings(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- M1 ingest
+from findrift.operators import ingest  # noqa: E402
+
+
+def _ingest(spark: SparkSession, sf_dir: str, tool: str):
+    files = fx.source_files(spark, sf_dir)
+    raw = fx.semgrep_output(spark, sf_dir) if tool == "semgrep" else fx.sarif_output(spark, sf_dir, tool)
+    return ingest.ADAPTERS[tool](raw, files)
+
+
+@register("s2_semgrep_findings")
+def s2_semgrep_findings(spark, sf_dir):
+    return flat(_ingest(spark, sf_dir, "semgrep")[0])
+
+
+@register("s3_codeql_findings")
+def s3_codeql_findings(spark, sf_dir):
+    return flat(_ingest(spark, sf_dir, "codeql")[0])
+
+
+@register("s3_snyk_findings")
+def s3_snyk_findings(spark, sf_dir):
+    return flat(_ingest(spark, sf_dir, "snykcode")[0])
+
+
+@register("j2_attach_rules")
+def j2_attach_rules(spark, sf_dir):
+    return flat(ingest.codeql_rule_map(fx.sarif_output(spark, sf_dir, "codeql")))
+
+
+def all_tools(spark, sf_dir):
+    files = fx.source_files(spark, sf_dir)
+    raws = {"semgrep": fx.semgrep_output(spark, sf_dir),
+            "codeql": fx.sarif_output(spark, sf_dir, "codeql"),
+            "snykcode": fx.sarif_output(spark, sf_dir, "snykcode")}
+    return ingest.union_tools(raws, files)
+
+
+@register("f2_rejects")
+def f2_rejects(spark, sf_dir):
+    return all_tools(spark, sf_dir)[1]
+
+
+@register("o4_union_tools")
+def o4_union_tools(spark, sf_dir):
+    return flat(all_tools(spark, sf_dir)[0])
+
+
+@register("o5_tool_agreement")
+def o5_tool_agreement(spark, sf_dir):
+    return flat(ingest.tool_agreement(all_tools(spark, sf_dir)[0]))

@@ -82,6 +82,116 @@ SELECT repo, scan_id, path, first_ordinal, n_findings, start_line, end_line, sni
 FROM merged
 """
 
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+# Scanner-side view of each result (reject paths, SARIF region/level rules).
+SCAN = r"""
+sv AS (
+  SELECT *, CASE WHEN event_id % 50 = 0 THEN 'missing/' || path ELSE path END AS raw_path,
+         CAST(CASE WHEN event_id % 50 = 1 THEN n_lines + 1 ELSE start_line END AS INTEGER) AS raw_start,
+         row_number() OVER (PARTITION BY scan_id, part ORDER BY event_id) - 1 AS file_pos,
+         row_number() OVER (PARTITION BY scan_id, part, run_pos ORDER BY event_id) - 1 AS run_item,
+         dense_rank() OVER (PARTITION BY scan_id, part ORDER BY run_pos) - 1 AS run_idx,
+         max(event_id // 512) OVER (PARTITION BY scan_id) AS last_run
+  FROM sc),
+sarif AS (
+  SELECT *, CASE WHEN event_id % 9 = 0 THEN raw_start ELSE end_line END AS raw_end2,
+         (part << 40) + (run_idx << 24) + run_item AS ordinal,
+         CASE WHEN severity IN ('ERROR', 'WARNING', 'NOTE') AND event_id % 4 <> 0 THEN severity END AS res_level
+  FROM sv WHERE tool <> 'semgrep'),
+rules(event_type, codeql_cwe, snyk_cwe, help, lvl) AS (VALUES
+  ('signup', 'CWE-01', 'CWE-01', 'https://rules.example.org/signup', 'note'),
+  ('purchase', 'CWE-02', 'CWE-02;CWE-89', 'https://rules.example.org/purchase', 'warning'),
+  ('error', 'CWE-03', 'CWE-03', 'https://rules.example.org/error', 'error'),
+  ('view', 'CWE-04', 'CWE-04', '', 'recommendation'),
+  ('click', 'CWE-05', 'CWE-05', NULL, 'UNKNOWN'))
+"""
+
+SEMGREP_ROWS = f"""
+SELECT repo, scan_id, (part << 40) + file_pos AS ordinal, tool, CAST(file_pos AS INTEGER) AS idx,
+       raw_path AS path, raw_start AS start_line, end_line,
+       CASE WHEN raw_start > 0 AND raw_start <= end_line AND end_line <= n_lines
+            THEN array_to_string(list_slice(lines, raw_start, end_line), chr(10)) ELSE '' END AS snippet,
+       message, event_type AS vulnerability_class,
+       CASE WHEN k % 11 = 0 THEN '' ELSE 'CWE-' || CAST(k % 7 AS VARCHAR) END AS cwe,
+       severity, 'https://refs.example.org/' || CAST(k % 5 AS VARCHAR) AS "references"
+FROM sv WHERE tool = 'semgrep' AND event_id % 50 <> 0
+"""
+
+S2 = with_(BASE, SCAN) + SEMGREP_ROWS
+
+CODEQL_CTE = f"""
+cq AS (
+  SELECT s.*, r.codeql_cwe, r.help, upper(coalesce(s.res_level, r.lvl)) AS sev2,
+         list_slice(lines, raw_start, CASE WHEN raw_end2 > raw_start THEN raw_end2 ELSE raw_start END) AS region
+  FROM sarif s JOIN rules r USING (event_type) WHERE tool = 'codeql'),
+cq2 AS (
+  SELECT *, event_id % 50 <> 0 AS file_exists,
+         raw_start BETWEEN 1 AND n_lines AND list_bool_or(list_transform(region, lambda x: {STRIP.format(x='x')} <> '')) AS ok_region
+  FROM cq),
+cq3 AS (
+  SELECT *, row_number() OVER (PARTITION BY scan_id, part ORDER BY event_id) - 1 AS kept_idx
+  FROM cq2 WHERE NOT file_exists OR coalesce(ok_region, false))
+"""
+
+CODEQL_ROWS = f"""
+SELECT repo, scan_id, ordinal, tool, CAST(kept_idx AS INTEGER) AS idx, raw_path AS path,
+       raw_start AS start_line, CAST(raw_end2 AS INTEGER) AS end_line,
+       CASE WHEN file_exists THEN {STRIP.format(x="array_to_string(region, chr(10))")} ELSE '' END AS snippet,
+       message, 'error' AS _x, sev2 AS severity, event_type AS vulnerability_class, codeql_cwe AS cwe,
+       CASE WHEN event_type = 'error' THEN help || '/run' || CAST(last_run AS VARCHAR) ELSE coalesce(help, '') END AS "references"
+FROM cq3
+""".replace("message, 'error' AS _x,", "message,")
+S3_CODEQL = with_(BASE, SCAN, CODEQL_CTE) + CODEQL_ROWS
+
+SNYK_ROWS = f"""
+SELECT s.repo, s.scan_id, s.ordinal, s.tool, CAST(s.run_item AS INTEGER) AS idx, s.raw_path AS path,
+       s.raw_start AS start_line, CAST(s.raw_end2 AS INTEGER) AS end_line,
+       CASE WHEN s.raw_start >= 1 AND s.raw_end2 >= s.raw_start
+            THEN {STRIP.format(x="array_to_string(list_slice(s.lines, s.raw_start, s.raw_end2), chr(10))")} ELSE '' END AS snippet,
+       s.message, coalesce(s.res_level, '') AS severity, s.event_type AS vulnerability_class, r.snyk_cwe AS cwe,
+       CASE WHEN s.event_type = 'error' THEN r.help || '/run' || CAST(s.event_id // 512 AS VARCHAR) ELSE coalesce(r.help, '') END AS "references"
+FROM sarif s JOIN rules r USING (event_type)
+WHERE s.tool = 'snykcode' AND s.event_id % 50 <> 0
+"""
+S3_SNYK = with_(BASE, SCAN) + SNYK_ROWS
+
+UNION_CTE = f"""
+u AS ({SEMGREP_ROWS} UNION ALL BY NAME {CODEQL_ROWS} UNION ALL BY NAME {SNYK_ROWS})
+"""
+O4 = with_(BASE, SCAN, CODEQL_CTE, UNION_CTE) + "SELECT * FROM u"
+O5 = with_(BASE, SCAN, CODEQL_CTE, UNION_CTE) + """
+SELECT repo, path, vulnerability_class AS cls, count(DISTINCT tool) AS n_tools,
+       string_agg(DISTINCT tool, ';' ORDER BY tool) AS tools
+FROM u GROUP BY repo, path, vulnerability_class
+"""
+
+J2 = with_(BASE, SCAN) + """
+SELECT s.scan_id, 'py/' || r.event_type AS rule_id, r.codeql_cwe AS cwe,
+       CASE WHEN r.event_type = 'error' THEN r.help || '/run' || CAST(s.last_run AS VARCHAR) ELSE coalesce(r.help, '') END AS "references",
+       r.lvl AS level
+FROM (SELECT DISTINCT scan_id, last_run FROM sv WHERE tool = 'codeql') s, rules r
+"""
+
+REJECTS = with_(BASE, SCAN, CODEQL_CTE) + """
+SELECT repo, scan_id, 'ingest' AS stage, raw_path AS key, 'FILE_NOT_FOUND' AS code, 'File not found: ' || raw_path AS message
+FROM sv WHERE tool = 'semgrep' AND event_id % 50 = 0
+UNION ALL
+SELECT repo, scan_id, 'ingest', raw_path || ':' || CAST(raw_start AS VARCHAR), 'INVALID_REGION',
+       'start line outside file or blank region; dropped'
+FROM cq2 WHERE file_exists AND NOT coalesce(ok_region, false)
+UNION ALL
+SELECT repo, scan_id, 'ingest', raw_path, 'SOURCE_MISSING', 'source file missing; dropped'
+FROM sv WHERE tool = 'snykcode' AND event_id % 50 = 0
+"""
+
 ORACLES: dict[str, str] = {
     "a1_merge_findings_by_file": A1,
+    "s2_semgrep_findings": S2,
+    "s3_codeql_findings": S3_CODEQL,
+    "s3_snyk_findings": S3_SNYK,
+    "j2_attach_rules": J2,
+    "f2_rejects": REJECTS,
+    "o4_union_tools": O4,
+    "o5_tool_agreement": O5,
 }
