@@ -93,3 +93,123 @@ def o4_union_tools(spark, sf_dir):
 @register("o5_tool_agreement")
 def o5_tool_agreement(spark, sf_dir):
     return flat(ingest.tool_agreement(all_tools(spark, sf_dir)[0]))
+
+
+# --------------------------------------------------------------------------- M2 / M3 rollups and contexts
+from findrift.operators import context as ctxop  # noqa: E402
+from findrift.operators import reports  # noqa: E402
+from findrift.session import scratch_path  # noqa: E402
+
+
+def _contexts(spark, sf_dir):
+    merged = merge.merge_findings_by_file(fx.findings(spark, sf_dir))
+    return ctxop.build_contexts(merged)
+
+
+def _attached(spark, sf_dir):
+    return ctxop.attach_context(fx.findings(spark, sf_dir), _contexts(spark, sf_dir))
+
+
+def _chosen(spark, sf_dir):
+    a = _attached(spark, sf_dir)
+    return a.withColumn("chosen_cwes", ctxop.choose_cwes(F.col("cwe"), F.col("xml_cwes")))
+
+
+def flat_context(ctx: DataFrame) -> DataFrame:
+    v = F.col("vuln")
+    return ctx.select(
+        "repo", "scan_id", "path", "start_line",
+        v["id"].alias("id"), v["range_end"].alias("end_line"),
+        v["severity_overall"].alias("severity_overall"), v["severity_bit"].alias("severity_bit"),
+        v["message_text"].alias("message_text"), F.array_join(v["message_items"], ";").alias("message_items"),
+        v["snippet"].alias("snippet"), v["bit"]["trigger"].alias("trigger"),
+        F.array_join(v["bit"]["steps"], ";").alias("steps"), v["bit"]["reproduction"].alias("reproduction"),
+        v["bit"]["bit_severity"].alias("bit_severity"),
+        F.array_join(v["classes"], ";").alias("classes"), F.array_join(v["weaknesses"], ";").alias("weaknesses"),
+        F.array_join(v["references"], ";").alias("references"),
+        F.array_join(v["preconditions"], ";").alias("preconditions"),
+        v["env"]["node"].alias("env_node"), v["mitigation"].alias("mitigation"), v["tracking"].alias("tracking"))
+
+
+@register("a2_class_counts")
+def a2_class_counts(spark, sf_dir):
+    return reports.class_counts(fx.findings(spark, sf_dir))
+
+
+@register("w2_file_number")
+def w2_file_number(spark, sf_dir):
+    return reports.file_numbers(fx.findings(spark, sf_dir))
+
+
+@register("t8_build_contexts")
+def t8_build_contexts(spark, sf_dir):
+    return flat_context(_contexts(spark, sf_dir))
+
+
+@register("a4_scan_meta")
+def a4_scan_meta(spark, sf_dir):
+    merged = merge.merge_findings_by_file(fx.findings(spark, sf_dir))
+    return ctxop.scan_meta(merged, F.lit("1970-01-01T00:00:00+00:00"))
+
+
+@register("f5_validate_context")
+def f5_validate_context(spark, sf_dir):
+    merged = merge.merge_findings_by_file(fx.findings(spark, sf_dir))
+    full = ctxop.validate_contexts(ctxop.build_contexts(merged)).withColumn("flavor", F.lit("v1.1"))
+    mini = ctxop.validate_contexts(ctxop.build_contexts_minimal(merged)).withColumn("flavor", F.lit("v1.0"))
+    return flat(full.unionByName(mini))
+
+
+@register("j3_attach_context")
+def j3_attach_context(spark, sf_dir):
+    a = _attached(spark, sf_dir)
+    return flat(a.select("repo", "scan_id", "ordinal", "path", "start_line",
+                         F.col("xml_bit_severity").isNotNull().alias("matched"),
+                         "xml_cwes", "xml_bit_severity", "xml_trigger", "xml_steps", "xml_references"))
+
+
+@register("a7_choose_cwes")
+def a7_choose_cwes(spark, sf_dir):
+    c = _chosen(spark, sf_dir)
+    return c.select("repo", "scan_id", "ordinal", F.array_join("chosen_cwes", ", ").alias("chosen_cwes"))
+
+
+@register("w3_top_cwes")
+def w3_top_cwes(spark, sf_dir):
+    return reports.top_cwes(_chosen(spark, sf_dir))
+
+
+@register("a3_file_severity_rollup")
+def a3_file_severity_rollup(spark, sf_dir):
+    return reports.file_severity_rollup(_chosen(spark, sf_dir))
+
+
+@register("a6_flags")
+def a6_flags(spark, sf_dir):
+    return reports.presence_flags(_attached(spark, sf_dir))
+
+
+@register("a8_context_rollup")
+def a8_context_rollup(spark, sf_dir):
+    return flat(ctxop.file_context_rollup(_attached(spark, sf_dir)))
+
+
+@register("a11_fleet_rollup")
+def a11_fleet_rollup(spark, sf_dir):
+    return reports.fleet_rollup(fx.findings(spark, sf_dir))
+
+
+@register("s5_context_roundtrip")
+def s5_context_roundtrip(spark, sf_dir):
+    """K2 then S5: contexts written as XML documents and read back."""
+    out = scratch_path(spark, "contexts-xml")
+    ctxop.write_context_xml(_contexts(spark, sf_dir), out)
+    x = ctxop.read_context_xml(spark, out)
+    return x.select("repo", "scan_id", F.col("FILE._path").alias("path"),
+                    F.col("RANGE._start").alias("start_line"), F.col("RANGE._end").alias("end_line"),
+                    F.col("_id").alias("id"), F.col("SEVERITY._overall").alias("severity_overall"),
+                    F.col("MESSAGE").alias("message"), F.col("SNIPPET").alias("snippet"),
+                    F.col("BIT.TRIGGER").alias("trigger"), F.array_join("BIT.STEPS.STEP", ";").alias("steps"),
+                    F.array_join("CLASSES.CLASS", ";").alias("classes"),
+                    F.array_join(F.transform("WEAKNESSES.CWE", lambda x: x["_id"]), ";").alias("weaknesses"),
+                    F.array_join(F.transform("REFERENCES.REF", lambda x: x["_href"]), ";").alias("references"))

@@ -195,3 +195,160 @@ ORACLES: dict[str, str] = {
     "o4_union_tools": O4,
     "o5_tool_agreement": O5,
 }
+
+
+# --------------------------------------------------------------------------- M2 / M3
+SEV_PAIR = "coalesce(nullif(upper(severity), ''), 'UNKNOWN')"
+STEP = ("CASE WHEN start_line = end_line THEN 'Review line ' || CAST(start_line AS VARCHAR) || ' in ' || path "
+        "ELSE 'Review lines ' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) || ' in ' || path END")
+
+CTX_FLAT = with_(BASE, merge_sql("f")) + f"""
+SELECT repo, scan_id, path, start_line,
+       path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS id, end_line,
+       {SEV_PAIR} AS severity_overall, {SEV_PAIR} AS severity_bit,
+       CASE WHEN NOT contains(message, ' | ') THEN message END AS message_text,
+       CASE WHEN contains(message, ' | ') THEN array_to_string(list_filter(list_transform(
+            string_split(message, '|'), lambda x: {STRIP.format(x='x')}), lambda x: x <> ''), ';') END AS message_items,
+       snippet,
+       CASE WHEN message <> '' THEN message ELSE 'Vulnerability detected.' END AS trigger,
+       {STEP} AS steps,
+       'Inspect the indicated code region and verify unsafe data flow or pattern.' AS reproduction,
+       {SEV_PAIR} AS bit_severity,
+       CASE WHEN len(vulnerability_class) > 0 THEN {arr('vulnerability_class')} END AS classes,
+       CASE WHEN len(cwe) > 0 THEN {arr('cwe')} END AS weaknesses,
+       CASE WHEN len(refs) > 0 THEN {arr('refs')} END AS "references",
+       'Authenticated user may be required depending on route.' AS preconditions,
+       'unknown' AS env_node,
+       'Apply minimal changes: sanitize inputs, use parameterized APIs, and enforce allowlists.' AS mitigation,
+       true AS tracking
+FROM merged
+"""
+
+A2 = with_(BASE) + """
+SELECT repo, scan_id, type, count,
+       CAST(row_number() OVER (PARTITION BY repo, scan_id ORDER BY first_seen) AS INTEGER) AS class_pos,
+       CAST(sum(count) OVER (PARTITION BY repo, scan_id) AS BIGINT) AS vulnerabilities
+FROM (SELECT repo, scan_id, vulnerability_class[1] AS type, count(*) AS count, min(ordinal) AS first_seen
+      FROM f WHERE len(vulnerability_class) > 0 GROUP BY repo, scan_id, vulnerability_class[1])
+"""
+
+W2 = with_(BASE) + """
+SELECT repo, scan_id, path, min(ordinal) AS first_ordinal,
+       row_number() OVER (PARTITION BY repo, scan_id ORDER BY min(ordinal)) AS file_no
+FROM f GROUP BY repo, scan_id, path
+"""
+
+A4 = with_(BASE, merge_sql("f")) + """
+SELECT repo, scan_id, 'AutoFiC' AS tool, count(*) AS count, '1970-01-01T00:00:00+00:00' AS generatedAt
+FROM merged GROUP BY repo, scan_id
+"""
+
+F5 = with_(BASE, merge_sql("f")) + """
+SELECT repo, scan_id, path, true AS is_valid, '' AS errors, 'v1.1' AS flavor FROM merged
+UNION ALL
+SELECT repo, scan_id, path, false, 'SEVERITY@bit is required;BIT is required', 'v1.0' FROM merged
+"""
+
+ATTACH = r"""
+att AS (
+  SELECT f.*, m.repo IS NOT NULL AS matched, m.cwe AS xc, m.refs AS xrefs,
+         CASE WHEN m.repo IS NOT NULL THEN coalesce(nullif(upper(m.severity), ''), 'UNKNOWN') END AS xml_bit_severity,
+         CASE WHEN m.repo IS NOT NULL THEN CASE WHEN m.message <> '' THEN m.message ELSE 'Vulnerability detected.' END END AS xml_trigger,
+         CASE WHEN m.repo IS NOT NULL THEN
+              CASE WHEN m.start_line = m.end_line THEN 'Review line ' || CAST(m.start_line AS VARCHAR) || ' in ' || m.path
+                   ELSE 'Review lines ' || CAST(m.start_line AS VARCHAR) || '-' || CAST(m.end_line AS VARCHAR) || ' in ' || m.path END END AS xml_steps
+  FROM f LEFT JOIN merged m ON f.repo = m.repo AND f.scan_id = m.scan_id AND f.path = m.path AND f.start_line = m.start_line),
+ch AS (
+  SELECT *, list_transform(list_filter(cwe, lambda c: c <> ''), lambda c: split_part(c, ':', 1)) AS sn
+  FROM att),
+ch2 AS (
+  SELECT *, CASE WHEN len(sn) > 0 AND len(coalesce(xc, [])) > 0 THEN
+                   CASE WHEN len(list_intersect(sn, xc)) > 0 THEN list_sort(list_distinct(list_intersect(sn, xc))) ELSE sn END
+                 WHEN len(sn) > 0 THEN sn ELSE coalesce(xc, []) END AS chosen
+  FROM ch),
+w3 AS (
+  SELECT repo, scan_id, path, cwe, cnt,
+         CAST(row_number() OVER (PARTITION BY repo, scan_id, path ORDER BY cnt DESC, first_seen) AS INTEGER) AS rank
+  FROM (SELECT repo, scan_id, path, c.cwe, count(*) AS cnt, min(ordinal * 1000 + c.k) AS first_seen
+        FROM ch2, LATERAL (SELECT unnest(chosen) AS cwe, unnest(range(len(chosen))) AS k) c
+        GROUP BY repo, scan_id, path, c.cwe)
+  QUALIFY rank <= 2)
+"""
+
+J3 = with_(BASE, merge_sql("f"), ATTACH) + f"""
+SELECT repo, scan_id, ordinal, path, start_line, matched,
+       CASE WHEN matched THEN {arr('xc')} END AS xml_cwes, xml_bit_severity, xml_trigger,
+       xml_steps, CASE WHEN matched THEN {arr('xrefs')} END AS xml_references
+FROM att
+"""
+
+A7 = with_(BASE, merge_sql("f"), ATTACH) + """
+SELECT repo, scan_id, ordinal, array_to_string(chosen, ', ') AS chosen_cwes FROM ch2
+"""
+
+W3 = with_(BASE, merge_sql("f"), ATTACH) + "SELECT * FROM w3"
+
+A3 = with_(BASE, merge_sql("f"), ATTACH) + """
+SELECT p.repo, p.scan_id, p.path, n_issues, n_error, n_warning, n_note,
+       coalesce(nullif(concat_ws(', ', CASE WHEN n_error > 0 THEN 'E:' || CAST(n_error AS VARCHAR) END,
+                                        CASE WHEN n_warning > 0 THEN 'W:' || CAST(n_warning AS VARCHAR) END,
+                                        CASE WHEN n_note > 0 THEN 'N:' || CAST(n_note AS VARCHAR) END), ''), '-') AS levels,
+       coalesce(nullif(t.top_cwes, ''), '-') AS top_cwes
+FROM (SELECT repo, scan_id, path, count(*) AS n_issues,
+             count(*) FILTER (WHERE upper(severity) = 'ERROR') AS n_error,
+             count(*) FILTER (WHERE upper(severity) = 'WARNING') AS n_warning,
+             count(*) FILTER (WHERE upper(severity) = 'NOTE') AS n_note
+      FROM f GROUP BY repo, scan_id, path) p
+LEFT JOIN (SELECT repo, scan_id, path, string_agg(cwe, ', ' ORDER BY rank) AS top_cwes FROM w3 GROUP BY ALL) t
+  USING (repo, scan_id, path)
+"""
+
+A6 = with_(BASE, merge_sql("f"), ATTACH) + """
+SELECT fl.repo, fl.scan_id, fl.path, file_has_cwe, file_has_ref, scan_has_cwe, scan_has_ref, scan_has_bit
+FROM (SELECT repo, scan_id, path, bool_or(len(cwe) > 0) AS file_has_cwe, bool_or(len(refs) > 0) AS file_has_ref
+      FROM att GROUP BY ALL) fl
+JOIN (SELECT repo, scan_id, bool_or(len(cwe) > 0 OR len(coalesce(xc, [])) > 0) AS scan_has_cwe,
+             bool_or(len(refs) > 0) AS scan_has_ref, bool_or(coalesce(xml_bit_severity, '') <> '') AS scan_has_bit
+      FROM att GROUP BY ALL) sc USING (repo, scan_id)
+"""
+
+A8 = with_(BASE, merge_sql("f"), ATTACH) + """
+SELECT repo, scan_id, path,
+       coalesce(array_to_string(list_sort(list_distinct(flatten(list(xrefs) FILTER (WHERE matched)))), ';'), '') AS "references",
+       CASE WHEN bool_or(matched) THEN 'Authenticated user may be required depending on route.' ELSE '' END AS preconditions
+FROM att GROUP BY repo, scan_id, path
+"""
+
+A11 = with_(BASE) + """
+SELECT repo, tool, coalesce(vulnerability_class[1], 'N/A') AS cls, count(*) AS n_findings,
+       count(*) FILTER (WHERE upper(severity) = 'ERROR') AS n_error,
+       grouping_id(repo, tool, coalesce(vulnerability_class[1], 'N/A')) AS level
+FROM f GROUP BY ROLLUP (repo, tool, coalesce(vulnerability_class[1], 'N/A'))
+"""
+
+S5 = with_(BASE, merge_sql("f")) + f"""
+SELECT repo, scan_id, path, start_line, end_line,
+       path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS id,
+       {SEV_PAIR} AS severity_overall, message, snippet,
+       CASE WHEN message <> '' THEN message ELSE 'Vulnerability detected.' END AS trigger, {STEP} AS steps,
+       CASE WHEN len(vulnerability_class) > 0 THEN {arr('vulnerability_class')} END AS classes,
+       CASE WHEN len(cwe) > 0 THEN {arr('cwe')} END AS weaknesses,
+       CASE WHEN len(refs) > 0 THEN {arr('refs')} END AS "references"
+FROM merged
+"""
+
+ORACLES.update({
+    "t8_build_contexts": CTX_FLAT,
+    "a2_class_counts": A2,
+    "w2_file_number": W2,
+    "a4_scan_meta": A4,
+    "f5_validate_context": F5,
+    "j3_attach_context": J3,
+    "a7_choose_cwes": A7,
+    "w3_top_cwes": W3,
+    "a3_file_severity_rollup": A3,
+    "a6_flags": A6,
+    "a8_context_rollup": A8,
+    "a11_fleet_rollup": A11,
+    "s5_context_roundtrip": S5,
+})
