@@ -213,3 +213,97 @@ def s5_context_roundtrip(spark, sf_dir):
                     F.array_join("CLASSES.CLASS", ";").alias("classes"),
                     F.array_join(F.transform("WEAKNESSES.CWE", lambda x: x["_id"]), ";").alias("weaknesses"),
                     F.array_join(F.transform("REFERENCES.REF", lambda x: x["_href"]), ";").alias("references"))
+
+
+# --------------------------------------------------------------------------- M4 prompts and responses
+from findrift.functions import columns as C  # noqa: E402
+from findrift.operators import prompts as P  # noqa: E402
+
+
+def _merged(spark, sf_dir):
+    return merge.merge_findings_by_file(fx.findings(spark, sf_dir))
+
+
+@register("t3_render_prompts")
+def t3_render_prompts(spark, sf_dir):
+    merged = _merged(spark, sf_dir)
+    out, _ = P.render_prompts(merged, fx.source_files(spark, sf_dir))
+    return out
+
+
+@register("t3_prompts_with_context")
+def t3_prompts_with_context(spark, sf_dir):
+    merged = _merged(spark, sf_dir)
+    xml = P.context_xml(ctxop.build_contexts(merged))
+    out, _ = P.render_prompts(merged, fx.source_files(spark, sf_dir), xml)
+    return out.select("repo", "scan_id", "path", F.length("prompt").alias("prompt_chars"),
+                      F.sha2("prompt", 256).alias("prompt_sha"),
+                      F.col("prompt").contains("<VULNERABILITY>").alias("has_context"))
+
+
+@register("f4_empty_input_rejects")
+def f4_empty_input_rejects(spark, sf_dir):
+    """Prompts over files whose text is blanked when doc_id % 13 = 0 -> rejects."""
+    files = fx.source_files(spark, sf_dir).withColumn(
+        "content", F.when(F.col("doc_id") % 13 == 0, F.lit("  \n")).otherwise(F.col("content")))
+    _, rej = P.render_prompts(_merged(spark, sf_dir), files)
+    return rej
+
+
+@register("t3b_retry_prompts")
+def t3b_retry_prompts(spark, sf_dir):
+    code, _ = P.extract_code_blocks(fx.responses(spark, sf_dir))
+    return P.render_retry_prompts(code)
+
+
+@register("t3c_chat_requests")
+def t3c_chat_requests(spark, sf_dir):
+    merged = _merged(spark, sf_dir)
+    out, _ = P.render_prompts(merged, fx.source_files(spark, sf_dir))
+    req = P.chat_requests(out)
+    return req.select("repo", "scan_id", "path", "kind",
+                      F.get_json_object("request", "$.model").alias("model"),
+                      F.get_json_object("request", "$.messages[0].content").alias("system"),
+                      F.sha2(F.get_json_object("request", "$.messages[1].content"), 256).alias("user_sha"),
+                      F.get_json_object("request", "$.temperature").alias("temperature"))
+
+
+@register("t1_code_blocks")
+def t1_code_blocks(spark, sf_dir):
+    return P.extract_code_blocks(fx.responses(spark, sf_dir))[0]
+
+
+@register("t1_parse_rejects")
+def t1_parse_rejects(spark, sf_dir):
+    return P.extract_code_blocks(fx.responses(spark, sf_dir))[1]
+
+
+@register("t2a_sections_strict")
+def t2a_sections_strict(spark, sf_dir):
+    return P.sections_strict(fx.responses(spark, sf_dir))
+
+
+@register("t2b_sections_relaxed")
+def t2b_sections_relaxed(spark, sf_dir):
+    return P.sections_relaxed(fx.responses(spark, sf_dir))
+
+
+@register("p14_key_roundtrip")
+def p14_key_roundtrip(spark, sf_dir):
+    r = fx.responses(spark, sf_dir)
+    paths = r.select("path").union(r.select(F.concat(F.lit("artifacts/downloaded_repo/"), "path").alias("path")))
+    key = C.encode_key("path")
+    return paths.select("path", key.alias("file_name"), C.decode_key(key).alias("decoded"))
+
+
+@register("a9_token_usage")
+def a9_token_usage(spark, sf_dir):
+    return P.token_usage(fx.responses(spark, sf_dir))
+
+
+@register("j5_attach_sections")
+def j5_attach_sections(spark, sf_dir):
+    merged = _merged(spark, sf_dir)
+    sections = P.sections_strict(fx.file_responses(spark, sf_dir, merged))
+    files = merged.select("repo", "scan_id", "path")
+    return P.attach_sections(files, sections)

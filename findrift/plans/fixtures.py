@@ -194,3 +194,49 @@ def sarif_output(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("run_pos", run_json.alias("r")))).alias("runs")))
     text = F.concat(F.lit('{"version":"2.1.0","runs":['), F.array_join(F.transform("runs", lambda x: x["r"]), ","), F.lit("]}"))
     return docs.select("scan_id", "repo", F.lit(tool).alias("tool"), "part", text.alias("text"))
+
+
+# --------------------------------------------------------------------------- model responses
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One markdown response per conversation turn.
+
+    Numbered sections by default; un-numbered headings when conv_id % 7 = 0;
+    '#' headings only when conv_id % 11 = 0 (and not % 7); no python fence
+    when conv_id % 5 = 0.  Usage: prompt = length(text), completion = 10 * turn.
+    """
+    c = table(spark, sf_dir, "conversations")
+    cid, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    fence = F.when(F.col("conv_id") % 5 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("```python\nx = "), cid, F.lit("\n```\n")))
+    numbered = F.concat(F.lit("1. Vulnerability Description: "), F.col("text"),
+                        F.lit("\n2. Potential Risk: r"), turn, F.lit("\n3. Recommended Fix: fix "), cid,
+                        F.lit("\n4. Final Modified Code:\n"), fence, F.lit("5. Additional Notes: n"), turn)
+    plain = F.concat(F.lit("Vulnerability Description: "), F.col("text"),
+                     F.lit("\nPotential Risks: r"), turn, F.lit("\nRecommended Fix: fix "), cid,
+                     F.lit("\nFinal Modified Code:\n"), fence, F.lit("Additional Notes: n"), turn)
+    headings = F.concat(F.lit("## Vulnerability\n"), F.col("text"), F.lit("\n## Fix\nfix "), cid,
+                        F.lit("\n## Risks\nr"), turn, F.lit("\n## Notes\n"), fence)
+    content = (F.when(F.col("conv_id") % 7 == 0, plain).when(F.col("conv_id") % 11 == 0, headings)
+               .otherwise(numbered))
+    repo = F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))
+    return c.select(
+        repo.alias("repo"), F.concat(repo, F.lit("-semgrep")).alias("scan_id"),
+        F.concat(F.lit("src/conv_"), cid, F.lit("/turn_"), turn, F.lit(".py")).alias("path"),
+        content.alias("content"),
+        F.length("text").cast("bigint").alias("prompt_tokens"),
+        (F.col("turn") * 10).cast("bigint").alias("completion_tokens"),
+        (F.length("text") + F.col("turn") * 10).cast("bigint").alias("total_tokens"),
+    )
+
+
+def file_responses(spark: SparkSession, sf_dir: str, merged: DataFrame) -> DataFrame:
+    """Responses for merged files (every file whose first ordinal % 4 != 3),
+    in the numbered form, for report and patch stages."""
+    m = merged.where(F.col("first_ordinal") % 4 != 3)
+    content = F.concat(
+        F.lit("1. Vulnerability Description: "), F.col("message"),
+        F.lit("\n2. Potential Risk: r"), F.col("n_findings").cast("string"),
+        F.lit("\n3. Recommended Fix: fix "), F.col("path"),
+        F.lit("\n4. Final Modified Code:\n```python\nx = "), F.col("first_ordinal").cast("string"),
+        F.lit("\n```\n5. Additional Notes: n"), F.col("start_line").cast("string"))
+    return m.select("repo", "scan_id", "path", content.alias("content"))

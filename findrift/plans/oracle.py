@@ -352,3 +352,164 @@ ORACLES.update({
     "a11_fleet_rollup": A11,
     "s5_context_roundtrip": S5,
 })
+
+
+# --------------------------------------------------------------------------- M4
+from findrift.operators import prompts as _P  # noqa: E402
+
+
+def lit(s: str) -> str:
+    """SQL text literal with newlines as chr(10)."""
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n"))
+
+
+def fill(template: str, **exprs: str) -> str:
+    out, rest = [], template
+    while rest:
+        i = rest.find("{")
+        j = rest.find("}", i)
+        if i < 0 or j < 0 or rest[i + 1:j] not in exprs:
+            out.append(lit(rest))
+            break
+        if i:
+            out.append(lit(rest[:i]))
+        out.append(f"({exprs[rest[i + 1:j]]})")
+        rest = rest[j + 1:]
+    return " || ".join(out)
+
+
+NL = "chr(10)"
+RESP = rf"""
+resp AS (
+  SELECT 'src' || CAST(conv_id % 20 AS VARCHAR) AS repo,
+         'src' || CAST(conv_id % 20 AS VARCHAR) || '-semgrep' AS scan_id,
+         'src/conv_' || CAST(conv_id AS VARCHAR) || '/turn_' || CAST(turn AS VARCHAR) || '.py' AS path,
+         CASE WHEN conv_id % 7 = 0 THEN
+                'Vulnerability Description: ' || text || {NL} || 'Potential Risks: r' || CAST(turn AS VARCHAR) || {NL}
+                || 'Recommended Fix: fix ' || CAST(conv_id AS VARCHAR) || {NL} || 'Final Modified Code:' || {NL}
+                || fence || 'Additional Notes: n' || CAST(turn AS VARCHAR)
+              WHEN conv_id % 11 = 0 THEN
+                '## Vulnerability' || {NL} || text || {NL} || '## Fix' || {NL} || 'fix ' || CAST(conv_id AS VARCHAR)
+                || {NL} || '## Risks' || {NL} || 'r' || CAST(turn AS VARCHAR) || {NL} || '## Notes' || {NL} || fence
+              ELSE
+                '1. Vulnerability Description: ' || text || {NL} || '2. Potential Risk: r' || CAST(turn AS VARCHAR) || {NL}
+                || '3. Recommended Fix: fix ' || CAST(conv_id AS VARCHAR) || {NL} || '4. Final Modified Code:' || {NL}
+                || fence || '5. Additional Notes: n' || CAST(turn AS VARCHAR)
+         END AS content,
+         CAST(length(text) AS BIGINT) AS prompt_tokens, CAST(turn * 10 AS BIGINT) AS completion_tokens,
+         CAST(length(text) + turn * 10 AS BIGINT) AS total_tokens
+  FROM (SELECT *, CASE WHEN conv_id % 5 = 0 THEN '' ELSE '```python' || {NL} || 'x = ' || CAST(conv_id AS VARCHAR)
+                       || {NL} || '```' || {NL} END AS fence FROM conversations))
+"""
+
+
+def q(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def groups(pattern: str, src: str = "content") -> list[str]:
+    return [STRIP.format(x=f"regexp_extract({src}, {q(pattern)}, {i})") for i in range(1, 5)]
+
+
+def sections_sql(src_cte: str) -> str:
+    g = groups(_P.SECTIONS_STRICT)
+    return f"SELECT repo, scan_id, path, {g[0]} AS vulnerability, {g[1]} AS risks, {g[2]} AS recommended_fix, {g[3]} AS \"references\" FROM {src_cte}"
+
+
+def relaxed_sql(src_cte: str) -> str:
+    g1, g2 = groups(_P.SECTIONS_NUMBERED), groups(_P.SECTIONS_PLAIN)
+    m1, m2 = f"regexp_matches(content, {q(_P.SECTIONS_NUMBERED)})", f"regexp_matches(content, {q(_P.SECTIONS_PLAIN)})"
+    cols = []
+    for i, name in enumerate(_P.SECTION_NAMES):
+        grab = "''"
+        for label in reversed(_P.HEADING_LABELS[name]):
+            p = _P.heading_pattern(label)
+            grab = f"CASE WHEN regexp_matches(content, {q(p)}) THEN {STRIP.format(x=f'regexp_extract(content, {q(p)}, 1)')} ELSE {grab} END"
+        cols.append(f"CASE WHEN {m1} THEN {g1[i]} WHEN {m2} THEN {g2[i]} ELSE {grab} END AS \"{name}\"")
+    tier = f"CASE WHEN {m1} THEN 1 WHEN {m2} THEN 2 ELSE 3 END AS tier"
+    return f"SELECT repo, scan_id, path, {tier}, {', '.join(cols)} FROM {src_cte}"
+
+
+CODE = f"""
+blocks AS (SELECT repo, scan_id, path, regexp_extract_all(content, {q(_P.CODE_BLOCK)}, 1) AS b FROM resp),
+code AS (SELECT repo, scan_id, path,
+                array_to_string(list_transform(b, lambda x: {STRIP.format(x='x')}), chr(10) || chr(10)) AS code,
+                CAST(len(b) AS INTEGER) AS n_blocks
+         FROM blocks WHERE len(b) > 0)
+"""
+
+T1 = with_(RESP, CODE) + "SELECT * FROM code"
+T1_REJ = with_(RESP, CODE) + f"""
+SELECT repo, scan_id, 'parse' AS stage, path AS key, {q(_P.NO_CODE_BLOCK[0])} AS code, {q(_P.NO_CODE_BLOCK[1])} AS message
+FROM blocks WHERE len(b) = 0
+"""
+T2A = with_(RESP) + sections_sql("resp")
+T2B = with_(RESP) + relaxed_sql("resp")
+A9 = with_(RESP) + """
+SELECT repo, scan_id, count(*) AS n_calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+       CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+FROM resp GROUP BY repo, scan_id
+"""
+_KEY = "'response_' || array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('artifacts', 'downloaded_repo')), '‣') || '.md'"
+P14 = with_(RESP) + f"""
+SELECT path, {_KEY} AS file_name, replace(regexp_extract({_KEY}, '^response_(.*)\\.md$', 1), '‣', '/') AS decoded
+FROM (SELECT path FROM resp UNION ALL SELECT 'artifacts/downloaded_repo/' || path FROM resp)
+"""
+
+VULN_TEXT = ("'Type: ' || coalesce(nullif(array_to_string(vulnerability_class, ', '), ''), 'Unknown') || chr(10) || "
+             "'CWE: ' || coalesce(nullif(array_to_string(cwe, ', '), ''), 'N/A') || chr(10) || "
+             "'Description: ' || coalesce(nullif(message, ''), 'None') || chr(10) || "
+             "'Severity: ' || coalesce(nullif(severity, ''), 'Unknown') || chr(10) || "
+             "'Location: ' || CAST(start_line AS VARCHAR) || ' ~ ' || CAST(end_line AS VARCHAR) || "
+             "' (Only modify this code range)' || chr(10) || chr(10)")
+PROMPT_EXPR = fill(_P.FIX_TEMPLATE, input="d.content", vulnerabilities=VULN_TEXT, context="''")
+
+T3 = with_(BASE, merge_sql("f")) + f"""
+SELECT m.repo, m.scan_id, m.path, 'fix' AS kind, {q(_P.FIX_TITLE)} AS title, {PROMPT_EXPR} AS prompt
+FROM merged m JOIN d ON m.repo = d.repo AND m.path = d.path
+WHERE {STRIP.format(x='d.content')} <> ''
+"""
+F4 = with_(BASE, merge_sql("f")) + f"""
+SELECT m.repo, m.scan_id, 'prompt' AS stage, m.path AS key, {q(_P.EMPTY_SNIPPET[0])} AS code,
+       {q(_P.EMPTY_SNIPPET[1])} AS message
+FROM merged m JOIN d ON m.repo = d.repo AND m.path = d.path WHERE d.doc_id % 13 = 0
+"""
+T3C = with_(BASE, merge_sql("f")) + f"""
+SELECT m.repo, m.scan_id, m.path, 'fix' AS kind, 'gpt-4o' AS model, {q(_P.SYSTEM_MESSAGE)} AS system,
+       sha256({PROMPT_EXPR}) AS user_sha, '0.3' AS temperature
+FROM merged m JOIN d ON m.repo = d.repo AND m.path = d.path
+WHERE {STRIP.format(x='d.content')} <> ''
+"""
+_RETRY = (_P.RETRY_TEMPLATE.replace("{lang_name}", "JavaScript").replace("{lang}", "javascript")
+          .replace("{comment}", "//"))
+T3B = with_(RESP, CODE) + f"""
+SELECT repo, scan_id, path, 'retry' AS kind, {q(_P.RETRY_TITLE)} AS title, {fill(_RETRY, input='code')} AS prompt
+FROM code
+"""
+FILE_RESP = """
+fresp AS (
+  SELECT repo, scan_id, path,
+         '1. Vulnerability Description: ' || message || chr(10) || '2. Potential Risk: r' || CAST(n_findings AS VARCHAR)
+         || chr(10) || '3. Recommended Fix: fix ' || path || chr(10) || '4. Final Modified Code:' || chr(10)
+         || '```python' || chr(10) || 'x = ' || CAST(first_ordinal AS VARCHAR) || chr(10) || '```' || chr(10)
+         || '5. Additional Notes: n' || CAST(start_line AS VARCHAR) AS content
+  FROM merged WHERE first_ordinal % 4 <> 3)
+"""
+J5 = with_(BASE, merge_sql("f"), FILE_RESP) + f"""
+SELECT m.repo, m.scan_id, m.path, s.vulnerability, s.risks, s.recommended_fix, s."references"
+FROM merged m LEFT JOIN ({sections_sql('fresp')}) s USING (repo, scan_id, path)
+"""
+
+ORACLES.update({
+    "t1_code_blocks": T1,
+    "t1_parse_rejects": T1_REJ,
+    "t2a_sections_strict": T2A,
+    "t2b_sections_relaxed": T2B,
+    "a9_token_usage": A9,
+    "p14_key_roundtrip": P14,
+    "t3_render_prompts": T3,
+    "f4_empty_input_rejects": F4,
+    "t3c_chat_requests": T3C,
+    "t3b_retry_prompts": T3B,
+    "j5_attach_sections": J5,
+})
