@@ -307,3 +307,51 @@ def j5_attach_sections(spark, sf_dir):
     sections = P.sections_strict(fx.file_responses(spark, sf_dir, merged))
     files = merged.select("repo", "scan_id", "path")
     return P.attach_sections(files, sections)
+
+
+# --------------------------------------------------------------------------- M5 patches
+from findrift.operators import patches as PT  # noqa: E402
+
+
+def _pairs(spark, sf_dir):
+    return PT.pair_files(fx.parsed_code(spark, sf_dir), fx.source_files(spark, sf_dir))
+
+
+@register("t5_annotate_source")
+def t5_annotate_source(spark, sf_dir):
+    """Merged form, as the pipeline runs it: one marker set per file."""
+    merged = _merged(spark, sf_dir).withColumnRenamed("first_ordinal", "ordinal")
+    return PT.annotate_source(merged, fx.source_files(spark, sf_dir))
+
+
+@register("t5_annotate_findings")
+def t5_annotate_findings(spark, sf_dir):
+    """General form: every finding of a file, markers in finding order."""
+    return PT.annotate_source(fx.findings(spark, sf_dir), fx.source_files(spark, sf_dir))
+
+
+@register("j4_unpaired")
+def j4_unpaired(spark, sf_dir):
+    return _pairs(spark, sf_dir)[1]
+
+
+@register("t6_unified_diff")
+def t6_unified_diff(spark, sf_dir):
+    return PT.unified_diff(_pairs(spark, sf_dir)[0])
+
+
+@register("t6b_diff_stats")
+def t6b_diff_stats(spark, sf_dir):
+    return PT.diff_stats(_pairs(spark, sf_dir)[0])
+
+
+@register("t7_apply_patches")
+def t7_apply_patches(spark, sf_dir):
+    return PT.apply_patches(fx.parsed_code(spark, sf_dir), fx.source_files(spark, sf_dir))
+
+
+@register("f3_exclude_paths")
+def f3_exclude_paths(spark, sf_dir):
+    patched = PT.apply_patches(fx.parsed_code(spark, sf_dir), fx.source_files(spark, sf_dir))
+    cs = fx.change_set(spark, sf_dir, patched.where(F.col("status") == "patched"))
+    return PT.exclude_paths(cs)

@@ -240,3 +240,35 @@ def file_responses(spark: SparkSession, sf_dir: str, merged: DataFrame) -> DataF
         F.lit("\n4. Final Modified Code:\n```python\nx = "), F.col("first_ordinal").cast("string"),
         F.lit("\n```\n5. Additional Notes: n"), F.col("start_line").cast("string"))
     return m.select("repo", "scan_id", "path", content.alias("content"))
+
+
+# --------------------------------------------------------------------------- parsed (patched) code
+def parsed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed model output per file: doc_id % 3 = 0 -> line 1 + doc_id % n_lines
+    replaced by 'fixed_<doc_id>'; % 3 = 1 -> identical text; % 3 = 2 -> absent;
+    plus one file without an original per benchmark row."""
+    sf = source_files(spark, sf_dir).where(F.col("doc_id") % 3 != 2)
+    target = F.lit(1) + F.col("doc_id") % F.col("n_lines")
+    fixed = F.concat(F.lit("fixed_"), F.col("doc_id").cast("string"))
+    changed = F.array_join(F.transform("lines", lambda l, i: F.when(i + 1 == target, fixed).otherwise(l)), "\n")
+    docs = sf.select("repo", F.concat("repo", F.lit("-semgrep")).alias("scan_id"), "path",
+                     F.when(F.col("doc_id") % 3 == 0, changed).otherwise(F.col("content")).alias("code"))
+    b = table(spark, sf_dir, "benchmark")
+    repo = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    bench = b.select(repo.alias("repo"), F.concat(repo, F.lit("-semgrep")).alias("scan_id"),
+                     F.concat(F.lit("bench/item_"), F.col("item_id").cast("string"), F.lit(".py")).alias("path"),
+                     F.col("text").alias("code"))
+    return docs.unionByName(bench)
+
+
+def change_set(spark: SparkSession, sf_dir: str, patched_paths: DataFrame) -> DataFrame:
+    """Paths of a change set: patched files plus tool artefacts per benchmark row."""
+    b = table(spark, sf_dir, "benchmark")
+    repo = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    iid = F.col("item_id").cast("string")
+    arts = b.select(repo.alias("repo"), F.explode(F.array(
+        F.concat(F.lit(".github/workflows/ci_"), iid, F.lit(".yml")),
+        F.concat(F.lit("node_modules/m"), iid, F.lit("/index.js")),
+        F.concat(F.lit("docs/.snyk_notes_"), iid, F.lit(".md")),
+        F.lit(".snyk"), F.lit(".DS_Store"))).alias("path"))
+    return patched_paths.select("repo", "path").unionByName(arts)

@@ -513,3 +513,100 @@ ORACLES.update({
     "t3b_retry_prompts": T3B,
     "j5_attach_sections": J5,
 })
+
+
+# --------------------------------------------------------------------------- M5
+PARSED = r"""
+pc AS (
+  SELECT repo, repo || '-semgrep' AS scan_id, path, doc_id, lines, content,
+         CASE WHEN doc_id % 3 = 0 THEN array_to_string(list_transform(lines, lambda x, i:
+                   CASE WHEN i = 1 + doc_id % len(lines) THEN 'fixed_' || CAST(doc_id AS VARCHAR) ELSE x END), chr(10))
+              ELSE content END AS code
+  FROM d WHERE doc_id % 3 <> 2),
+bench AS (
+  SELECT 'src' || CAST(item_id % 20 AS VARCHAR) AS repo, 'src' || CAST(item_id % 20 AS VARCHAR) || '-semgrep' AS scan_id,
+         'bench/item_' || CAST(item_id AS VARCHAR) || '.py' AS path, text AS code
+  FROM benchmark)
+"""
+
+MARKS = r"""
+mk AS (
+  SELECT s.repo, s.scan_id, s.path, s.ordinal, s.start_line AS s, s.end_line AS e, len(d.lines) AS n
+  FROM src s JOIN d ON s.repo = d.repo AND s.path = d.path),
+mk2 AS (
+  SELECT *, CASE WHEN e >= 1 AND e <= n THEN e ELSE s END AS ee FROM mk WHERE s >= 1 AND s <= n),
+mrows AS (
+  SELECT repo, scan_id, path, s AS line, ordinal, 0 AS k, '  # @BUG_HERE' AS m FROM mk2 WHERE s = ee
+  UNION ALL SELECT repo, scan_id, path, s, ordinal, 0, '  # @BUG_HERE_START' FROM mk2 WHERE s <> ee
+  UNION ALL SELECT repo, scan_id, path, ee, ordinal, 1, '  # @BUG_HERE_END' FROM mk2 WHERE s <> ee),
+suf AS (SELECT repo, scan_id, path, line, string_agg(m, '' ORDER BY ordinal, k) AS suffix FROM mrows GROUP BY ALL),
+fl AS (SELECT DISTINCT repo, scan_id, path FROM mrows),
+ul AS (SELECT fl.repo, fl.scan_id, fl.path, unnest(d.lines) AS l, generate_subscripts(d.lines, 1) AS i
+       FROM fl JOIN d ON fl.repo = d.repo AND fl.path = d.path)
+"""
+ANNOTATE_SELECT = """
+SELECT ul.repo, ul.scan_id, ul.path,
+       string_agg(ul.l || coalesce(suf.suffix, ''), chr(10) ORDER BY ul.i) || chr(10) AS annotated
+FROM ul LEFT JOIN suf ON ul.repo = suf.repo AND ul.scan_id = suf.scan_id AND ul.path = suf.path AND ul.i = suf.line
+GROUP BY ul.repo, ul.scan_id, ul.path
+"""
+T5 = with_(BASE, merge_sql("f"), "src AS (SELECT repo, scan_id, path, first_ordinal AS ordinal, start_line, end_line FROM merged)",
+           MARKS) + ANNOTATE_SELECT
+T5F = with_(BASE, "src AS (SELECT repo, scan_id, path, ordinal, start_line, end_line FROM f)", MARKS) + ANNOTATE_SELECT
+
+J4 = with_(BASE, PARSED) + """
+SELECT b.repo, b.scan_id, b.path, 'ORIGINAL_FILE_NOT_FOUND' AS code FROM bench b
+WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.repo = b.repo AND d.path = b.path)
+"""
+
+T6 = with_(BASE, PARSED) + r"""
+, hk AS (SELECT *, 1 + doc_id % len(lines) AS t, len(lines) AS n,
+               greatest(1, 1 + doc_id % len(lines) - 3) AS a, least(len(lines), 1 + doc_id % len(lines) + 3) AS b
+        FROM pc WHERE doc_id % 3 = 0),
+body AS (SELECT repo, scan_id, path, any_value(a) AS a, any_value(b) AS b,
+                string_agg(CASE WHEN i = t THEN '-' || l || chr(10) || '+fixed_' || CAST(doc_id AS VARCHAR) || chr(10)
+                                ELSE ' ' || l || chr(10) END, '' ORDER BY i) AS body
+         FROM (SELECT hk.*, unnest(lines) AS l, generate_subscripts(lines, 1) AS i FROM hk)
+         WHERE i BETWEEN a AND b GROUP BY repo, scan_id, path)
+SELECT repo, scan_id, path,
+       '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -' || rng || ' +' || rng || ' @@' || chr(10) || body AS diff,
+       'diff' AS status
+FROM (SELECT *, CASE WHEN b - a + 1 = 1 THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || ',' || CAST(b - a + 1 AS VARCHAR) END AS rng FROM body)
+UNION ALL
+SELECT repo, scan_id, path, '' AS diff, 'no_changes' AS status FROM pc WHERE doc_id % 3 = 1
+""".replace("\n, hk AS", ",\nhk AS", 1)
+
+T6B = with_(BASE, PARSED) + r"""
+, sides AS (
+  SELECT repo, scan_id, path, unnest(lines) AS line, -1 AS sign FROM pc
+  UNION ALL
+  SELECT repo, scan_id, path, unnest(string_split(code, chr(10))) AS line, 1 AS sign FROM pc),
+per_line AS (SELECT repo, scan_id, path, line, sum(sign) AS dd FROM sides GROUP BY ALL)
+SELECT repo, scan_id, path, CAST(sum(greatest(dd, 0)) AS BIGINT) AS n_added, CAST(sum(greatest(-dd, 0)) AS BIGINT) AS n_removed
+FROM per_line GROUP BY repo, scan_id, path
+""".replace("\n, sides AS", ",\nsides AS", 1)
+
+T7 = with_(BASE, PARSED) + """
+SELECT d.repo, d.path, pc.scan_id,
+       CASE WHEN d.doc_id % 3 = 0 THEN pc.code ELSE d.content END AS content,
+       CASE WHEN d.doc_id % 3 = 0 THEN 'patched' ELSE 'unchanged' END AS status
+FROM d LEFT JOIN pc ON d.repo = pc.repo AND d.path = pc.path
+UNION ALL
+SELECT repo, path, scan_id, NULL AS content, 'no_original' AS status FROM bench
+"""
+
+F3 = with_(BASE) + """
+SELECT repo, path FROM d WHERE doc_id % 3 = 0
+UNION ALL
+SELECT 'src' || CAST(item_id % 20 AS VARCHAR), 'docs/.snyk_notes_' || CAST(item_id AS VARCHAR) || '.md' FROM benchmark
+"""
+
+ORACLES.update({
+    "t5_annotate_source": T5,
+    "t5_annotate_findings": T5F,
+    "j4_unpaired": J4,
+    "t6_unified_diff": T6,
+    "t6b_diff_stats": T6B,
+    "t7_apply_patches": T7,
+    "f3_exclude_paths": F3,
+})
