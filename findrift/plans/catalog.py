@@ -355,3 +355,40 @@ def f3_exclude_paths(spark, sf_dir):
     patched = PT.apply_patches(fx.parsed_code(spark, sf_dir), fx.source_files(spark, sf_dir))
     cs = fx.change_set(spark, sf_dir, patched.where(F.col("status") == "patched"))
     return PT.exclude_paths(cs)
+
+
+# --------------------------------------------------------------------------- M6 syntax nodes
+from findrift.operators import syntax as SX  # noqa: E402
+
+_NODE_OUT = ["repo", "path", "bfs_id", "parent_id", "node_type", "line", "col", "end_line", "end_col"]
+
+
+@register("n1_ast_nodes")
+def n1_ast_nodes(spark, sf_dir):
+    nodes, _ = SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))
+    return nodes.select(*_NODE_OUT)
+
+
+@register("n1_parse_status")
+def n1_parse_status(spark, sf_dir):
+    return SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))[1]
+
+
+@register("n2_node_type_counts")
+def n2_node_type_counts(spark, sf_dir):
+    nodes, _ = SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))
+    return SX.node_type_counts(nodes)
+
+
+@register("n3_find_node_at")
+def n3_find_node_at(spark, sf_dir):
+    nodes, _ = SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))
+    pts = fx.findings(spark, sf_dir).select("repo", "scan_id", "ordinal", "path",
+                                            F.col("start_line").alias("line"), (F.col("ordinal") % 40).cast("int").alias("col"))
+    return SX.find_node_at(pts, nodes)
+
+
+@register("j6_findings_to_nodes")
+def j6_findings_to_nodes(spark, sf_dir):
+    nodes, _ = SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))
+    return SX.map_findings_to_nodes(fx.findings(spark, sf_dir), nodes)

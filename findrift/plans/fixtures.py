@@ -272,3 +272,17 @@ def change_set(spark: SparkSession, sf_dir: str, patched_paths: DataFrame) -> Da
         F.concat(F.lit("docs/.snyk_notes_"), iid, F.lit(".md")),
         F.lit(".snyk"), F.lit(".DS_Store"))).alias("path"))
     return patched_paths.select("repo", "path").unionByName(arts)
+
+
+# --------------------------------------------------------------------------- python sources
+def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic Python text per document, same (repo, path): for each document
+    line i one ``def f<i>(a):`` / ``    return len("<i>")`` pair; documents with
+    doc_id % 97 = 0 end in ``def (`` (a syntax error)."""
+    sf = source_files(spark, sf_dir)
+    defs = F.transform(F.sequence(F.lit(1), F.col("n_lines")),
+                       lambda i: F.concat(F.lit("def f"), i.cast("string"), F.lit('(a):\n    return len("'),
+                                          i.cast("string"), F.lit('")')))
+    text = F.concat(F.array_join(defs, "\n"), F.lit("\n"),
+                    F.when(F.col("doc_id") % 97 == 0, F.lit("def (\n")).otherwise(F.lit("")))
+    return sf.select("doc_id", "repo", "path", text.alias("content"))

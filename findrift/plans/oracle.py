@@ -610,3 +610,54 @@ ORACLES.update({
     "t7_apply_patches": T7,
     "f3_exclude_paths": F3,
 })
+
+
+# --------------------------------------------------------------------------- M6
+PY = r"""
+ok AS (SELECT repo, path, doc_id, CAST(len(lines) AS INTEGER) AS n FROM d WHERE doc_id % 97 <> 0),
+ix AS (SELECT repo, path, n, CAST(unnest(range(1, n + 1)) AS INTEGER) AS i FROM ok),
+ix2 AS (SELECT *, CAST(length(CAST(i AS VARCHAR)) AS INTEGER) AS dg FROM ix),
+nodes AS (
+  SELECT repo, path, 0 AS bfs_id, CAST(NULL AS INTEGER) AS parent_id, 'Module' AS node_type,
+         CAST(NULL AS INTEGER) AS line, CAST(NULL AS INTEGER) AS col, CAST(NULL AS INTEGER) AS end_line,
+         CAST(NULL AS INTEGER) AS end_col FROM ok
+  UNION ALL SELECT repo, path, i, 0, 'FunctionDef', 2 * i - 1, 0, 2 * i, 18 + dg FROM ix2
+  UNION ALL SELECT repo, path, n + 2 * i - 1, i, 'arguments', NULL, NULL, NULL, NULL FROM ix2
+  UNION ALL SELECT repo, path, n + 2 * i, i, 'Return', 2 * i, 4, 2 * i, 18 + dg FROM ix2
+  UNION ALL SELECT repo, path, 3 * n + 2 * i - 1, n + 2 * i - 1, 'arg', 2 * i - 1, 6 + dg, 2 * i - 1, 7 + dg FROM ix2
+  UNION ALL SELECT repo, path, 3 * n + 2 * i, n + 2 * i, 'Call', 2 * i, 11, 2 * i, 18 + dg FROM ix2
+  UNION ALL SELECT repo, path, 5 * n + 2 * i - 1, 3 * n + 2 * i, 'Name', 2 * i, 11, 2 * i, 14 FROM ix2
+  UNION ALL SELECT repo, path, 5 * n + 2 * i, 3 * n + 2 * i, 'Constant', 2 * i, 15, 2 * i, 17 + dg FROM ix2
+  UNION ALL SELECT repo, path, 7 * n + i, 5 * n + 2 * i - 1, 'Load', NULL, NULL, NULL, NULL FROM ix2)
+"""
+N1 = with_(BASE, PY) + "SELECT * FROM nodes"
+N1_STATUS = with_(BASE) + """
+SELECT repo, path, doc_id % 97 <> 0 AS success,
+       CASE WHEN doc_id % 97 = 0 THEN 'invalid syntax (<unknown>, line ' || CAST(2 * len(lines) + 1 AS VARCHAR) || ')' END AS error_message
+FROM d
+"""
+N2 = with_(BASE, PY) + "SELECT repo, node_type, count(*) AS n_nodes FROM nodes GROUP BY repo, node_type"
+N3 = with_(BASE) + """
+SELECT f.repo, f.scan_id, f.ordinal, f.path, f.start_line AS line,
+       CASE WHEN hit THEN CAST((f.start_line + 1) // 2 AS INTEGER) END AS bfs_id,
+       CASE WHEN hit THEN 'FunctionDef' END AS node_type
+FROM (SELECT f.*, d.doc_id % 97 <> 0 AND f.ordinal % 40 <= 18 + length(CAST((f.start_line + 1) // 2 AS VARCHAR)) AS hit
+      FROM f JOIN d ON f.repo = d.repo AND f.path = d.path) f
+"""
+J6 = with_(BASE) + """
+SELECT repo, scan_id, ordinal, path, start_line,
+       CASE WHEN ok THEN CASE WHEN end_line <= 2 * kk THEN 1 ELSE 2 END END AS tier,
+       CASE WHEN ok THEN kk END AS bfs_id, CASE WHEN ok THEN 'FunctionDef' END AS node_type,
+       CASE WHEN ok THEN 2 * kk - 1 END AS node_line, CASE WHEN ok THEN 0 END AS node_col,
+       CASE WHEN ok THEN 2 * kk END AS node_end_line,
+       CASE WHEN ok THEN CAST(18 + length(CAST(kk AS VARCHAR)) AS INTEGER) END AS node_end_col
+FROM (SELECT f.*, d.doc_id % 97 <> 0 AS ok, CAST((f.start_line + 1) // 2 AS INTEGER) AS kk
+      FROM f JOIN d ON f.repo = d.repo AND f.path = d.path)
+"""
+ORACLES.update({
+    "n1_ast_nodes": N1,
+    "n1_parse_status": N1_STATUS,
+    "n2_node_type_counts": N2,
+    "n3_find_node_at": N3,
+    "j6_findings_to_nodes": J6,
+})
