@@ -180,19 +180,22 @@ def md_cell(s: Column | str, n: int) -> Column:
 
 # ---------------------------------------------------------------- P16 - P19
 def repo_from_url(url: Column | str) -> Column:
-    """struct(owner, name, error) from a repository URL; bad URLs give an error, not an exception."""
+    """struct(owner, name, error) from a repository URL: the first two
+    segments of the URL path stripped of '/', '.git' removed from the name.
+    Fewer than two segments gives an error value, not an exception."""
     path = F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit(""))
-    segs = F.filter(F.split(path, "/"), lambda x: x != "")
+    segs = F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/", -1)
     ok = F.size(segs) >= 2
     owner = F.when(ok, F.get(segs, 0))
     name = F.when(ok, F.regexp_replace(F.get(segs, 1), r"\.git$", ""))
     return F.struct(owner.alias("owner"), name.alias("name"),
-                    F.when(~ok, F.lit("Invalid GitHub URL")).alias("error"))
+                    F.when(~ok, F.lit("invalid repository URL")).alias("error"))
 
 
 def repo_hash(fields: dict[str, Column]) -> Column:
     """sha256 of the JSON object of ``fields`` with keys in sorted order."""
-    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+    body = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    return F.sha2(body, 256)
 
 
 def contains_all(text: Column | str, keywords: Sequence[str]) -> Column:

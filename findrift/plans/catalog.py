@@ -392,3 +392,84 @@ def n3_find_node_at(spark, sf_dir):
 def j6_findings_to_nodes(spark, sf_dir):
     nodes, _ = SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))
     return SX.map_findings_to_nodes(fx.findings(spark, sf_dir), nodes)
+
+
+# --------------------------------------------------------------------------- M7 publish
+from findrift.operators import publish as PB  # noqa: E402
+
+
+@register("l1_pr_log_rows")
+def l1_pr_log_rows(spark, sf_dir):
+    prs = fx.pr_log(spark, sf_dir)
+    return PB.pr_log_rows(prs, F.col("date"))
+
+
+@register("w6_latest_status")
+def w6_latest_status(spark, sf_dir):
+    return PB.latest_status(fx.status_updates(spark, sf_dir))
+
+
+@register("j9_update_pr_status")
+def j9_update_pr_status(spark, sf_dir):
+    log = PB.pr_log_rows(fx.pr_log(spark, sf_dir), F.col("date"))
+    return PB.update_pr_status(log, fx.status_updates(spark, sf_dir))[0]
+
+
+@register("j9_status_errors")
+def j9_status_errors(spark, sf_dir):
+    log = PB.pr_log_rows(fx.pr_log(spark, sf_dir), F.col("date"))
+    return PB.update_pr_status(log, fx.status_updates(spark, sf_dir))[1]
+
+
+@register("j8_replace_equal_rows")
+def j8_replace_equal_rows(spark, sf_dir):
+    rows = fx.repo_log_rows(spark, sf_dir)
+    existing = rows.where(F.col("batch") == "existing").drop("batch")
+    new = rows.where(F.col("batch") == "new").drop("batch")
+    out = PB.replace_equal_rows(existing, new)
+    return out.select(*[c for c in out.columns if c != "byClass"],
+                      F.to_json("byClass").alias("byClass"))
+
+
+@register("p17_repo_hash")
+def p17_repo_hash(spark, sf_dir):
+    rows = fx.repo_log_rows(spark, sf_dir)
+    h = C.repo_hash({k: F.col(k) for k in PB.REPO_HASH_KEYS})
+    return rows.select("seq", h.alias("repo_hash"))
+
+
+@register("w5_latest_open_pr")
+def w5_latest_open_pr(spark, sf_dir):
+    return PB.latest_open_pr(fx.fork_prs(spark, sf_dir))
+
+
+@register("j7_prs_to_runs")
+def j7_prs_to_runs(spark, sf_dir):
+    return PB.prs_to_runs(fx.fork_prs(spark, sf_dir), fx.workflow_runs(spark, sf_dir))
+
+
+@register("l5_publishable_prs")
+def l5_publishable_prs(spark, sf_dir):
+    return PB.publishable_prs(fx.fork_prs(spark, sf_dir), fx.workflow_runs(spark, sf_dir))
+
+
+@register("f6_has_findings")
+def f6_has_findings(spark, sf_dir):
+    return PB.has_findings(fx.repo_universe(spark, sf_dir), _merged(spark, sf_dir))
+
+
+@register("p16_repo_from_url")
+def p16_repo_from_url(spark, sf_dir):
+    pages = fx.table(spark, sf_dir, "pages")
+    urls = pages.select("page_id", F.lit("raw").alias("variant"), "url").unionByName(
+        pages.select("page_id", F.lit("git").alias("variant"),
+                     F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit(".git")).alias("url")))
+    r = C.repo_from_url("url")
+    return urls.select("page_id", "variant", "url", r["owner"].alias("owner"), r["name"].alias("name"),
+                       r["error"].alias("error"))
+
+
+@register("p18_contains_all")
+def p18_contains_all(spark, sf_dir):
+    pages = fx.table(spark, sf_dir, "pages")
+    return pages.select("page_id", C.contains_all(F.col("html"), ["<!DOCTYPE html>", "<title>", "</html>"]).alias("has_all"))

@@ -286,3 +286,82 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.array_join(defs, "\n"), F.lit("\n"),
                     F.when(F.col("doc_id") % 97 == 0, F.lit("def (\n")).otherwise(F.lit("")))
     return sf.select("doc_id", "repo", "path", text.alias("content"))
+
+
+# --------------------------------------------------------------------------- publish-log inputs
+def _repo_url(user_id):
+    return F.concat(F.lit("https://github.com/o"), (user_id % 5).cast("string"), F.lit("/r"), (user_id % 20).cast("string"))
+
+
+def pr_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One logged PR per user: number = user_id, date = first event time."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first_ts"))
+    u = F.col("user_id")
+    return e.select(
+        F.date_format("first_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        F.concat(F.lit("o"), (u % 5).cast("string")).alias("owner"),
+        F.concat(F.lit("r"), (u % 20).cast("string")).alias("repo"),
+        F.concat(F.lit("u"), (u % 7).cast("string")).alias("user_name"),
+        _repo_url(u).alias("repo_url"), F.sha2(_repo_url(u), 256).alias("repo_hash"),
+        u.cast("int").alias("pr_number"))
+
+
+def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a status update: approved = purchase, opened = signup or view.
+    event_id % 97 = 0 carries no PR number; event_id % 50 = 0 names an unknown repo."""
+    e = table(spark, sf_dir, "events")
+    url = F.when(F.col("event_id") % 50 == 0, F.concat(_repo_url(F.col("user_id")), F.lit("-gone"))).otherwise(_repo_url(F.col("user_id")))
+    return e.select(
+        F.when(F.col("event_id") % 97 == 0, F.lit(None)).otherwise(F.col("user_id")).cast("int").alias("pr_number"),
+        url.alias("repo_url"),
+        (F.col("event_type") == "purchase").alias("approved"),
+        F.col("event_type").isin("signup", "view").alias("opened"),
+        F.col("ts"), F.col("event_id").alias("seq"))
+
+
+def fork_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRs on forks: one per customer with orders; every fourth is closed."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"))
+    c = F.col("o_custkey")
+    return o.select(F.concat(F.lit("r"), (c % 20).cast("string")).alias("repo"), c.alias("number"),
+                    F.when(c % 4 == 0, F.lit("closed")).otherwise(F.lit("open")).alias("state"),
+                    F.concat(F.lit("autofic-"), c.cast("string")).alias("head_ref"),
+                    F.col("created_at"))
+
+
+def workflow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CI runs: one per order; F -> completed/success, P -> completed/failure,
+    O -> in_progress; linked to PRs o_custkey and o_custkey + 20 (same repo)."""
+    o = table(spark, sf_dir, "orders")
+    s = F.col("o_orderstatus")
+    return o.select(
+        F.concat(F.lit("r"), (F.col("o_custkey") % 20).cast("string")).alias("repo"),
+        F.col("o_orderkey").alias("id"),
+        F.when(s.isin("F", "P"), F.lit("completed")).otherwise(F.lit("in_progress")).alias("status"),
+        F.when(s == "F", F.lit("success")).when(s == "P", F.lit("failure")).alias("conclusion"),
+        F.array(F.struct(F.col("o_custkey").alias("number")),
+                F.struct((F.col("o_custkey") + 20).alias("number"))).alias("pull_requests"))
+
+
+def repo_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repo-log entries from lineitem; repo_url is null for status 'F' rows so
+    that null-safe equality matters.  part = 'existing' for even order keys."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"),
+        F.col("l_returnflag").alias("owner"),
+        F.when(F.col("l_linestatus") == "F", F.lit(None)).otherwise(
+            F.concat(F.lit("https://github.com/"), F.col("l_linestatus"))).alias("repo_url"),
+        F.col("l_linenumber").cast("bigint").alias("vulnerabilities"),
+        F.array(F.struct(F.col("l_returnflag").alias("type"), F.col("l_linenumber").cast("bigint").alias("count"))).alias("byClass"),
+        F.lit("semgrep").alias("sastTool"),
+        (F.col("l_linenumber") % 2 == 0).alias("rerun"),
+        F.lit("").alias("analysis"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.when(F.col("l_orderkey") % 2 == 0, F.lit("existing")).otherwise(F.lit("new")).alias("batch"))
+
+
+def repo_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories in a fleet run: src0 .. src24 (src20+ have no findings)."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.concat(F.lit("src"), (F.col("c_custkey") % 25).cast("string")).alias("repo")).distinct()

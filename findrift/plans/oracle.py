@@ -661,3 +661,112 @@ ORACLES.update({
     "n3_find_node_at": N3,
     "j6_findings_to_nodes": J6,
 })
+
+
+# --------------------------------------------------------------------------- M7
+PUB = r"""
+prl AS (
+  SELECT strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS date, 'o' || CAST(user_id % 5 AS VARCHAR) AS owner,
+         'r' || CAST(user_id % 20 AS VARCHAR) AS repo, 'u' || CAST(user_id % 7 AS VARCHAR) AS user_name,
+         'https://github.com/o' || CAST(user_id % 5 AS VARCHAR) || '/r' || CAST(user_id % 20 AS VARCHAR) AS repo_url,
+         sha256('https://github.com/o' || CAST(user_id % 5 AS VARCHAR) || '/r' || CAST(user_id % 20 AS VARCHAR)) AS repo_hash,
+         CAST(user_id AS INTEGER) AS pr_number
+  FROM events GROUP BY user_id),
+upd AS (
+  SELECT CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(user_id AS INTEGER) END AS pr_number,
+         'https://github.com/o' || CAST(user_id % 5 AS VARCHAR) || '/r' || CAST(user_id % 20 AS VARCHAR)
+           || CASE WHEN event_id % 50 = 0 THEN '-gone' ELSE '' END AS repo_url,
+         event_type = 'purchase' AS approved, event_type IN ('signup', 'view') AS opened, ts, event_id AS seq
+  FROM events),
+w6 AS (
+  SELECT pr_number, repo_url, approved, opened FROM upd WHERE pr_number IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY pr_number, repo_url ORDER BY ts DESC, seq DESC) = 1)
+"""
+L1 = with_(PUB) + "SELECT date, owner, repo, user_name, repo_url, repo_hash, pr_number, true AS opened, false AS approved FROM prl"
+W6 = with_(PUB) + "SELECT * FROM w6"
+J9 = with_(PUB) + """
+SELECT p.date, p.owner, p.repo, p.user_name, p.repo_url, p.repo_hash, p.pr_number,
+       CASE WHEN w.pr_number IS NOT NULL THEN w.approved ELSE false END AS approved,
+       CASE WHEN w.pr_number IS NOT NULL THEN w.opened ELSE true END AS opened
+FROM prl p LEFT JOIN w6 w ON p.pr_number = w.pr_number AND p.repo_url = w.repo_url
+"""
+J9_ERR = with_(PUB) + """
+SELECT u.pr_number, u.repo_url, 404 AS status_code, 'PR not found' AS error FROM upd u
+WHERE u.pr_number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM prl p WHERE p.pr_number = u.pr_number AND p.repo_url = u.repo_url)
+UNION ALL
+SELECT pr_number, repo_url, 400, 'pr_number is required' FROM upd WHERE pr_number IS NULL
+"""
+RLOG = r"""
+rl AS (
+  SELECT 'p' || CAST(l_partkey AS VARCHAR) AS name, l_returnflag AS owner,
+         CASE WHEN l_linestatus = 'F' THEN NULL ELSE 'https://github.com/' || l_linestatus END AS repo_url,
+         CAST(l_linenumber AS BIGINT) AS vulnerabilities,
+         [{'type': l_returnflag, 'count': CAST(l_linenumber AS BIGINT)}] AS byClass,
+         'semgrep' AS sastTool, l_linenumber % 2 = 0 AS rerun, '' AS analysis,
+         l_orderkey * 10 + l_linenumber AS seq, l_orderkey % 2 = 0 AS is_existing
+  FROM lineitem)
+"""
+_K8 = ["name", "owner", "repo_url", "vulnerabilities", "byClass", "sastTool", "rerun", "analysis"]
+J8 = with_(RLOG) + f"""
+, nw AS (SELECT {', '.join(_K8)}, max(seq) AS seq FROM rl WHERE NOT is_existing GROUP BY ALL)
+SELECT {', '.join(_K8[:4])}, sastTool, rerun, analysis, seq, CAST(to_json(byClass) AS VARCHAR) AS byClass FROM (
+  SELECT {', '.join(_K8)}, seq FROM rl e WHERE is_existing AND NOT EXISTS (
+    SELECT 1 FROM nw n WHERE {' AND '.join(f'e.{k} IS NOT DISTINCT FROM n.{k}' for k in _K8)})
+  UNION ALL SELECT {', '.join(_K8)}, seq FROM nw)
+""".replace("\n, nw AS", ",\nnw AS", 1)
+P17 = with_(RLOG) + """
+SELECT seq, sha256(to_json({'analysis': analysis, 'byClass': byClass, 'repo_url': repo_url, 'rerun': rerun,
+                            'sastTool': sastTool, 'vulnerabilities': vulnerabilities})) AS repo_hash
+FROM rl
+"""
+FORK = r"""
+fp AS (
+  SELECT 'r' || CAST(o_custkey % 20 AS VARCHAR) AS repo, o_custkey AS number,
+         CASE WHEN o_custkey % 4 = 0 THEN 'closed' ELSE 'open' END AS state,
+         'autofic-' || CAST(o_custkey AS VARCHAR) AS head_ref, min(o_orderdate) AS created_at
+  FROM orders GROUP BY o_custkey),
+runs AS (
+  SELECT 'r' || CAST(o_custkey % 20 AS VARCHAR) AS repo, unnest([o_custkey, o_custkey + 20]) AS number,
+         o_orderkey AS id,
+         CASE WHEN o_orderstatus IN ('F', 'P') THEN 'completed' ELSE 'in_progress' END AS status,
+         CASE WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderstatus = 'P' THEN 'failure' END AS conclusion
+  FROM orders),
+fr AS (SELECT repo, number, id AS run_id, status AS run_status, conclusion AS run_conclusion FROM runs
+       QUALIFY row_number() OVER (PARTITION BY repo, number ORDER BY id DESC) = 1),
+w5 AS (SELECT repo, number, head_ref, created_at FROM fp WHERE state = 'open'
+       QUALIFY row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, number DESC) = 1)
+"""
+W5 = with_(FORK) + "SELECT * FROM w5"
+J7 = with_(FORK) + "SELECT fp.*, fr.run_id, fr.run_status, fr.run_conclusion FROM fp LEFT JOIN fr USING (repo, number)"
+L5 = with_(FORK) + """
+SELECT repo, number, head_ref, run_id, reason = 'ok' AS publishable, reason FROM (
+  SELECT w5.repo, w5.number, w5.head_ref, fr.run_id,
+         CASE WHEN fr.run_id IS NULL THEN 'no_run' WHEN fr.run_status <> 'completed' THEN 'running'
+              WHEN fr.run_conclusion <> 'success' THEN 'failed' ELSE 'ok' END AS reason
+  FROM w5 LEFT JOIN fr USING (repo, number))
+"""
+F6 = with_(BASE, merge_sql("f")) + """
+SELECT u.repo, u.repo IN (SELECT repo FROM merged) AS has_findings
+FROM (SELECT DISTINCT 'src' || CAST(c_custkey % 25 AS VARCHAR) AS repo FROM customer) u
+"""
+_PATH = "regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g')"
+P16 = f"""
+WITH u AS (
+  SELECT page_id, 'raw' AS variant, url FROM pages
+  UNION ALL SELECT page_id, 'git', regexp_replace(url, '[?#].*$', '') || '.git' FROM pages),
+s AS (SELECT *, string_split({_PATH}, '/') AS segs FROM u)
+SELECT page_id, variant, url,
+       CASE WHEN len(segs) >= 2 THEN segs[1] END AS owner,
+       CASE WHEN len(segs) >= 2 THEN regexp_replace(segs[2], '\\.git$', '') END AS name,
+       CASE WHEN len(segs) < 2 THEN 'invalid repository URL' END AS error
+FROM s
+"""
+P18 = """
+SELECT page_id, contains(html, '<!DOCTYPE html>') AND contains(html, '<title>') AND contains(html, '</html>') AS has_all
+FROM pages
+"""
+ORACLES.update({
+    "l1_pr_log_rows": L1, "w6_latest_status": W6, "j9_update_pr_status": J9, "j9_status_errors": J9_ERR,
+    "j8_replace_equal_rows": J8, "p17_repo_hash": P17, "w5_latest_open_pr": W5, "j7_prs_to_runs": J7,
+    "l5_publishable_prs": L5, "f6_has_findings": F6, "p16_repo_from_url": P16, "p18_contains_all": P18,
+})
