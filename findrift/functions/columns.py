@@ -145,13 +145,15 @@ def message_items(msg: Column | str) -> Column:
 
 
 def trigger_text(trigger: Column | str, msg: Column | str) -> Column:
-    """First non-empty '|' piece of the trigger; else the message cut at the
-    first '|', newline or '. '."""
+    """First non-empty stripped '|' piece of the trigger (the stripped trigger
+    if none); when that is empty, the stripped message cut at its first '|',
+    newline or '. '."""
     t = F.coalesce(col(trigger), F.lit(""))
     first_piece = F.get(F.filter(F.transform(F.split(t, r"\|", -1), pystrip), lambda x: x != ""), 0)
-    m = F.coalesce(col(msg), F.lit(""))
+    trig = F.when(t != "", F.coalesce(first_piece, pystrip(t))).otherwise(F.lit(""))
+    m = pystrip(F.coalesce(col(msg), F.lit("")))
     cut = pystrip(F.regexp_extract(m, r"^([^|\n]*?)(?:\||\n|\. |$)", 1))
-    return F.coalesce(first_piece, cut)
+    return F.when((trig == "") & (m != ""), cut).otherwise(trig)
 
 
 # Path parts dropped when a path is encoded into a response file name (fixed values).

@@ -473,3 +473,55 @@ def p16_repo_from_url(spark, sf_dir):
 def p18_contains_all(spark, sf_dir):
     pages = fx.table(spark, sf_dir, "pages")
     return pages.select("page_id", C.contains_all(F.col("html"), ["<!DOCTYPE html>", "<title>", "</html>"]).alias("has_all"))
+
+
+# --------------------------------------------------------------------------- M8 reports
+from findrift.operators import report_text as RT  # noqa: E402
+
+
+def _file_sections(spark, sf_dir, relaxed: bool):
+    resp = fx.file_responses(spark, sf_dir, _merged(spark, sf_dir))
+    return P.sections_relaxed(resp).drop("tier") if relaxed else P.sections_strict(resp)
+
+
+@register("t9b_pr_body_lines")
+def t9b_pr_body_lines(spark, sf_dir):
+    return RT.pr_body_lines(_attached(spark, sf_dir), _file_sections(spark, sf_dir, True))
+
+
+@register("t9a_report_lines")
+def t9a_report_lines(spark, sf_dir):
+    return RT.repo_log_lines(fx.findings(spark, sf_dir), _file_sections(spark, sf_dir, False))
+
+
+def _log_scans(spark, sf_dir):
+    s = fx.findings(spark, sf_dir).select("repo", "scan_id").distinct()
+    return s.select("repo", "scan_id", F.col("repo").alias("name"), F.lit("upstream").alias("owner"),
+                    F.when(F.col("scan_id").endswith("codeql"), F.lit("upstream")).otherwise(F.lit("forker")).alias("user_name"),
+                    F.concat(F.lit("https://github.com/upstream/"), F.col("repo")).alias("repo_url"),
+                    F.when(F.col("repo") == "src3", F.lit(None)).otherwise(F.length("scan_id")).alias("pr_number"),
+                    F.lit(False).alias("rerun"))
+
+
+@register("l2_repo_log_rows")
+def l2_repo_log_rows(spark, sf_dir):
+    e = RT.repo_log_entries(fx.findings(spark, sf_dir), _file_sections(spark, sf_dir, False), _log_scans(spark, sf_dir))
+    return e.select("repo", "scan_id", "name", "owner", "repo_url", "vulnerabilities",
+                    F.to_json("byClass").alias("byClass"), F.sha2("analysis", 256).alias("analysis_sha"),
+                    F.length("analysis").alias("analysis_chars"), "sastTool", "rerun", "repo_hash")
+
+
+@register("a10_run_summary")
+def a10_run_summary(spark, sf_dir):
+    merged = _merged(spark, sf_dir)
+    return reports.run_summary(merged, fx.file_responses(spark, sf_dir, merged))
+
+
+@register("l6_pr_requests")
+def l6_pr_requests(spark, sf_dir):
+    body = RT.assemble(RT.pr_body_lines(_attached(spark, sf_dir), _file_sections(spark, sf_dir, True)))
+    body = (body.where(F.col("scan_id").endswith("-semgrep"))
+            .select(F.regexp_replace("repo", "^src", "r").alias("repo"), F.col("text").alias("body")))
+    pub = PB.publishable_prs(fx.fork_prs(spark, sf_dir), fx.workflow_runs(spark, sf_dir))
+    req = PB.pr_requests(pub, body, F.lit("forker"), F.lit("main"), F.lit("2026-01-01"))
+    return req.select("repo", "number", "title", "head", "base", F.sha2("body", 256).alias("body_sha"))

@@ -770,3 +770,123 @@ ORACLES.update({
     "j8_replace_equal_rows": J8, "p17_repo_hash": P17, "w5_latest_open_pr": W5, "j7_prs_to_runs": J7,
     "l5_publishable_prs": L5, "f6_has_findings": F6, "p16_repo_from_url": P16, "p18_contains_all": P18,
 })
+
+
+# --------------------------------------------------------------------------- M8 reports
+from findrift.operators import report_text as _RT  # noqa: E402
+
+
+def emo(x: str) -> str:
+    return (f"CASE upper({x}) WHEN 'ERROR' THEN {lit(_RT.SEVERITY_LABELS['ERROR'])} "
+            f"WHEN 'WARNING' THEN {lit(_RT.SEVERITY_LABELS['WARNING'])} "
+            f"WHEN 'NOTE' THEN {lit(_RT.SEVERITY_LABELS['NOTE'])} ELSE upper({x}) END")
+
+
+def md(x: str, n: int = 120) -> str:
+    t = STRIP.format(x=f"replace(replace(coalesce({x}, ''), '|', '\\|'), chr(10), ' ')")
+    return f"(CASE WHEN length({t}) > {n} THEN left({t}, {n}) || '…' ELSE {t} END)"
+
+
+def cut(x: str, n: int = 180) -> str:
+    return f"(CASE WHEN length({x}) > {n} THEN left({x}, {n}) || '…' ELSE {x} END)"
+
+
+def values(rows: list[tuple[int, str]]) -> str:
+    return "(VALUES " + ", ".join(f"({s}, {lit(t)})" for s, t in rows) + ") v(seq, text)"
+
+
+def line(block, file_no, part, seq, text, src, where="true") -> str:
+    return (f"SELECT repo, scan_id, {block} AS block, CAST({file_no} AS BIGINT) AS file_no, {part} AS part, "
+            f"CAST({seq} AS BIGINT) AS seq, {text} AS text FROM {src} WHERE {where}")
+
+
+_STEP_M = ("CASE WHEN start_line = end_line THEN 'Review line ' || CAST(start_line AS VARCHAR) || ' in ' || path "
+           "ELSE 'Review lines ' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) || ' in ' || path END")
+_T = "coalesce(xml_trigger, '')"
+_FIRST = f"list_filter(list_transform(string_split({_T}, '|'), lambda x: {STRIP.format(x='x')}), lambda x: x <> '')[1]"
+_TRIG = f"CASE WHEN {_T} <> '' THEN coalesce({_FIRST}, {STRIP.format(x=_T)}) ELSE '' END"
+_MSG = STRIP.format(x="coalesce(message, '')")
+_CUT = STRIP.format(x=f"regexp_extract({_MSG}, '^([^|\\n]*?)(?:\\||\\n|\\. |$)', 1)")
+_TRIG_ALL = f"CASE WHEN ({_TRIG}) = '' AND {_MSG} <> '' THEN {_CUT} ELSE {_TRIG} END"
+_TF = f"CASE WHEN contains({_T}, '|') THEN coalesce({_FIRST}, {STRIP.format(x=_T)}) ELSE {STRIP.format(x=_T)} END"
+_REPRO = "'Inspect the indicated code region and verify unsafe data flow or pattern.'"
+
+T9B_CTE = f"""
+fno AS (SELECT repo, scan_id, path, row_number() OVER (PARTITION BY repo, scan_id ORDER BY min(ordinal)) AS file_no
+        FROM f GROUP BY repo, scan_id, path),
+flg AS (SELECT repo, scan_id, bool_or(len(cwe) > 0 OR len(coalesce(xc, [])) > 0) AS has_cwe,
+               bool_or(len(refs) > 0) AS has_ref, bool_or(coalesce(xml_bit_severity, '') <> '') AS has_bit
+        FROM att GROUP BY repo, scan_id),
+items AS (SELECT c.*, fno.file_no, flg.has_cwe, flg.has_ref, flg.has_bit,
+                 CASE WHEN c.matched THEN {_TF} END AS tf
+          FROM ch2 c JOIN fno USING (repo, scan_id, path) JOIN flg USING (repo, scan_id)),
+files AS (SELECT DISTINCT repo, scan_id, path, file_no, has_cwe, has_ref, has_bit FROM items),
+scans AS (SELECT DISTINCT repo, scan_id, tool FROM f),
+roll AS (
+  SELECT p.repo, p.scan_id, p.path, n_issues,
+         coalesce(nullif(concat_ws(', ', CASE WHEN n_error > 0 THEN 'E:' || CAST(n_error AS VARCHAR) END,
+                                          CASE WHEN n_warning > 0 THEN 'W:' || CAST(n_warning AS VARCHAR) END,
+                                          CASE WHEN n_note > 0 THEN 'N:' || CAST(n_note AS VARCHAR) END), ''), '-') AS levels,
+         coalesce(nullif(t.top_cwes, ''), '-') AS top_cwes
+  FROM (SELECT repo, scan_id, path, count(*) AS n_issues,
+               count(*) FILTER (WHERE upper(severity) = 'ERROR') AS n_error,
+               count(*) FILTER (WHERE upper(severity) = 'WARNING') AS n_warning,
+               count(*) FILTER (WHERE upper(severity) = 'NOTE') AS n_note
+        FROM f GROUP BY repo, scan_id, path) p
+  LEFT JOIN (SELECT repo, scan_id, path, string_agg(cwe, ', ' ORDER BY rank) AS top_cwes FROM w3 GROUP BY ALL) t
+    USING (repo, scan_id, path)),
+sec AS (SELECT fl.repo, fl.scan_id, fl.path, fl.file_no, s.vulnerability, s.recommended_fix, s."references",
+               (s.vulnerability <> '' OR s.risks <> '' OR s.recommended_fix <> '' OR s."references" <> '') AS any_sec
+        FROM files fl JOIN ({relaxed_sql('fresp')}) s USING (repo, scan_id, path)),
+fctx AS (SELECT i.repo, i.scan_id, i.path, i.file_no,
+                list_sort(list_distinct(flatten(list(i.xrefs) FILTER (WHERE i.matched)))) AS rr,
+                bool_or(i.matched) AS has_pre
+         FROM items i GROUP BY i.repo, i.scan_id, i.path, i.file_no)
+"""
+_HL = (f"'- Line ' || CAST(start_line AS VARCHAR) || ': ' || concat_ws('; ', "
+       f"CASE WHEN tf <> '' THEN 'Trigger: ' || {cut('tf')} END, "
+       f"CASE WHEN coalesce(xml_steps, {_STEP_M}) <> '' THEN 'Steps: ' || {cut(f'coalesce(xml_steps, {_STEP_M})')} END, "
+       f"'Repro: ' || {cut(_REPRO)})")
+_SAST_HDR = ("'| Line | Type | Level' || CASE WHEN has_bit THEN ' | BIT Level' ELSE '' END || "
+             "CASE WHEN has_cwe THEN ' | CWE(s)' ELSE '' END || CASE WHEN has_ref THEN ' | Ref' ELSE '' END || ' |'")
+_SAST_SEP = ("'|----|----|-----' || CASE WHEN has_bit THEN '|---------' ELSE '' END || "
+             "CASE WHEN has_cwe THEN '|------' ELSE '' END || CASE WHEN has_ref THEN '|---' ELSE '' END || '|'")
+_BIT_LEVEL = (f"CASE WHEN coalesce(xml_bit_severity, '') <> '' THEN {emo('xml_bit_severity')} "
+              f"WHEN coalesce(severity, '') <> '' THEN {emo('severity')} ELSE '' END")
+_SAST_ROW = ("'| ' || concat_ws(' | ', CASE WHEN start_line = end_line THEN CAST(start_line AS VARCHAR) "
+             "ELSE CAST(start_line AS VARCHAR) || '~' || CAST(end_line AS VARCHAR) END, "
+             "coalesce(vulnerability_class[1], 'N/A'), " + emo("coalesce(nullif(upper(severity), ''), 'N/A')") + ", "
+             f"CASE WHEN has_bit THEN CASE WHEN coalesce(xml_bit_severity, '') <> '' THEN {emo('xml_bit_severity')} ELSE '' END END, "
+             "CASE WHEN has_cwe THEN coalesce(nullif(array_to_string(chosen, ', '), ''), 'N/A') END, "
+             f"CASE WHEN has_ref THEN CASE WHEN coalesce(refs[1], '') <> '' THEN {lit(_RT.REF_LINK)} || '(' || refs[1] || ')' ELSE '' END END"
+             ") || ' |'")
+_LLM_LINES = " UNION ALL ".join(
+    [line(2, "file_no", 6, 0, lit(_RT.LLM_ANALYSIS), "sec", "any_sec")]
+    + [line(2, "file_no", 6, 2 * k + 1, lit(title), "sec", f"any_sec AND coalesce({q2}, '') <> ''")
+       + " UNION ALL " + line(2, "file_no", 6, 2 * k + 2, f"{STRIP.format(x=q2)} || chr(10)", "sec", f"any_sec AND coalesce({q2}, '') <> ''")
+       for k, (n, title) in enumerate(_RT.LLM_PARTS) for q2 in [f'"{n}"']])
+
+T9B = with_(BASE, merge_sql("f"), ATTACH, FILE_RESP, T9B_CTE) + " UNION ALL ".join([
+    f"SELECT repo, scan_id, 0 AS block, CAST(0 AS BIGINT) AS file_no, 0 AS part, CAST(seq AS BIGINT) AS seq, text FROM scans, {values(list(enumerate(_RT.PR_HEADER)))}",
+    f"SELECT repo, scan_id, 1, CAST(0 AS BIGINT), 0, CAST(seq AS BIGINT), CASE WHEN seq = 1 THEN '> Detected by: **' || upper(tool) || '**' || chr(10) ELSE text END FROM scans, "
+    + values([(0, "### Overview\n"), (1, ""), (2, "| File | Total Issues | Levels | Top CWE(s) |"), (3, "|------|---------------|--------|-------------|")]),
+    f"SELECT repo, scan_id, 3, CAST(0 AS BIGINT), 0, CAST(seq AS BIGINT), text FROM scans, {values(list(enumerate(_RT.PR_FOOTER)))}",
+    line(1, 0, 1, "fno.file_no", "'| `' || roll.path || '` | **' || CAST(n_issues AS VARCHAR) || '** | ' || levels || ' | ' || top_cwes || ' |'",
+         "roll JOIN fno USING (repo, scan_id, path)"),
+    line(2, "file_no", 0, 0, "'### ' || CAST(file_no AS VARCHAR) || '. `' || path || '`'", "files"),
+    f"SELECT repo, scan_id, 2, CAST(file_no AS BIGINT), 0, CAST(seq + 1 AS BIGINT), text FROM files, {values(list(enumerate(_RT.BIT_SUMMARY)))}",
+    line(2, "file_no", 1, "ordinal", f"'| ' || CAST(start_line AS VARCHAR) || ' | ' || ({_BIT_LEVEL}) || ' | ' || {md(_TRIG_ALL)} || ' | ' || {md(f'coalesce(xml_steps, {_STEP_M})')} || ' |'", "items"),
+    line(2, "file_no", 2, 0, lit(_RT.SAST_SUMMARY), "files"),
+    line(2, "file_no", 2, 1, _SAST_HDR, "files"),
+    line(2, "file_no", 2, 2, _SAST_SEP, "files"),
+    line(2, "file_no", 3, "ordinal", _SAST_ROW, "items"),
+    line(2, "file_no", 4, 0, lit(_RT.HIGHLIGHTS), "(SELECT DISTINCT repo, scan_id, file_no FROM items WHERE matched)"),
+    line(2, "file_no", 5, "ordinal", _HL, "items", "matched"),
+    _LLM_LINES,
+    line(2, "file_no", 7, 0, lit(_RT.FURTHER), "fctx", "len(rr) > 0 OR has_pre"),
+    line(2, "file_no", 8, 0, "'- References:'", "fctx", "len(rr) > 0"),
+    "SELECT repo, scan_id, 2, CAST(file_no AS BIGINT), 8, CAST(generate_subscripts(rr, 1) AS BIGINT), '  - [link](' || unnest(rr) || ')' FROM fctx",
+    line(2, "file_no", 9, 0, "'- Preconditions:'", "fctx", "has_pre"),
+    line(2, "file_no", 9, 1, "'  - Authenticated user may be required depending on route.'", "fctx", "has_pre"),
+])
+ORACLES["t9b_pr_body_lines"] = T9B
