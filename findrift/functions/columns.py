@@ -19,6 +19,7 @@ SEVERITY_LABELS = {"ERROR": "\U0001f6d1 ERROR", "WARNING": "⚠️ WARNING", "NO
 
 # Characters Python's str.splitlines() treats as line boundaries (besides \n).
 _LINE_BREAKS = "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+_SPLIT_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 
 def col(c: Column | str) -> Column:
@@ -31,11 +32,14 @@ def pystrip(c: Column | str) -> Column:
 
 
 def split_lines(c: Column | str) -> Column:
-    """Python ``str.splitlines()`` as an array: '' -> [], one trailing break dropped."""
-    t = F.regexp_replace(col(c), _LINE_BREAKS, "\n")
-    return (F.when(t.isNull(), F.lit(None).cast("array<string>"))
-            .when(t == "", F.array().cast("array<string>"))
-            .otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n", -1)))
+    """Python ``str.splitlines()`` as an array: '' -> [], one trailing break dropped.
+
+    One regex split over the text; the split result is bound once (through a
+    one-element ``transform``) so the trailing-break test does not re-split."""
+    parts = F.split(col(c), _SPLIT_BREAKS, -1)
+    return F.when(col(c) == "", F.array().cast("array<string>")).otherwise(F.get(F.transform(
+        F.array(parts),
+        lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)), 0))
 
 
 def read_lines(c: Column | str) -> Column:

@@ -8,15 +8,12 @@ Group key (repo, scan_id, path).  Per group:
   severity   = upper-cased max by INFO 0 < WARNING 1 < ERROR 2 (others -1),
                empty skipped, '' if none, ties -> earliest ordinal
 
-Plan shape, chosen for hot files (one path holding a large share of rows):
-  * the snippet lines go through a two-step distinct: explode -> distinct on
-    (key, line) -- partial aggregation removes duplicates map-side and the
-    shuffle spreads one hot file over many tasks -- then a per-key collect of
-    at most (distinct lines of that file) values;
-  * everything else is one hash aggregation with map-side partial aggregates
-    (min/max/count/max_by; collect_set de-duplicates per map task);
-  * both sides come out hash-partitioned on the key, so the final join needs
-    no further exchange.
+Plan shape: one pass, one shuffle.  Each finding is exploded into its snippet
+lines (``explode_outer`` keeps findings without a snippet); per-finding
+aggregates read only the first row of each finding, the line set collects
+every row.  Map-side partial aggregation collapses a hot file to one partial
+row per map task before the shuffle, and the final line set of a file is
+bounded by the file's size, never by its number of findings.
 """
 
 from __future__ import annotations
@@ -38,33 +35,33 @@ def sorted_distinct(c) -> F.Column:
 
 def merge_findings_by_file(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or KEYS
-    lines = (findings.where(F.col("snippet").isNotNull() & (F.col("snippet") != ""))
-             .select(*keys, F.explode(split_lines("snippet")).alias("line"))
-             .distinct()
-             .groupBy(*keys)
-             .agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("snippet")))
-
+    snip = F.col("snippet")
+    lines = F.when(snip.isNotNull() & (snip != ""), split_lines(snip))
+    x = findings.select(*keys, "ordinal", "start_line", "end_line", "message", "vulnerability_class", "cwe",
+                        "severity", "references", F.posexplode_outer(lines).alias("_pos", "_line"))
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    one = lambda c: F.when(first, c)  # noqa: E731  per-finding value on the finding's first row only
     sev = F.upper(F.col("severity"))
-    main = findings.groupBy(*keys).agg(
-        F.min("ordinal").alias("first_ordinal"),
-        F.count(F.lit(1)).alias("n_findings"),
-        F.min("start_line").alias("start_line"),
-        F.max("end_line").alias("end_line"),
-        F.collect_set(F.when(F.col("message") != "", F.col("message"))).alias("_msgs"),
-        F.collect_set("vulnerability_class").alias("_cls"),
-        F.collect_set("cwe").alias("_cwe"),
-        F.collect_set("references").alias("_refs"),
-        F.max_by(F.when(sev != "", sev),
-                 F.when(sev != "", F.struct(severity_rank(sev).alias("r"), (-F.col("ordinal")).alias("o")))
-                 ).alias("_sev"),
+    ranked = first & (sev != "")
+    merged = x.groupBy(*keys).agg(
+        F.min(one(F.col("ordinal"))).alias("first_ordinal"),
+        F.count_if(first).alias("n_findings"),
+        F.min(one(F.col("start_line"))).alias("start_line"),
+        F.max(one(F.col("end_line"))).alias("end_line"),
+        F.collect_set("_line").alias("_lines"),
+        F.collect_set(F.when(first & (F.col("message") != ""), F.col("message"))).alias("_msgs"),
+        F.collect_set(one(F.col("vulnerability_class"))).alias("_cls"),
+        F.collect_set(one(F.col("cwe"))).alias("_cwe"),
+        F.collect_set(one(F.col("references"))).alias("_refs"),
+        F.max_by(F.when(ranked, sev),
+                 F.when(ranked, F.struct(severity_rank(sev).alias("r"), (-F.col("ordinal")).alias("o")))).alias("_sev"),
     )
-    merged = main.select(
+    return merged.select(
         *keys, "first_ordinal", "n_findings", "start_line", "end_line",
+        F.array_join(F.array_sort("_lines"), "\n").alias("snippet"),
         F.array_join(F.array_sort("_msgs"), " | ").alias("message"),
         sorted_distinct(F.flatten("_cls")).alias("vulnerability_class"),
         sorted_distinct(F.flatten("_cwe")).alias("cwe"),
         F.coalesce("_sev", F.lit("")).alias("severity"),
         sorted_distinct(F.flatten("_refs")).alias("references"),
-    )
-    out = merged.join(lines, keys, "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
-    return out.select(*MERGED_COLUMNS)
+    ).select(*MERGED_COLUMNS)
