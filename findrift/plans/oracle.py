@@ -866,7 +866,7 @@ _LLM_LINES = " UNION ALL ".join(
        + " UNION ALL " + line(2, "file_no", 6, 2 * k + 2, f"{STRIP.format(x=q2)} || chr(10)", "sec", f"any_sec AND coalesce({q2}, '') <> ''")
        for k, (n, title) in enumerate(_RT.LLM_PARTS) for q2 in [f'"{n}"']])
 
-T9B = with_(BASE, merge_sql("f"), ATTACH, FILE_RESP, T9B_CTE) + " UNION ALL ".join([
+T9B_BODY = " UNION ALL ".join([
     f"SELECT repo, scan_id, 0 AS block, CAST(0 AS BIGINT) AS file_no, 0 AS part, CAST(seq AS BIGINT) AS seq, text FROM scans, {values(list(enumerate(_RT.PR_HEADER)))}",
     f"SELECT repo, scan_id, 1, CAST(0 AS BIGINT), 0, CAST(seq AS BIGINT), CASE WHEN seq = 1 THEN '> Detected by: **' || upper(tool) || '**' || chr(10) ELSE text END FROM scans, "
     + values([(0, "### Overview\n"), (1, ""), (2, "| File | Total Issues | Levels | Top CWE(s) |"), (3, "|------|---------------|--------|-------------|")]),
@@ -889,4 +889,82 @@ T9B = with_(BASE, merge_sql("f"), ATTACH, FILE_RESP, T9B_CTE) + " UNION ALL ".jo
     line(2, "file_no", 9, 0, "'- Preconditions:'", "fctx", "has_pre"),
     line(2, "file_no", 9, 1, "'  - Authenticated user may be required depending on route.'", "fctx", "has_pre"),
 ])
+T9B = with_(BASE, merge_sql("f"), ATTACH, FILE_RESP, T9B_CTE) + T9B_BODY
 ORACLES["t9b_pr_body_lines"] = T9B
+
+
+_LVL = "coalesce(nullif(upper(severity), ''), 'N/A')"
+T9A_CTE = f"""
+fno AS (SELECT repo, scan_id, path, row_number() OVER (PARTITION BY repo, scan_id ORDER BY min(ordinal)) AS file_no
+        FROM f GROUP BY repo, scan_id, path),
+cc AS (SELECT repo, scan_id, vulnerability_class[1] AS type, count(*) AS cnt,
+              row_number() OVER (PARTITION BY repo, scan_id ORDER BY min(ordinal)) AS class_pos
+       FROM f WHERE len(vulnerability_class) > 0 GROUP BY repo, scan_id, vulnerability_class[1]),
+sr AS (SELECT s.repo, s.scan_id, s.tool, coalesce(t.vulns, 0) AS vulns
+       FROM (SELECT DISTINCT repo, scan_id, tool FROM f) s
+       LEFT JOIN (SELECT repo, scan_id, sum(cnt) AS vulns FROM cc GROUP BY ALL) t USING (repo, scan_id)),
+ff AS (SELECT fno.*, bool_or(len(f.cwe) > 0) AS f_cwe, bool_or(len(f.refs) > 0) AS f_ref
+       FROM fno JOIN f USING (repo, scan_id, path) GROUP BY ALL),
+it AS (SELECT f.*, ff.file_no, ff.f_cwe, ff.f_ref FROM f JOIN ff USING (repo, scan_id, path)),
+ssec AS (SELECT ff.repo, ff.scan_id, ff.path, ff.file_no, s.vulnerability, s.recommended_fix, s."references"
+         FROM ff JOIN ({sections_sql('fresp')}) s USING (repo, scan_id, path))
+"""
+T9A_BODY = " UNION ALL ".join([
+    "SELECT repo, scan_id, 0 AS block, CAST(0 AS BIGINT) AS file_no, 0 AS part, CAST(0 AS BIGINT) AS seq, "
+    + lit(_RT.LOG_HEADER) + " AS text FROM sr",
+    line(0, 0, 0, 1, "'- SAST Tool: ' || upper(left(tool, 1)) || lower(substr(tool, 2))", "sr"),
+    line(0, 0, 0, 2, "'- Total vulnerabilities Detected: ' || CAST(vulns AS VARCHAR) || chr(10)", "sr"),
+    line(0, 0, 1, 0, "'| Type | Count |'", "sr", "vulns > 0"),
+    line(0, 0, 1, 1, "'|------|-------|'", "sr", "vulns > 0"),
+    line(0, 0, 2, "class_pos", "'| ' || type || ' | ' || CAST(cnt AS VARCHAR) || ' |'", "cc"),
+    line(0, 0, 3, 0, lit(_RT.LOG_FILES), "sr"),
+    line(1, "file_no", 0, 0, "chr(10) || '### ' || CAST(file_no AS VARCHAR) || '. `' || path || '`'", "ff"),
+    line(1, "file_no", 0, 1, lit(_RT.LOG_SAST), "ff"),
+    line(1, "file_no", 0, 2, "'| Line | Type | Level' || CASE WHEN f_cwe THEN ' | CWE' ELSE '' END || CASE WHEN f_ref THEN ' | Ref' ELSE '' END || ' |'", "ff"),
+    line(1, "file_no", 0, 3, "'|----|----|-----' || CASE WHEN f_cwe THEN '|---' ELSE '' END || CASE WHEN f_ref THEN '|---' ELSE '' END || '|'", "ff"),
+    line(1, "file_no", 1, "ordinal",
+         "'| ' || concat_ws(' | ', CASE WHEN start_line = end_line THEN CAST(start_line AS VARCHAR) "
+         "ELSE CAST(start_line AS VARCHAR) || '~' || CAST(end_line AS VARCHAR) END, coalesce(vulnerability_class[1], 'N/A'), "
+         + emo(_LVL) + ", CASE WHEN f_cwe THEN coalesce(split_part(cwe[1], ':', 1), 'N/A') END, "
+         f"CASE WHEN f_ref THEN CASE WHEN coalesce(refs[1], '') <> '' THEN {lit(_RT.REF_LINK)} || '(' || refs[1] || ')' ELSE '' END END) || ' |'",
+         "it"),
+    line(1, "file_no", 2, 0, lit(_RT.LOG_LLM), "ff"),
+    line(1, "file_no", 3, 0, f"chr(10) || {lit(chr(0x23) * 3 + ' ' + chr(0x1f4c4) + ' `')} || path || '`'", "ssec"),
+] + [line(1, "file_no", 3, 2 * k + 1, lit(title), "ssec", f"coalesce(\"{n}\", '') <> ''") + " UNION ALL "
+     + line(1, "file_no", 3, 2 * k + 2, f'"{n}"', "ssec", f"coalesce(\"{n}\", '') <> ''")
+     for k, (n, title) in enumerate(_RT.LOG_LLM_PARTS)])
+T9A = with_(BASE, merge_sql("f"), FILE_RESP, T9A_CTE) + T9A_BODY
+
+A10 = with_(BASE, merge_sql("f"), FILE_RESP) + """
+SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.n, 0) AS files_with_findings, coalesce(b.n, 0) AS n_responses
+FROM (SELECT repo, count(*) AS n FROM merged GROUP BY repo) a
+FULL OUTER JOIN (SELECT repo, count(*) AS n FROM fresp GROUP BY repo) b ON a.repo = b.repo
+"""
+
+L2 = with_(BASE, merge_sql("f"), FILE_RESP, T9A_CTE, f"t9a AS ({T9A_BODY})") + """
+, body AS (SELECT repo, scan_id, string_agg(text, chr(10) ORDER BY block, file_no, part, seq) AS analysis FROM t9a GROUP BY ALL),
+bc AS (SELECT repo, scan_id, list({'type': type, 'count': cnt} ORDER BY class_pos) AS byClass, sum(cnt) AS vulns
+       FROM cc GROUP BY ALL),
+el AS (SELECT sr.repo, sr.scan_id, lower(sr.tool) AS sastTool, 'https://github.com/upstream/' || sr.repo AS repo_url,
+              CAST(bc.vulns AS BIGINT) AS vulnerabilities, bc.byClass, body.analysis
+       FROM sr JOIN bc USING (repo, scan_id) JOIN body USING (repo, scan_id)
+       WHERE sr.repo <> 'src3' AND sr.tool <> 'codeql')
+SELECT repo, scan_id, repo AS name, 'upstream' AS owner, repo_url, vulnerabilities, CAST(to_json(byClass) AS VARCHAR) AS byClass,
+       sha256(analysis) AS analysis_sha, CAST(length(analysis) AS INTEGER) AS analysis_chars, sastTool, false AS rerun,
+       sha256(CAST(to_json({'analysis': analysis, 'byClass': byClass, 'repo_url': repo_url, 'rerun': false,
+                            'sastTool': sastTool, 'vulnerabilities': vulnerabilities}) AS VARCHAR)) AS repo_hash
+FROM el
+""".replace("\n, body AS", ",\nbody AS", 1)
+
+L6 = with_(BASE, merge_sql("f"), ATTACH, FILE_RESP, T9B_CTE, f"t9b AS ({T9B_BODY})", FORK) + """
+, body AS (SELECT regexp_replace(repo, '^src', 'r') AS repo,
+                  string_agg(text, chr(10) ORDER BY block, file_no, part, seq) AS body
+           FROM t9b WHERE scan_id LIKE '%-semgrep' GROUP BY repo, scan_id),
+pub AS (SELECT w5.repo, w5.number, w5.head_ref FROM w5 JOIN fr USING (repo, number)
+        WHERE fr.run_status = 'completed' AND fr.run_conclusion = 'success')
+SELECT pub.repo, pub.number, '[ AutoFiC ] Security Patch 2026-01-01' AS title, 'forker:' || pub.head_ref AS head,
+       'main' AS base, sha256(body.body) AS body_sha
+FROM pub LEFT JOIN body USING (repo)
+""".replace("\n, body AS", ",\nbody AS", 1)
+
+ORACLES.update({"t9a_report_lines": T9A, "a10_run_summary": A10, "l2_repo_log_rows": L2, "l6_pr_requests": L6})
