@@ -525,3 +525,33 @@ def l6_pr_requests(spark, sf_dir):
     pub = PB.publishable_prs(fx.fork_prs(spark, sf_dir), fx.workflow_runs(spark, sf_dir))
     req = PB.pr_requests(pub, body, F.lit("forker"), F.lit("main"), F.lit("2026-01-01"))
     return req.select("repo", "number", "title", "head", "base", F.sha2("body", 256).alias("body_sha"))
+
+
+# --------------------------------------------------------------------------- M9 streams
+from findrift.streaming import streams as ST  # noqa: E402
+
+
+@register("r1_stream_findings")
+def r1_stream_findings(spark, sf_dir):
+    """Semgrep output files land in a folder; an availableNow stream ingests them
+    in several micro-batches and keeps the per-file merge current."""
+    base = scratch_path(spark, "r1")
+    raw = fx.semgrep_output(spark, sf_dir)
+    (raw.repartition("repo", "scan_id", "part").select("repo", "scan_id", "part", "text")
+     .write.partitionBy("repo", "scan_id", "part").text(f"{base}/landing"))
+    q = ST.stream_findings(spark, f"{base}/landing", fx.source_files(spark, sf_dir), f"{base}/out", "semgrep",
+                           max_files_per_trigger=512)
+    q.awaitTermination()
+    return flat(ST.latest_file_findings(spark, f"{base}/out").select(*merge.MERGED_COLUMNS))
+
+
+@register("r2_stream_pr_status")
+def r2_stream_pr_status(spark, sf_dir):
+    """Status updates (every tenth one delivered twice) stream through the
+    watermark de-duplication; W6 over the sink is the current status."""
+    base = scratch_path(spark, "r2")
+    upd = fx.status_updates(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    upd.unionByName(upd.where(F.col("seq") % 10 == 0)).write.json(f"{base}/landing")
+    q = ST.stream_pr_status(spark, f"{base}/landing", f"{base}/out")
+    q.awaitTermination()
+    return ST.current_pr_status(spark, f"{base}/out")

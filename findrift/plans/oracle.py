@@ -968,3 +968,20 @@ FROM pub LEFT JOIN body USING (repo)
 """.replace("\n, body AS", ",\nbody AS", 1)
 
 ORACLES.update({"t9a_report_lines": T9A, "a10_run_summary": A10, "l2_repo_log_rows": L2, "l6_pr_requests": L6})
+
+SG_LIST = """
+sgl AS (
+  SELECT repo, scan_id, (part << 40) + file_pos AS ordinal, raw_path AS path, raw_start AS start_line, end_line,
+         CASE WHEN raw_start > 0 AND raw_start <= end_line AND end_line <= n_lines
+              THEN array_to_string(list_slice(lines, raw_start, end_line), chr(10)) ELSE '' END AS snippet,
+         message, [event_type] AS vulnerability_class,
+         CASE WHEN k % 11 = 0 THEN []::VARCHAR[] ELSE ['CWE-' || CAST(k % 7 AS VARCHAR)] END AS cwe, severity,
+         ['https://refs.example.org/' || CAST(k % 5 AS VARCHAR)] AS refs
+  FROM sv WHERE tool = 'semgrep' AND event_id % 50 <> 0)
+"""
+R1 = with_(BASE, SCAN, SG_LIST, merge_sql("sgl")) + f"""
+SELECT repo, scan_id, path, first_ordinal, n_findings, start_line, end_line, snippet, message,
+       {arr('vulnerability_class')} AS vulnerability_class, {arr('cwe')} AS cwe, severity, {arr('refs')} AS "references"
+FROM merged
+"""
+ORACLES.update({"r1_stream_findings": R1, "r2_stream_pr_status": W6})
