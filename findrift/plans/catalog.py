@@ -555,3 +555,76 @@ def r2_stream_pr_status(spark, sf_dir):
     q = ST.stream_pr_status(spark, f"{base}/landing", f"{base}/out")
     q.awaitTermination()
     return ST.current_pr_status(spark, f"{base}/out")
+
+
+# --------------------------------------------------------------------------- sources and sinks
+from findrift.sources import files as SRC  # noqa: E402
+from findrift.sources import sinks as SNK  # noqa: E402
+
+
+@register("s1_read_source_files")
+def s1_read_source_files(spark, sf_dir):
+    """Documents written as files (repo=/lang=/doc= folders), read back by the S1 reader."""
+    base = scratch_path(spark, "s1")
+    d = fx.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo"), "lang", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc"), "text")
+    d.repartition("repo", "lang", "doc").write.partitionBy("repo", "lang", "doc").text(base)
+    sf = SRC.read_source_files(spark, base, exts=("txt",), layout=r"repo=([^/]+)/(lang=[^/]+/doc=[^/]+)/")
+    path = F.concat(F.lit("src/"), F.regexp_extract("path", r"lang=([^/]+)/", 1), F.lit("/"),
+                    F.regexp_extract("path", r"doc=([^/]+)", 1), F.lit(".py"))
+    return sf.select("repo", path.alias("path"), "n_lines", F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha"))
+
+
+@register("s4_findings_roundtrip")
+def s4_findings_roundtrip(spark, sf_dir):
+    """K1 writes findings as JSON lines partitioned by repo; S4 reads them back."""
+    base = scratch_path(spark, "s4")
+    f = fx.findings(spark, sf_dir).withColumn("input", F.lit(None).cast("string"))
+    SNK.write_findings(f.select("repo", "input", "idx", "start_line", "end_line", "snippet", "message",
+                                "vulnerability_class", "cwe", "severity", "references", "path"), base)
+    back = SRC.read_findings(spark, base, multiline=False)
+    return flat(back.select("repo", "path", "start_line", "end_line", "snippet", "message", "vulnerability_class",
+                            "cwe", "severity", "references"))
+
+
+@register("s7_read_logs")
+def s7_read_logs(spark, sf_dir):
+    """Legacy log documents ({prs, repos}, sharded by pr_number % 8) read by S7."""
+    base = scratch_path(spark, "s7")
+    prs = PB.pr_log_rows(fx.pr_log(spark, sf_dir), F.col("date"))
+    docs = (prs.groupBy((F.col("pr_number") % 8).alias("shard"))
+            .agg(F.collect_list(F.struct(*prs.columns)).alias("prs"))
+            .select(F.to_json(F.struct("prs", F.array().cast("array<string>").alias("repos"))).alias("value")))
+    docs.write.text(base)
+    pr_rows, _ = SRC.read_logs(spark, base, multiline=False)
+    return pr_rows
+
+
+@register("k4_append_log")
+def k4_append_log(spark, sf_dir):
+    """K4: PR rows appended in two batches to a reset store, read back."""
+    base = scratch_path(spark, "k4")
+    prs = PB.pr_log_rows(fx.pr_log(spark, sf_dir), F.col("date"))
+    SNK.reset_log(spark, base, prs.schema)
+    SNK.append_log(prs.where(F.col("pr_number") % 2 == 0), base)
+    SNK.append_log(prs.where(F.col("pr_number") % 2 == 1), base)
+    return spark.read.parquet(base)
+
+
+@register("k3_text_per_file")
+def k3_text_per_file(spark, sf_dir):
+    """K3: parsed code and diffs stored as one (path, text) table per kind."""
+    base = scratch_path(spark, "k3")
+    code, _ = P.extract_code_blocks(fx.responses(spark, sf_dir))
+    SNK.write_text_per_file(code, "code", base, "parsed")
+    SNK.write_text_per_file(PT.unified_diff(_pairs(spark, sf_dir)[0]).where(F.col("status") == "diff"), "diff", base, "diff")
+    t = spark.read.parquet(base)
+    return t.select("repo", "scan_id", "path", "kind", F.sha2("text", 256).alias("text_sha"))
+
+
+@register("a5_distinct_paths")
+def a5_distinct_paths(spark, sf_dir):
+    """A5/O2: sorted distinct paths per scan (prompt inputs)."""
+    f = fx.findings(spark, sf_dir)
+    return (f.groupBy("repo", "scan_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+            .select("repo", "scan_id", F.size("paths").alias("n_paths"), F.array_join("paths", ";").alias("paths")))

@@ -985,3 +985,22 @@ SELECT repo, scan_id, path, first_ordinal, n_findings, start_line, end_line, sni
 FROM merged
 """
 ORACLES.update({"r1_stream_findings": R1, "r2_stream_pr_status": W6})
+
+S1 = with_(BASE) + """
+SELECT repo, path, CAST(len(lines) AS INTEGER) AS n_lines, sha256(array_to_string(lines, chr(10))) AS lines_sha FROM d
+"""
+S4 = with_(BASE) + f"""
+SELECT repo, path, start_line, end_line, snippet, message, {arr('vulnerability_class')} AS vulnerability_class,
+       {arr('cwe')} AS cwe, severity, {arr('refs')} AS "references" FROM f
+"""
+A5 = with_(BASE) + """
+SELECT repo, scan_id, CAST(count(DISTINCT path) AS INTEGER) AS n_paths, string_agg(DISTINCT path, ';' ORDER BY path) AS paths
+FROM f GROUP BY repo, scan_id
+"""
+K3 = with_(BASE, RESP, CODE, PARSED) + """
+SELECT repo, scan_id, path, 'parsed' AS kind, sha256(code) AS text_sha FROM code
+UNION ALL
+SELECT repo, scan_id, path, 'diff', NULL FROM pc WHERE doc_id % 3 = 0
+"""
+ORACLES.update({"s1_read_source_files": S1, "s4_findings_roundtrip": S4, "s7_read_logs": L1, "k4_append_log": L1,
+                "a5_distinct_paths": A5})
