@@ -14,23 +14,22 @@ RAW_SCAN_COLUMNS = ("scan_id", "repo", "tool", "part", "text")
 
 
 def read_scan_files(spark: SparkSession, path: str, tool: str, repo: str | None = None) -> DataFrame:
-    """Read scanner JSON/SARIF files from ``path`` (one document per file).
+    """Read scanner JSON/SARIF files laid out as <repo>/<scan_id>/<file> under ``path``.
 
-    scan_id is the parent folder name, part the file's position among its
-    siblings by name; ``repo`` defaults to the scan folder's parent name.
-    """
-    df = (spark.read.option("wholetext", True).text(path)
+    One row per file holding its whole text.  ``part`` is the file's position
+    among the scan's files by name; it is computed on the file paths alone
+    (one narrow row per file) and joined back, so file texts are never
+    shuffled together by scan."""
+    from pyspark.sql import Window
+    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
           .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path")))
     parts = F.split(F.col("file_path"), "/")
-    scan_id = F.element_at(parts, -2)
+    names = df.select("file_path", F.element_at(parts, -2).alias("scan_id"))
+    numbered = names.withColumn(
+        "part", (F.row_number().over(Window.partitionBy("scan_id").orderBy("file_path")) - 1).cast("long"))
     repo_col = F.lit(repo) if repo else F.element_at(parts, -3)
-    # Position of the file among the scan's files: a tiny window over file names only.
-    from pyspark.sql import Window
-    w = Window.partitionBy("scan_id").orderBy("file_path")
-    return (df.select(scan_id.alias("scan_id"), repo_col.alias("repo"), F.lit(tool).alias("tool"),
-                      "file_path", "text")
-            .withColumn("part", (F.row_number().over(w) - 1).cast("long"))
-            .select(*RAW_SCAN_COLUMNS))
+    return (df.join(numbered, "file_path")
+            .select("scan_id", repo_col.alias("repo"), F.lit(tool).alias("tool"), "part", "text"))
 
 
 def parse_docs(raw: DataFrame) -> DataFrame:
@@ -80,7 +79,8 @@ def sarif_results(docs: DataFrame) -> DataFrame:
     return ex.select(
         "scan_id", "repo", "tool", "part", "run_pos", "pos",
         vget("r", "$.ruleId").alias("rule_id"),
-        vget("r", "$.level").alias("level_str"),
+        # a list-valued level must not be read as its JSON text
+        F.when(vget("r", "$.level", "array<string>").isNull(), vget("r", "$.level")).alias("level_str"),
         vget("r", "$.level", "array<string>").alias("level_arr"),
         vget("r", "$.message.text").alias("message"),
         vget("r", f"{loc}.artifactLocation.uri").alias("uri"),
