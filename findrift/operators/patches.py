@@ -8,15 +8,22 @@ already-paired rows: one call per batch of files, no per-row JVM round trip.
 
 from __future__ import annotations
 
+import sys
+
 import difflib
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findrift.functions.columns import split_lines
 
+# Worker-side code ships with the task (pickled by value), so Python workers
+# need not import this package from their own path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MARKER = "@BUG_HERE"
 # Paths left out of a change set (fixed values of the reference).
 IGNORED_PATHS = (".codeql-db", ".codeql-results", "node_modules", ".github", ".snyk",

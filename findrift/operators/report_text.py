@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from findrift.functions.columns import (SEVERITY_LABELS, cwe_short, line_label, md_cell, pystrip,
                                         repo_hash, step_text, trigger_text)
 from findrift.operators import context as ctxop
+from findrift.session import materialize
 from findrift.operators import reports
 
 LINE_COLUMNS = ("repo", "scan_id", "block", "file_no", "part", "seq", "text")
@@ -130,7 +131,9 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
         F.bool_or((F.size("cwe") > 0) | (F.size(F.coalesce("xml_cwes", F.array().cast("array<string>"))) > 0)).alias("has_cwe"),
         F.bool_or(F.size("references") > 0).alias("has_ref"),
         F.bool_or(F.coalesce(F.col("xml_bit_severity"), F.lit("")) != "").alias("has_bit")))
-    items = a.join(fn, ["repo", "scan_id", "path"]).join(flags, ["repo", "scan_id"])
+    # read by all three grains and two aggregations: materialised once
+    items = materialize(a.join(fn, ["repo", "scan_id", "path"]).join(flags, ["repo", "scan_id"]))
+    a = items.drop("file_no", "has_cwe", "has_ref", "has_bit")
     fno = F.col("file_no")
 
     # ---- finding grain: BIT row, SAST row, highlight row
@@ -234,6 +237,7 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
 def repo_log_lines(findings: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """Repo-log analysis lines per scan (class table, per-file finding
     tables with file-level CWE/Ref columns, strict LLM sections)."""
+    findings = materialize(findings)
     fn = reports.file_numbers(findings).select("repo", "scan_id", "path", "file_no")
     cc = reports.class_counts(findings)
     scan_rows = findings.select("repo", "scan_id", "tool").distinct()

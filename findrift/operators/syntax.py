@@ -14,15 +14,22 @@ size x nesting depth, never nodes x findings.
 
 from __future__ import annotations
 
+import sys
+
 import ast
 import json
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Worker-side code ships with the task (pickled by value), so Python workers
+# need not import this package from their own path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODE_SCHEMA = ("repo string, path string, bfs_id int, parent_id int, node_type string, "
                "line int, col int, end_line int, end_col int, fields string, "
                "success boolean, error_message string")

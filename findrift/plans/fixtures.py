@@ -42,11 +42,17 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     scan (line splitting, regexes, parsing) does not run in one task."""
     df = spark.read.parquet(path)
     par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SPLITS:
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    if _SPLITS[key] < par:
         df = df.repartition(par)
     return df
 
 
+_SPLITS: dict[tuple[str, str], int] = {}
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1-shaped table: one Python source file per document."""
     d = table(spark, sf_dir, "documents")

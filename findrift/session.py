@@ -63,3 +63,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared folder, for written intermediate tables
     and streaming checkpoints (never a machine-local folder on a cluster)."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage for a frame that several consumers read: a reliable
+    checkpoint into the shared folder (never ``localCheckpoint``, which would
+    not survive executor loss)."""
+    from pyspark.sql import SparkSession as _S
+    shared_dir(_S.getActiveSession() or df.sparkSession)
+    return df.checkpoint(eager=True)
