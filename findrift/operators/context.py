@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findrift.functions import branding as B
 from findrift.functions.columns import cwe_short, message_items, severity_pair, step_text
 
 # Fixed texts of the v1.1 context (must equal the reference's output).
@@ -16,8 +17,8 @@ DEFAULT_TRIGGER = "Vulnerability detected."
 REPRODUCTION = "Inspect the indicated code region and verify unsafe data flow or pattern."
 PRECONDITION = "Authenticated user may be required depending on route."
 MITIGATION = "Apply minimal changes: sanitize inputs, use parameterized APIs, and enforce allowlists."
-TOOL_NAME = "AutoFiC"
-XML_NS = "urn:autofic:custom-context"
+TOOL_NAME = B.NAME
+XML_NS = B.XML_NS
 
 def _empty() -> Column:
     return F.array().cast("array<string>")

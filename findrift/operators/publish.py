@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findrift.functions import branding as B
+
 # Columns whose equality makes two repo-log entries "the same" (fixed by the reference).
 REPO_LOG_EQUALITY = ("name", "owner", "repo_url", "vulnerabilities", "byClass", "sastTool", "rerun", "analysis")
 REPO_HASH_KEYS = ("repo_url", "sastTool", "rerun", "vulnerabilities", "byClass", "analysis")
-PR_TITLE_PREFIX = "[ AutoFiC ] Security Patch "
+PR_TITLE_PREFIX = f"[ {B.NAME} ] Security Patch "
 
 
 # --------------------------------------------------------------------------- L1

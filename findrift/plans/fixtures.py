@@ -345,7 +345,7 @@ def fork_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("o_custkey")
     return o.select(F.concat(F.lit("r"), (c % 20).cast("string")).alias("repo"), c.alias("number"),
                     F.when(c % 4 == 0, F.lit("closed")).otherwise(F.lit("open")).alias("state"),
-                    F.concat(F.lit("autofic-"), c.cast("string")).alias("head_ref"),
+                    F.concat(F.lit("fix-"), c.cast("string")).alias("head_ref"),
                     F.col("created_at"))
 
 

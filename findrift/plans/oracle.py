@@ -43,6 +43,9 @@ f AS (
   FROM sc)
 """
 
+from findrift.functions import branding as _B  # noqa: E402
+from findrift.operators import publish as _PB  # noqa: E402
+
 RANK = "CASE upper(severity) WHEN 'INFO' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'ERROR' THEN 2 ELSE -1 END"
 
 
@@ -238,8 +241,8 @@ SELECT repo, scan_id, path, min(ordinal) AS first_ordinal,
 FROM f GROUP BY repo, scan_id, path
 """
 
-A4 = with_(BASE, merge_sql("f")) + """
-SELECT repo, scan_id, 'AutoFiC' AS tool, count(*) AS count, '1970-01-01T00:00:00+00:00' AS generatedAt
+A4 = with_(BASE, merge_sql("f")) + f"""
+SELECT repo, scan_id, '{_B.NAME}' AS tool, count(*) AS count, '1970-01-01T00:00:00+00:00' AS generatedAt
 FROM merged GROUP BY repo, scan_id
 """
 
@@ -723,7 +726,7 @@ FORK = r"""
 fp AS (
   SELECT 'r' || CAST(o_custkey % 20 AS VARCHAR) AS repo, o_custkey AS number,
          CASE WHEN o_custkey % 4 = 0 THEN 'closed' ELSE 'open' END AS state,
-         'autofic-' || CAST(o_custkey AS VARCHAR) AS head_ref, min(o_orderdate) AS created_at
+         'fix-' || CAST(o_custkey AS VARCHAR) AS head_ref, min(o_orderdate) AS created_at
   FROM orders GROUP BY o_custkey),
 runs AS (
   SELECT 'r' || CAST(o_custkey % 20 AS VARCHAR) AS repo, unnest([o_custkey, o_custkey + 20]) AS number,
@@ -956,13 +959,13 @@ SELECT repo, scan_id, repo AS name, 'upstream' AS owner, repo_url, vulnerabiliti
 FROM el
 """.replace("\n, body AS", ",\nbody AS", 1)
 
-L6 = with_(BASE, merge_sql("f"), ATTACH, FILE_RESP, T9B_CTE, f"t9b AS ({T9B_BODY})", FORK) + """
+L6 = with_(BASE, merge_sql("f"), ATTACH, FILE_RESP, T9B_CTE, f"t9b AS ({T9B_BODY})", FORK) + f"""
 , body AS (SELECT regexp_replace(repo, '^src', 'r') AS repo,
                   string_agg(text, chr(10) ORDER BY block, file_no, part, seq) AS body
            FROM t9b WHERE scan_id LIKE '%-semgrep' GROUP BY repo, scan_id),
 pub AS (SELECT w5.repo, w5.number, w5.head_ref FROM w5 JOIN fr USING (repo, number)
         WHERE fr.run_status = 'completed' AND fr.run_conclusion = 'success')
-SELECT pub.repo, pub.number, '[ AutoFiC ] Security Patch 2026-01-01' AS title, 'forker:' || pub.head_ref AS head,
+SELECT pub.repo, pub.number, '{_PB.PR_TITLE_PREFIX}2026-01-01' AS title, 'forker:' || pub.head_ref AS head,
        'main' AS base, sha256(body.body) AS body_sha
 FROM pub LEFT JOIN body USING (repo)
 """.replace("\n, body AS", ",\nbody AS", 1)
