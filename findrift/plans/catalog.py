@@ -98,7 +98,7 @@ def o5_tool_agreement(spark, sf_dir):
 # --------------------------------------------------------------------------- M2 / M3 rollups and contexts
 from findrift.operators import context as ctxop  # noqa: E402
 from findrift.operators import reports  # noqa: E402
-from findrift.session import scratch_path  # noqa: E402
+from findrift.session import materialize, scratch_path  # noqa: E402
 
 
 def _contexts(spark, sf_dir):
@@ -539,8 +539,9 @@ def r1_stream_findings(spark, sf_dir):
     raw = fx.semgrep_output(spark, sf_dir)
     (raw.repartition("repo", "scan_id", "part").select("repo", "scan_id", "part", "text")
      .write.partitionBy("repo", "scan_id", "part").text(f"{base}/landing"))
-    q = ST.stream_findings(spark, f"{base}/landing", fx.source_files(spark, sf_dir), f"{base}/out", "semgrep",
-                           max_files_per_trigger=512)
+    # the static side of the stream-static join is a stored table, read per batch
+    files = materialize(fx.source_files(spark, sf_dir).drop("doc_id"))
+    q = ST.stream_findings(spark, f"{base}/landing", files, f"{base}/out", "semgrep", max_files_per_trigger=32)
     q.awaitTermination()
     return flat(ST.latest_file_findings(spark, f"{base}/out").select(*merge.MERGED_COLUMNS))
 

@@ -16,7 +16,7 @@ from findrift.functions.columns import split_lines
 
 # Fixed recipe parameters (mirrored in the oracle SQL).
 TOOLS = ("semgrep", "codeql", "snykcode")
-PART_EVENTS = 1024     # event-id span of one scanner output file
+PART_EVENTS = 8192     # event-id span of one scanner output file
 RUN_EVENTS = 512       # event-id span of one SARIF run inside a file
 SEVERITY_OF_EVENT = {"error": "ERROR", "purchase": "WARNING", "signup": "NOTE", "view": "INFO", "click": ""}
 # One SARIF rule per event type: (event_type, cwe tags, helpUri, defaultConfiguration.level, problem.severity)

@@ -9,6 +9,8 @@ Arrays are compared as ';'-joined strings.
 from __future__ import annotations
 
 # Common CTEs: documents -> files, events -> scanner results (see fixtures.py).
+from findrift.plans.fixtures import PART_EVENTS, RUN_EVENTS  # noqa: E402
+
 BASE = r"""
 d AS (
   SELECT doc_id, source AS repo,
@@ -31,7 +33,7 @@ sc AS (
          CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING'
               WHEN 'signup' THEN 'NOTE' WHEN 'view' THEN 'INFO' ELSE '' END AS severity,
          'Possible ' || event_type || ' issue k=' || CAST(k AS VARCHAR) AS message,
-         event_id // 1024 AS part, (event_id // 512) % 2 AS run_pos
+         event_id // @PART@ AS part, (event_id // @RUN@) % 2 AS run_pos
   FROM se),
 f AS (
   SELECT repo, scan_id, event_id AS ordinal, tool, path, start_line, end_line,
@@ -42,6 +44,7 @@ f AS (
          event_type, k, user_id, ts
   FROM sc)
 """
+BASE = BASE.replace("@PART@", str(PART_EVENTS)).replace("@RUN@", str(RUN_EVENTS))
 
 from findrift.functions import branding as _B  # noqa: E402
 from findrift.operators import publish as _PB  # noqa: E402
@@ -95,7 +98,7 @@ sv AS (
          row_number() OVER (PARTITION BY scan_id, part ORDER BY event_id) - 1 AS file_pos,
          row_number() OVER (PARTITION BY scan_id, part, run_pos ORDER BY event_id) - 1 AS run_item,
          dense_rank() OVER (PARTITION BY scan_id, part ORDER BY run_pos) - 1 AS run_idx,
-         max(event_id // 512) OVER (PARTITION BY scan_id) AS last_run
+         max(part * 2 + run_pos) OVER (PARTITION BY scan_id) AS last_run
   FROM sc),
 sarif AS (
   SELECT *, CASE WHEN event_id % 9 = 0 THEN raw_start ELSE end_line END AS raw_end2,
@@ -133,7 +136,7 @@ cq2 AS (
          raw_start BETWEEN 1 AND n_lines AND list_bool_or(list_transform(region, lambda x: {STRIP.format(x='x')} <> '')) AS ok_region
   FROM cq),
 cq3 AS (
-  SELECT *, row_number() OVER (PARTITION BY scan_id, part ORDER BY event_id) - 1 AS kept_idx
+  SELECT *, row_number() OVER (PARTITION BY scan_id, part ORDER BY run_pos, event_id) - 1 AS kept_idx
   FROM cq2 WHERE NOT file_exists OR coalesce(ok_region, false))
 """
 
@@ -153,7 +156,7 @@ SELECT s.repo, s.scan_id, s.ordinal, s.tool, CAST(s.run_item AS INTEGER) AS idx,
        CASE WHEN s.raw_start >= 1 AND s.raw_end2 >= s.raw_start
             THEN {STRIP.format(x="array_to_string(list_slice(s.lines, s.raw_start, s.raw_end2), chr(10))")} ELSE '' END AS snippet,
        s.message, coalesce(s.res_level, '') AS severity, s.event_type AS vulnerability_class, r.snyk_cwe AS cwe,
-       CASE WHEN s.event_type = 'error' THEN r.help || '/run' || CAST(s.event_id // 512 AS VARCHAR) ELSE coalesce(r.help, '') END AS "references"
+       CASE WHEN s.event_type = 'error' THEN r.help || '/run' || CAST(s.part * 2 + s.run_pos AS VARCHAR) ELSE coalesce(r.help, '') END AS "references"
 FROM sarif s JOIN rules r USING (event_type)
 WHERE s.tool = 'snykcode' AND s.event_id % 50 <> 0
 """
