@@ -33,12 +33,17 @@ def sorted_distinct(c) -> F.Column:
     return F.array_sort(F.array_distinct(c))
 
 
-def merge_findings_by_file(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def merge_findings_by_file(findings: DataFrame, keys: list[str] | None = None, snippet: bool = True) -> DataFrame:
+    """A1.  ``snippet=False`` skips the line set (snippet = '') for consumers that
+    only read the other merged fields (e.g. context lookups)."""
     keys = keys or KEYS
-    snip = F.col("snippet")
-    lines = F.when(snip.isNotNull() & (snip != ""), split_lines(snip))
-    x = findings.select(*keys, "ordinal", "start_line", "end_line", "message", "vulnerability_class", "cwe",
-                        "severity", "references", F.posexplode_outer(lines).alias("_pos", "_line"))
+    base = [*keys, "ordinal", "start_line", "end_line", "message", "vulnerability_class", "cwe", "severity", "references"]
+    if snippet:
+        snip = F.col("snippet")
+        lines = F.when(snip.isNotNull() & (snip != ""), split_lines(snip))
+        x = findings.select(*base, F.posexplode_outer(lines).alias("_pos", "_line"))
+    else:
+        x = findings.select(*base, F.lit(None).cast("int").alias("_pos"), F.lit(None).cast("string").alias("_line"))
     first = F.col("_pos").isNull() | (F.col("_pos") == 0)
     one = lambda c: F.when(first, c)  # noqa: E731  per-finding value on the finding's first row only
     sev = F.upper(F.col("severity"))

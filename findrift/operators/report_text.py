@@ -126,7 +126,12 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
 
     Three grains emit all their lines from one projection each (scan, file,
     finding), so the upstream plan is shared instead of re-run per section."""
-    a = attached.withColumn("chosen_cwes", ctxop.choose_cwes(F.col("cwe"), F.col("xml_cwes")))
+    # only what the body reads: the snippet and other wide columns are pruned
+    # before the checkpoint below (Catalyst pushes this down to the source join)
+    need = ["repo", "scan_id", "path", "ordinal", "tool", "start_line", "end_line", "message", "severity",
+            "vulnerability_class", "cwe", "references", "xml_cwes", "xml_bit_severity", "xml_trigger", "xml_steps",
+            "xml_reproduction", "xml_references", "xml_preconditions"]
+    a = attached.select(*need).withColumn("chosen_cwes", ctxop.choose_cwes(F.col("cwe"), F.col("xml_cwes")))
     fn = reports.file_numbers(a).select("repo", "scan_id", "path", "file_no")
     flags = (a.groupBy("repo", "scan_id").agg(
         F.bool_or((F.size("cwe") > 0) | (F.size(F.coalesce("xml_cwes", F.array().cast("array<string>"))) > 0)).alias("has_cwe"),
@@ -238,7 +243,8 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
 def repo_log_lines(findings: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """Repo-log analysis lines per scan (class table, per-file finding
     tables with file-level CWE/Ref columns, strict LLM sections)."""
-    findings = materialize(findings)
+    findings = materialize(findings.select("repo", "scan_id", "path", "ordinal", "tool", "start_line", "end_line",
+                                            "severity", "vulnerability_class", "cwe", "references"))
     fn = reports.file_numbers(findings).select("repo", "scan_id", "path", "file_no")
     cc = reports.class_counts(findings)
     scan_rows = findings.select("repo", "scan_id", "tool").distinct()

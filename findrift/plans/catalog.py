@@ -107,7 +107,9 @@ def _contexts(spark, sf_dir):
 
 
 def _attached(spark, sf_dir):
-    return ctxop.attach_context(fx.findings(spark, sf_dir), _contexts(spark, sf_dir))
+    # the context lookup never reads the merged snippet, so the line set is skipped
+    merged = merge.merge_findings_by_file(fx.findings(spark, sf_dir), snippet=False)
+    return ctxop.attach_context(fx.findings(spark, sf_dir), ctxop.build_contexts(merged))
 
 
 def _chosen(spark, sf_dir):
@@ -541,7 +543,7 @@ def r1_stream_findings(spark, sf_dir):
      .write.partitionBy("repo", "scan_id", "part").text(f"{base}/landing"))
     # the static side of the stream-static join is a stored table, read per batch
     files = materialize(fx.source_files(spark, sf_dir).drop("doc_id"))
-    q = ST.stream_findings(spark, f"{base}/landing", files, f"{base}/out", "semgrep", max_files_per_trigger=32)
+    q = ST.stream_findings(spark, f"{base}/landing", files, f"{base}/out", "semgrep", max_files_per_trigger=128)
     q.awaitTermination()
     return flat(ST.latest_file_findings(spark, f"{base}/out").select(*merge.MERGED_COLUMNS))
 

@@ -48,12 +48,21 @@ def stream_findings(spark: SparkSession, landing: str, source_files: DataFrame,
     adapter = ingest.ADAPTERS[tool]
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():          # a trailing empty micro-batch is normal
+            return
         raw = _raw_from_files(batch, tool)
         found, rejects = adapter(raw, source_files)
-        found.write.mode("overwrite").parquet(f"{out_dir}/findings/batch_id={batch_id}")
+        tagged = found.withColumn("batch_id", F.lit(batch_id))
+        # findings are laid out repo=/batch_id=; a re-run batch replaces exactly
+        # its own partitions (dynamic partition overwrite)
+        (tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("repo", "batch_id").parquet(f"{out_dir}/findings"))
         rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
-        touched = spark.read.parquet(f"{out_dir}/findings/batch_id={batch_id}").select(*KEYS).distinct()
-        every = spark.read.parquet(f"{out_dir}/findings").drop("batch_id")
+        history = spark.read.schema(tagged.schema).parquet(f"{out_dir}/findings")
+        touched = history.where(F.col("batch_id") == batch_id).select(*KEYS).distinct()
+        # history is read only for the touched repos: the semi-join on the repo
+        # partition column lets dynamic partition pruning skip the others
+        every = history.drop("batch_id")
         merged = merge_findings_by_file(every.join(touched, KEYS, "left_semi"))
         merged.write.mode("overwrite").parquet(f"{out_dir}/file_findings/batch_id={batch_id}")
 
