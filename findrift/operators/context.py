@@ -32,10 +32,13 @@ def _opt_list(c: Column) -> Column:
 
 def build_contexts(merged: DataFrame, include_env: bool = True, include_tracking: bool = True,
                    include_mitigations: bool = True, context_before: int = 0, context_after: int = 0,
-                   runtime_node: str = "unknown", runtime_os: str = "posix") -> DataFrame:
+                   runtime_node: str = "unknown", runtime_os: str = "posix",
+                   extras: Column | None = None) -> DataFrame:
     """(repo, scan_id, path, start_line, vuln struct) from ``file_findings``.
 
-    A pure projection: no shuffle, stays in whole-stage codegen."""
+    A pure projection: no shuffle, stays in whole-stage codegen.  ``extras`` is
+    an optional map<string,string> column for additional elements (the open
+    extension slot of the context schema); it is carried as ``vuln.extras``."""
     s, e, p = F.col("start_line"), F.col("end_line"), F.col("path")
     msg = F.coalesce(F.col("message"), F.lit(""))
     sev = severity_pair("severity")
@@ -64,6 +67,7 @@ def build_contexts(merged: DataFrame, include_env: bool = True, include_tracking
         F.lit(include_tracking).alias("tracking"),
         (F.struct(F.lit(context_before).alias("before"), F.lit(context_after).alias("after"))
          if (context_before or context_after) else F.lit(None).cast("struct<before:int,after:int>")).alias("context"),
+        (extras if extras is not None else F.lit(None).cast("map<string,string>")).alias("extras"),
     )
     return merged.select("repo", "scan_id", "path", "start_line", vuln.alias("vuln"))
 
@@ -87,6 +91,7 @@ def build_contexts_minimal(merged: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("mitigation"),
         F.lit(False).alias("tracking"),
         F.lit(None).cast("struct<before:int,after:int>").alias("context"),
+        F.lit(None).cast("map<string,string>").alias("extras"),
     )
     return merged.select("repo", "scan_id", "path", "start_line", vuln.alias("vuln"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from findrift.functions import branding as B
 from findrift.functions.columns import (SEVERITY_LABELS, cwe_short, line_label, md_cell, pystrip,
-                                        repo_hash, step_text, trigger_text)
+                                        repo_hash, row_parts, severity_label, step_text, trigger_text)
 from findrift.operators import context as ctxop
 from findrift.session import materialize
 from findrift.operators import reports
@@ -93,7 +93,8 @@ def assemble(lines: DataFrame, sep: str = "\n") -> DataFrame:
 
 
 def _md_row(cells: list[Column]) -> Column:
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    """Bar-separated row; null cells are optional columns left out."""
+    return row_parts(cells)
 
 
 # --------------------------------------------------------------------------- T9b
@@ -149,11 +150,10 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
     trig = trigger_text(F.col("xml_trigger"), F.col("message"))
     step = F.coalesce(F.get(F.col("xml_steps"), 0), step_text("path", "start_line", "end_line"))
     bit_row = _md_row([F.col("start_line").cast("string"), bit_level, md_cell(trig, 120), md_cell(step, 120)])
-    sev_txt = F.coalesce(F.nullif(F.upper("severity"), F.lit("")), F.lit("N/A"))
     ref0 = F.coalesce(F.get(F.col("references"), 0), F.lit(""))
     sast_row = _md_row([
         line_label("start_line", "end_line"), F.coalesce(F.get(F.col("vulnerability_class"), 0), F.lit("N/A")),
-        emoji(sev_txt),
+        severity_label("severity"),
         F.when(F.col("has_bit"), F.when(has_xml_sev, emoji(F.col("xml_bit_severity"))).otherwise(F.lit(""))),
         F.when(F.col("has_cwe"), F.coalesce(F.nullif(F.array_join("chosen_cwes", ", "), F.lit("")), F.lit("N/A"))),
         F.when(F.col("has_ref"), F.when(ref0 != "", F.concat(F.lit(REF_LINK + "("), ref0, F.lit(")"))).otherwise(F.lit("")))])
@@ -271,10 +271,9 @@ def repo_log_lines(findings: DataFrame, sections: DataFrame | None = None) -> Da
     parts.append(_lines(files, 1, fno, 0, [
         (0, F.concat(F.lit("\n### "), fno.cast("string"), F.lit(". `"), F.col("path"), F.lit("`"))),
         (1, LOG_SAST), (2, _md_row(hdr)), (3, F.concat(F.lit("|"), F.concat_ws("|", *sep), F.lit("|")))]))
-    lvl = F.coalesce(F.nullif(F.upper("severity"), F.lit("")), F.lit("N/A"))
     ref0 = F.coalesce(F.get(F.col("references"), 0), F.lit(""))
     cells = [line_label("start_line", "end_line"), F.coalesce(F.get(F.col("vulnerability_class"), 0), F.lit("N/A")),
-             emoji(lvl),
+             severity_label("severity"),
              F.when(F.col("f_cwe"), F.coalesce(cwe_short(F.get(F.col("cwe"), 0)), F.lit("N/A"))),
              F.when(F.col("f_ref"), F.when(ref0 != "", F.concat(F.lit(REF_LINK + "("), ref0, F.lit(")"))).otherwise(F.lit("")))]
     parts.append(_row_lines(items, 1, 1, F.col("ordinal"), _md_row(cells), fno))

@@ -50,10 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster this must already be set (HDFS/S3/ABFS path).  Only when it
     is unset -- local tests -- a fresh scratch folder is created and recorded.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="findrift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001  some deployments reject core keys at runtime
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
