@@ -18,7 +18,6 @@ SEVERITY_RANK = {"INFO": 0, "WARNING": 1, "ERROR": 2}
 SEVERITY_LABELS = {"ERROR": "\U0001f6d1 ERROR", "WARNING": "⚠️ WARNING", "NOTE": "\U0001f4a1 NOTE"}
 
 # Characters Python's str.splitlines() treats as line boundaries (besides \n).
-_LINE_BREAKS = "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 _SPLIT_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 

@@ -20,6 +20,7 @@ MITIGATION = "Apply minimal changes: sanitize inputs, use parameterized APIs, an
 TOOL_NAME = B.NAME
 XML_NS = B.XML_NS
 
+
 def _empty() -> Column:
     return F.array().cast("array<string>")
 

@@ -152,7 +152,7 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
     bit_row = _md_row([F.col("start_line").cast("string"), bit_level, md_cell(trig, 120), md_cell(step, 120)])
     ref0 = F.coalesce(F.get(F.col("references"), 0), F.lit(""))
     sast_row = _md_row([
-        line_label("start_line", "end_line"), F.coalesce(F.get(F.col("vulnerability_class"), 0), F.lit("N/A")),
+        line_label("start_line", "end_line"), reports.first_or("vulnerability_class"),
         severity_label("severity"),
         F.when(F.col("has_bit"), F.when(has_xml_sev, emoji(F.col("xml_bit_severity"))).otherwise(F.lit(""))),
         F.when(F.col("has_cwe"), F.coalesce(F.nullif(F.array_join("chosen_cwes", ", "), F.lit("")), F.lit("N/A"))),
@@ -272,7 +272,7 @@ def repo_log_lines(findings: DataFrame, sections: DataFrame | None = None) -> Da
         (0, F.concat(F.lit("\n### "), fno.cast("string"), F.lit(". `"), F.col("path"), F.lit("`"))),
         (1, LOG_SAST), (2, _md_row(hdr)), (3, F.concat(F.lit("|"), F.concat_ws("|", *sep), F.lit("|")))]))
     ref0 = F.coalesce(F.get(F.col("references"), 0), F.lit(""))
-    cells = [line_label("start_line", "end_line"), F.coalesce(F.get(F.col("vulnerability_class"), 0), F.lit("N/A")),
+    cells = [line_label("start_line", "end_line"), reports.first_or("vulnerability_class"),
              severity_label("severity"),
              F.when(F.col("f_cwe"), F.coalesce(cwe_short(F.get(F.col("cwe"), 0)), F.lit("N/A"))),
              F.when(F.col("f_ref"), F.when(ref0 != "", F.concat(F.lit(REF_LINK + "("), ref0, F.lit(")"))).otherwise(F.lit("")))]

@@ -3,7 +3,6 @@
 import json
 import random
 
-from pyspark.sql import functions as F
 
 from findrift.operators import publish as PB
 from findrift.operators import syntax as SX
