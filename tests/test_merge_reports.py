@@ -81,3 +81,39 @@ def test_top_cwes_stable_ties(spark):
     assert top == ["CWE-9", "CWE-1"]
     roll = reports.file_severity_rollup(df.withColumn("severity", F.lit("error"))).first()
     assert roll["levels"] == "E:5" and roll["top_cwes"] == "CWE-9, CWE-1"
+
+
+def _py_merge(rows):
+    """Brute-force per-file merge over Python lists (the semantics of A1)."""
+    rank = {"INFO": 0, "WARNING": 1, "ERROR": 2}
+    groups = {}
+    for r in sorted(rows, key=lambda r: r[0]):
+        groups.setdefault(r[1], []).append(r)
+    out = {}
+    for path, g in groups.items():
+        lines = set()
+        for r in g:
+            if r[4]:
+                lines.update(r[4].splitlines())
+        sevs = [str(r[8]).upper() for r in g if r[8]]
+        best = max(sevs, key=lambda x: rank.get(x, -1), default="")
+        out[path] = (min(r[2] for r in g), max(r[3] for r in g), "\n".join(sorted(lines)),
+                     " | ".join(sorted({r[5] for r in g if r[5]})), best)
+    return out
+
+
+def test_merge_hot_file_matches_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    sev = ["INFO", "warning", "ERROR", "NOTE", "", "foo", "Info"]
+    rows = []
+    for i in range(3000):
+        path = "hot.py" if rnd.random() < 0.7 else f"f{rnd.randint(0, 40)}.py"   # one file holds most rows
+        s = rnd.randint(1, 50)
+        snip = "\n".join(f"line{(s + k) % 23}" for k in range(rnd.randint(0, 3)))
+        rows.append((i, path, s, s + rnd.randint(0, 4), snip, rnd.choice(["", "a", "b", "c d"]), [], [],
+                     rnd.choice(sev), []))
+    exp = _py_merge(rows)
+    got = {r["path"]: (r["start_line"], r["end_line"], r["snippet"], r["message"], r["severity"])
+           for r in merge.merge_findings_by_file(_f(spark, rows).repartition(8)).collect()}
+    assert got == exp
