@@ -77,26 +77,35 @@ def semgrep_findings(raw: DataFrame, source_files: DataFrame, base_dir: str | No
 
 
 # --------------------------------------------------------------------------- SARIF rule maps
+def _rule_fields(rule: Column, tool: str) -> list[Column]:
+    """cwe / references / level of a rule struct (null rule -> empty lists, null level)."""
+    return [
+        F.when(rule.isNotNull(), cwe_from_tags(rule["tags"], tool)).otherwise(F.array().cast("array<string>")).alias("cwe"),
+        F.when(rule.isNotNull(), references_from_help(rule["help_uri"])).otherwise(F.array().cast("array<string>")).alias("references"),
+        F.when(rule.isNotNull(), F.coalesce(F.nullif(rule["default_level"], F.lit("")), rule["problem_severity"],
+                                            F.lit("UNKNOWN"))).alias("level"),
+    ]
+
+
 def _rule_meta(rules: DataFrame, tool: str, keys: list[str], order: list[str]) -> DataFrame:
     """Deduplicate rules on ``keys``, last one (by ``order``) wins, and derive cwe/references/level."""
+    rule = F.struct("tags", "help_uri", "default_level", "problem_severity")
     meta = rules.where(F.col("rule_id").isNotNull() & (F.col("rule_id") != "")).select(
-        *keys, *[c for c in order if c not in keys],
-        cwe_from_tags(F.col("tags"), tool).alias("cwe"),
-        references_from_help("help_uri").alias("references"),
-        F.coalesce(F.nullif(F.col("default_level"), F.lit("")), F.col("problem_severity"), F.lit("UNKNOWN")).alias("level"),
-    )
+        *keys, *[c for c in order if c not in keys], *_rule_fields(rule, tool))
     last = F.max_by(F.struct("cwe", "references", "level"), F.struct(*order)).alias("m")
     return meta.groupBy(*keys).agg(last).select(*keys, "m.cwe", "m.references", "m.level")
 
 
 def codeql_rule_map(raw: DataFrame) -> DataFrame:
-    """J2 (CodeQL): one rule entry per (scan_id, rule_id) over all runs, later runs win."""
+    """J2 (CodeQL) as a table: one entry per (scan_id, part, rule_id) -- all runs
+    of one file, later runs win.  The adapter itself applies the same rule
+    inside each document row (``sources.scans.sarif_results``)."""
     rules = S.sarif_rules(S.parse_docs(raw))
-    return _rule_meta(rules, "codeql", ["scan_id", "rule_id"], ["part", "run_pos", "rule_pos"])
+    return _rule_meta(rules, "codeql", ["scan_id", "part", "rule_id"], ["run_pos", "rule_pos"])
 
 
 def snyk_rule_map(raw: DataFrame) -> DataFrame:
-    """J2 (Snyk): rule entries are scoped to their run."""
+    """J2 (Snyk) as a table: rule entries are scoped to their run."""
     rules = S.sarif_rules(S.parse_docs(raw))
     return _rule_meta(rules, "snykcode", ["scan_id", "part", "run_pos", "rule_id"], ["rule_pos"])
 
@@ -106,17 +115,14 @@ def codeql_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame,
     """SARIF, CodeQL policy: missing source keeps the row with an empty snippet;
     existing file with start outside 1..n or an all-blank region drops it;
     e <= s slices the start line only, e > n clips; snippet stripped;
-    idx counts kept rows of the file in (run, position) order."""
-    docs = S.parse_docs(raw)
-    res = S.sarif_results(docs)
-    meta = codeql_rule_map(raw)
-    # The rule map is one row per (scan, rule id): tiny next to results, but it
-    # grows with the number of scans, so the join strategy is left to AQE's
-    # runtime size check rather than a fixed broadcast hint.
-    j = res.join(meta, ["scan_id", "rule_id"], "left")
+    idx counts kept rows of the file in (run, position) order; rule metadata
+    from all runs of the file, later runs winning."""
+    j = S.sarif_results(S.parse_docs(raw), rule_scope="file")
+    cwe, refs, rule_level = _rule_fields(F.col("rule"), "codeql")
     res_level = F.coalesce(F.nullif(F.col("level_str"), F.lit("")),
                            F.when(F.size("level_arr") > 0, F.get("level_arr", 0)))
-    level = F.coalesce(res_level, F.col("level"), F.lit("UNKNOWN"))
+    # Python: result level `or` rule level (UNKNOWN when the rule is unknown)
+    level = F.coalesce(res_level, F.when(F.col("rule").isNotNull(), rule_level), F.lit("UNKNOWN"))
     start = F.coalesce(F.col("start_line"), F.lit(0))
     end = F.coalesce(F.nullif(F.col("end_line"), F.lit(0)), start)
     base = j.select(
@@ -124,10 +130,9 @@ def codeql_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame,
         F.coalesce(F.col("uri"), F.lit("Unknown")).alias("path"),
         start.alias("start_line"), end.alias("end_line"),
         F.coalesce(F.col("message"), F.lit("")).alias("message"),
-        F.upper(level).alias("severity"),
+        F.upper(F.coalesce(level, F.lit(""))).alias("severity"),
         class_from_rule("rule_id").alias("vulnerability_class"),
-        F.coalesce(F.col("cwe"), F.array().cast("array<string>")).alias("cwe"),
-        F.coalesce(F.col("references"), F.array().cast("array<string>")).alias("references"),
+        cwe, refs,
     )
     fj = base.join(_files(source_files), ["repo", "path"], "left")
     s, e, n = F.col("start_line"), F.col("end_line"), F.col("n_lines")
@@ -159,11 +164,10 @@ def snyk_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, D
     """SARIF, Snyk policy: missing source drops the row; slice lines[s-1:e]
     (s < 1 gives an empty snippet here, a documented divergence from Python's
     negative index); snippet stripped; severity = upper(result.level), no
-    fallback; idx = position in the run's results, skipped rows counted."""
-    docs = S.parse_docs(raw)
-    res = S.sarif_results(docs)
-    meta = snyk_rule_map(raw)
-    j = res.join(meta, ["scan_id", "part", "run_pos", "rule_id"], "left")
+    fallback; idx = position in the run's results, skipped rows counted;
+    rule metadata from the result's own run."""
+    j = S.sarif_results(S.parse_docs(raw), rule_scope="run")
+    cwe, refs, _ = _rule_fields(F.col("rule"), "snykcode")
     start = F.coalesce(F.col("start_line"), F.lit(0))
     end = F.coalesce(F.col("end_line"), start)
     base = j.select(
@@ -173,8 +177,7 @@ def snyk_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, D
         F.coalesce(F.col("message"), F.lit("")).alias("message"),
         F.upper(F.coalesce(F.col("level_str"), F.lit(""))).alias("severity"),
         class_from_rule("rule_id").alias("vulnerability_class"),
-        F.coalesce(F.col("cwe"), F.array().cast("array<string>")).alias("cwe"),
-        F.coalesce(F.col("references"), F.array().cast("array<string>")).alias("references"),
+        cwe, refs,
     )
     fj = base.join(_files(source_files), ["repo", "path"], "left")
     s, e, n = F.col("start_line"), F.col("end_line"), F.col("n_lines")

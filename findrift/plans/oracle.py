@@ -98,7 +98,7 @@ sv AS (
          row_number() OVER (PARTITION BY scan_id, part ORDER BY event_id) - 1 AS file_pos,
          row_number() OVER (PARTITION BY scan_id, part, run_pos ORDER BY event_id) - 1 AS run_item,
          dense_rank() OVER (PARTITION BY scan_id, part ORDER BY run_pos) - 1 AS run_idx,
-         max(part * 2 + run_pos) OVER (PARTITION BY scan_id) AS last_run
+         max(part * 2 + run_pos) OVER (PARTITION BY scan_id, part) AS last_run
   FROM sc),
 sarif AS (
   SELECT *, CASE WHEN event_id % 9 = 0 THEN raw_start ELSE end_line END AS raw_end2,
@@ -173,10 +173,10 @@ FROM u GROUP BY repo, path, vulnerability_class
 """
 
 J2 = with_(BASE, SCAN) + """
-SELECT s.scan_id, 'py/' || r.event_type AS rule_id, r.codeql_cwe AS cwe,
+SELECT s.scan_id, s.part, 'py/' || r.event_type AS rule_id, r.codeql_cwe AS cwe,
        CASE WHEN r.event_type = 'error' THEN r.help || '/run' || CAST(s.last_run AS VARCHAR) ELSE coalesce(r.help, '') END AS "references",
        r.lvl AS level
-FROM (SELECT DISTINCT scan_id, last_run FROM sv WHERE tool = 'codeql') s, rules r
+FROM (SELECT DISTINCT scan_id, part, last_run FROM sv WHERE tool = 'codeql') s, rules r
 """
 
 REJECTS = with_(BASE, SCAN, CODEQL_CTE) + """

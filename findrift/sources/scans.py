@@ -70,22 +70,62 @@ def sarif_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def sarif_results(docs: DataFrame) -> DataFrame:
-    """S3 results: one row per ``runs[].results[]``, first location only."""
-    runs = sarif_runs(docs)
-    ex = runs.select("scan_id", "repo", "tool", "part", "run_pos",
-                     F.posexplode(vget("run", "$.results", "array<variant>")).alias("pos", "r"))
+def _rule(x: Column) -> Column:
+    """Rule fields read from one ``runs[].tool.driver.rules[]`` entry."""
+    return F.struct(
+        vget(x, "$.id").alias("id"),
+        vget(x, "$.properties.tags", "array<string>").alias("tags"),
+        vget(x, "$.helpUri").alias("help_uri"),
+        vget(x, "$.defaultConfiguration.level").alias("default_level"),
+        F.when(vget(x, "$.properties", "variant").isNotNull(),
+               vget(x, "$.properties['problem.severity']")).alias("problem_severity"))
+
+
+def _rules_of(run: Column) -> Column:
+    return F.transform(F.coalesce(vget(run, "$.tool.driver.rules", "array<variant>"), F.array().cast("array<variant>")),
+                       _rule)
+
+
+def _last_wins_map(rules: Column) -> Column:
+    """id -> rule, a later entry with the same id replacing an earlier one; no id -> left out."""
+    kept = F.filter(rules, lambda x, i: x["id"].isNotNull() & (x["id"] != "")
+                    & ~F.exists(F.slice(rules, i + 2, F.size(rules) + 1), lambda y: y["id"] == x["id"]))
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["id"], x)))
+
+
+def sarif_results(docs: DataFrame, rule_scope: str = "file") -> DataFrame:
+    """S3 results, one row per ``runs[].results[]`` (first location only), each
+    with the rule it names attached.
+
+    The rule lookup is built inside the document row -- ``file``: one map over
+    all runs of the file, later runs win; ``run``: one map per run -- and applied
+    before the results are exploded, so there is no second parse, no
+    aggregation and no join for rule metadata."""
+    runs = vget("doc", "$.runs", "array<variant>")
+    d = docs.select("scan_id", "repo", "tool", "part", runs.alias("runs"))
+    if rule_scope == "file":
+        d = d.withColumn("_m", _last_wins_map(F.flatten(F.transform("runs", _rules_of))))
+        ex = d.select("scan_id", "repo", "tool", "part", "_m", F.posexplode("runs").alias("run_pos", "run"))
+        lookup = F.col("_m")
+    else:
+        ex = d.select("scan_id", "repo", "tool", "part", F.posexplode("runs").alias("run_pos", "run"))
+        lookup = _last_wins_map(_rules_of(F.col("run")))
+    with_rule = F.transform(vget("run", "$.results", "array<variant>"),
+                            lambda x: F.struct(x.alias("r"), F.try_element_at(lookup, vget(x, "$.ruleId")).alias("rule")))
+    res = ex.select("scan_id", "repo", "tool", "part", "run_pos", F.posexplode(with_rule).alias("pos", "x"))
     loc = "$.locations[0].physicalLocation"
-    return ex.select(
+    r = F.col("x.r")
+    return res.select(
         "scan_id", "repo", "tool", "part", "run_pos", "pos",
-        vget("r", "$.ruleId").alias("rule_id"),
+        vget(r, "$.ruleId").alias("rule_id"),
         # a list-valued level must not be read as its JSON text
-        F.when(vget("r", "$.level", "array<string>").isNull(), vget("r", "$.level")).alias("level_str"),
-        vget("r", "$.level", "array<string>").alias("level_arr"),
-        vget("r", "$.message.text").alias("message"),
-        vget("r", f"{loc}.artifactLocation.uri").alias("uri"),
-        vget("r", f"{loc}.region.startLine", "int").alias("start_line"),
-        vget("r", f"{loc}.region.endLine", "int").alias("end_line"),
+        F.when(vget(r, "$.level", "array<string>").isNull(), vget(r, "$.level")).alias("level_str"),
+        vget(r, "$.level", "array<string>").alias("level_arr"),
+        vget(r, "$.message.text").alias("message"),
+        vget(r, f"{loc}.artifactLocation.uri").alias("uri"),
+        vget(r, f"{loc}.region.startLine", "int").alias("start_line"),
+        vget(r, f"{loc}.region.endLine", "int").alias("end_line"),
+        F.col("x.rule").alias("rule"),
     )
 
 
