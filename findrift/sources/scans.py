@@ -108,8 +108,10 @@ def sarif_results(docs: DataFrame, rule_scope: str = "file") -> DataFrame:
         ex = d.select("scan_id", "repo", "tool", "part", "_m", F.posexplode("runs").alias("run_pos", "run"))
         lookup = F.col("_m")
     else:
-        ex = d.select("scan_id", "repo", "tool", "part", F.posexplode("runs").alias("run_pos", "run"))
-        lookup = _last_wins_map(_rules_of(F.col("run")))
+        ex = (d.select("scan_id", "repo", "tool", "part", F.posexplode("runs").alias("run_pos", "run"))
+              .select("scan_id", "repo", "tool", "part", "run_pos", "run",
+                      _last_wins_map(_rules_of(F.col("run"))).alias("_m")))
+        lookup = F.col("_m")
     with_rule = F.transform(vget("run", "$.results", "array<variant>"),
                             lambda x: F.struct(x.alias("r"), F.try_element_at(lookup, vget(x, "$.ruleId")).alias("rule")))
     res = ex.select("scan_id", "repo", "tool", "part", "run_pos", F.posexplode(with_rule).alias("pos", "x"))
