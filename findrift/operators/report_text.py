@@ -132,15 +132,14 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
     need = ["repo", "scan_id", "path", "ordinal", "tool", "start_line", "end_line", "message", "severity",
             "vulnerability_class", "cwe", "references", "xml_cwes", "xml_bit_severity", "xml_trigger", "xml_steps",
             "xml_reproduction", "xml_references", "xml_preconditions"]
-    a = attached.select(*need).withColumn("chosen_cwes", ctxop.choose_cwes(F.col("cwe"), F.col("xml_cwes")))
+    # stored once: file numbers, scan flags, rows and rollups all read this copy
+    a = materialize(attached.select(*need).withColumn("chosen_cwes", ctxop.choose_cwes(F.col("cwe"), F.col("xml_cwes"))))
     fn = reports.file_numbers(a).select("repo", "scan_id", "path", "file_no")
     flags = (a.groupBy("repo", "scan_id").agg(
         F.bool_or((F.size("cwe") > 0) | (F.size(F.coalesce("xml_cwes", F.array().cast("array<string>"))) > 0)).alias("has_cwe"),
         F.bool_or(F.size("references") > 0).alias("has_ref"),
         F.bool_or(F.coalesce(F.col("xml_bit_severity"), F.lit("")) != "").alias("has_bit")))
-    # read by all three grains and two aggregations: materialised once
-    items = materialize(a.join(fn, ["repo", "scan_id", "path"]).join(flags, ["repo", "scan_id"]))
-    a = items.drop("file_no", "has_cwe", "has_ref", "has_bit")
+    items = a.join(fn, ["repo", "scan_id", "path"]).join(flags, ["repo", "scan_id"])
     fno = F.col("file_no")
 
     # ---- finding grain: BIT row, SAST row, highlight row

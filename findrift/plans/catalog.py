@@ -482,7 +482,8 @@ from findrift.operators import report_text as RT  # noqa: E402
 
 
 def _file_sections(spark, sf_dir, relaxed: bool):
-    resp = fx.file_responses(spark, sf_dir, _merged(spark, sf_dir))
+    # the response recipe reads message / counts / lines of a file, never its snippet
+    resp = fx.file_responses(spark, sf_dir, merge.merge_findings_by_file(fx.findings(spark, sf_dir), snippet=False))
     return P.sections_relaxed(resp).drop("tier") if relaxed else P.sections_strict(resp)
 
 
