@@ -26,6 +26,7 @@ from findrift.plans import catalog  # noqa: E402
 
 HEADLINE = [
     "a1_merge_findings_by_file",
+    "a1_hot_file_merge",
     "o4_union_tools",
     "a3_file_severity_rollup",
     "t8_build_contexts",

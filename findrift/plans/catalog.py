@@ -42,6 +42,12 @@ def a1_merge_findings_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(merge.merge_findings_by_file(fx.findings(spark, sf_dir)))
 
 
+@register("a1_hot_file_merge")
+def a1_hot_file_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 with one file holding a third of all findings (skew case)."""
+    return flat(merge.merge_findings_by_file(fx.findings(spark, sf_dir, hot=True)))
+
+
 # --------------------------------------------------------------------------- M1 ingest
 from findrift.operators import ingest  # noqa: E402
 

@@ -74,17 +74,20 @@ def _severity_of(event_type):
     return out
 
 
-def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scan_events(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
     """One scanner result per event, with the file it points to (before any parsing).
 
     doc_id = event_id mod count(documents) uses a scalar subquery, not a join.
+    ``hot``: every third event points at document 0, so one (repo, scan, path)
+    key holds a third of all rows (the skew case).
     """
     # count from the raw scan (answered from parquet metadata; no spreading)
     n_docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select(F.count(F.lit(1))).scalar()
     ev = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "ts",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        (F.col("event_id") % n_docs).alias("doc_id"))
+        (F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % n_docs) if hot
+         else F.col("event_id") % n_docs).cast("bigint").alias("doc_id"))
     sf = source_files(spark, sf_dir).select("doc_id", "repo", "path", "n_lines", "lines")
     j = ev.join(sf, "doc_id")
     tool = F.element_at(F.array(*[F.lit(t) for t in TOOLS]), (F.col("event_id") % 3 + 1).cast("int"))
@@ -99,9 +102,9 @@ def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("scan_id", F.concat_ws("-", "repo", "tool"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
     """The normalised ``findings`` table of the M0 recipe (Semgrep slicing, all events)."""
-    e = scan_events(spark, sf_dir)
+    e = scan_events(spark, sf_dir, hot)
     return e.select(
         "repo", "scan_id", F.col("event_id").alias("ordinal"), "tool",
         F.lit(None).cast("int").alias("idx"), "path", "start_line", "end_line",

@@ -1010,3 +1010,10 @@ SELECT repo, scan_id, path, 'diff', NULL FROM pc WHERE doc_id % 3 = 0
 """
 ORACLES.update({"s1_read_source_files": S1, "s4_findings_roundtrip": S4, "s7_read_logs": L1, "k4_append_log": L1,
                 "a5_distinct_paths": A5})
+
+
+BASE_HOT = BASE.replace("ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)",
+                        "ON d.doc_id = CASE WHEN e.event_id % 3 = 0 THEN 0 ELSE e.event_id % (SELECT count(*) FROM documents) END")
+assert BASE_HOT != BASE
+ORACLES["a1_hot_file_merge"] = A1.replace(BASE.strip().rstrip(","), BASE_HOT.strip().rstrip(","))
+assert ORACLES["a1_hot_file_merge"] != A1
