@@ -103,16 +103,18 @@ def unified_diff(pairs: DataFrame) -> DataFrame:
 def diff_stats(pairs: DataFrame) -> DataFrame:
     """added/removed line counts per file as a multiset difference of the
     right-stripped lines (one signed count per distinct line, then per file)."""
-    keys = ["repo", "scan_id", "path"]
-    old = pairs.select(*keys, F.explode(rstrip_lines(F.col("original"))).alias("line"), F.lit(-1).alias("sign"))
-    new = pairs.select(*keys, F.explode(rstrip_lines(F.col("code"))).alias("line"), F.lit(1).alias("sign"))
-    per_line = old.unionByName(new).groupBy(*keys, "line").agg(F.sum("sign").alias("d"))
+    keys = ["repo", "path", "scan_id"]
+    # one explode of both sides per pair row; both aggregations group on keys
+    # that contain (repo, path), the key the pairs are already partitioned on
+    # by the pairing join, so the lines are not shuffled again
+    both = F.concat(F.transform(rstrip_lines(F.col("original")), lambda x: F.struct(x.alias("line"), F.lit(-1).alias("sign"))),
+                    F.transform(rstrip_lines(F.col("code")), lambda x: F.struct(x.alias("line"), F.lit(1).alias("sign"))))
+    # inline_outer keeps files without any line (one null row) so no join back is needed
+    per_line = (pairs.select(*keys, F.inline_outer(both)).groupBy(*keys, "line").agg(F.sum("sign").alias("d")))
     per_file = per_line.groupBy(*keys).agg(
-        F.sum(F.greatest(F.col("d"), F.lit(0))).alias("n_added"),
-        F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("n_removed"))
-    return (pairs.select(*keys).join(per_file, keys, "left")
-            .select(*keys, F.coalesce("n_added", F.lit(0)).cast("bigint").alias("n_added"),
-                    F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed")))
+        F.coalesce(F.sum(F.greatest(F.col("d"), F.lit(0))), F.lit(0)).cast("bigint").alias("n_added"),
+        F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).cast("bigint").alias("n_removed"))
+    return per_file.select("repo", "scan_id", "path", "n_added", "n_removed")
 
 
 # --------------------------------------------------------------------------- T7
