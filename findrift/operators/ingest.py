@@ -41,18 +41,70 @@ def _files(source_files: DataFrame) -> DataFrame:
                                F.when(F.col("content").rlike(_ODD_BREAKS), F.col("content")).alias("odd_content"))
 
 
+# --------------------------------------------------------------------------- shared finishing step
+BASE_COLUMNS = ("repo", "scan_id", "tool", "part", "run_pos", "pos", "path", "start_line", "end_line", "message",
+                "severity", "vulnerability_class", "cwe", "references")
+
+
+def _finish(base: DataFrame, source_files: DataFrame, tools: set[str]) -> tuple[DataFrame, DataFrame]:
+    """Join results of any mix of tools to their source files once and apply each
+    tool's policy as conditional expressions (one join for all tools):
+
+    semgrep   missing file -> reject; 0 < s <= e <= n else ''; idx = position
+    codeql    missing file kept ('' snippet); start outside 1..n or blank region
+              dropped; e <= s -> start line only; stripped; idx counts kept rows
+              of the file in (run, position) order
+    snykcode  missing file dropped; s < 1 or e < s -> ''; stripped; idx = position in run
+    """
+    fj = base.join(_files(source_files), ["repo", "path"], "left")
+    tool = F.col("tool")
+    s, e, n = F.col("start_line"), F.col("end_line"), F.col("n_lines")
+    exists = n.isNotNull()
+    is_cq, is_sn = tool == "codeql", tool == "snykcode"
+    # readlines() keeps only '\n' as a break; re-split the few files that contain
+    # other splitlines() separators, reuse the prepared array for all others.
+    nl_lines = F.when(F.col("odd_content").isNotNull(),
+                      F.split(F.regexp_replace(F.regexp_replace("odd_content", "\r\n?", "\n"), r"\n\z", ""), "\n", -1)
+                      ).otherwise(F.col("lines"))
+    region = F.when(e > s, F.slice(nl_lines, s, e - s + 1)).otherwise(F.slice(nl_lines, s, 1))
+    cq_ok = (s >= 1) & (s <= n) & F.exists(region, lambda x: pystrip(x) != "")
+    keep = F.when(is_cq, ~exists | cq_ok).otherwise(exists)
+    snippet = (F.when(is_cq, F.when(exists, pystrip(F.array_join(region, "\n"))).otherwise(F.lit("")))
+               .when(is_sn, F.when((s >= 1) & (e >= s), pystrip(F.array_join(F.slice("lines", s, e - s + 1), "\n")))
+                     .otherwise(F.lit("")))
+               .otherwise(F.when((s > 0) & (s <= e) & (e <= n), F.array_join(F.slice("lines", s, e - s + 1), "\n"))
+                          .otherwise(F.lit(""))))
+    kept = fj.where(keep)
+    if "codeql" in tools:
+        # only CodeQL numbers kept rows; the window is planned only when CodeQL rows exist
+        w = Window.partitionBy("scan_id", "part", "tool").orderBy("run_pos", "pos")
+        idx = F.when(is_cq, F.row_number().over(w) - 1).otherwise(F.col("pos"))
+    else:
+        idx = F.col("pos")
+    out = kept.select(
+        *[c for c in BASE_COLUMNS if c not in ("run_pos", "pos")],
+        S.ordinal("part", "run_pos", "pos").alias("ordinal"),
+        snippet.alias("snippet"), idx.cast("int").alias("idx"),
+    ).select(*FINDING_COLUMNS)
+    missing = ~exists & ~is_cq
+    rej = fj.where(missing | (is_cq & exists & ~cq_ok)).select(
+        "repo", "scan_id", F.lit("ingest").alias("stage"),
+        F.when(missing, F.col("path")).otherwise(F.format_string("%s:%d", F.col("path"), s)).alias("key"),
+        F.when(missing & is_sn, F.lit("SOURCE_MISSING")).when(missing, F.lit("FILE_NOT_FOUND"))
+         .otherwise(F.lit("INVALID_REGION")).alias("code"),
+        F.when(missing & is_sn, F.lit("source file missing; dropped"))
+         .when(missing, F.concat(F.lit("File not found: "), F.col("path")))
+         .otherwise(F.lit("start line outside file or blank region; dropped")).alias("message"))
+    return out, rej
+
+
 # --------------------------------------------------------------------------- Semgrep
-def semgrep_findings(raw: DataFrame, source_files: DataFrame, base_dir: str | None = None,
-                     strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Native JSON.  Missing source file: the reference aborts the run; here the
-    row goes to ``rejects`` (``strict=True`` raises instead).  Region guard
-    0 < s <= e <= n else empty snippet (row kept).  idx = position in the file's results."""
+def semgrep_base(raw: DataFrame, base_dir: str | None = None) -> DataFrame:
+    """Native JSON results before the source join (``{"results": [...]}`` or a bare list)."""
     ex = S.native_results(S.parse_docs(raw))
     has_start = S.vget("r", "$.start.line", "variant").isNotNull()
-    res = ex.select(
-        "repo", "scan_id", "tool", "part",
-        S.ordinal("part", 0, "pos").alias("ordinal"),
-        F.col("pos").cast("int").alias("idx"),
+    return ex.select(
+        "repo", "scan_id", "tool", "part", F.lit(0).cast("int").alias("run_pos"), "pos",
         normalize_path(F.coalesce(S.vget("r", "$.path"), F.lit("")), base_dir).alias("path"),
         F.when(has_start, S.vget("r", "$.start.line", "int"))
          .otherwise(F.coalesce(S.vget("r", "$.start_line", "int"), F.lit(0))).alias("start_line"),
@@ -64,13 +116,14 @@ def semgrep_findings(raw: DataFrame, source_files: DataFrame, base_dir: str | No
         ensure_list("r", "$.extra.metadata.cwe").alias("cwe"),
         ensure_list("r", "$.extra.metadata.references").alias("references"),
     )
-    j = res.join(_files(source_files), ["repo", "path"], "left")
-    s, e, n = F.col("start_line"), F.col("end_line"), F.col("n_lines")
-    snippet = F.when((s > 0) & (s <= e) & (e <= n),
-                     F.array_join(F.slice("lines", s, e - s + 1), "\n")).otherwise(F.lit(""))
-    out = j.where(n.isNotNull()).select(*[snippet.alias(c) if c == "snippet" else c for c in FINDING_COLUMNS])
-    rej = _rejects(j.where(n.isNull()), "ingest", F.col("path"), "FILE_NOT_FOUND",
-                   F.concat(F.lit("File not found: "), F.col("path")))
+
+
+def semgrep_findings(raw: DataFrame, source_files: DataFrame, base_dir: str | None = None,
+                     strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Native JSON.  Missing source file: the reference aborts the run; here the
+    row goes to ``rejects`` (``strict=True`` raises instead).  Region guard
+    0 < s <= e <= n else empty snippet (row kept).  idx = position in the file's results."""
+    out, rej = _finish(semgrep_base(raw, base_dir), source_files, {"semgrep"})
     if strict and rej.limit(1).count():
         raise FileNotFoundError("semgrep findings point at missing source files")
     return out, rej
@@ -111,85 +164,50 @@ def snyk_rule_map(raw: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- CodeQL (S3)
-def codeql_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SARIF, CodeQL policy: missing source keeps the row with an empty snippet;
-    existing file with start outside 1..n or an all-blank region drops it;
-    e <= s slices the start line only, e > n clips; snippet stripped;
-    idx counts kept rows of the file in (run, position) order; rule metadata
-    from all runs of the file, later runs winning."""
+def codeql_base(raw: DataFrame) -> DataFrame:
+    """SARIF results with CodeQL rule metadata (all runs of the file, later runs
+    win) and severity (result level, a list's first entry, else the rule's
+    level, UNKNOWN for unknown rules), before the source join."""
     j = S.sarif_results(S.parse_docs(raw), rule_scope="file")
     cwe, refs, rule_level = _rule_fields(F.col("rule"), "codeql")
     res_level = F.coalesce(F.nullif(F.col("level_str"), F.lit("")),
                            F.when(F.size("level_arr") > 0, F.get("level_arr", 0)))
-    # Python: result level `or` rule level (UNKNOWN when the rule is unknown)
     level = F.coalesce(res_level, F.when(F.col("rule").isNotNull(), rule_level), F.lit("UNKNOWN"))
     start = F.coalesce(F.col("start_line"), F.lit(0))
-    end = F.coalesce(F.nullif(F.col("end_line"), F.lit(0)), start)
-    base = j.select(
+    return j.select(
         "repo", "scan_id", "tool", "part", "run_pos", "pos",
         F.coalesce(F.col("uri"), F.lit("Unknown")).alias("path"),
-        start.alias("start_line"), end.alias("end_line"),
+        start.alias("start_line"), F.coalesce(F.nullif(F.col("end_line"), F.lit(0)), start).alias("end_line"),
         F.coalesce(F.col("message"), F.lit("")).alias("message"),
         F.upper(F.coalesce(level, F.lit(""))).alias("severity"),
-        class_from_rule("rule_id").alias("vulnerability_class"),
-        cwe, refs,
-    )
-    fj = base.join(_files(source_files), ["repo", "path"], "left")
-    s, e, n = F.col("start_line"), F.col("end_line"), F.col("n_lines")
-    # readlines() keeps only '\n' as a break; re-split the few files that contain
-    # other splitlines() separators, reuse the prepared array for all others.
-    nl_lines = F.when(F.col("odd_content").isNotNull(),
-                      F.split(F.regexp_replace(F.regexp_replace("odd_content", "\r\n?", "\n"), r"\n\z", ""), "\n", -1)
-                      ).otherwise(F.col("lines"))
-    region = F.when(e > s, F.slice(nl_lines, s, e - s + 1)).otherwise(F.slice(nl_lines, s, 1))
-    exists = n.isNotNull()
-    in_range = (s >= 1) & (s <= n)
-    nonblank = F.exists(region, lambda x: pystrip(x) != "")
-    kept = fj.where(~exists | (in_range & nonblank))
-    w = Window.partitionBy("scan_id", "part").orderBy("run_pos", "pos")
-    out = kept.select(
-        *[c for c in base.columns if c not in ("run_pos", "pos")],
-        S.ordinal("part", "run_pos", "pos").alias("ordinal"),
-        F.when(exists, pystrip(F.array_join(region, "\n"))).otherwise(F.lit("")).alias("snippet"),
-        (F.row_number().over(w) - 1).cast("int").alias("idx"),
-    ).select(*FINDING_COLUMNS)
-    rej = _rejects(fj.where(exists & ~(in_range & nonblank)), "ingest",
-                   F.format_string("%s:%d", F.col("path"), s),
-                   "INVALID_REGION", F.lit("start line outside file or blank region; dropped"))
-    return out, rej
+        class_from_rule("rule_id").alias("vulnerability_class"), cwe, refs)
+
+
+def codeql_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SARIF with the CodeQL policy (see ``_finish``)."""
+    return _finish(codeql_base(raw), source_files, {"codeql"})
 
 
 # --------------------------------------------------------------------------- Snyk Code (S3)
-def snyk_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SARIF, Snyk policy: missing source drops the row; slice lines[s-1:e]
-    (s < 1 gives an empty snippet here, a documented divergence from Python's
-    negative index); snippet stripped; severity = upper(result.level), no
-    fallback; idx = position in the run's results, skipped rows counted;
-    rule metadata from the result's own run."""
+def snyk_base(raw: DataFrame) -> DataFrame:
+    """SARIF results with Snyk rule metadata (the result's own run) and
+    severity = upper(result level), no fallback, before the source join."""
     j = S.sarif_results(S.parse_docs(raw), rule_scope="run")
     cwe, refs, _ = _rule_fields(F.col("rule"), "snykcode")
     start = F.coalesce(F.col("start_line"), F.lit(0))
-    end = F.coalesce(F.col("end_line"), start)
-    base = j.select(
+    return j.select(
         "repo", "scan_id", "tool", "part", "run_pos", "pos",
         F.coalesce(F.col("uri"), F.lit("")).alias("path"),
-        start.alias("start_line"), end.alias("end_line"),
+        start.alias("start_line"), F.coalesce(F.col("end_line"), start).alias("end_line"),
         F.coalesce(F.col("message"), F.lit("")).alias("message"),
         F.upper(F.coalesce(F.col("level_str"), F.lit(""))).alias("severity"),
-        class_from_rule("rule_id").alias("vulnerability_class"),
-        cwe, refs,
-    )
-    fj = base.join(_files(source_files), ["repo", "path"], "left")
-    s, e, n = F.col("start_line"), F.col("end_line"), F.col("n_lines")
-    snippet = F.when((s >= 1) & (e >= s), pystrip(F.array_join(F.slice("lines", s, e - s + 1), "\n"))).otherwise(F.lit(""))
-    out = fj.where(n.isNotNull()).select(
-        *[c for c in base.columns if c not in ("run_pos", "pos")],
-        S.ordinal("part", "run_pos", "pos").alias("ordinal"),
-        snippet.alias("snippet"), F.col("pos").cast("int").alias("idx"),
-    ).select(*FINDING_COLUMNS)
-    rej = _rejects(fj.where(n.isNull()), "ingest", F.col("path"), "SOURCE_MISSING",
-                   F.lit("source file missing; dropped"))
-    return out, rej
+        class_from_rule("rule_id").alias("vulnerability_class"), cwe, refs)
+
+
+def snyk_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SARIF with the Snyk policy (see ``_finish``); s < 1 gives an empty snippet,
+    a documented divergence from Python's negative index."""
+    return _finish(snyk_base(raw), source_files, {"snykcode"})
 
 
 # --------------------------------------------------------------------------- registry + O4
@@ -200,18 +218,42 @@ ADAPTERS: dict[str, Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]
 }
 
 
+_BUILTIN = dict(ADAPTERS)
+
+
 def register_adapter(tool: str, fn: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> None:
     """Extension point: a new scanner is a function (raw docs, source_files) -> (findings, rejects)."""
     ADAPTERS[tool] = fn
 
 
+BASES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "semgrep": semgrep_base,
+    "codeql": codeql_base,
+    "snykcode": snyk_base,
+}
+
+
 def union_tools(raw_by_tool: dict[str, DataFrame], source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All scanners into one findings table (and one rejects table)."""
+    """All scanners into one findings table (and one rejects table).
+
+    The built-in tools are unioned *before* the source join, so the source text
+    is joined (and shuffled) once for all of them; registered extra adapters
+    run on their own and are unioned after."""
+    builtin = [t for t in raw_by_tool if t in BASES and ADAPTERS.get(t) is _BUILTIN[t]]
     outs, rejs = [], []
-    for tool, raw in raw_by_tool.items():
-        o, r = ADAPTERS[tool](raw, source_files)
+    if builtin:
+        base = None
+        for t in builtin:
+            b = BASES[t](raw_by_tool[t]).select(*BASE_COLUMNS)
+            base = b if base is None else base.unionByName(b)
+        o, r = _finish(base, source_files, set(builtin))
         outs.append(o)
         rejs.append(r)
+    for t, raw in raw_by_tool.items():
+        if t not in builtin:
+            o, r = ADAPTERS[t](raw, source_files)
+            outs.append(o)
+            rejs.append(r)
     f, r = outs[0], rejs[0]
     for o in outs[1:]:
         f = f.unionByName(o)
