@@ -197,6 +197,24 @@ def repo_from_url(url: Column | str) -> Column:
                     F.when(~ok, F.lit("invalid repository URL")).alias("error"))
 
 
+def repo_name_from_url(url: Column | str) -> Column:
+    """P16 (summary variant): last segment of the URL path stripped of '/'."""
+    path = F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit(""))
+    return F.element_at(F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/", -1), -1)
+
+
+def upstream_from_url(url: Column | str, host_prefix: str = "https://github.com/") -> Column:
+    """P16 (publish variant): struct(owner, name, error) for URLs that start with
+    ``host_prefix``; the first two segments after it, error value otherwise."""
+    u = col(url)
+    rest = F.split(F.substring(u, len(host_prefix) + 1, 1 << 30), "/", -1)
+    on_host = u.startswith(host_prefix)
+    ok = on_host & (F.size(rest) >= 2)
+    return F.struct(F.when(ok, F.get(rest, 0)).alias("owner"), F.when(ok, F.get(rest, 1)).alias("name"),
+                    F.when(~on_host, F.lit("not a repository host URL"))
+                     .when(~ok, F.lit("invalid repository URL")).alias("error"))
+
+
 def repo_hash(fields: dict[str, Column]) -> Column:
     """sha256 of the JSON object of ``fields`` with keys in sorted order."""
     body = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})

@@ -474,7 +474,7 @@ def p16_repo_from_url(spark, sf_dir):
                      F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit(".git")).alias("url")))
     r = C.repo_from_url("url")
     return urls.select("page_id", "variant", "url", r["owner"].alias("owner"), r["name"].alias("name"),
-                       r["error"].alias("error"))
+                       r["error"].alias("error"), C.repo_name_from_url("url").alias("last_segment"))
 
 
 @register("p18_contains_all")

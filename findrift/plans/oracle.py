@@ -764,7 +764,8 @@ s AS (SELECT *, string_split({_PATH}, '/') AS segs FROM u)
 SELECT page_id, variant, url,
        CASE WHEN len(segs) >= 2 THEN segs[1] END AS owner,
        CASE WHEN len(segs) >= 2 THEN regexp_replace(segs[2], '\\.git$', '') END AS name,
-       CASE WHEN len(segs) < 2 THEN 'invalid repository URL' END AS error
+       CASE WHEN len(segs) < 2 THEN 'invalid repository URL' END AS error,
+       segs[len(segs)] AS last_segment
 FROM s
 """
 P18 = """

@@ -93,3 +93,17 @@ def test_repo_from_url(spark):
 def test_contains_all(spark):
     df = spark.createDataFrame([("alpha beta",), ("alpha",)], "t string")
     assert [x[0] for x in df.select(C.contains_all("t", ["alpha", "beta"])).collect()] == [True, False]
+
+
+def test_repo_url_variants(spark):
+    urls = ["https://github.com/own/name", "https://github.com/own/name/extra", "https://github.com/only",
+            "https://gitlab.example.com/a/b", "https://github.com/own/name.git/"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    last = [r[0] for r in df.select(C.repo_name_from_url("u")).collect()]
+    assert last == ["name", "extra", "only", "b", "name.git"]
+    up = [r[0] for r in df.select(C.upstream_from_url("u")).collect()]
+    assert (up[0]["owner"], up[0]["name"]) == ("own", "name")
+    assert (up[1]["owner"], up[1]["name"]) == ("own", "name")
+    assert up[2]["error"] == "invalid repository URL"
+    assert up[3]["error"] == "not a repository host URL"
+    assert up[4]["name"] == "name.git"
