@@ -60,6 +60,17 @@ def update_pr_status(pr_log: DataFrame, updates: DataFrame,
     return out, missing.unionByName(bad)
 
 
+def updates_from_pulls(pulls: DataFrame) -> DataFrame:
+    """L4: status updates from pull-request records of the code host
+    (pr_number, repo_url, merged, state, ts[, seq]): approved = merged,
+    opened = (state == 'open'); a missing record reads as neither."""
+    seq = F.col("seq") if "seq" in pulls.columns else F.lit(0).cast("bigint")
+    return pulls.select(F.col("pr_number").cast("int").alias("pr_number"), "repo_url",
+                        F.coalesce(F.col("merged"), F.lit(False)).alias("approved"),
+                        F.coalesce(F.col("state") == "open", F.lit(False)).alias("opened"),
+                        "ts", seq.alias("seq"))
+
+
 # --------------------------------------------------------------------------- J8 / L3
 def replace_equal_rows(existing: DataFrame, new: DataFrame, keys: Sequence[str] = REPO_LOG_EQUALITY,
                        order: str = "seq") -> DataFrame:

@@ -94,3 +94,10 @@ def test_entry_and_registry(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert "a1_merge_findings_by_file" in o
+
+
+def test_updates_from_pulls(spark):
+    pulls = spark.createDataFrame([(1, "u", True, "closed", 5), (2, "u", False, "open", 6), (3, "u", None, None, 7)],
+                                  "pr_number int, repo_url string, merged boolean, state string, ts long")
+    rows = {r["pr_number"]: (r["approved"], r["opened"]) for r in PB.updates_from_pulls(pulls).collect()}
+    assert rows == {1: (True, False), 2: (False, True), 3: (False, False)}
