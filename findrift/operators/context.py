@@ -141,7 +141,9 @@ def validate_contexts(ctx: DataFrame, strict: bool = False) -> DataFrame:
     errors = F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in rules]))
     out = ctx.select("repo", "scan_id", "path", errors.alias("errors")).withColumn("is_valid", F.size("errors") == 0)
     if strict:
-        out = out.withColumn("_ok", F.assert_true(F.col("is_valid"), F.lit("context failed validation"))).drop("_ok")
+        # the check is folded into an output column so column pruning cannot drop it
+        out = out.withColumn("is_valid", F.coalesce(
+            F.assert_true(F.col("is_valid"), F.lit("context failed validation")).cast("boolean"), F.col("is_valid")))
     return out.select("repo", "scan_id", "path", "is_valid", "errors")
 
 

@@ -125,3 +125,20 @@ def test_read_responses(spark, tmp_path):
     rows = {r["file_name"]: r for r in P.read_responses(spark, str(tmp_path)).collect()}
     assert rows["response_src‣pkg‣m.py.md"]["path"] == "src/pkg/m.py" and rows["notes.md"]["path"] is None
     assert rows["notes.md"]["repo"] == "repoA" and rows["notes.md"]["scan_id"] == "scan1"
+
+
+def test_context_options_and_strict_validation(spark):
+    import pytest
+    m = _merged(spark, [("r", "s", "a.py", 1, 1, 0, 0, "", "", [], [], "", [])])
+    ctx = ctxop.build_contexts(m, include_env=False, include_mitigations=False, context_before=3,
+                               extras=F.create_map(F.lit("k"), F.lit("v"))).first()["vuln"]
+    assert ctx["env"] is None and ctx["mitigation"] is None
+    assert (ctx["context"]["before"], ctx["context"]["after"]) == (3, 0) and ctx["extras"] == {"k": "v"}
+    with pytest.raises(Exception):
+        ctxop.validate_contexts(ctxop.build_contexts(m), strict=True).collect()
+
+
+def test_strict_validation_passes_valid_contexts(spark):
+    m = _merged(spark, [("r", "s", "a.py", 1, 1, 2, 3, "x", "m", ["c"], ["CWE-1"], "error", ["u"])])
+    rows = ctxop.validate_contexts(ctxop.build_contexts(m), strict=True).collect()
+    assert [r["is_valid"] for r in rows] == [True]
