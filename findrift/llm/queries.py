@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from findrift.llm import sharding, url_filter
+from findrift.llm import nearest, packing, sharding, token_counts, url_filter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -42,3 +43,24 @@ def op3_url_filter(spark, sf_dir):
 @_query("op7_sharding")
 def op7_sharding(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 8)
+
+
+@_query("op1_nearest_neighbours")
+def op1_nearest_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def byte_bpe() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts.with_suffix_sums(token_counts.length_histogram(docs, byte_bpe()))
+
+
+@_query("op10_packing")
+def op10_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe())

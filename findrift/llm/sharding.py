@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from findrift.llm.numbering import numbered
 
 _SHORT = 64
 
@@ -43,31 +44,13 @@ def jump_hash(key: Column, shards: int) -> Column:
 
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
                     lanes: int | None = None) -> DataFrame:
-    """Per row: key, size, text_crc32, law, shard, slot, grown_shard.
-
-    Slots are gapless from 0 in each shard.  A shard is never numbered in one
-    task: rows are dealt over ``lanes`` parts of each shard, numbered there, and
-    shifted by the parts' counts (a table of shards x lanes rows).  Rows equal
-    in every column are counted first and expanded last.
-    """
-    lanes = lanes or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = (docs.select(F.col(key).alias("_k"),
-                        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"),
-                        F.crc32(F.col(text).cast("binary")).alias("_crc"))
-            .groupBy("_k", "_size", "_crc").agg(F.count("*").alias("_n"))
-            .withColumn("_shard", jump_hash(F.col("_k"), shards))
-            .withColumn("_lane", F.pmod(F.xxhash64(F.lit("lane"), "_k", "_size", "_crc"), F.lit(lanes)).cast("int")))
-    starts = (rows.groupBy("_shard", "_lane").agg(F.sum("_n").alias("_in"))
-              .withColumn("_base", F.sum("_in").over(Window.partitionBy("_shard").orderBy("_lane")) - F.col("_in"))
-              .select("_shard", "_lane", "_base"))
-    order = Window.partitionBy("_shard", "_lane").orderBy("_k", "_size", "_crc")
-    placed = (rows.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-              .join(starts, ["_shard", "_lane"])
-              .withColumn("_first", F.col("_base") + F.col("_before"))
-              # two steps, so that no array grows with the number of equal rows
-              .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(65536).cast("long"))))
-              .withColumn("_i", F.explode(F.sequence("_block", F.least(F.col("_block") + 65535, F.col("_n") - 1)))))
-    return placed.select(F.col("_k").alias(key), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
-                         F.lit("key").alias("law"), F.col("_shard").alias("shard"),
-                         (F.col("_first") + F.col("_i")).alias("slot"),
-                         jump_hash(F.col("_k"), shards + 1).alias("grown_shard"))
+    """Per row: key, size, text_crc32, law, shard, slot, grown_shard; slots are
+    gapless from 0 in each shard, and no shard is numbered in one task."""
+    rows = docs.select(F.col(key).alias("_k"),
+                       (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"),
+                       F.crc32(F.col(text).cast("binary")).alias("_crc"),
+                       jump_hash(F.col(key), shards).alias("_shard"))
+    return numbered(rows, "_shard", "_slot", lanes).select(
+        F.col("_k").alias(key), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
+        F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"),
+        jump_hash(F.col("_k"), shards + 1).alias("grown_shard"))
