@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from findrift.llm import nearest, packing, sharding, token_counts, url_filter
+from findrift.llm import decontamination, labelled, nearest, packing, quality, sharding, token_counts, toxicity, url_filter
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -64,3 +65,30 @@ def op4_token_counts(spark, sf_dir):
 @_query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe())
+
+
+#: Scores from which a document counts as its class.
+THRESHOLD = 0.3
+
+
+def _judged(docs, model, folds, held):
+    scored = docs.select("doc_id", labelled.held_out(F.col("doc_id"), folds, held).alias("held_out"),
+                         model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+
+
+@_query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return _judged(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"), 4, 2), 4, 2)
+
+
+@_query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return _judged(docs, quality.fit(docs, _table(spark, sf_dir, "labels"), 5, 0), 5, 0)
+
+
+@_query("op8_decontamination")
+def op8_decontamination(spark, sf_dir):
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
