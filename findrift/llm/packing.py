@@ -32,14 +32,14 @@ from findrift.session import scratch_path
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
+def pieces(docs: DataFrame, vocabulary: tuple[str, str], capacity: int, end_id: int = 0,
            id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents; only longer ones are cut, the first piece taking the rest."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(*vocabulary)
         for batch in batches:
             for texts, ids in slices(batch.column(1), batch.column(0).to_pylist()):
                 out = []
@@ -115,12 +115,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
+def pack(docs: DataFrame, vocabulary: tuple[str, str], capacity: int = 2048, end_id: int = 0,
          id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     path = scratch_path(spark, "pieces")  # encoded once, read for the histogram and for the numbers
-    pieces(docs, tokenizer_path, capacity, end_id, id_col, text).write.parquet(path)
+    pieces(docs, vocabulary, capacity, end_id, id_col, text).write.parquet(path)
     cut = spark.read.parquet(path)
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = np.array(sorted(plan(counts, capacity)) or [(0, 0, 1, 0, 0)], np.int64)

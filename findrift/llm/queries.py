@@ -52,8 +52,9 @@ def op1_nearest_neighbours(spark, sf_dir):
     return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-def byte_bpe() -> str:
-    return public_tokenizers.path("byte_bpe_50k.json")
+def byte_bpe() -> tuple[str, str]:
+    """The file of ranks, and the pattern that cuts texts into words."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 @_query("op4_token_counts")

@@ -24,10 +24,10 @@ from findrift.llm.encoding import Encoder, slices
 _BLOCK = 1024
 
 
-def length_histogram(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+def length_histogram(docs: DataFrame, vocabulary: tuple[str, str], text: str = "text") -> DataFrame:
     """n_tokens, n_docs: one row per length that occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(*vocabulary)
         for batch in batches:
             for texts, _ in slices(batch.column(0), range(batch.num_rows)):
                 n, c = np.unique([len(x) // 4 for x in encoder.encode(texts)], return_counts=True)
