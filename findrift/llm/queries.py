@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findrift.llm import decontamination, labelled, nearest, packing, quality, sharding, token_counts, toxicity, url_filter
+from findrift.llm import (
+    decontamination,
+    labelled,
+    near_duplicates,
+    nearest,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -93,3 +104,9 @@ def op5_quality(spark, sf_dir):
 @_query("op8_decontamination")
 def op8_decontamination(spark, sf_dir):
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op6_near_duplicates")
+def op6_near_duplicates(spark, sf_dir):
+    return (near_duplicates.grouped(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "class_id", "group_id", "class_links", "is_kept"))
