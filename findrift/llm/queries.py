@@ -13,6 +13,7 @@ from findrift.llm import (
     labelled,
     near_duplicates,
     nearest,
+    ngram_lm,
     packing,
     quality,
     sharding,
@@ -110,3 +111,8 @@ def op8_decontamination(spark, sf_dir):
 def op6_near_duplicates(spark, sf_dir):
     return (near_duplicates.grouped(_table(spark, sf_dir, "documents"))
             .select("doc_id", "class_id", "group_id", "class_links", "is_kept"))
+
+
+@_query("op9_lm_scores")
+def op9_lm_scores(spark, sf_dir):
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
