@@ -159,14 +159,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def is_clean(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text"):
     """A function of a text column: True where the text holds no item.  It is
     applied row by row, so a filter on it moves no text."""
-    tests = []
-    for items in _automata(benchmark, item_col, item_text):
+    def test(items: list[tuple[object, str]]):
         @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], items=items) -> Iterator[pd.Series]:
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             matcher = Matcher(items)
             for texts in batches:
                 yield pd.Series([next(matcher.matches(t), None) is None for t in texts], dtype=bool)
-        tests.append(clean)
+        return clean
+
+    tests = [test(items) for items in _automata(benchmark, item_col, item_text)]
 
     def column(text: Column) -> Column:
         out = F.lit(True)
