@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from findrift.llm.encoding import Encoder, slices
+from findrift.session import materialize
 
 #: Lengths that share a block of the two-level sums.
 _BLOCK = 1024
@@ -33,8 +34,9 @@ def length_histogram(docs: DataFrame, vocabulary: tuple[str, str], text: str = "
                 n, c = np.unique([len(x) // 4 for x in encoder.encode(texts)], return_counts=True)
                 yield pa.record_batch([pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["n_tokens", "n"])
 
-    return (docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n long")
+    hist = (docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n long")
             .groupBy("n_tokens").agg(F.sum("n").alias("n_docs")))
+    return materialize(hist)  # the sums read it several times; texts are encoded once
 
 
 def with_suffix_sums(hist: DataFrame) -> DataFrame:
