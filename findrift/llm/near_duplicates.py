@@ -201,7 +201,8 @@ def _links(docs: DataFrame, pairs: DataFrame, log_idf) -> DataFrame:
     near = (docs.withColumn("_bucket", F.bitmap_bucket_number(slot)).withColumn("_p", F.bitmap_bit_position(slot))
             .join(F.broadcast(bits), "_bucket")  # at most _BITS / 8 bytes = 4 MB
             .where(F.expr("shiftright(ascii(decode(substring(_bits, cast(_p div 8 as int) + 1, 1), 'ISO-8859-1')), cast(_p % 8 as int)) % 2 = 1")))
-    texts = near.select("cls", "text").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    # an inner join: a semi join would be moved below the table of bits, before the shuffle it spares
+    texts = near.select("cls", "text").join(wanted, "cls").dropDuplicates(["cls"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
