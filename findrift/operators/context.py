@@ -192,47 +192,77 @@ def file_context_rollup(attached: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- K2 / S5
 CONTEXT_XML_SCHEMA = (
     "_id STRING, FILE STRUCT<_path: STRING>, RANGE STRUCT<_start: INT, _end: INT>, "
-    "SEVERITY STRUCT<_overall: STRING, _bit: STRING>, MESSAGE STRING, SNIPPET STRING, "
+    "SEVERITY STRUCT<_overall: STRING, _bit: STRING>, "
+    "MESSAGE STRUCT<_VALUE: STRING, MESSAGES: STRUCT<ITEM: ARRAY<STRING>>>, SNIPPET STRING, "
     "BIT STRUCT<TRIGGER: STRING, STEPS: STRUCT<STEP: ARRAY<STRING>>, REPRODUCTION: STRING, BIT_SEVERITY: STRING>, "
     "CLASSES STRUCT<CLASS: ARRAY<STRING>>, WEAKNESSES STRUCT<CWE: ARRAY<STRUCT<_id: STRING>>>, "
-    "REFERENCES STRUCT<REF: ARRAY<STRUCT<_href: STRING>>>, PRECONDITIONS STRUCT<ITEM: ARRAY<STRING>>"
+    "REFERENCES STRUCT<REF: ARRAY<STRUCT<_href: STRING>>>, PRECONDITIONS STRUCT<ITEM: ARRAY<STRING>>, "
+    "ENV STRUCT<RUNTIME: STRUCT<_node: STRING, _os: STRING>>, MITIGATION STRUCT<SUMMARY: STRING>, TRACKING STRING, "
+    "CONTEXT STRUCT<_before: INT, _after: INT>"
 )
+META_XML_SCHEMA = "_generatedAt STRING, _tool STRING, _count BIGINT"
 
 
 def to_xml_rows(ctx: DataFrame) -> DataFrame:
-    """Context struct -> the element layout of the XML document (attributes as _name)."""
+    """Context struct -> the element layout of the XML document (attributes as
+    _name, a null element left out)."""
     v = F.col("vuln")
+    some = lambda c, *fields: F.when(c.isNotNull(), F.struct(*fields))
     return ctx.select(
         "repo", "scan_id",
         v["id"].alias("_id"),
         F.struct(v["file_path"].alias("_path")).alias("FILE"),
         F.struct(v["range_start"].alias("_start"), v["range_end"].alias("_end")).alias("RANGE"),
         F.struct(v["severity_overall"].alias("_overall"), v["severity_bit"].alias("_bit")).alias("SEVERITY"),
-        F.coalesce(v["message_text"], F.array_join(v["message_items"], " | ")).alias("MESSAGE"),
+        F.struct(v["message_text"].alias("_VALUE"), some(v["message_items"], v["message_items"].alias("ITEM")).alias("MESSAGES")).alias("MESSAGE"),
         v["snippet"].alias("SNIPPET"),
-        F.struct(v["bit"]["trigger"].alias("TRIGGER"), F.struct(v["bit"]["steps"].alias("STEP")).alias("STEPS"),
-                 v["bit"]["reproduction"].alias("REPRODUCTION"), v["bit"]["bit_severity"].alias("BIT_SEVERITY")).alias("BIT"),
-        F.when(v["classes"].isNotNull(), F.struct(v["classes"].alias("CLASS"))).alias("CLASSES"),
-        F.when(v["weaknesses"].isNotNull(),
-               F.struct(F.transform(v["weaknesses"], lambda x: F.struct(x.alias("_id"))).alias("CWE"))).alias("WEAKNESSES"),
-        F.when(v["references"].isNotNull(),
-               F.struct(F.transform(v["references"], lambda x: F.struct(x.alias("_href"))).alias("REF"))).alias("REFERENCES"),
-        F.struct(v["preconditions"].alias("ITEM")).alias("PRECONDITIONS"),
+        some(v["bit"], v["bit"]["trigger"].alias("TRIGGER"), F.struct(v["bit"]["steps"].alias("STEP")).alias("STEPS"),
+             v["bit"]["reproduction"].alias("REPRODUCTION"), v["bit"]["bit_severity"].alias("BIT_SEVERITY")).alias("BIT"),
+        some(v["classes"], v["classes"].alias("CLASS")).alias("CLASSES"),
+        some(v["weaknesses"], F.transform(v["weaknesses"], lambda x: F.struct(x.alias("_id"))).alias("CWE")).alias("WEAKNESSES"),
+        some(v["references"], F.transform(v["references"], lambda x: F.struct(x.alias("_href"))).alias("REF")).alias("REFERENCES"),
+        some(v["preconditions"], v["preconditions"].alias("ITEM")).alias("PRECONDITIONS"),
+        some(v["env"], F.struct(v["env"]["node"].alias("_node"), v["env"]["os"].alias("_os")).alias("RUNTIME")).alias("ENV"),
+        some(v["mitigation"], v["mitigation"].alias("SUMMARY")).alias("MITIGATION"),
+        F.when(v["tracking"], F.lit("")).alias("TRACKING"),
+        some(v["context"], v["context"]["before"].alias("_before"), v["context"]["after"].alias("_after")).alias("CONTEXT"),
     )
 
 
-def write_context_xml(ctx: DataFrame, path: str) -> None:
-    """K2: one XML document per (repo, scan_id) partition folder, VULNERABILITY rows
-    under a namespaced CUSTOM_CONTEXT root."""
-    rows = to_xml_rows(ctx)
-    (rows.write.mode("overwrite").partitionBy("repo", "scan_id").format("xml")
-     .option("rootTag", f'CUSTOM_CONTEXT xmlns="{XML_NS}" version="1.1"')
-     .option("rowTag", "VULNERABILITY").save(path))
+def write_context_xml(ctx: DataFrame, path: str, meta: DataFrame | None = None) -> None:
+    """K2: VULNERABILITY documents per (repo, scan_id) folder, under a namespaced
+    CUSTOM_CONTEXT root, and the scan's META document (A4) beside them."""
+    def save(rows, kind):
+        (rows.write.mode("overwrite").partitionBy("repo", "scan_id").format("xml")
+         .option("rootTag", f'CUSTOM_CONTEXT xmlns="{XML_NS}" version="1.1"')
+         .option("rowTag", kind).save(f"{path}/element={kind}"))
+    save(to_xml_rows(ctx), "VULNERABILITY")
+    meta = scan_meta(ctx) if meta is None else meta
+    save(meta.select("repo", "scan_id", F.col("generatedAt").alias("_generatedAt"), F.col("tool").alias("_tool"),
+                     F.col("count").alias("_count")), "META")
+
+
+def _read_xml(spark, path: str, kind: str, schema: str) -> DataFrame:
+    # explicit schema (no inference); surrounding spaces kept so snippet indentation survives
+    return (spark.read.format("xml").schema(schema + ", repo STRING, scan_id STRING")
+            .option("rowTag", kind).option("ignoreSurroundingSpaces", False)
+            .option("ignoreNamespace", True).load(f"{path}/element={kind}"))
 
 
 def read_context_xml(spark, path: str) -> DataFrame:
-    """All VULNERABILITY elements back, with an explicit schema (no inference)
-    and surrounding spaces kept so snippet indentation survives."""
-    return (spark.read.format("xml").schema(CONTEXT_XML_SCHEMA + ", repo STRING, scan_id STRING")
-            .option("rowTag", "VULNERABILITY").option("ignoreSurroundingSpaces", False)
-            .option("ignoreNamespace", True).load(path))
+    """All VULNERABILITY elements back."""
+    return _read_xml(spark, path, "VULNERABILITY", CONTEXT_XML_SCHEMA)
+
+
+def read_context_meta(spark, path: str) -> DataFrame:
+    """The META element of each scan."""
+    return _read_xml(spark, path, "META", META_XML_SCHEMA)
+
+
+def validate_meta(meta: DataFrame) -> DataFrame:
+    """F5 for META: generatedAt and tool present, count a whole number from 0."""
+    rules = [(F.col("generatedAt").isNull(), "META@generatedAt is required"),
+             (F.col("tool").isNull(), "META@tool is required"),
+             (F.col("count").isNull() | (F.col("count") < 0), "META@count must be a non-negative integer")]
+    errors = F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in rules]))
+    return meta.select("repo", "scan_id", (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"))

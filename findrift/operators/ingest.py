@@ -43,7 +43,7 @@ def _files(source_files: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- shared finishing step
 BASE_COLUMNS = ("repo", "scan_id", "tool", "part", "run_pos", "pos", "path", "start_line", "end_line", "message",
-                "severity", "vulnerability_class", "cwe", "references")
+                "severity", "vulnerability_class", "cwe", "references", "doc_error")
 
 
 def _finish(base: DataFrame, source_files: DataFrame, tools: set[str]) -> tuple[DataFrame, DataFrame]:
@@ -54,10 +54,11 @@ def _finish(base: DataFrame, source_files: DataFrame, tools: set[str]) -> tuple[
     codeql    missing file kept ('' snippet); start outside 1..n or blank region
               dropped; e <= s -> start line only; stripped; idx counts kept rows
               of the file in (run, position) order
+    broken document (any tool) -> reject
     snykcode  missing file dropped; s < 1 or e < s -> ''; stripped; idx = position in run
     """
     fj = base.join(_files(source_files), ["repo", "path"], "left")
-    tool = F.col("tool")
+    tool, broken = F.col("tool"), F.col("doc_error").isNotNull()
     s, e, n = F.col("start_line"), F.col("end_line"), F.col("n_lines")
     exists = n.isNotNull()
     is_cq, is_sn = tool == "codeql", tool == "snykcode"
@@ -74,25 +75,28 @@ def _finish(base: DataFrame, source_files: DataFrame, tools: set[str]) -> tuple[
                      .otherwise(F.lit("")))
                .otherwise(F.when((s > 0) & (s <= e) & (e <= n), F.array_join(F.slice("lines", s, e - s + 1), "\n"))
                           .otherwise(F.lit(""))))
-    kept = fj.where(keep)
+    kept = fj.where(keep & ~broken)
     if "codeql" in tools:
         # only CodeQL numbers kept rows; the window is planned only when CodeQL rows exist
-        w = Window.partitionBy("scan_id", "part", "tool").orderBy("run_pos", "pos")
+        w = Window.partitionBy("repo", "scan_id", "part", "tool").orderBy("run_pos", "pos")
         idx = F.when(is_cq, F.row_number().over(w) - 1).otherwise(F.col("pos"))
     else:
         idx = F.col("pos")
     out = kept.select(
-        *[c for c in BASE_COLUMNS if c not in ("run_pos", "pos")],
+        *[c for c in BASE_COLUMNS if c not in ("run_pos", "pos", "doc_error")],
         S.ordinal("part", "run_pos", "pos").alias("ordinal"),
         snippet.alias("snippet"), idx.cast("int").alias("idx"),
     ).select(*FINDING_COLUMNS)
     missing = ~exists & ~is_cq
-    rej = fj.where(missing | (is_cq & exists & ~cq_ok)).select(
+    rej = fj.where(broken | missing | (is_cq & exists & ~cq_ok)).select(
         "repo", "scan_id", F.lit("ingest").alias("stage"),
-        F.when(missing, F.col("path")).otherwise(F.format_string("%s:%d", F.col("path"), s)).alias("key"),
-        F.when(missing & is_sn, F.lit("SOURCE_MISSING")).when(missing, F.lit("FILE_NOT_FOUND"))
+        F.when(broken, F.format_string("%s part %d", tool, F.col("part")))
+         .when(missing, F.col("path")).otherwise(F.format_string("%s:%d", F.col("path"), s)).alias("key"),
+        F.when(broken, F.col("doc_error"))
+         .when(missing & is_sn, F.lit("SOURCE_MISSING")).when(missing, F.lit("FILE_NOT_FOUND"))
          .otherwise(F.lit("INVALID_REGION")).alias("code"),
-        F.when(missing & is_sn, F.lit("source file missing; dropped"))
+        F.when(broken, F.lit(S.MALFORMED_DOCUMENT[1]))
+         .when(missing & is_sn, F.lit("source file missing; dropped"))
          .when(missing, F.concat(F.lit("File not found: "), F.col("path")))
          .otherwise(F.lit("start line outside file or blank region; dropped")).alias("message"))
     return out, rej
@@ -101,7 +105,7 @@ def _finish(base: DataFrame, source_files: DataFrame, tools: set[str]) -> tuple[
 # --------------------------------------------------------------------------- Semgrep
 def semgrep_base(raw: DataFrame, base_dir: str | None = None) -> DataFrame:
     """Native JSON results before the source join (``{"results": [...]}`` or a bare list)."""
-    ex = S.native_results(S.parse_docs(raw))
+    ex = S.native_results(raw)
     has_start = S.vget("r", "$.start.line", "variant").isNotNull()
     return ex.select(
         "repo", "scan_id", "tool", "part", F.lit(0).cast("int").alias("run_pos"), "pos",
@@ -114,7 +118,7 @@ def semgrep_base(raw: DataFrame, base_dir: str | None = None) -> DataFrame:
         F.coalesce(S.vget("r", "$.extra.severity"), F.lit("")).alias("severity"),
         ensure_list("r", "$.extra.metadata.vulnerability_class").alias("vulnerability_class"),
         ensure_list("r", "$.extra.metadata.cwe").alias("cwe"),
-        ensure_list("r", "$.extra.metadata.references").alias("references"),
+        ensure_list("r", "$.extra.metadata.references").alias("references"), "doc_error",
     )
 
 
@@ -125,7 +129,7 @@ def semgrep_findings(raw: DataFrame, source_files: DataFrame, base_dir: str | No
     0 < s <= e <= n else empty snippet (row kept).  idx = position in the file's results."""
     out, rej = _finish(semgrep_base(raw, base_dir), source_files, {"semgrep"})
     if strict and rej.limit(1).count():
-        raise FileNotFoundError("semgrep findings point at missing source files")
+        raise FileNotFoundError("semgrep output is broken or points at missing source files")
     return out, rej
 
 
@@ -150,17 +154,17 @@ def _rule_meta(rules: DataFrame, tool: str, keys: list[str], order: list[str]) -
 
 
 def codeql_rule_map(raw: DataFrame) -> DataFrame:
-    """J2 (CodeQL) as a table: one entry per (scan_id, part, rule_id) -- all runs
+    """J2 (CodeQL) as a table: one entry per (repo, scan_id, part, rule_id) -- all runs
     of one file, later runs win.  The adapter itself applies the same rule
     inside each document row (``sources.scans.sarif_results``)."""
-    rules = S.sarif_rules(S.parse_docs(raw))
-    return _rule_meta(rules, "codeql", ["scan_id", "part", "rule_id"], ["run_pos", "rule_pos"])
+    rules = S.sarif_rules(raw)
+    return _rule_meta(rules, "codeql", ["repo", "scan_id", "part", "rule_id"], ["run_pos", "rule_pos"])
 
 
 def snyk_rule_map(raw: DataFrame) -> DataFrame:
     """J2 (Snyk) as a table: rule entries are scoped to their run."""
-    rules = S.sarif_rules(S.parse_docs(raw))
-    return _rule_meta(rules, "snykcode", ["scan_id", "part", "run_pos", "rule_id"], ["rule_pos"])
+    rules = S.sarif_rules(raw)
+    return _rule_meta(rules, "snykcode", ["repo", "scan_id", "part", "run_pos", "rule_id"], ["rule_pos"])
 
 
 # --------------------------------------------------------------------------- CodeQL (S3)
@@ -168,7 +172,7 @@ def codeql_base(raw: DataFrame) -> DataFrame:
     """SARIF results with CodeQL rule metadata (all runs of the file, later runs
     win) and severity (result level, a list's first entry, else the rule's
     level, UNKNOWN for unknown rules), before the source join."""
-    j = S.sarif_results(S.parse_docs(raw), rule_scope="file")
+    j = S.sarif_results(raw, rule_scope="file")
     cwe, refs, rule_level = _rule_fields(F.col("rule"), "codeql")
     res_level = F.coalesce(F.nullif(F.col("level_str"), F.lit("")),
                            F.when(F.size("level_arr") > 0, F.get("level_arr", 0)))
@@ -180,7 +184,7 @@ def codeql_base(raw: DataFrame) -> DataFrame:
         start.alias("start_line"), F.coalesce(F.nullif(F.col("end_line"), F.lit(0)), start).alias("end_line"),
         F.coalesce(F.col("message"), F.lit("")).alias("message"),
         F.upper(F.coalesce(level, F.lit(""))).alias("severity"),
-        class_from_rule("rule_id").alias("vulnerability_class"), cwe, refs)
+        class_from_rule("rule_id").alias("vulnerability_class"), cwe, refs, "doc_error")
 
 
 def codeql_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +196,7 @@ def codeql_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame,
 def snyk_base(raw: DataFrame) -> DataFrame:
     """SARIF results with Snyk rule metadata (the result's own run) and
     severity = upper(result level), no fallback, before the source join."""
-    j = S.sarif_results(S.parse_docs(raw), rule_scope="run")
+    j = S.sarif_results(raw, rule_scope="run")
     cwe, refs, _ = _rule_fields(F.col("rule"), "snykcode")
     start = F.coalesce(F.col("start_line"), F.lit(0))
     return j.select(
@@ -201,7 +205,7 @@ def snyk_base(raw: DataFrame) -> DataFrame:
         start.alias("start_line"), F.coalesce(F.col("end_line"), start).alias("end_line"),
         F.coalesce(F.col("message"), F.lit("")).alias("message"),
         F.upper(F.coalesce(F.col("level_str"), F.lit(""))).alias("severity"),
-        class_from_rule("rule_id").alias("vulnerability_class"), cwe, refs)
+        class_from_rule("rule_id").alias("vulnerability_class"), cwe, refs, "doc_error")
 
 
 def snyk_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from findrift.functions.columns import severity_rank, split_lines
 
 KEYS = ["repo", "scan_id", "path"]
-MERGED_COLUMNS = ("repo", "scan_id", "path", "first_ordinal", "n_findings", "start_line", "end_line",
+MERGED_COLUMNS = ("repo", "scan_id", "path", "tool", "first_ordinal", "n_findings", "start_line", "end_line",
                   "snippet", "message", "vulnerability_class", "cwe", "severity", "references")
+STATE_COLUMNS = ("first_ordinal", "n_findings", "start_line", "end_line", "tool", "lines", "messages", "classes",
+                 "cwes", "refs", "sev")
 
 
 def sorted_distinct(c) -> F.Column:
@@ -33,11 +35,13 @@ def sorted_distinct(c) -> F.Column:
     return F.array_sort(F.array_distinct(c))
 
 
-def merge_findings_by_file(findings: DataFrame, keys: list[str] | None = None, snippet: bool = True) -> DataFrame:
-    """A1.  ``snippet=False`` skips the line set (snippet = '') for consumers that
-    only read the other merged fields (e.g. context lookups)."""
+def merge_state(findings: DataFrame, keys: list[str] | None = None, snippet: bool = True) -> DataFrame:
+    """The state of A1 per key: minima, maxima, counts and sets, which
+    :func:`add_states` can add up and :func:`finish_state` turns into the merged row."""
     keys = keys or KEYS
-    base = [*keys, "ordinal", "start_line", "end_line", "message", "vulnerability_class", "cwe", "severity", "references"]
+    tool = F.col("tool") if "tool" in findings.columns else F.lit(None).cast("string")
+    base = [*keys, tool.alias("tool"), "ordinal", "start_line", "end_line", "message", "vulnerability_class", "cwe",
+            "severity", "references"]
     if snippet:
         snip = F.col("snippet")
         lines = F.when(snip.isNotNull() & (snip != ""), split_lines(snip))
@@ -48,25 +52,43 @@ def merge_findings_by_file(findings: DataFrame, keys: list[str] | None = None, s
     one = lambda c: F.when(first, c)  # noqa: E731  per-finding value on the finding's first row only
     sev = F.upper(F.col("severity"))
     ranked = first & (sev != "")
-    merged = x.groupBy(*keys).agg(
+    rank = F.struct(severity_rank(sev).alias("rank"), (-F.col("ordinal")).alias("late"), sev.alias("sev"))
+    return x.groupBy(*keys).agg(
         F.min(one(F.col("ordinal"))).alias("first_ordinal"),
         F.count_if(first).alias("n_findings"),
         F.min(one(F.col("start_line"))).alias("start_line"),
         F.max(one(F.col("end_line"))).alias("end_line"),
-        F.collect_set("_line").alias("_lines"),
-        F.collect_set(F.when(first & (F.col("message") != ""), F.col("message"))).alias("_msgs"),
-        F.collect_set(one(F.col("vulnerability_class"))).alias("_cls"),
-        F.collect_set(one(F.col("cwe"))).alias("_cwe"),
-        F.collect_set(one(F.col("references"))).alias("_refs"),
-        F.max_by(F.when(ranked, sev),
-                 F.when(ranked, F.struct(severity_rank(sev).alias("r"), (-F.col("ordinal")).alias("o")))).alias("_sev"),
+        F.min("tool").alias("tool"),
+        F.collect_set("_line").alias("lines"),
+        F.collect_set(F.when(first & (F.col("message") != ""), F.col("message"))).alias("messages"),
+        F.array_distinct(F.flatten(F.collect_set(one(F.col("vulnerability_class"))))).alias("classes"),
+        F.array_distinct(F.flatten(F.collect_set(one(F.col("cwe"))))).alias("cwes"),
+        F.array_distinct(F.flatten(F.collect_set(one(F.col("references"))))).alias("refs"),
+        F.max(F.when(ranked, rank)).alias("sev"),
     )
-    return merged.select(
-        *keys, "first_ordinal", "n_findings", "start_line", "end_line",
-        F.array_join(F.array_sort("_lines"), "\n").alias("snippet"),
-        F.array_join(F.array_sort("_msgs"), " | ").alias("message"),
-        sorted_distinct(F.flatten("_cls")).alias("vulnerability_class"),
-        sorted_distinct(F.flatten("_cwe")).alias("cwe"),
-        F.coalesce("_sev", F.lit("")).alias("severity"),
-        sorted_distinct(F.flatten("_refs")).alias("references"),
+
+
+def add_states(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """States of the same keys added up (each finding in one of them only)."""
+    keys = keys or KEYS
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)  # noqa: E731  one entry a state
+    return states.groupBy(*keys).agg(
+        F.min("first_ordinal").alias("first_ordinal"), F.sum("n_findings").alias("n_findings"),
+        F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min("tool").alias("tool"),
+        union("lines"), union("messages"), union("classes"), union("cwes"), union("refs"), F.max("sev").alias("sev"))
+
+
+def finish_state(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return states.select(
+        *(keys or KEYS), "tool", "first_ordinal", "n_findings", "start_line", "end_line",
+        F.array_join(F.array_sort("lines"), "\n").alias("snippet"),
+        F.array_join(F.array_sort("messages"), " | ").alias("message"),
+        F.array_sort("classes").alias("vulnerability_class"), F.array_sort("cwes").alias("cwe"),
+        F.coalesce("sev.sev", F.lit("")).alias("severity"), F.array_sort("refs").alias("references"),
     ).select(*MERGED_COLUMNS)
+
+
+def merge_findings_by_file(findings: DataFrame, keys: list[str] | None = None, snippet: bool = True) -> DataFrame:
+    """A1.  ``snippet=False`` skips the line set (snippet = '') for consumers that
+    only read the other merged fields (e.g. context lookups)."""
+    return finish_state(merge_state(findings, keys, snippet), keys)

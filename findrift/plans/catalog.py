@@ -211,18 +211,45 @@ def a11_fleet_rollup(spark, sf_dir):
 def s5_context_roundtrip(spark, sf_dir):
     """K2 then S5: contexts written as XML documents and read back."""
     out = scratch_path(spark, "contexts-xml")
-    ctxop.write_context_xml(_contexts(spark, sf_dir), out)
+    merged = merge.merge_findings_by_file(fx.findings(spark, sf_dir))
+    ctxop.write_context_xml(ctxop.build_contexts(merged, context_before=2, context_after=3), out)
     x = ctxop.read_context_xml(spark, out)
     return x.select("repo", "scan_id", F.col("FILE._path").alias("path"),
                     F.col("RANGE._start").alias("start_line"), F.col("RANGE._end").alias("end_line"),
                     F.col("_id").alias("id"), F.col("SEVERITY._overall").alias("severity_overall"),
-                    F.col("MESSAGE").alias("message"), F.col("SNIPPET").alias("snippet"),
+                    F.col("SEVERITY._bit").alias("severity_bit"),
+                    F.col("MESSAGE._VALUE").alias("message"), F.array_join("MESSAGE.MESSAGES.ITEM", ";").alias("message_items"),
+                    F.col("SNIPPET").alias("snippet"), F.col("BIT.REPRODUCTION").alias("reproduction"),
+                    F.col("BIT.BIT_SEVERITY").alias("bit_severity"), F.array_join("PRECONDITIONS.ITEM", ";").alias("preconditions"),
+                    F.col("ENV.RUNTIME._node").alias("env_node"), F.col("ENV.RUNTIME._os").alias("env_os"),
+                    F.col("MITIGATION.SUMMARY").alias("mitigation"), F.col("TRACKING").isNotNull().alias("tracking"),
+                    F.col("CONTEXT._before").alias("context_before"), F.col("CONTEXT._after").alias("context_after"),
                     F.col("BIT.TRIGGER").alias("trigger"), F.array_join("BIT.STEPS.STEP", ";").alias("steps"),
                     F.array_join("CLASSES.CLASS", ";").alias("classes"),
                     F.array_join(F.transform("WEAKNESSES.CWE", lambda x: x["_id"]), ";").alias("weaknesses"),
                     F.array_join(F.transform("REFERENCES.REF", lambda x: x["_href"]), ";").alias("references"))
 
 
+@register("s5_context_meta")
+def s5_context_meta(spark, sf_dir):
+    """A4's META rows written beside the contexts, read back and validated."""
+    out = scratch_path(spark, "contexts-meta")
+    ctx = _contexts(spark, sf_dir)
+    ctxop.write_context_xml(ctx, out, ctxop.scan_meta(ctx, F.lit("1970-01-01T00:00:00+00:00")))
+    meta = ctxop.read_context_meta(spark, out).select(
+        "repo", "scan_id", F.col("_generatedAt").alias("generatedAt"), F.col("_tool").alias("tool"), F.col("_count").alias("count"))
+    return flat(meta.join(ctxop.validate_meta(meta), ["repo", "scan_id"]))
+
+
+@register("t8b_contexts_minimal")
+def t8b_contexts_minimal(spark, sf_dir):
+    v = F.col("vuln")
+    return ctxop.build_contexts_minimal(_merged(spark, sf_dir)).select(
+        "repo", "scan_id", "path", "start_line", v["id"].alias("id"), v["range_end"].alias("end_line"),
+        v["severity_overall"].alias("severity_overall"), v["message_text"].alias("message"), v["snippet"].alias("snippet"),
+        v["severity_bit"].isNull().alias("no_bit"))
+
+
 # --------------------------------------------------------------------------- M4 prompts and responses
 from findrift.functions import columns as C  # noqa: E402
 from findrift.operators import prompts as P  # noqa: E402
@@ -246,7 +273,7 @@ def t3_prompts_with_context(spark, sf_dir):
     out, _ = P.render_prompts(merged, fx.source_files(spark, sf_dir), xml)
     return out.select("repo", "scan_id", "path", F.length("prompt").alias("prompt_chars"),
                       F.sha2("prompt", 256).alias("prompt_sha"),
-                      F.col("prompt").contains("<VULNERABILITY>").alias("has_context"))
+                      F.col("prompt").contains("<VULNERABILITY ").alias("has_context"))
 
 
 @register("f4_empty_input_rejects")
@@ -312,7 +339,7 @@ def a9_token_usage(spark, sf_dir):
 @register("j5_attach_sections")
 def j5_attach_sections(spark, sf_dir):
     merged = _merged(spark, sf_dir)
-    sections = P.sections_strict(fx.file_responses(spark, sf_dir, merged))
+    sections = P.sections_strict(fx.file_responses(spark, sf_dir, merged, some_missing=True))
     files = merged.select("repo", "scan_id", "path")
     return P.attach_sections(files, sections)
 
@@ -355,7 +382,7 @@ def t6b_diff_stats(spark, sf_dir):
 
 @register("t7_apply_patches")
 def t7_apply_patches(spark, sf_dir):
-    return PT.apply_patches(fx.parsed_code(spark, sf_dir), fx.source_files(spark, sf_dir))
+    return PT.apply_patches(fx.parsed_code(spark, sf_dir, some_missing=True), fx.source_files(spark, sf_dir))
 
 
 @register("f3_exclude_paths")
@@ -557,13 +584,18 @@ def r1_stream_findings(spark, sf_dir):
 
 @register("r2_stream_pr_status")
 def r2_stream_pr_status(spark, sf_dir):
-    """Status updates (every tenth one delivered twice) stream through the
-    watermark de-duplication; W6 over the sink is the current status."""
+    """Two runs of the status stream, the second with updates days older than
+    the first's, every tenth one delivered twice; W6 over the sink is the
+    current status."""
     base = scratch_path(spark, "r2")
     upd = fx.status_updates(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    upd.unionByName(upd.where(F.col("seq") % 10 == 0)).write.json(f"{base}/landing")
-    q = ST.stream_pr_status(spark, f"{base}/landing", f"{base}/out")
-    q.awaitTermination()
+    upd = upd.unionByName(upd.where(F.col("seq") % 10 == 0))
+    mid = upd.agg(F.timestamp_seconds((F.unix_seconds(F.min("ts")) + F.unix_seconds(F.max("ts"))) / 2).alias("t")).first()["t"]
+    for late in (False, True):
+        # PRs of every fourth user are heard of in the second run only
+        later = (F.col("ts") < F.lit(mid)) | (F.coalesce(F.col("pr_number"), F.lit(0)) % 4 == 0)
+        upd.where(later if late else ~later).write.mode("append").json(f"{base}/landing")
+        ST.stream_pr_status(spark, f"{base}/landing", f"{base}/out").awaitTermination()
     return ST.current_pr_status(spark, f"{base}/out")
 
 
@@ -585,6 +617,16 @@ def s1_read_source_files(spark, sf_dir):
     return sf.select("repo", path.alias("path"), "n_lines", F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha"))
 
 
+@register("s1_default_layout")
+def s1_default_layout(spark, sf_dir):
+    """Files below nested folders, read with the default <repo>/<path> layout."""
+    base = scratch_path(spark, "s1")
+    d = fx.table(spark, sf_dir, "documents").select("source", "lang", F.col("doc_id").cast("string").alias("doc"), "text")
+    d.repartition("source", "lang", "doc").write.partitionBy("source", "lang", "doc").text(base)
+    sf = SRC.read_source_files(spark, base, exts=("txt",))
+    return sf.select("repo", F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), "n_lines")
+
+
 @register("s4_findings_roundtrip")
 def s4_findings_roundtrip(spark, sf_dir):
     """K1 writes findings as JSON lines partitioned by repo; S4 reads them back."""

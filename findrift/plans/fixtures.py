@@ -17,6 +17,7 @@ from findrift.functions.columns import split_lines
 # Fixed recipe parameters (mirrored in the oracle SQL).
 TOOLS = ("semgrep", "codeql", "snykcode")
 PART_EVENTS = 8192     # event-id span of one scanner output file
+BROKEN_PARTS = 1_000_000  # first part number of the broken documents
 RUN_EVENTS = 512       # event-id span of one SARIF run inside a file
 SEVERITY_OF_EVENT = {"error": "ERROR", "purchase": "WARNING", "signup": "NOTE", "view": "INFO", "click": ""}
 # One SARIF rule per event type: (event_type, cwe tags, helpUri, defaultConfiguration.level, problem.severity)
@@ -30,27 +31,7 @@ SARIF_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_spread(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan that keeps the cluster busy.
-
-    A large input arrives in many splits and is returned as is.  An input in
-    fewer splits than the default parallelism (a single-row-group file, as in
-    local fixtures) is spread round-robin so that the per-row work after the
-    scan (line splitting, regexes, parsing) does not run in one task."""
-    df = spark.read.parquet(path)
-    par = spark.sparkContext.defaultParallelism
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SPLITS:
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    if _SPLITS[key] < par:
-        df = df.repartition(par)
-    return df
-
-
-_SPLITS: dict[tuple[str, str], int] = {}
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +108,11 @@ def _jstr(c):
 def _scanner_view(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
     """Scanner-side view of the events of one tool, with the two reject paths."""
     e = scan_events(spark, sf_dir).where(F.col("tool") == tool)
+    # two repositories share one CodeQL scan id, so scan-level keys must hold the repository
+    shared = (F.lit(tool) == "codeql") & F.col("repo").isin("src0", "src1")
     return e.select(
-        "repo", "scan_id", "event_id", "event_type", "k", "message", "severity",
+        "repo", F.when(shared, F.lit("shared-codeql")).otherwise(F.col("scan_id")).alias("scan_id"),
+        "event_id", "event_type", "k", "message", "severity",
         F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("missing/"), F.col("path"))).otherwise(F.col("path")).alias("raw_path"),
         F.when(F.col("event_id") % 50 == 1, F.col("n_lines") + 1).otherwise(F.col("start_line")).cast("int").alias("raw_start"),
         F.col("end_line").alias("raw_end"),
@@ -137,6 +121,16 @@ def _scanner_view(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
     )
 
 
+def _with_broken(docs: DataFrame, spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
+    """Plus one broken document (cut off after some results) per benchmark item."""
+    b = table(spark, sf_dir, "benchmark")
+    repo = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    head = '{"results":[{"path":' if tool == "semgrep" else '{"version":"2.1.0","runs":[{"results":[{"message":'
+    return docs.unionByName(b.select(
+        F.concat(repo, F.lit(f"-{tool}")).alias("scan_id"), repo.alias("repo"), F.lit(tool).alias("tool"),
+        (F.lit(BROKEN_PARTS) + F.col("item_id")).alias("part"), F.concat(F.lit(head), _jstr(F.col("text")), F.lit("},")).alias("text")))
+
+
 def semgrep_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native scanner JSON text, one document per (scan_id, part).
 
@@ -164,7 +158,8 @@ def semgrep_output(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("j")))).alias("items")))
     body = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["j"]), ","), F.lit("]"))
     text = F.when(F.col("part") % 2 == 1, body).otherwise(F.concat(F.lit('{"results":'), body, F.lit("}")))
-    return docs.select("scan_id", "repo", F.lit("semgrep").alias("tool"), "part", text.alias("text"))
+    out = docs.select("scan_id", "repo", F.lit("semgrep").alias("tool"), "part", text.alias("text"))
+    return _with_broken(out, spark, sf_dir, "semgrep")
 
 
 def sarif_rules_json() -> str:
@@ -216,7 +211,8 @@ def sarif_output(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
     docs = (runs.groupBy("repo", "scan_id", "part")
             .agg(F.array_sort(F.collect_list(F.struct("run_pos", run_json.alias("r")))).alias("runs")))
     text = F.concat(F.lit('{"version":"2.1.0","runs":['), F.array_join(F.transform("runs", lambda x: x["r"]), ","), F.lit("]}"))
-    return docs.select("scan_id", "repo", F.lit(tool).alias("tool"), "part", text.alias("text"))
+    out = docs.select("scan_id", "repo", F.lit(tool).alias("tool"), "part", text.alias("text"))
+    return _with_broken(out, spark, sf_dir, tool)
 
 
 # --------------------------------------------------------------------------- model responses
@@ -252,10 +248,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def file_responses(spark: SparkSession, sf_dir: str, merged: DataFrame) -> DataFrame:
-    """Responses for merged files (every file whose first ordinal % 4 != 3),
-    in the numbered form, for report and patch stages."""
-    m = merged.where(F.col("first_ordinal") % 4 != 3)
+def file_responses(spark: SparkSession, sf_dir: str, merged: DataFrame, some_missing: bool = False) -> DataFrame:
+    """Responses for all merged files, in the numbered form, for report and patch
+    stages; ``some_missing`` leaves out files whose first ordinal % 4 = 3."""
+    m = merged.where(F.col("first_ordinal") % 4 != 3) if some_missing else merged
     content = F.concat(
         F.lit("1. Vulnerability Description: "), F.col("message"),
         F.lit("\n2. Potential Risk: r"), F.col("n_findings").cast("string"),
@@ -266,11 +262,13 @@ def file_responses(spark: SparkSession, sf_dir: str, merged: DataFrame) -> DataF
 
 
 # --------------------------------------------------------------------------- parsed (patched) code
-def parsed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed_code(spark: SparkSession, sf_dir: str, some_missing: bool = False) -> DataFrame:
     """Parsed model output per file: doc_id % 3 = 0 -> line 1 + doc_id % n_lines
-    replaced by 'fixed_<doc_id>'; % 3 = 1 -> identical text; % 3 = 2 -> absent;
-    plus one file without an original per benchmark row."""
-    sf = source_files(spark, sf_dir).where(F.col("doc_id") % 3 != 2)
+    replaced by 'fixed_<doc_id>', else identical text (``some_missing``: absent
+    where doc_id % 3 = 2); plus one file without an original per benchmark row."""
+    sf = source_files(spark, sf_dir)
+    if some_missing:
+        sf = sf.where(F.col("doc_id") % 3 != 2)
     target = F.lit(1) + F.col("doc_id") % F.col("n_lines")
     fixed = F.concat(F.lit("fixed_"), F.col("doc_id").cast("string"))
     changed = F.array_join(F.transform("lines", lambda l, i: F.when(i + 1 == target, fixed).otherwise(l)), "\n")

@@ -64,7 +64,7 @@ sl AS (SELECT repo, scan_id, path,
        FROM {src} WHERE snippet <> ''),
 sg AS (SELECT repo, scan_id, path, string_agg(DISTINCT line, chr(10) ORDER BY line) AS snippet
        FROM sl GROUP BY repo, scan_id, path),
-mg AS (SELECT repo, scan_id, path, min(ordinal) AS first_ordinal, count(*) AS n_findings,
+mg AS (SELECT repo, scan_id, path, min(tool) AS tool, min(ordinal) AS first_ordinal, count(*) AS n_findings,
               min(start_line) AS start_line, max(end_line) AS end_line,
               coalesce(string_agg(DISTINCT message, ' | ' ORDER BY message) FILTER (WHERE message <> ''), '') AS message,
               list_sort(list_distinct(flatten(list(vulnerability_class)))) AS vulnerability_class,
@@ -82,7 +82,7 @@ def with_(*ctes: str) -> str:
 
 
 A1 = with_(BASE, merge_sql("f")) + f"""
-SELECT repo, scan_id, path, first_ordinal, n_findings, start_line, end_line, snippet, message,
+SELECT repo, scan_id, path, tool, first_ordinal, n_findings, start_line, end_line, snippet, message,
        {arr('vulnerability_class')} AS vulnerability_class, {arr('cwe')} AS cwe, severity,
        {arr('refs')} AS "references"
 FROM merged
@@ -92,14 +92,17 @@ STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 # Scanner-side view of each result (reject paths, SARIF region/level rules).
 SCAN = r"""
+sv0 AS (
+  SELECT * REPLACE (CASE WHEN tool = 'codeql' AND repo IN ('src0', 'src1') THEN 'shared-codeql' ELSE scan_id END AS scan_id)
+  FROM sc),
 sv AS (
   SELECT *, CASE WHEN event_id % 50 = 0 THEN 'missing/' || path ELSE path END AS raw_path,
          CAST(CASE WHEN event_id % 50 = 1 THEN n_lines + 1 ELSE start_line END AS INTEGER) AS raw_start,
-         row_number() OVER (PARTITION BY scan_id, part ORDER BY event_id) - 1 AS file_pos,
-         row_number() OVER (PARTITION BY scan_id, part, run_pos ORDER BY event_id) - 1 AS run_item,
-         dense_rank() OVER (PARTITION BY scan_id, part ORDER BY run_pos) - 1 AS run_idx,
-         max(part * 2 + run_pos) OVER (PARTITION BY scan_id, part) AS last_run
-  FROM sc),
+         row_number() OVER (PARTITION BY repo, scan_id, part ORDER BY event_id) - 1 AS file_pos,
+         row_number() OVER (PARTITION BY repo, scan_id, part, run_pos ORDER BY event_id) - 1 AS run_item,
+         dense_rank() OVER (PARTITION BY repo, scan_id, part ORDER BY run_pos) - 1 AS run_idx,
+         max(part * 2 + run_pos) OVER (PARTITION BY repo, scan_id, part) AS last_run
+  FROM sv0),
 sarif AS (
   SELECT *, CASE WHEN event_id % 9 = 0 THEN raw_start ELSE end_line END AS raw_end2,
          (part << 40) + (run_idx << 24) + run_item AS ordinal,
@@ -136,7 +139,7 @@ cq2 AS (
          raw_start BETWEEN 1 AND n_lines AND list_bool_or(list_transform(region, lambda x: {STRIP.format(x='x')} <> '')) AS ok_region
   FROM cq),
 cq3 AS (
-  SELECT *, row_number() OVER (PARTITION BY scan_id, part ORDER BY run_pos, event_id) - 1 AS kept_idx
+  SELECT *, row_number() OVER (PARTITION BY repo, scan_id, part ORDER BY run_pos, event_id) - 1 AS kept_idx
   FROM cq2 WHERE NOT file_exists OR coalesce(ok_region, false))
 """
 
@@ -173,10 +176,10 @@ FROM u GROUP BY repo, path, vulnerability_class
 """
 
 J2 = with_(BASE, SCAN) + """
-SELECT s.scan_id, s.part, 'py/' || r.event_type AS rule_id, r.codeql_cwe AS cwe,
+SELECT s.repo, s.scan_id, s.part, 'py/' || r.event_type AS rule_id, r.codeql_cwe AS cwe,
        CASE WHEN r.event_type = 'error' THEN r.help || '/run' || CAST(s.last_run AS VARCHAR) ELSE coalesce(r.help, '') END AS "references",
        r.lvl AS level
-FROM (SELECT DISTINCT scan_id, part, last_run FROM sv WHERE tool = 'codeql') s, rules r
+FROM (SELECT DISTINCT repo, scan_id, part, last_run FROM sv WHERE tool = 'codeql') s, rules r
 """
 
 REJECTS = with_(BASE, SCAN, CODEQL_CTE) + """
@@ -189,6 +192,11 @@ FROM cq2 WHERE file_exists AND NOT coalesce(ok_region, false)
 UNION ALL
 SELECT repo, scan_id, 'ingest', raw_path, 'SOURCE_MISSING', 'source file missing; dropped'
 FROM sv WHERE tool = 'snykcode' AND event_id % 50 = 0
+UNION ALL
+SELECT 'src' || CAST(item_id % 20 AS VARCHAR), 'src' || CAST(item_id % 20 AS VARCHAR) || '-' || t.tool, 'ingest',
+       t.tool || ' part ' || CAST(1000000 + item_id AS VARCHAR), 'MALFORMED_DOCUMENT',
+       'scanner output is not a valid document; dropped'
+FROM benchmark, (VALUES ('semgrep'), ('codeql'), ('snykcode')) t(tool)
 """
 
 ORACLES: dict[str, str] = {
@@ -335,7 +343,14 @@ FROM f GROUP BY ROLLUP (repo, tool, coalesce(vulnerability_class[1], 'N/A'))
 S5 = with_(BASE, merge_sql("f")) + f"""
 SELECT repo, scan_id, path, start_line, end_line,
        path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS id,
-       {SEV_PAIR} AS severity_overall, message, snippet,
+       {SEV_PAIR} AS severity_overall, {SEV_PAIR} AS severity_bit, {SEV_PAIR} AS bit_severity, snippet,
+       CASE WHEN NOT contains(message, ' | ') THEN message END AS message,
+       CASE WHEN contains(message, ' | ') THEN array_to_string(list_filter(list_transform(
+            string_split(message, '|'), lambda x: {STRIP.format(x='x')}), lambda x: x <> ''), ';') END AS message_items,
+       'Inspect the indicated code region and verify unsafe data flow or pattern.' AS reproduction,
+       'Authenticated user may be required depending on route.' AS preconditions, 'unknown' AS env_node, 'posix' AS env_os,
+       'Apply minimal changes: sanitize inputs, use parameterized APIs, and enforce allowlists.' AS mitigation,
+       true AS tracking, CAST(2 AS INTEGER) AS context_before, CAST(3 AS INTEGER) AS context_after,
        CASE WHEN message <> '' THEN message ELSE 'Vulnerability detected.' END AS trigger, {STEP} AS steps,
        CASE WHEN len(vulnerability_class) > 0 THEN {arr('vulnerability_class')} END AS classes,
        CASE WHEN len(cwe) > 0 THEN {arr('cwe')} END AS weaknesses,
@@ -343,7 +358,19 @@ SELECT repo, scan_id, path, start_line, end_line,
 FROM merged
 """
 
+S5_META = with_(BASE, merge_sql("f")) + f"""
+SELECT repo, scan_id, '1970-01-01T00:00:00+00:00' AS "generatedAt", '{_B.NAME}' AS tool, count(*) AS count,
+       true AS is_valid, '' AS errors
+FROM merged GROUP BY repo, scan_id
+"""
+T8B = with_(BASE, merge_sql("f")) + """
+SELECT repo, scan_id, path, start_line, path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS id,
+       end_line, severity AS severity_overall, message, snippet, true AS no_bit
+FROM merged
+"""
 ORACLES.update({
+    "s5_context_meta": S5_META,
+    "t8b_contexts_minimal": T8B,
     "t8_build_contexts": CTX_FLAT,
     "a2_class_counts": A2,
     "w2_file_number": W2,
@@ -468,7 +495,9 @@ VULN_TEXT = ("'Type: ' || coalesce(nullif(array_to_string(vulnerability_class, '
              "'Severity: ' || coalesce(nullif(severity, ''), 'Unknown') || chr(10) || "
              "'Location: ' || CAST(start_line AS VARCHAR) || ' ~ ' || CAST(end_line AS VARCHAR) || "
              "' (Only modify this code range)' || chr(10) || chr(10)")
-PROMPT_EXPR = fill(_P.FIX_TEMPLATE, input="d.content", vulnerabilities=VULN_TEXT, context="''")
+# the input a file's first finding carries, by tool (the texts hold no carriage returns)
+INPUT = f"CASE m.tool WHEN 'snykcode' THEN {STRIP.format(x='array_to_string(d.lines, chr(10))')} ELSE d.content END"
+PROMPT_EXPR = fill(_P.FIX_TEMPLATE, input=INPUT, vulnerabilities=VULN_TEXT, context="''")
 
 T3 = with_(BASE, merge_sql("f")) + f"""
 SELECT m.repo, m.scan_id, m.path, 'fix' AS kind, {q(_P.FIX_TITLE)} AS title, {PROMPT_EXPR} AS prompt
@@ -480,6 +509,45 @@ SELECT m.repo, m.scan_id, 'prompt' AS stage, m.path AS key, {q(_P.EMPTY_SNIPPET[
        {q(_P.EMPTY_SNIPPET[1])} AS message
 FROM merged m JOIN d ON m.repo = d.repo AND m.path = d.path WHERE d.doc_id % 13 = 0
 """
+_ESC = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PAD = lambda n, x: f"'{' ' * n}' || {x} || chr(10)"
+
+
+def _each(lst: str, n: int, head: str, tail: str, item: str) -> str:
+    """One line per list entry."""
+    return f"array_to_string(list_transform({lst}, lambda x: '{' ' * n}{head}' || {item} || '{tail}' || chr(10)), '')"
+
+
+_ITEMS = f"list_filter(list_transform(string_split(message, '|'), lambda x: {STRIP.format(x='x')}), lambda x: x <> '')"
+_ID = "path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR)"
+CONTEXT_XML = " || ".join([
+    f"'<VULNERABILITY id=\"' || {_ID} || '\">' || chr(10)",
+    _PAD(4, "'<FILE path=\"' || path || '\"/>'"),
+    _PAD(4, "'<RANGE start=\"' || CAST(start_line AS VARCHAR) || '\" end=\"' || CAST(end_line AS VARCHAR) || '\"/>'"),
+    _PAD(4, f"'<SEVERITY overall=\"' || {SEV_PAIR} || '\" bit=\"' || {SEV_PAIR} || '\"/>'"),
+    f"CASE WHEN contains(message, ' | ') THEN {_PAD(4, q('<MESSAGE>'))} || {_PAD(8, q('<MESSAGES>'))} || "
+    f"{_each(_ITEMS, 12, '<ITEM>', '</ITEM>', _ESC('x'))} || {_PAD(8, q('</MESSAGES>'))} || {_PAD(4, q('</MESSAGE>'))} "
+    f"ELSE {_PAD(4, q('<MESSAGE>') + ' || ' + _ESC('message') + ' || ' + q('</MESSAGE>'))} END",
+    _PAD(4, f"'<SNIPPET>' || {_ESC('snippet')} || '</SNIPPET>'"),
+    _PAD(4, "'<BIT>'"),
+    _PAD(8, f"'<TRIGGER>' || {_ESC(chr(40) + 'CASE WHEN message <> ' + chr(39) * 2 + ' THEN message ELSE ' + q('Vulnerability detected.') + ' END)')} || '</TRIGGER>'"),
+    _PAD(8, "'<STEPS>'"), _PAD(12, f"'<STEP>' || {STEP} || '</STEP>'"), _PAD(8, "'</STEPS>'"),
+    _PAD(8, "'<REPRODUCTION>Inspect the indicated code region and verify unsafe data flow or pattern.</REPRODUCTION>'"),
+    _PAD(8, f"'<BIT_SEVERITY>' || {SEV_PAIR} || '</BIT_SEVERITY>'"), _PAD(4, "'</BIT>'"),
+    _PAD(4, "'<CLASSES>'"), _each("vulnerability_class", 8, "<CLASS>", "</CLASS>", "x"), _PAD(4, "'</CLASSES>'"),
+    _PAD(4, "'<WEAKNESSES>'"), _each("cwe", 8, '<CWE id="', '"/>', "x"), _PAD(4, "'</WEAKNESSES>'"),
+    _PAD(4, "'<REFERENCES>'"), _each("refs", 8, '<REF href="', '"/>', "x"), _PAD(4, "'</REFERENCES>'"),
+    _PAD(4, "'<PRECONDITIONS>'"), _PAD(8, "'<ITEM>Authenticated user may be required depending on route.</ITEM>'"), _PAD(4, "'</PRECONDITIONS>'"),
+    _PAD(4, "'<ENV>'"), _PAD(8, "'<RUNTIME node=\"unknown\" os=\"posix\"/>'"), _PAD(4, "'</ENV>'"),
+    _PAD(4, "'<MITIGATION>'"),
+    _PAD(8, "'<SUMMARY>Apply minimal changes: sanitize inputs, use parameterized APIs, and enforce allowlists.</SUMMARY>'"),
+    _PAD(4, "'</MITIGATION>'"), _PAD(4, "'<TRACKING></TRACKING>'"), "'</VULNERABILITY>'"])
+T3_CONTEXT = with_(BASE, merge_sql("f"), f"mx AS (SELECT *, {CONTEXT_XML} AS xml FROM merged)") + f"""
+SELECT repo, scan_id, path, CAST(length(prompt) AS INTEGER) AS prompt_chars, sha256(prompt) AS prompt_sha, true AS has_context
+FROM (SELECT m.repo, m.scan_id, m.path, {fill(_P.FIX_TEMPLATE, input=INPUT, vulnerabilities=VULN_TEXT,
+                                              context=fill(_P.CONTEXT_SECTION, xml='m.xml'))} AS prompt
+      FROM mx m JOIN d ON m.repo = d.repo AND m.path = d.path WHERE {STRIP.format(x='d.content')} <> '')
+"""
 T3C = with_(BASE, merge_sql("f")) + f"""
 SELECT m.repo, m.scan_id, m.path, 'fix' AS kind, 'gpt-4o' AS model, {q(_P.SYSTEM_MESSAGE)} AS system,
        sha256({PROMPT_EXPR}) AS user_sha, '0.3' AS temperature
@@ -499,9 +567,10 @@ fresp AS (
          || chr(10) || '3. Recommended Fix: fix ' || path || chr(10) || '4. Final Modified Code:' || chr(10)
          || '```python' || chr(10) || 'x = ' || CAST(first_ordinal AS VARCHAR) || chr(10) || '```' || chr(10)
          || '5. Additional Notes: n' || CAST(start_line AS VARCHAR) AS content
-  FROM merged WHERE first_ordinal % 4 <> 3)
+  FROM merged)
 """
-J5 = with_(BASE, merge_sql("f"), FILE_RESP) + f"""
+FILE_RESP_SOME = FILE_RESP.replace("FROM merged)", "FROM merged WHERE first_ordinal % 4 <> 3)")  # some answers are missing
+J5 = with_(BASE, merge_sql("f"), FILE_RESP_SOME) + f"""
 SELECT m.repo, m.scan_id, m.path, s.vulnerability, s.risks, s.recommended_fix, s."references"
 FROM merged m LEFT JOIN ({sections_sql('fresp')}) s USING (repo, scan_id, path)
 """
@@ -514,6 +583,7 @@ ORACLES.update({
     "a9_token_usage": A9,
     "p14_key_roundtrip": P14,
     "t3_render_prompts": T3,
+    "t3_prompts_with_context": T3_CONTEXT,
     "f4_empty_input_rejects": F4,
     "t3c_chat_requests": T3C,
     "t3b_retry_prompts": T3B,
@@ -528,13 +598,15 @@ pc AS (
          CASE WHEN doc_id % 3 = 0 THEN array_to_string(list_transform(lines, lambda x, i:
                    CASE WHEN i = 1 + doc_id % len(lines) THEN 'fixed_' || CAST(doc_id AS VARCHAR) ELSE x END), chr(10))
               ELSE content END AS code
-  FROM d WHERE doc_id % 3 <> 2),
+  FROM d),
 bench AS (
   SELECT 'src' || CAST(item_id % 20 AS VARCHAR) AS repo, 'src' || CAST(item_id % 20 AS VARCHAR) || '-semgrep' AS scan_id,
          'bench/item_' || CAST(item_id AS VARCHAR) || '.py' AS path, text AS code
   FROM benchmark)
 """
 
+PARSED_SOME = PARSED.replace("  FROM d),\nbench AS", "  FROM d WHERE doc_id % 3 <> 2),\nbench AS")  # some parsed code is absent
+
 MARKS = r"""
 mk AS (
   SELECT s.repo, s.scan_id, s.path, s.ordinal, s.start_line AS s, s.end_line AS e, len(d.lines) AS n
@@ -579,7 +651,7 @@ SELECT repo, scan_id, path,
        'diff' AS status
 FROM (SELECT *, CASE WHEN b - a + 1 = 1 THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || ',' || CAST(b - a + 1 AS VARCHAR) END AS rng FROM body)
 UNION ALL
-SELECT repo, scan_id, path, '' AS diff, 'no_changes' AS status FROM pc WHERE doc_id % 3 = 1
+SELECT repo, scan_id, path, '' AS diff, 'no_changes' AS status FROM pc WHERE doc_id % 3 <> 0
 """.replace("\n, hk AS", ",\nhk AS", 1)
 
 T6B = with_(BASE, PARSED) + r"""
@@ -592,7 +664,7 @@ SELECT repo, scan_id, path, CAST(sum(greatest(dd, 0)) AS BIGINT) AS n_added, CAS
 FROM per_line GROUP BY repo, scan_id, path
 """.replace("\n, sides AS", ",\nsides AS", 1)
 
-T7 = with_(BASE, PARSED) + """
+T7 = with_(BASE, PARSED_SOME) + """
 SELECT d.repo, d.path, pc.scan_id,
        CASE WHEN d.doc_id % 3 = 0 THEN pc.code ELSE d.content END AS content,
        CASE WHEN d.doc_id % 3 = 0 THEN 'patched' ELSE 'unchanged' END AS status
@@ -987,7 +1059,7 @@ sgl AS (
   FROM sv WHERE tool = 'semgrep' AND event_id % 50 <> 0)
 """
 R1 = with_(BASE, SCAN, SG_LIST, merge_sql("sgl")) + f"""
-SELECT repo, scan_id, path, first_ordinal, n_findings, start_line, end_line, snippet, message,
+SELECT repo, scan_id, path, tool, first_ordinal, n_findings, start_line, end_line, snippet, message,
        {arr('vulnerability_class')} AS vulnerability_class, {arr('cwe')} AS cwe, severity, {arr('refs')} AS "references"
 FROM merged
 """
@@ -1004,13 +1076,18 @@ A5 = with_(BASE) + """
 SELECT repo, scan_id, CAST(count(DISTINCT path) AS INTEGER) AS n_paths, string_agg(DISTINCT path, ';' ORDER BY path) AS paths
 FROM f GROUP BY repo, scan_id
 """
-K3 = with_(BASE, RESP, CODE, PARSED) + """
-SELECT repo, scan_id, path, 'parsed' AS kind, sha256(code) AS text_sha FROM code
+K3 = f"""
+SELECT repo, scan_id, path, 'parsed' AS kind, sha256(code) AS text_sha FROM ({T1})
 UNION ALL
-SELECT repo, scan_id, path, 'diff', NULL FROM pc WHERE doc_id % 3 = 0
+SELECT repo, scan_id, path, 'diff', sha256(diff) FROM ({T6}) WHERE status = 'diff'
+"""
+S1_DEFAULT = with_(BASE) + """
+SELECT 'source=' || source AS repo, 'lang=' || lang || '/doc=' || CAST(doc_id AS VARCHAR) AS folder,
+       CAST(len(lines) AS INTEGER) AS n_lines
+FROM documents JOIN d USING (doc_id)
 """
-ORACLES.update({"s1_read_source_files": S1, "s4_findings_roundtrip": S4, "s7_read_logs": L1, "k4_append_log": L1,
-                "a5_distinct_paths": A5})
+ORACLES.update({"s1_read_source_files": S1, "s1_default_layout": S1_DEFAULT, "s4_findings_roundtrip": S4, "s7_read_logs": L1, "k4_append_log": L1,
+                "a5_distinct_paths": A5, "k3_text_per_file": K3})
 
 
 BASE_HOT = BASE.replace("ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)",

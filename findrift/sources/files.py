@@ -24,19 +24,34 @@ REPO_LOG_SCHEMA = ("name string, owner string, repo_url string, vulnerabilities
                    "rerun boolean, repo_hash string")
 
 
-def read_source_files(spark: SparkSession, root: str, exts: Sequence[str] = ("py", "pyi"),
-                      layout: str = r"^(?:.*?/)?([^/]+)/(.+)$") -> DataFrame:
-    """Recursive read of UTF-8 source files under ``root`` (binaryFile source,
-    extension glob pushed into the listing).  ``layout`` maps the path below
-    ``root`` to (repo, path) with two regex groups; default <repo>/<path>."""
+def _scan_sources(spark: SparkSession, root: str, exts: Sequence[str], layout: str) -> DataFrame:
     glob = "*." + (exts[0] if len(exts) == 1 else "{" + ",".join(exts) + "}")
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
           .load(root).select("path", "content"))
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
-    text = F.decode(F.col("content"), "UTF-8")
-    lines = split_lines(text)
+    below = "^.*?" + "".join(c if c.isalnum() or c in "/_-" else f"\\x{{{ord(c):x}}}" for c in root.rstrip("/").split("://")[-1]) + "/"
+    rel = F.regexp_replace("path", below, "")
     return df.select(F.regexp_extract(rel, layout, 1).alias("repo"), F.regexp_extract(rel, layout, 2).alias("path"),
-                     text.alias("content"), lines.alias("lines"), F.size(lines).alias("n_lines"))
+                     F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def read_source_files(spark: SparkSession, root: str, exts: Sequence[str] = ("py", "pyi"),
+                      layout: str = r"^([^/]+)/(.+)$") -> DataFrame:
+    """Recursive read of UTF-8 source files under ``root`` (binaryFile source,
+    extension glob pushed into the listing).  ``layout`` maps the path below
+    ``root`` to (repo, path) with two regex groups; default <repo>/<path>.
+    Files that are not UTF-8 are left out here and listed by
+    :func:`source_rejects`."""
+    lines = split_lines("content")
+    return (_scan_sources(spark, root, exts, layout).where(F.col("content").isNotNull())
+            .select("repo", "path", "content", lines.alias("lines"), F.size(lines).alias("n_lines")))
+
+
+def source_rejects(spark: SparkSession, root: str, exts: Sequence[str] = ("py", "pyi"),
+                   layout: str = r"^([^/]+)/(.+)$") -> DataFrame:
+    """Files under ``root`` that S1 can't read, as reject rows."""
+    return _scan_sources(spark, root, exts, layout).where(F.col("content").isNull()).select(
+        "repo", F.lit(None).cast("string").alias("scan_id"), F.lit("source").alias("stage"), F.col("path").alias("key"),
+        F.lit("NOT_UTF8").alias("code"), F.lit("file is not valid UTF-8; dropped").alias("message"))
 
 
 def read_findings(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Scanner output files -> VARIANT documents -> one row per result.
+"""Scanner output files -> one row per result.
 
 A scan may be sharded into several files (``part``); every file is one row
-holding its whole text, so a single file must fit one task (split SARIF by
-run upstream beyond ~100 MB).  Nothing here groups a whole scan together.
+holding its whole text.  A document is parsed once, straight into its results
+(each a VARIANT of its own), so no limit on the size of a single VARIANT
+applies to a whole document.  A document that is no valid scanner output keeps
+one row with ``doc_error`` set, which the adapters turn into a reject.
 """
 
 from __future__ import annotations
@@ -25,41 +27,53 @@ def read_scan_files(spark: SparkSession, path: str, tool: str, repo: str | None
           .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path")))
     parts = F.split(F.col("file_path"), "/")
     names = df.select("file_path", F.element_at(parts, -2).alias("scan_id"))
-    numbered = names.withColumn(
-        "part", (F.row_number().over(Window.partitionBy("scan_id").orderBy("file_path")) - 1).cast("long"))
     repo_col = F.lit(repo) if repo else F.element_at(parts, -3)
+    numbered = names.withColumn("repo", repo_col).withColumn(
+        "part", (F.row_number().over(Window.partitionBy("repo", "scan_id").orderBy("file_path")) - 1).cast("long"))
     return (df.join(numbered, "file_path")
-            .select("scan_id", repo_col.alias("repo"), F.lit(tool).alias("tool"), "part", "text"))
+            .select("scan_id", "repo", F.lit(tool).alias("tool"), "part", "text"))
 
 
-def parse_docs(raw: DataFrame) -> DataFrame:
-    """Text -> VARIANT. Malformed documents give a null ``doc`` (kept for rejects)."""
-    return raw.select("scan_id", "repo", "tool", "part",
-                      F.try_parse_json(F.col("text")).alias("doc"))
+MALFORMED_DOCUMENT = ("MALFORMED_DOCUMENT", "scanner output is not a valid document; dropped")
+DOC_KEYS = ("scan_id", "repo", "tool", "part")
+
+
+def _parsed(raw: DataFrame, text: Column, schema: str) -> DataFrame:
+    """Documents as ``doc`` by ``schema``, with ``doc_error`` where that fails."""
+    doc = F.from_json(text, schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return raw.select(*DOC_KEYS, doc.alias("doc"))
+
+
+def _error() -> Column:
+    return F.when(F.col("doc").isNull() | F.col("doc._bad").isNotNull(), F.lit(MALFORMED_DOCUMENT[0]))
 
 
 def vget(v: Column | str, path: str, typ: str = "string") -> Column:
     return F.try_variant_get(F.col(v) if isinstance(v, str) else v, path, typ)
 
 
-def native_results(docs: DataFrame) -> DataFrame:
-    """``{"results": [...]}`` or a bare list -> (scan_id, repo, tool, part, pos, r)."""
-    items = F.coalesce(vget("doc", "$.results", "array<variant>"), vget("doc", "$", "array<variant>"))
-    return docs.select("scan_id", "repo", "tool", "part", F.posexplode(items).alias("pos", "r"))
+def native_results(raw: DataFrame) -> DataFrame:
+    """``{"results": [...]}`` or a bare list -> (scan_id, repo, tool, part,
+    doc_error, pos, r); a document without results gives no row, a broken one
+    a row with its error."""
+    bare = F.ltrim(F.regexp_replace(F.substring("text", 1, 64), r"\s", " ")).startswith("[")
+    text = F.when(bare, F.concat(F.lit('{"results":'), "text", F.lit("}"))).otherwise(F.col("text"))
+    # outer: an inferred filter on the array's size would parse the text again
+    ex = _parsed(raw, text, "results array<variant>").select(
+        *DOC_KEYS, _error().alias("doc_error"), F.posexplode_outer("doc.results").alias("pos", "r"))
+    return ex.where(F.col("pos").isNotNull() | F.col("doc_error").isNotNull())
 
 
-def sarif_runs(docs: DataFrame) -> DataFrame:
-    return docs.select("scan_id", "repo", "tool", "part",
-                       F.posexplode(vget("doc", "$.runs", "array<variant>")).alias("run_pos", "run"))
+_SARIF = "runs array<struct<tool: variant, results: array<variant>>>"
 
 
-def sarif_rules(docs: DataFrame) -> DataFrame:
+def sarif_rules(raw: DataFrame) -> DataFrame:
     """S3 rules: one row per ``runs[].tool.driver.rules[]``."""
-    runs = sarif_runs(docs)
-    ex = runs.select("scan_id", "repo", "tool", "part", "run_pos",
-                     F.posexplode(vget("run", "$.tool.driver.rules", "array<variant>")).alias("rule_pos", "rule"))
-    return ex.select(
-        "scan_id", "repo", "tool", "part", "run_pos", "rule_pos",
+    runs = _parsed(raw, F.col("text"), _SARIF).select(*DOC_KEYS, F.posexplode_outer("doc.runs").alias("run_pos", "run"))
+    ex = runs.select(*DOC_KEYS, "run_pos",
+                     F.posexplode_outer(vget("run.tool", "$.driver.rules", "array<variant>")).alias("rule_pos", "rule"))
+    return ex.where(F.col("rule_pos").isNotNull()).select(
+        *DOC_KEYS, "run_pos", "rule_pos",
         vget("rule", "$.id").alias("rule_id"),
         vget("rule", "$.properties.tags", "array<string>").alias("tags"),
         vget("rule", "$.helpUri").alias("help_uri"),
@@ -82,43 +96,49 @@ def _rule(x: Column) -> Column:
 
 
 def _rules_of(run: Column) -> Column:
-    return F.transform(F.coalesce(vget(run, "$.tool.driver.rules", "array<variant>"), F.array().cast("array<variant>")),
+    return F.transform(F.coalesce(vget(run["tool"], "$.driver.rules", "array<variant>"), F.array().cast("array<variant>")),
                        _rule)
 
 
 def _last_wins_map(rules: Column) -> Column:
-    """id -> rule, a later entry with the same id replacing an earlier one; no id -> left out."""
-    kept = F.filter(rules, lambda x, i: x["id"].isNotNull() & (x["id"] != "")
-                    & ~F.exists(F.slice(rules, i + 2, F.size(rules) + 1), lambda y: y["id"] == x["id"]))
-    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["id"], x)))
+    """id -> rule, a later entry with the same id replacing an earlier one; no id -> left out.
+
+    Sorted by (id, position), an entry stays if its neighbour has another id."""
+    named = F.filter(F.transform(rules, lambda x, i: F.struct(x["id"].alias("id"), i.alias("i"), x.alias("x"))),
+                     lambda y: y["id"].isNotNull() & (y["id"] != ""))
+    order = lambda a, b: (F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1)
+                          .when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0))
+    # bound once through a one-element array, so the neighbour test does not sort again
+    kept = F.transform(F.array(F.array_sort(named, order)), lambda s: F.filter(
+        s, lambda y, i: ~F.coalesce(F.get(s, i + 1)["id"] == y["id"], F.lit(False))))
+    return F.map_from_entries(F.transform(F.get(kept, 0), lambda y: F.struct(y["id"], y["x"])))
 
 
-def sarif_results(docs: DataFrame, rule_scope: str = "file") -> DataFrame:
+def sarif_results(raw: DataFrame, rule_scope: str = "file") -> DataFrame:
     """S3 results, one row per ``runs[].results[]`` (first location only), each
-    with the rule it names attached.
+    with the rule it names attached; a broken document gives one row with
+    ``doc_error``.
 
     The rule lookup is built inside the document row -- ``file``: one map over
     all runs of the file, later runs win; ``run``: one map per run -- and applied
     before the results are exploded, so there is no second parse, no
     aggregation and no join for rule metadata."""
-    runs = vget("doc", "$.runs", "array<variant>")
-    d = docs.select("scan_id", "repo", "tool", "part", runs.alias("runs"))
+    d = _parsed(raw, F.col("text"), _SARIF)
     if rule_scope == "file":
-        d = d.withColumn("_m", _last_wins_map(F.flatten(F.transform("runs", _rules_of))))
-        ex = d.select("scan_id", "repo", "tool", "part", "_m", F.posexplode("runs").alias("run_pos", "run"))
-        lookup = F.col("_m")
+        d = d.select(*DOC_KEYS, _error().alias("doc_error"), F.col("doc.runs").alias("runs"),
+                     _last_wins_map(F.flatten(F.transform("doc.runs", _rules_of))).alias("_m"))
+        ex = d.select(*DOC_KEYS, "doc_error", "_m", F.posexplode_outer("runs").alias("run_pos", "run"))
     else:
-        ex = (d.select("scan_id", "repo", "tool", "part", F.posexplode("runs").alias("run_pos", "run"))
-              .select("scan_id", "repo", "tool", "part", "run_pos", "run",
-                      _last_wins_map(_rules_of(F.col("run"))).alias("_m")))
-        lookup = F.col("_m")
-    with_rule = F.transform(vget("run", "$.results", "array<variant>"),
-                            lambda x: F.struct(x.alias("r"), F.try_element_at(lookup, vget(x, "$.ruleId")).alias("rule")))
-    res = ex.select("scan_id", "repo", "tool", "part", "run_pos", F.posexplode(with_rule).alias("pos", "x"))
+        ex = d.select(*DOC_KEYS, _error().alias("doc_error"), F.posexplode_outer("doc.runs").alias("run_pos", "run"))
+        ex = ex.select("*", _last_wins_map(_rules_of(F.col("run"))).alias("_m"))
+    with_rule = F.transform("run.results", lambda x: F.struct(
+        x.alias("r"), F.try_element_at(F.col("_m"), vget(x, "$.ruleId")).alias("rule")))
+    res = (ex.select(*DOC_KEYS, "doc_error", "run_pos", F.posexplode_outer(with_rule).alias("pos", "x"))
+           .where(F.col("pos").isNotNull() | F.col("doc_error").isNotNull()))
     loc = "$.locations[0].physicalLocation"
     r = F.col("x.r")
     return res.select(
-        "scan_id", "repo", "tool", "part", "run_pos", "pos",
+        *DOC_KEYS, "doc_error", "run_pos", "pos",
         vget(r, "$.ruleId").alias("rule_id"),
         # a list-valued level must not be read as its JSON text
         F.when(vget(r, "$.level", "array<string>").isNull(), vget(r, "$.level")).alias("level_str"),
@@ -132,7 +152,11 @@ def sarif_results(docs: DataFrame, rule_scope: str = "file") -> DataFrame:
 
 
 def ordinal(part: Column | str, run_pos: Column | str | int, pos: Column | str) -> Column:
-    """Total order of a result inside its scan: (part, run, position) packed in a bigint."""
+    """Total order of a result inside its scan: (part, run, position) packed in a
+    bigint; fails rather than let one field run into the next."""
     c = lambda x: F.lit(x) if isinstance(x, int) else (F.col(x) if isinstance(x, str) else x)
-    return (F.shiftleft(c(part).cast("long"), 40) + F.shiftleft(c(run_pos).cast("long"), 24)
-            + c(pos).cast("long"))
+    part, run_pos, pos = (c(x).cast("long") for x in (part, run_pos, pos))
+    fits = (part < 1 << 23) & (run_pos < 1 << 16) & (pos < 1 << 24)
+    packed = F.shiftleft(part, 40) + F.shiftleft(run_pos, 24) + pos
+    return F.when(fits, packed).when(part.isNotNull() & run_pos.isNotNull() & pos.isNotNull(), F.raise_error(
+        F.format_string("result (%d, %d, %d) is beyond the range of an ordinal", part, run_pos, pos)).cast("long"))

@@ -6,9 +6,8 @@ R1  scanner output files land in a folder laid out as
     to ``source_files``), findings are appended per batch, and the per-file
     merge (A1) is recomputed only for the (repo, scan_id, path) keys the batch
     touched.  ``latest_file_findings`` is the current view.
-R2  status updates stream in as JSON lines; exact redeliveries are dropped
-    within a watermark, the rest is appended; W6 over the sink is the current
-    PR status.
+R2  status updates stream in as JSON lines and are all kept, late ones too;
+    W6 over the sink is the current PR status.
 
 Every sink folder is keyed by batch id and written with ``overwrite``, so a
 re-run micro-batch (executor loss, restart from the checkpoint) replaces its
@@ -80,17 +79,20 @@ def latest_file_findings(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def stream_pr_status(spark: SparkSession, landing: str, out_dir: str, checkpoint: str | None = None,
-                     watermark: str = "1 day", available_now: bool = True) -> StreamingQuery:
-    """R2: status updates -> drop redeliveries within the watermark -> append."""
-    s = (spark.readStream.schema(STATUS_SCHEMA).json(landing)
-         .withWatermark("ts", watermark)
-         .dropDuplicatesWithinWatermark(["pr_number", "repo_url", "ts", "seq"]))
-    w = (s.writeStream.format("parquet").option("path", f"{out_dir}/updates")
-         .option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint").outputMode("append"))
+                     available_now: bool = True) -> StreamingQuery:
+    """R2: status updates are kept whatever their age, one folder per micro-batch
+    (a re-run batch replaces its own).  A redelivered update changes nothing:
+    exact repeats go inside the batch, and W6 picks one latest update per PR."""
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        (batch.dropDuplicates(["pr_number", "repo_url", "ts", "seq"])
+         .write.mode("overwrite").parquet(f"{out_dir}/updates/batch_id={batch_id}"))
+
+    s = spark.readStream.schema(STATUS_SCHEMA).json(landing)
+    w = s.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
 def current_pr_status(spark: SparkSession, out_dir: str) -> DataFrame:
-    """W6 over the appended updates."""
-    return latest_status(spark.read.schema(STATUS_SCHEMA).parquet(f"{out_dir}/updates"))
+    """W6 over all updates so far."""
+    return latest_status(spark.read.schema(STATUS_SCHEMA + ", batch_id bigint").parquet(f"{out_dir}/updates").drop("batch_id"))
