@@ -46,18 +46,26 @@ BASE_COLUMNS = ("repo", "scan_id", "tool", "part", "run_pos", "pos", "path", "st
                 "severity", "vulnerability_class", "cwe", "references", "doc_error")
 
 
+def join_sources(base: DataFrame, source_files: DataFrame) -> DataFrame:
+    """Results of any mix of tools with their source files: one join for all."""
+    return base.join(_files(source_files), ["repo", "path"], "left")
+
+
 def _finish(base: DataFrame, source_files: DataFrame, tools: set[str]) -> tuple[DataFrame, DataFrame]:
-    """Join results of any mix of tools to their source files once and apply each
-    tool's policy as conditional expressions (one join for all tools):
+    return apply_policies(join_sources(base, source_files), tools)
+
+
+def apply_policies(fj: DataFrame, tools: set[str]) -> tuple[DataFrame, DataFrame]:
+    """Findings and rejects of joined results, each tool's policy as conditional
+    expressions:
 
     semgrep   missing file -> reject; 0 < s <= e <= n else ''; idx = position
     codeql    missing file kept ('' snippet); start outside 1..n or blank region
               dropped; e <= s -> start line only; stripped; idx counts kept rows
               of the file in (run, position) order
-    broken document (any tool) -> reject
     snykcode  missing file dropped; s < 1 or e < s -> ''; stripped; idx = position in run
+    broken document (any tool) -> reject
     """
-    fj = base.join(_files(source_files), ["repo", "path"], "left")
     tool, broken = F.col("tool"), F.col("doc_error").isNotNull()
     s, e, n = F.col("start_line"), F.col("end_line"), F.col("n_lines")
     exists = n.isNotNull()
@@ -188,7 +196,7 @@ def codeql_base(raw: DataFrame) -> DataFrame:
 
 
 def codeql_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SARIF with the CodeQL policy (see ``_finish``)."""
+    """SARIF with the CodeQL policy (see ``apply_policies``)."""
     return _finish(codeql_base(raw), source_files, {"codeql"})
 
 
@@ -209,7 +217,7 @@ def snyk_base(raw: DataFrame) -> DataFrame:
 
 
 def snyk_findings(raw: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SARIF with the Snyk policy (see ``_finish``); s < 1 gives an empty snippet,
+    """SARIF with the Snyk policy (see ``apply_policies``); s < 1 gives an empty snippet,
     a documented divergence from Python's negative index."""
     return _finish(snyk_base(raw), source_files, {"snykcode"})
 
@@ -237,13 +245,17 @@ BASES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def is_builtin(tool: str) -> bool:
+    return tool in BASES and ADAPTERS.get(tool) is _BUILTIN[tool]
+
+
 def union_tools(raw_by_tool: dict[str, DataFrame], source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All scanners into one findings table (and one rejects table).
 
     The built-in tools are unioned *before* the source join, so the source text
     is joined (and shuffled) once for all of them; registered extra adapters
     run on their own and are unioned after."""
-    builtin = [t for t in raw_by_tool if t in BASES and ADAPTERS.get(t) is _BUILTIN[t]]
+    builtin = [t for t in raw_by_tool if is_builtin(t)]
     outs, rejs = [], []
     if builtin:
         base = None

@@ -43,8 +43,8 @@ def annotate_source(findings: DataFrame, source_files: DataFrame, marker: str =
     the flagged lines, in finding order; start outside the file -> skipped,
     end outside -> treated as single-line.  Every output line ends in '\\n'.
 
-    Markers are grouped per (file, line) first, then per file into a map that
-    is applied to the line array with one ``transform`` -- the file text is
+    Markers are grouped per (file, line) first, then per file into an array in
+    line order that cuts the line array into stretches -- the file text is
     joined once per file, never per finding."""
     files = source_files.select("repo", "path", "n_lines")
     f = findings.select(*keys, "ordinal", "start_line", "end_line").join(files, ["repo", "path"])
@@ -59,10 +59,16 @@ def annotate_source(findings: DataFrame, source_files: DataFrame, marker: str =
     per_line = (marks.groupBy(*keys, "line")
                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "k", "m"))),
                                               lambda x: x["m"]), "").alias("suffix")))
-    per_file = per_line.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("line", "suffix"))).alias("marks"))
-    j = per_file.join(source_files.select("repo", "path", "lines"), ["repo", "path"])
-    text = F.transform("lines", lambda l, i: F.concat(l, F.coalesce(F.element_at(F.col("marks"), i + 1), F.lit(""))))
-    annotated = F.when(F.size("lines") > 0, F.concat(F.array_join(text, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    per_file = per_line.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "suffix"))).alias("marks"))
+    j = per_file.join(source_files.select("repo", "path", "lines", "n_lines"), ["repo", "path"])
+    # the stretch of lines up to each marked line, then the rest: every line is taken once
+    before = lambda i: F.when(i > 0, F.get("marks", i - 1)["line"]).otherwise(F.lit(0))
+    up_to = F.transform("marks", lambda m, i: F.concat(
+        F.array_join(F.slice("lines", before(i) + 1, m["line"] - before(i)), "\n"), m["suffix"]))
+    last = F.element_at("marks", -1)["line"]
+    rest = F.when(last < F.col("n_lines"), F.array(F.array_join(F.slice("lines", last + 1, F.col("n_lines") - last), "\n")))
+    text = F.array_join(F.concat(up_to, F.coalesce(rest, F.array().cast("array<string>"))), "\n")
+    annotated = F.when(F.col("n_lines") > 0, F.concat(text, F.lit("\n"))).otherwise(F.lit(""))
     return j.select(*keys, annotated.alias("annotated"))
 
 

@@ -1050,7 +1050,7 @@ ORACLES.update({"t9a_report_lines": T9A, "a10_run_summary": A10, "l2_repo_log_ro
 
 SG_LIST = """
 sgl AS (
-  SELECT repo, scan_id, (part << 40) + file_pos AS ordinal, raw_path AS path, raw_start AS start_line, end_line,
+  SELECT repo, scan_id, tool, (part << 40) + file_pos AS ordinal, raw_path AS path, raw_start AS start_line, end_line,
          CASE WHEN raw_start > 0 AND raw_start <= end_line AND end_line <= n_lines
               THEN array_to_string(list_slice(lines, raw_start, end_line), chr(10)) ELSE '' END AS snippet,
          message, [event_type] AS vulnerability_class,

@@ -3,9 +3,11 @@
 R1  scanner output files land in a folder laid out as
     ``repo=<repo>/scan_id=<scan>/part=<n>/<file>``; a file-source stream reads
     each file whole, the tool adapter runs per micro-batch (stream-static join
-    to ``source_files``), findings are appended per batch, and the per-file
-    merge (A1) is recomputed only for the (repo, scan_id, path) keys the batch
-    touched.  ``latest_file_findings`` is the current view.
+    to ``source_files``), findings are appended per batch, and the state of
+    the per-file merge (A1) of the (repo, scan_id, path) keys the batch touched
+    is added to the one stored before: no batch reads findings of another, and
+    what it reads of the state is the last snapshot's touched parts and the few
+    batches since.  ``latest_file_findings`` is the current view.
 R2  status updates stream in as JSON lines and are all kept, late ones too;
     W6 over the sink is the current PR status.
 
@@ -20,11 +22,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from findrift.operators import ingest
-from findrift.operators.merge import KEYS, merge_findings_by_file
+from findrift.operators.merge import KEYS, STATE_COLUMNS, add_states, finish_state, merge_state
 from findrift.operators.publish import latest_status
 
+#: Parts of the stored state that a batch reads only if it touches them, and
+#: batches after which the state is written out whole.
+BUCKETS, SNAPSHOT_EVERY = 64, 10
 STATUS_SCHEMA = "pr_number int, repo_url string, approved boolean, opened boolean, ts timestamp, seq bigint"
 _LAYOUT = r"repo=([^/]+)/scan_id=([^/]+)/part=(\d+)/"
 
@@ -44,38 +50,59 @@ def stream_findings(spark: SparkSession, landing: str, source_files: DataFrame,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     files = reader.load(landing).select("value", F.col("_metadata.file_path").alias("_path"))
-    adapter = ingest.ADAPTERS[tool]
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():          # a trailing empty micro-batch is normal
-            return
         raw = _raw_from_files(batch, tool)
-        found, rejects = adapter(raw, source_files)
-        tagged = found.withColumn("batch_id", F.lit(batch_id))
-        # findings are laid out repo=/batch_id=; a re-run batch replaces exactly
-        # its own partitions (dynamic partition overwrite)
-        (tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("repo", "batch_id").parquet(f"{out_dir}/findings"))
+        joined = None
+        if ingest.is_builtin(tool):  # one join feeds both outputs
+            joined = ingest.join_sources(ingest.BASES[tool](raw), source_files).persist()
+            found, rejects = ingest.apply_policies(joined, {tool})
+        else:
+            found, rejects = ingest.ADAPTERS[tool](raw, source_files)
+        found.write.mode("overwrite").parquet(f"{out_dir}/findings/batch_id={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
-        history = spark.read.schema(tagged.schema).parquet(f"{out_dir}/findings")
-        touched = history.where(F.col("batch_id") == batch_id).select(*KEYS).distinct()
-        # history is read only for the touched repos: the semi-join on the repo
-        # partition column lets dynamic partition pruning skip the others
-        every = history.drop("batch_id")
-        merged = merge_findings_by_file(every.join(touched, KEYS, "left_semi"))
-        merged.write.mode("overwrite").parquet(f"{out_dir}/file_findings/batch_id={batch_id}")
+        if joined is not None:
+            joined.unpersist()
+        found = spark.read.schema(found.schema).parquet(f"{out_dir}/findings/batch_id={batch_id}")
+        state = merge_state(found).withColumn("bucket", _bucket())
+        if batch_id:
+            buckets = [r["bucket"] for r in state.select("bucket").distinct().collect()]  # BUCKETS at most
+            before = _states(spark, out_dir, state.schema, batch_id).where(F.col("bucket").isin(buckets))
+            touched = state.select(*KEYS).distinct()
+            state = (add_states(state.drop("bucket").unionByName(before.join(touched, KEYS, "left_semi").drop("bucket")))
+                     .withColumn("bucket", _bucket()))
+        state.write.mode("overwrite").parquet(f"{out_dir}/state/batch_id={batch_id}")
+        if (batch_id + 1) % SNAPSHOT_EVERY == 0:
+            (_states(spark, out_dir, state.schema, batch_id + 1, snapshot=batch_id + 1 - SNAPSHOT_EVERY)
+             .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/snapshot/batch_id={batch_id}"))
 
     w = files.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("repo"), F.lit(BUCKETS)).cast("int")
+
+
+def _states(spark: SparkSession, out_dir: str, schema, before: int, snapshot: int | None = None) -> DataFrame:
+    """The state of every key before a batch: the last snapshot and the batches
+    after it, the latest row of each key (a row holds all batches up to its own)."""
+    taken = (before if snapshot is None else snapshot) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    columns = schema.names
+    rows = (spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())]))
+            .parquet(f"{out_dir}/state").where((F.col("batch_id") >= taken) & (F.col("batch_id") < before)))
+    if taken:
+        old = spark.read.schema(schema).parquet(f"{out_dir}/snapshot/batch_id={taken - 1}")
+        rows = rows.unionByName(old.withColumn("batch_id", F.lit(taken - 1).cast("long")))
+    rest = [c for c in columns if c not in KEYS]
+    return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*KEYS, "r.*")
+
+
 def latest_file_findings(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Current per-file merge: for each key the row of the latest batch that touched it."""
-    ff = spark.read.parquet(f"{out_dir}/file_findings")
-    cols = [c for c in ff.columns if c not in KEYS and c != "batch_id"]
-    return (ff.groupBy(*KEYS).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
-            .select(*KEYS, "r.*"))
+    """Current per-file merge: each key's state of the latest batch that touched it."""
+    rows = spark.read.parquet(f"{out_dir}/state")
+    return finish_state(rows.groupBy(*KEYS).agg(F.max_by(F.struct(*STATE_COLUMNS), "batch_id").alias("r")).select(*KEYS, "r.*"))
 
 
 def stream_pr_status(spark: SparkSession, landing: str, out_dir: str, checkpoint: str | None = None,

@@ -4,11 +4,12 @@ import json
 import os
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from findrift.functions.columns import split_lines
 from findrift.operators import ingest, merge
-from findrift.sources import scans
+from findrift.sources import files, scans
 from findrift.streaming import streams
 
 SMOKE = "/root/testdata/sf0.001"
@@ -31,10 +32,11 @@ def test_read_scan_files(spark, tmp_path):
     assert sorted(r["snippet"] for r in out.collect()) == ["x", "y"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_equals_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "SNAPSHOT_EVERY", 3)
     landing = tmp_path / "landing"
     docs = []
-    for part in range(4):
+    for part in range(8):
         res = [{"path": "a.py", "start": {"line": 1 + (part + k) % 3}, "end": {"line": 1 + (part + k) % 3},
                 "extra": {"message": f"m{part}{k}", "severity": ["INFO", "ERROR"][k % 2]}} for k in range(3)]
         d = landing / "repo=r1" / "scan_id=s1" / f"part={part}"
@@ -46,7 +48,7 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, streams.latest_file_findings(spark, str(tmp_path / "out")).select(*merge.MERGED_COLUMNS).collect()))
     raw = spark.createDataFrame(docs, "scan_id string, repo string, tool string, part long, text string")
     exp = sorted(map(tuple, merge.merge_findings_by_file(ingest.semgrep_findings(raw, _files(spark))[0]).collect()))
-    assert got == exp and got[0][4] == 12
+    assert got == exp and got[0][merge.MERGED_COLUMNS.index("n_findings")] == 24
 
 
 def test_oracles_at_smoke_scale(spark):
@@ -63,3 +65,40 @@ def test_oracles_at_smoke_scale(spark):
         names = [d[0] for d in res.description]
         orows = sorted(tuple(str(r[names.index(c)]) for c in cols) for r in res.fetchall())
         assert srows == orows, name
+
+
+def test_default_layout_and_bytes_that_are_no_utf8(spark, tmp_path):
+    root = tmp_path / "c++ (x)"
+    for name, data in (("r1/pkg/sub/a.py", b"x\n"), ("r1/b.py", "é".encode()), ("r2/bad.py", b"ok\n\xff\xfe"), ("r2/c.txt", b"no")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    got = sorted((r["repo"], r["path"], r["n_lines"]) for r in files.read_source_files(spark, str(root)).collect())
+    assert got == [("r1", "b.py", 1), ("r1", "pkg/sub/a.py", 1)]
+    assert [(r["repo"], r["key"], r["code"]) for r in files.source_rejects(spark, str(root)).collect()] == [("r2", "bad.py", "NOT_UTF8")]
+
+
+def test_broken_documents_become_rejects_and_shared_scan_ids_stay_apart(spark):
+    ok = {"runs": [{"tool": {"driver": {"rules": []}}, "results": [{"ruleId": "x", "locations": [{"physicalLocation": {
+        "artifactLocation": {"uri": "a.py"}, "region": {"startLine": n}}}]} for n in (1, 2)]}]}
+    rows = [("s", r, "codeql", 0, json.dumps(ok)) for r in ("r1", "r2")] + [("s", "r1", "codeql", i, t) for i, t in enumerate(("{", "", None, "[]"), 1)]
+    src = _files(spark).unionByName(_files(spark).withColumn("repo", F.lit("r2")))
+    found, rejects = ingest.codeql_findings(spark.createDataFrame(rows, "scan_id string, repo string, tool string, part long, text string"), src)
+    assert sorted((r["repo"], r["idx"]) for r in found.collect()) == [("r1", 0), ("r1", 1), ("r2", 0), ("r2", 1)]
+    assert sorted((r["key"], r["code"]) for r in rejects.collect()) == [(f"codeql part {i}", "MALFORMED_DOCUMENT") for i in range(1, 5)]
+
+
+def test_ordinals_fail_rather_than_collide(spark):
+    df = spark.range(1).select(scans.ordinal(F.lit(0), F.lit(0), F.lit(1 << 24)).alias("o"))
+    with pytest.raises(Exception, match="beyond the range"):
+        df.collect()
+
+
+def test_late_status_updates_are_kept(spark, tmp_path):
+    def land(name, *rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
+        streams.stream_pr_status(spark, str(tmp_path / "in"), str(tmp_path / "out")).awaitTermination()
+    row = lambda pr, ts, seq: {"pr_number": pr, "repo_url": "u", "approved": seq > 1, "opened": True, "ts": ts, "seq": seq}
+    land("a.json", row(1, "2026-01-20T00:00:00Z", 2), row(1, "2026-01-20T00:00:00Z", 2))
+    land("b.json", row(2, "2026-01-01T00:00:00Z", 1), row(1, "2026-01-02T00:00:00Z", 1))
+    assert sorted((r["pr_number"], r["approved"]) for r in streams.current_pr_status(spark, str(tmp_path / "out")).collect()) == [(1, True), (2, False)]
