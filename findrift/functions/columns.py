@@ -27,7 +27,7 @@ def col(c: Column | str) -> Column:
 
 def pystrip(c: Column | str) -> Column:
     """Python ``str.strip()``: trims all Unicode whitespace (Spark ``trim`` only trims spaces)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def split_lines(c: Column | str) -> Column:
@@ -55,7 +55,7 @@ def normalize_path(raw: Column | str, base: str | None = None) -> Column:
     if base:
         b = base.replace("\\", "/").rstrip("/")
         p = (F.when(p == b, F.lit(""))
-             .when(p.startswith(b + "/"), F.substring(p, len(b) + 2, 1 << 30))
+             .when(p.startswith(b + "/"), F.substr(p, F.lit(len(b) + 2)))
              .otherwise(p))
     return F.regexp_replace(p, r"^/+", "")
 
@@ -207,7 +207,7 @@ def upstream_from_url(url: Column | str, host_prefix: str = "https://github.com/
     """P16 (publish variant): struct(owner, name, error) for URLs that start with
     ``host_prefix``; the first two segments after it, error value otherwise."""
     u = col(url)
-    rest = F.split(F.substring(u, len(host_prefix) + 1, 1 << 30), "/", -1)
+    rest = F.split(F.substr(u, F.lit(len(host_prefix) + 1)), "/", -1)
     on_host = u.startswith(host_prefix)
     ok = on_host & (F.size(rest) >= 2)
     return F.struct(F.when(ok, F.get(rest, 0)).alias("owner"), F.when(ok, F.get(rest, 1)).alias("name"),

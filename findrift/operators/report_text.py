@@ -250,7 +250,7 @@ def repo_log_lines(findings: DataFrame, sections: DataFrame | None = None) -> Da
     totals = cc.groupBy("repo", "scan_id").agg(F.sum("count").alias("vulns"))
     sr = scan_rows.join(totals, ["repo", "scan_id"], "left").withColumn("vulns", F.coalesce("vulns", F.lit(0)))
     zero = F.lit(0)
-    tool_cap = F.concat(F.upper(F.substring("tool", 1, 1)), F.lower(F.substring("tool", 2, 1 << 20)))
+    tool_cap = F.concat(F.upper(F.substring("tool", 1, 1)), F.lower(F.substr("tool", F.lit(2))))
     parts = [
         _lines(sr, 0, zero, 0, [(0, LOG_HEADER), (1, F.concat(F.lit("- SAST Tool: "), tool_cap)),
                                 (2, F.concat(F.lit("- Total vulnerabilities Detected: "), F.col("vulns").cast("string"), F.lit("\n")))]),
@@ -295,6 +295,11 @@ def repo_log_entries(findings: DataFrame, sections: DataFrame | None, scans: Dat
 
     ``scans``: (repo, scan_id, name, owner, user_name, repo_url, pr_number, rerun)."""
     eligible = scans.where(F.col("pr_number").isNotNull() & (F.col("user_name") != F.col("owner")))
+    # rows of other scans go before any text is built
+    wanted = eligible.select("repo", "scan_id").distinct()
+    findings = findings.join(wanted, ["repo", "scan_id"], "left_semi")
+    if sections is not None:
+        sections = sections.join(wanted, ["repo", "scan_id"], "left_semi")
     cc = reports.class_counts(findings)
     by_class = (cc.groupBy("repo", "scan_id")
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("class_pos", "type", "count"))),

@@ -119,13 +119,20 @@ def run_summary(file_findings: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def fleet_rollup(findings: DataFrame) -> DataFrame:
-    """Findings and files per (repo, tool, first class) with rollup subtotals."""
+    """Findings, files and errors per (repo, tool, first class) with rollup
+    subtotals, and the status of each line: failed (errors found) or passed."""
     f = findings.select("repo", "tool", F.coalesce(F.get("vulnerability_class", 0), F.lit("N/A")).alias("cls"),
                         "path", "severity")
     return (f.rollup("repo", "tool", "cls")
-            .agg(F.count(F.lit(1)).alias("n_findings"),
+            .agg(F.count(F.lit(1)).alias("n_findings"), F.count_distinct("repo", "path").alias("n_files"),
                  F.count_if(F.upper("severity") == "ERROR").alias("n_error"),
-                 F.grouping_id().alias("level")))
+                 F.grouping_id().alias("level"))
+            .withColumn("status", F.when(F.col("n_error") > 0, "failed").otherwise("passed")))
+
+
+def distinct_paths(findings: DataFrame) -> DataFrame:
+    """A5 / O2: the paths of each scan, one row each (a scan's list is never one row)."""
+    return findings.select("repo", "scan_id", "path").distinct()
 
 
 def first_or(c: Column | str, default: str = "N/A") -> Column:

@@ -86,11 +86,27 @@ def parse_files(source_files: DataFrame) -> DataFrame:
 def extract_ast_nodes(source_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ast_nodes, parse_status).  Write ``parse_files`` output once (e.g. to
     the shared folder) when both tables are used, so files are parsed once."""
-    raw = parse_files(source_files)
-    nodes = raw.where(F.col("success")).drop("success", "error_message")
-    status = (raw.groupBy("repo", "path")
-              .agg(F.bool_and("success").alias("success"), F.max("error_message").alias("error_message")))
-    return nodes, status
+    nodes = parse_files(source_files).where(F.col("success")).drop("success", "error_message")
+    return nodes, parse_status(source_files)
+
+
+def _status_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        errors = []
+        for content in pdf["content"]:
+            try:
+                ast.parse(content or "")
+                errors.append(None)
+            except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+                errors.append(str(e))
+        yield pd.DataFrame({"repo": pdf["repo"], "path": pdf["path"], "success": [e is None for e in errors],
+                            "error_message": errors})
+
+
+def parse_status(source_files: DataFrame) -> DataFrame:
+    """One row per file, without its nodes."""
+    return source_files.select("repo", "path", "content").mapInPandas(
+        _status_batches, "repo string, path string, success boolean, error_message string")
 
 
 def node_type_counts(nodes: DataFrame) -> DataFrame:

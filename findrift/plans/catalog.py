@@ -50,6 +50,7 @@ def a1_hot_file_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- M1 ingest
 from findrift.operators import ingest  # noqa: E402
+from findrift.sources import scans  # noqa: E402
 
 
 def _ingest(spark: SparkSession, sf_dir: str, tool: str):
@@ -406,7 +407,7 @@ def n1_ast_nodes(spark, sf_dir):
 
 @register("n1_parse_status")
 def n1_parse_status(spark, sf_dir):
-    return SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))[1]
+    return SX.parse_status(fx.python_sources(spark, sf_dir))
 
 
 @register("n2_node_type_counts")
@@ -425,8 +426,10 @@ def n3_find_node_at(spark, sf_dir):
 
 @register("j6_findings_to_nodes")
 def j6_findings_to_nodes(spark, sf_dir):
-    nodes, _ = SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))
-    return SX.map_findings_to_nodes(fx.findings(spark, sf_dir), nodes)
+    found = fx.findings(spark, sf_dir)
+    # only files with findings are parsed
+    files = fx.python_sources(spark, sf_dir).join(found.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    return SX.map_findings_to_nodes(found, SX.extract_ast_nodes(files)[0])
 
 
 # --------------------------------------------------------------------------- M7 publish
@@ -555,8 +558,10 @@ def a10_run_summary(spark, sf_dir):
 
 @register("l6_pr_requests")
 def l6_pr_requests(spark, sf_dir):
-    body = RT.assemble(RT.pr_body_lines(_attached(spark, sf_dir), _file_sections(spark, sf_dir, True)))
-    body = (body.where(F.col("scan_id").endswith("-semgrep"))
+    # only the scans whose text is used
+    used = F.col("scan_id").endswith("-semgrep")
+    body = RT.assemble(RT.pr_body_lines(_attached(spark, sf_dir).where(used), _file_sections(spark, sf_dir, True).where(used)))
+    body = (body
             .select(F.regexp_replace("repo", "^src", "r").alias("repo"), F.col("text").alias("body")))
     pub = PB.publishable_prs(fx.fork_prs(spark, sf_dir), fx.workflow_runs(spark, sf_dir))
     req = PB.pr_requests(pub, body, F.lit("forker"), F.lit("main"), F.lit("2026-01-01"))
@@ -641,10 +646,11 @@ def s4_findings_roundtrip(spark, sf_dir):
 
 @register("s7_read_logs")
 def s7_read_logs(spark, sf_dir):
-    """Legacy log documents ({prs, repos}, sharded by pr_number % 8) read by S7."""
+    """Legacy log documents ({prs, repos}, ten PRs each) read by S7."""
     base = scratch_path(spark, "s7")
     prs = PB.pr_log_rows(fx.pr_log(spark, sf_dir), F.col("date"))
-    docs = (prs.groupBy((F.col("pr_number") % 8).alias("shard"))
+    # a document holds up to ten PRs, however long the log is
+    docs = (prs.groupBy(F.floor(F.col("pr_number") / 10).alias("shard"))
             .agg(F.collect_list(F.struct(*prs.columns)).alias("prs"))
             .select(F.to_json(F.struct("prs", F.array().cast("array<string>").alias("repos"))).alias("value")))
     docs.write.text(base)
@@ -676,7 +682,52 @@ def k3_text_per_file(spark, sf_dir):
 
 @register("a5_distinct_paths")
 def a5_distinct_paths(spark, sf_dir):
-    """A5/O2: sorted distinct paths per scan (prompt inputs)."""
-    f = fx.findings(spark, sf_dir)
-    return (f.groupBy("repo", "scan_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-            .select("repo", "scan_id", F.size("paths").alias("n_paths"), F.array_join("paths", ";").alias("paths")))
+    """A5/O2: distinct paths per scan (prompt inputs)."""
+    return reports.distinct_paths(fx.findings(spark, sf_dir))
+
+
+@register("s2_read_scan_files")
+def s2_read_scan_files(spark, sf_dir):
+    """Scanner output written as one file per document, read by the file reader."""
+    base = scratch_path(spark, "s2")
+    raw = fx.semgrep_output(spark, sf_dir)
+    (raw.where(F.col("part") < fx.BROKEN_PARTS).select("repo", "scan_id", "text").repartition("repo", "scan_id")
+     .write.option("maxRecordsPerFile", 1).partitionBy("repo", "scan_id").text(base))
+    files = scans.read_scan_files(spark, base, "semgrep")
+    for c in ("repo", "scan_id"):
+        files = files.withColumn(c, F.regexp_replace(c, "^[a-z_]+=", ""))
+    found, _ = ingest.semgrep_findings(files, fx.source_files(spark, sf_dir))
+    return flat(found.drop("ordinal", "idx"))
+
+
+@register("s7_read_repo_logs")
+def s7_read_repo_logs(spark, sf_dir):
+    """The repos half of legacy log documents, one document per order."""
+    base = scratch_path(spark, "s7r")
+    rows = fx.repo_log_rows(spark, sf_dir)
+    entry = F.struct("name", "owner", "repo_url", "vulnerabilities", "byClass", "analysis", "sastTool", "rerun")
+    (rows.groupBy(F.floor(F.col("seq") / 10).alias("order")).agg(F.collect_list(entry).alias("repos"))
+     .select(F.to_json(F.struct(F.array().cast("array<string>").alias("prs"), "repos")).alias("value")).write.text(base))
+    _, repos = SRC.read_logs(spark, base, multiline=False)
+    return repos.select("name", "owner", "repo_url", "vulnerabilities", F.to_json("byClass").alias("byClass"), "analysis", "sastTool", "rerun")
+
+
+@register("l4_updates_from_pulls")
+def l4_updates_from_pulls(spark, sf_dir):
+    """Status updates from the code host's pull-request records (one per order)."""
+    o = fx.table(spark, sf_dir, "orders")
+    pulls = o.select(F.col("o_orderkey").alias("pr_number"), F.concat(F.lit("https://github.com/o/r"), (F.col("o_custkey") % 20).cast("string")).alias("repo_url"),
+                     F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("merged"),
+                     F.when(F.col("o_orderstatus") == "O", F.lit("open")).when(F.col("o_orderstatus") == "F", F.lit("closed")).alias("state"),
+                     F.col("o_orderdate").alias("ts"))
+    return PB.updates_from_pulls(pulls).select("pr_number", "repo_url", "approved", "opened", "seq")
+
+
+@register("p16_upstream_from_url")
+def p16_upstream_from_url(spark, sf_dir):
+    """P16, publish variant: owner and name after the host prefix."""
+    pages = fx.table(spark, sf_dir, "pages")
+    urls = pages.select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(
+        F.concat(F.lit("https://github.com/"), F.regexp_replace("url", r"^[a-z]+://", ""))).alias("url"))
+    u = C.upstream_from_url("url")
+    return urls.select("page_id", u["owner"].alias("owner"), u["name"].alias("name"), u["error"].alias("error"))

@@ -335,7 +335,8 @@ FROM att GROUP BY repo, scan_id, path
 
 A11 = with_(BASE) + """
 SELECT repo, tool, coalesce(vulnerability_class[1], 'N/A') AS cls, count(*) AS n_findings,
-       count(*) FILTER (WHERE upper(severity) = 'ERROR') AS n_error,
+       count(*) FILTER (WHERE upper(severity) = 'ERROR') AS n_error, count(DISTINCT (repo, path)) AS n_files,
+       CASE WHEN count(*) FILTER (WHERE upper(severity) = 'ERROR') > 0 THEN 'failed' ELSE 'passed' END AS status,
        grouping_id(repo, tool, coalesce(vulnerability_class[1], 'N/A')) AS level
 FROM f GROUP BY ROLLUP (repo, tool, coalesce(vulnerability_class[1], 'N/A'))
 """
@@ -1072,10 +1073,29 @@ S4 = with_(BASE) + f"""
 SELECT repo, path, start_line, end_line, snippet, message, {arr('vulnerability_class')} AS vulnerability_class,
        {arr('cwe')} AS cwe, severity, {arr('refs')} AS "references" FROM f
 """
-A5 = with_(BASE) + """
-SELECT repo, scan_id, CAST(count(DISTINCT path) AS INTEGER) AS n_paths, string_agg(DISTINCT path, ';' ORDER BY path) AS paths
-FROM f GROUP BY repo, scan_id
-"""
+A5 = with_(BASE) + "SELECT DISTINCT repo, scan_id, path FROM f"
+S2_FILES = with_(BASE, SCAN) + f"SELECT * EXCLUDE (ordinal, idx) FROM ({SEMGREP_ROWS})"
+S7_REPOS = """
+SELECT 'p' || CAST(l_partkey AS VARCHAR) AS name, l_returnflag AS owner,
+       CASE WHEN l_linestatus <> 'F' THEN 'https://github.com/' || l_linestatus END AS repo_url,
+       CAST(l_linenumber AS BIGINT) AS vulnerabilities,
+       '[{"type":"' || l_returnflag || '","count":' || CAST(l_linenumber AS VARCHAR) || '}]' AS "byClass",
+       '' AS analysis, 'semgrep' AS "sastTool", l_linenumber % 2 = 0 AS rerun
+FROM lineitem
+"""
+L4_PULLS = """
+SELECT CAST(o_orderkey AS INTEGER) AS pr_number, 'https://github.com/o/r' || CAST(o_custkey % 20 AS VARCHAR) AS repo_url,
+       o_orderstatus = 'F' AS approved, o_orderstatus = 'O' AS opened, CAST(0 AS BIGINT) AS seq
+FROM orders
+"""
+P16_UPSTREAM = r"""
+SELECT page_id, CASE WHEN ok THEN seg[1] END AS owner, CASE WHEN ok THEN seg[2] END AS name,
+       CASE WHEN page_id % 3 = 0 THEN 'not a repository host URL' WHEN NOT ok THEN 'invalid repository URL' END AS error
+FROM (SELECT page_id, seg, page_id % 3 <> 0 AND len(seg) >= 2 AS ok
+      FROM (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS seg FROM pages))
+"""
+ORACLES.update({"s2_read_scan_files": S2_FILES, "s7_read_repo_logs": S7_REPOS, "l4_updates_from_pulls": L4_PULLS,
+                "p16_upstream_from_url": P16_UPSTREAM})
 K3 = f"""
 SELECT repo, scan_id, path, 'parsed' AS kind, sha256(code) AS text_sha FROM ({T1})
 UNION ALL
