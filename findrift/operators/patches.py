@@ -97,12 +97,17 @@ def unified_diff_udf(path: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
 
 def unified_diff(pairs: DataFrame) -> DataFrame:
     """Unified diff per paired file (right-stripped lines, 3 context lines,
-    a/ b/ headers); an empty diff gives status 'no_changes'.  Files whose
-    right-stripped lines are equal never reach Python."""
+    a/ b/ headers); an empty diff gives status 'no_changes'.  The text form is a
+    per-file helper for sinks (T6b is the relational form); files whose
+    right-stripped lines are equal are told apart before it and never reach
+    Python."""
     same = rstrip_lines(F.col("original")) == rstrip_lines(F.col("code"))
-    d = F.when(same, F.lit("")).otherwise(unified_diff_udf(F.col("path"), F.col("original"), F.col("code")))
-    out = pairs.select("repo", "scan_id", "path", d.alias("diff"))
-    return out.withColumn("status", F.when(F.col("diff") == "", F.lit("no_changes")).otherwise(F.lit("diff")))
+    x = pairs.withColumn("_same", F.coalesce(same, F.lit(False)))
+    changed = x.where(~F.col("_same")).select(
+        "repo", "scan_id", "path", unified_diff_udf(F.col("path"), F.col("original"), F.col("code")).alias("diff"))
+    equal = x.where("_same").select("repo", "scan_id", "path", F.lit("").alias("diff"))
+    return changed.unionAll(equal).withColumn(
+        "status", F.when(F.col("diff") == "", F.lit("no_changes")).otherwise(F.lit("diff")))
 
 
 # --------------------------------------------------------------------------- T6b

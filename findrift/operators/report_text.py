@@ -8,14 +8,14 @@ sections are unioned, and text is assembled only at the sink
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findrift.functions import branding as B
 from findrift.functions.columns import (SEVERITY_LABELS, cwe_short, line_label, md_cell, pystrip,
                                         repo_hash, row_parts, severity_label, step_text, trigger_text)
 from findrift.operators import context as ctxop
-from findrift.session import materialize
+from findrift.session import scratch_path
 from findrift.operators import reports
 
 LINE_COLUMNS = ("repo", "scan_id", "block", "file_no", "part", "seq", "text")
@@ -117,6 +117,45 @@ def _trim(c: Column, n: int = 180) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
 
 
+FILE = ["repo", "scan_id", "path"]
+SECTIONS = ("vulnerability", "risks", "recommended_fix", "references")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder as Parquet and read back, so each consumer
+    reads only its columns."""
+    path = scratch_path(df.sparkSession, "report")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _file_dimension(per_file: DataFrame, scan_flags: list[str], sections: DataFrame | None,
+                    *more: DataFrame) -> DataFrame:
+    """One stored row per file: its columns, ``file_no`` (W2), ``scan_flags``
+    turned into those of the whole scan, its sections (null without) and the
+    columns of ``more``.
+
+    Files are numbered in ordinal buckets; one small table per (scan, bucket)
+    gives the offsets and the scan's flags."""
+    x = per_file.withColumn("_b", F.shiftright("first_ordinal", 16))
+    whole = Window.partitionBy("repo", "scan_id")
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (x.groupBy("repo", "scan_id", "_b").agg(F.count(F.lit(1)).alias("_n"), *[F.bool_or(c).alias(c) for c in scan_flags])
+               .select("repo", "scan_id", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                       *[F.bool_or(c).over(whole).alias(c) for c in scan_flags]))
+    files = (x.drop(*scan_flags).join(buckets, ["repo", "scan_id", "_b"])
+             .withColumn("file_no", F.col("_off") + F.row_number().over(
+                 Window.partitionBy("repo", "scan_id", "_b").orderBy("first_ordinal")))
+             .drop("_b", "_off"))
+    for m in more:
+        files = files.join(m, FILE, "left")
+    if sections is not None:
+        files = files.join(sections.select(*FILE, *SECTIONS, F.lit(True).alias("has_sections")), FILE, "left")
+    else:
+        files = files.select("*", *[F.lit(None).cast("string").alias(n) for n in SECTIONS], F.lit(None).cast("boolean").alias("has_sections"))
+    return _stored(files)
+
+
 def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans: DataFrame | None = None) -> DataFrame:
     """PR body lines per scan.
 
@@ -132,16 +171,9 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
     need = ["repo", "scan_id", "path", "ordinal", "tool", "start_line", "end_line", "message", "severity",
             "vulnerability_class", "cwe", "references", "xml_cwes", "xml_bit_severity", "xml_trigger", "xml_steps",
             "xml_reproduction", "xml_references", "xml_preconditions"]
-    # stored once: file numbers, scan flags, rows and rollups all read this copy
-    a = materialize(attached.select(*need).withColumn("chosen_cwes", ctxop.choose_cwes(F.col("cwe"), F.col("xml_cwes"))))
-    fn = reports.file_numbers(a).select("repo", "scan_id", "path", "file_no")
-    flags = (a.groupBy("repo", "scan_id").agg(
-        F.bool_or((F.size("cwe") > 0) | (F.size(F.coalesce("xml_cwes", F.array().cast("array<string>"))) > 0)).alias("has_cwe"),
-        F.bool_or(F.size("references") > 0).alias("has_ref"),
-        F.bool_or(F.coalesce(F.col("xml_bit_severity"), F.lit("")) != "").alias("has_bit")))
-    items = a.join(fn, ["repo", "scan_id", "path"]).join(flags, ["repo", "scan_id"])
+    # stored once, as columns: the file dimension and the finding rows read this copy
+    a = _stored(attached.select(*need).withColumn("chosen_cwes", ctxop.choose_cwes(F.col("cwe"), F.col("xml_cwes"))))
     fno = F.col("file_no")
-
     # ---- finding grain: BIT row, SAST row, highlight row
     has_xml_sev = F.coalesce(F.col("xml_bit_severity"), F.lit("")) != ""
     bit_level = F.when(has_xml_sev, emoji(F.col("xml_bit_severity"))).when(
@@ -167,28 +199,28 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
     has_hl = ((tr != "") | (F.size(F.coalesce("xml_steps", F.array().cast("array<string>"))) > 0) | (repro != "")) \
         & (F.size(hl_parts) > 0)
     hl_row = F.concat(F.lit("- Line "), F.col("start_line").cast("string"), F.lit(": "), F.array_join(hl_parts, "; "))
-    item_lines = _emit(items, F.array(_L(2, 1, F.col("ordinal"), bit_row, fno),
-                                      _L(2, 3, F.col("ordinal"), sast_row, fno),
-                                      _L(2, 5, F.col("ordinal"), hl_row, fno, has_hl)))
 
-    # ---- file grain: overview row, titles, table headers, highlights header, LLM, further context
-    per_file = items.groupBy("repo", "scan_id", "path", "file_no", "has_cwe", "has_ref", "has_bit").agg(
-        F.count(F.lit(1)).alias("n_issues"),
+    # ---- file dimension: counts, flags, rollups, number, top CWEs, sections
+    per_file = a.groupBy(*FILE).agg(
+        F.min("ordinal").alias("first_ordinal"), F.min("tool").alias("tool"), F.count(F.lit(1)).alias("n_issues"),
         *[F.count_if(F.upper(F.coalesce("severity", F.lit(""))) == lvl).alias(f"n_{lvl.lower()}")
           for lvl in reports.COUNTED_LEVELS],
         F.bool_or(has_hl).alias("any_hl"),
+        F.bool_or((F.size("cwe") > 0) | (F.size(F.coalesce("xml_cwes", F.array().cast("array<string>"))) > 0)).alias("has_cwe"),
+        F.bool_or(F.size("references") > 0).alias("has_ref"), F.bool_or(has_xml_sev).alias("has_bit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("xml_references", F.array().cast("array<string>")))))).alias("refs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("xml_preconditions", F.array().cast("array<string>")))))).alias("pre"))
-    top = (reports.top_cwes(a).groupBy("repo", "scan_id", "path")
+    top = (reports.top_cwes(a).groupBy(*FILE)
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cwe"))), lambda x: x["cwe"]), ", ")
                 .alias("top_cwes")))
-    files = per_file.join(top, ["repo", "scan_id", "path"], "left")
-    if sections is not None:
-        files = files.join(sections.select("repo", "scan_id", "path", "vulnerability", "risks", "recommended_fix",
-                                           "references"), ["repo", "scan_id", "path"], "left")
-    else:
-        for n in ("vulnerability", "risks", "recommended_fix", "references"):
-            files = files.withColumn(n, F.lit(None).cast("string"))
+    files = _file_dimension(per_file, ["has_cwe", "has_ref", "has_bit"], sections, top)
+    # findings meet their file once; nothing is shuffled by scan
+    items = a.join(files.select(*FILE, "file_no", "has_cwe", "has_ref", "has_bit"), FILE)
+    item_lines = _emit(items, F.array(_L(2, 1, F.col("ordinal"), bit_row, fno),
+                                      _L(2, 3, F.col("ordinal"), sast_row, fno),
+                                      _L(2, 5, F.col("ordinal"), hl_row, fno, has_hl)))
+
+    # ---- file grain: overview row, titles, table headers, highlights header, LLM, further context
     lv = [F.when(F.col(f"n_{lvl.lower()}") > 0, F.concat(F.lit(lvl[:1] + ":"), F.col(f"n_{lvl.lower()}").cast("string")))
           for lvl in reports.COUNTED_LEVELS]
     levels = F.coalesce(F.nullif(F.array_join(F.array_compact(F.array(*lv)), ", "), F.lit("")), F.lit("-"))
@@ -223,7 +255,7 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
         F.transform("pre", lambda x, i: _L(2, 9, i + 1, F.concat(F.lit("  - "), x), fno)))
 
     # ---- scan grain: header, overview table head, footer; the no-findings body
-    scan_rows = a.select("repo", "scan_id", "tool").distinct()
+    scan_rows = files.select("repo", "scan_id", "tool").distinct()
     scan_lines = _emit(scan_rows, F.array(
         *[_L(0, 0, i, t) for i, t in enumerate(PR_HEADER)],
         _L(1, 0, 0, "### Overview\n"),
@@ -242,13 +274,16 @@ def pr_body_lines(attached: DataFrame, sections: DataFrame | None = None, scans:
 def repo_log_lines(findings: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """Repo-log analysis lines per scan (class table, per-file finding
     tables with file-level CWE/Ref columns, strict LLM sections)."""
-    findings = materialize(findings.select("repo", "scan_id", "path", "ordinal", "tool", "start_line", "end_line",
-                                            "severity", "vulnerability_class", "cwe", "references"))
-    fn = reports.file_numbers(findings).select("repo", "scan_id", "path", "file_no")
+    findings = _stored(findings.select("repo", "scan_id", "path", "ordinal", "tool", "start_line", "end_line",
+                                       "severity", "vulnerability_class", "cwe", "references"))
+    per_file = findings.groupBy(*FILE).agg(
+        F.min("ordinal").alias("first_ordinal"), F.min("tool").alias("tool"),
+        F.bool_or(F.size("cwe") > 0).alias("f_cwe"), F.bool_or(F.size("references") > 0).alias("f_ref"))
+    files = _file_dimension(per_file, [], sections)
     cc = reports.class_counts(findings)
-    scan_rows = findings.select("repo", "scan_id", "tool").distinct()
     totals = cc.groupBy("repo", "scan_id").agg(F.sum("count").alias("vulns"))
-    sr = scan_rows.join(totals, ["repo", "scan_id"], "left").withColumn("vulns", F.coalesce("vulns", F.lit(0)))
+    sr = (files.select("repo", "scan_id", "tool").distinct().join(totals, ["repo", "scan_id"], "left")
+          .withColumn("vulns", F.coalesce("vulns", F.lit(0))))
     zero = F.lit(0)
     tool_cap = F.concat(F.upper(F.substring("tool", 1, 1)), F.lower(F.substr("tool", F.lit(2))))
     parts = [
@@ -259,11 +294,7 @@ def repo_log_lines(findings: DataFrame, sections: DataFrame | None = None) -> Da
                                                            F.col("count").cast("string"), F.lit(" |")), zero),
         _lines(sr, 0, zero, 3, [(0, LOG_FILES)]),
     ]
-    items = findings.join(fn, ["repo", "scan_id", "path"])
-    fflags = findings.groupBy("repo", "scan_id", "path").agg(
-        F.bool_or(F.size("cwe") > 0).alias("f_cwe"), F.bool_or(F.size("references") > 0).alias("f_ref"))
-    files = fn.join(fflags, ["repo", "scan_id", "path"])
-    items = items.join(fflags, ["repo", "scan_id", "path"])
+    items = findings.join(files.select(*FILE, "file_no", "f_cwe", "f_ref"), FILE)
     fno = F.col("file_no")
     hdr = [F.lit("Line"), F.lit("Type"), F.lit("Level"), F.when(F.col("f_cwe"), F.lit("CWE")), F.when(F.col("f_ref"), F.lit("Ref"))]
     sep = [F.lit("----"), F.lit("----"), F.lit("-----"), F.when(F.col("f_cwe"), F.lit("---")), F.when(F.col("f_ref"), F.lit("---"))]
@@ -277,11 +308,12 @@ def repo_log_lines(findings: DataFrame, sections: DataFrame | None = None) -> Da
              F.when(F.col("f_ref"), F.when(ref0 != "", F.concat(F.lit(REF_LINK + "("), ref0, F.lit(")"))).otherwise(F.lit("")))]
     parts.append(_row_lines(items, 1, 1, F.col("ordinal"), _md_row(cells), fno))
     parts.append(_lines(files, 1, fno, 2, [(0, LOG_LLM)]))
-    if sections is not None:
-        s = files.join(sections, ["repo", "scan_id", "path"])
-        parts.append(_lines(s, 1, fno, 3, [(0, F.concat(F.lit("\n### \U0001f4c4 `"), F.col("path"), F.lit("`")))]))
-        for k, (n, title) in enumerate(LOG_LLM_PARTS):
-            parts.append(_lines(s, 1, fno, 3, [(2 * k + 1, title), (2 * k + 2, F.col(n))], F.coalesce(F.col(n), F.lit("")) != ""))
+    # section lines come from the stored files: one projection for all
+    text = lambda n: F.coalesce(F.col(n), F.lit("")) != ""
+    parts.append(_emit(files.where("has_sections"), F.array(
+        _L(1, 3, 0, F.concat(F.lit("\n### \U0001f4c4 `"), F.col("path"), F.lit("`")), fno),
+        *[_L(1, 3, 2 * k + 1, title, fno, text(n)) for k, (n, title) in enumerate(LOG_LLM_PARTS)],
+        *[_L(1, 3, 2 * k + 2, F.col(n), fno, text(n)) for k, (n, _) in enumerate(LOG_LLM_PARTS)])))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
