@@ -22,6 +22,9 @@ WORD_BYTES[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256
 SPACED_BYTES = np.ones(256, bool)
 SPACED_BYTES[[32, *range(9, 14)]] = False
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
@@ -46,13 +49,16 @@ def word_hashes(texts: pa.Array, is_word: np.ndarray = WORD_BYTES, fold: bool =
     only A-Z.
     """
     texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
-    texts = pc.utf8_lower(texts) if fold else pc.ascii_lower(texts)
+    if fold:
+        texts = pc.utf8_lower(texts)
     n = len(texts)
     if not n:
         return np.empty(0, U), np.empty(0, np.int64)
     _, offsets, data = texts.buffers()
     offs = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + n + 1]
     raw = np.frombuffer(data or b"", np.uint8)[offs[0]:offs[-1]]
+    if not fold:
+        raw = _LOWER[raw]
     offs = offs - offs[0]
     inside = is_word[raw]
     first = inside.copy()

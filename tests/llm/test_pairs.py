@@ -178,3 +178,13 @@ def test_short_texts_have_few_shingles(n):
     import pyarrow as pa
     h, owner = sh.shingle_hashes(*sh.word_hashes(pa.array([messy.words(1, n), messy.words(2, 7)])), 5)
     assert (owner == 0).sum() == max(0, n - 4) and (owner == 1).sum() == 3
+
+
+@pytest.mark.parametrize("fold", [True, False])
+def test_word_hashes_of_slices_are_those_of_the_whole(fold):
+    import pyarrow as pa
+    texts = pa.array([messy.words(i, 30).title() + ("\n" if i % 2 else "") for i in range(50)] + [None, "", "x" * 500])
+    h, n = sh.word_hashes(texts, sh.SPACED_BYTES, fold)
+    parts = [sh.word_hashes(p, sh.SPACED_BYTES, fold) for _, p in sh.text_slices(texts, 400)]
+    assert len(parts) > 5 and np.concatenate([p[0] for p in parts]).tolist() == h.tolist()
+    assert np.concatenate([p[1] for p in parts]).tolist() == n.tolist() == [len((t.as_py() or "").split()) for t in texts]
