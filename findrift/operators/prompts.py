@@ -86,23 +86,23 @@ EMPTY_SNIPPET = ("EMPTY_SNIPPET", "The provided code snippet is empty.")
 NO_CODE_BLOCK = ("NO_CODE_BLOCK", "no python code block found")
 
 # ----------------------------------------------------------------- regex patterns (Java + RE2 common subset)
+# Code fences, headings and their order must match the answers' agreed format.
 CODE_BLOCK = r"(?i)```(?:py|python)\n([\s\S]+?)```"
-_C = "[:：]?"
-SECTIONS_STRICT = (r"(?s)1\. Vulnerability Description\s*" + _C + r"\s*(.*?)\s*"
-                   r"2\. Potential Risk\s*" + _C + r"\s*(.*?)\s*"
-                   r"3\. Recommended Fix\s*" + _C + r"\s*(.*?)\s*"
+SECTIONS_STRICT = (r"(?s)1\. Vulnerability Description\s*[:：]?\s*(.*?)\s*"
+                   r"2\. Potential Risk\s*[:：]?\s*(.*?)\s*"
+                   r"3\. Recommended Fix\s*[:：]?\s*(.*?)\s*"
                    r"(?:4\. Final Modified Code.*?\s*)?"
-                   r"5\. Additional Notes\s*" + _C + r"\s*(.*)")
-SECTIONS_NUMBERED = (r"(?si)1\.\s*Vulnerability Description\s*" + _C + r"\s*(.*?)\s*"
-                     r"2\.\s*Potential Risks?\s*" + _C + r"\s*(.*?)\s*"
-                     r"3\.\s*Recommended Fix\s*" + _C + r"\s*(.*?)\s*"
+                   r"5\. Additional Notes\s*[:：]?\s*(.*)")
+SECTIONS_NUMBERED = (r"(?si)1\.\s*Vulnerability Description\s*[:：]?\s*(.*?)\s*"
+                     r"2\.\s*Potential Risks?\s*[:：]?\s*(.*?)\s*"
+                     r"3\.\s*Recommended Fix\s*[:：]?\s*(.*?)\s*"
                      r"(?:4\.\s*Final Modified Code.*?\s*)?"
-                     r"5\.\s*(?:Additional Notes|References)\s*" + _C + r"\s*(.*)")
-SECTIONS_PLAIN = (r"(?si)(?:^|\n)\s*(?:\d+\.\s*)?Vulnerability Description\s*" + _C + r"\s*(.*?)\s*"
-                  r"(?:^|\n)\s*(?:\d+\.\s*)?Potential Risks?\s*" + _C + r"\s*(.*?)\s*"
-                  r"(?:^|\n)\s*(?:\d+\.\s*)?Recommended Fix\s*" + _C + r"\s*(.*?)\s*"
-                  r"(?:^|\n)\s*(?:\d+\.\s*)?(?:Additional Notes|References)\s*" + _C + r"\s*(.*)")
-# Heading fallback: label variants tried in order per section (first that matches wins).
+                     r"5\.\s*(?:Additional Notes|References)\s*[:：]?\s*(.*)")
+SECTIONS_PLAIN = (r"(?si)(?:^|\n)\s*(?:\d+\.\s*)?Vulnerability Description\s*[:：]?\s*(.*?)\s*"
+                  r"(?:^|\n)\s*(?:\d+\.\s*)?Potential Risks?\s*[:：]?\s*(.*?)\s*"
+                  r"(?:^|\n)\s*(?:\d+\.\s*)?Recommended Fix\s*[:：]?\s*(.*?)\s*"
+                  r"(?:^|\n)\s*(?:\d+\.\s*)?(?:Additional Notes|References)\s*[:：]?\s*(.*)")
+# Label variants of the heading fallback, tried in order per section.
 HEADING_LABELS = {
     "vulnerability": ["Vulnerability Description", "Vulnerability"],
     "recommended_fix": ["Recommended Fix", "Fix"],
@@ -113,7 +113,7 @@ SECTION_NAMES = ("vulnerability", "risks", "recommended_fix", "references")
 
 
 def heading_pattern(label: str) -> str:
-    return r"(?si)(?:^|\n)\s*#*\s*" + label + r"\s*" + _C + r"\s*(.*?)(?:\n\s*#|\z)"
+    return r"(?si)(?:^|\n)\s*#*\s*" + label + r"\s*[:：]?\s*(.*?)(?:\n\s*#|\z)"
 
 
 # ----------------------------------------------------------------- T3 / F4
@@ -263,15 +263,21 @@ def _grab(label_variants: list[str]) -> Column:
 
 def sections_relaxed(responses: DataFrame) -> DataFrame:
     """Numbered pattern, else un-numbered pattern, else per-heading blocks.
-    The tier is chosen by *match* (a matched-but-empty section stays empty)."""
+    The tier is chosen by *match* (a matched-but-empty section stays empty).
+
+    The costly patterns run only on answers that hold the headings they need, in
+    any order (a linear test), and the second only where the first fails."""
+    low = F.lower(F.col("content"))
+    three = low.contains("vulnerability description") & low.contains("potential risk") & low.contains("recommended fix") \
+        & (low.contains("additional notes") | low.contains("references"))
     c = F.col("content")
-    m1, m2 = c.rlike(SECTIONS_NUMBERED), c.rlike(SECTIONS_PLAIN)
+    m1 = three & c.rlike(SECTIONS_NUMBERED)
+    tier = F.when(m1, F.lit(1)).when(three & c.rlike(SECTIONS_PLAIN), F.lit(2)).otherwise(F.lit(3))
+    x = responses.select("repo", "scan_id", "path", "content", tier.alias("tier"))
     g1, g2 = _groups(SECTIONS_NUMBERED), _groups(SECTIONS_PLAIN)
-    cols = []
-    for i, name in enumerate(SECTION_NAMES):
-        cols.append(F.when(m1, g1[i]).when(m2, g2[i]).otherwise(_grab(HEADING_LABELS[name])).alias(name))
-    tier = F.when(m1, F.lit(1)).when(m2, F.lit(2)).otherwise(F.lit(3))
-    return responses.select("repo", "scan_id", "path", tier.alias("tier"), *cols)
+    t = F.col("tier")
+    return x.select("repo", "scan_id", "path", "tier", *[
+        F.when(t == 1, g1[i]).when(t == 2, g2[i]).otherwise(_grab(HEADING_LABELS[n])).alias(n) for i, n in enumerate(SECTION_NAMES)])
 
 
 # ----------------------------------------------------------------- A9 / J5

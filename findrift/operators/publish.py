@@ -17,6 +17,7 @@ from findrift.functions import branding as B
 
 # Columns whose equality makes two repo-log entries "the same" (fixed by the reference).
 REPO_LOG_EQUALITY = ("name", "owner", "repo_url", "vulnerabilities", "byClass", "sastTool", "rerun", "analysis")
+# Hashed fields, title prefix; also the 400 / 404 texts below.
 REPO_HASH_KEYS = ("repo_url", "sastTool", "rerun", "vulnerabilities", "byClass", "analysis")
 PR_TITLE_PREFIX = f"[ {B.NAME} ] Security Patch "
 

@@ -281,7 +281,8 @@ def t3_prompts_with_context(spark, sf_dir):
 def f4_empty_input_rejects(spark, sf_dir):
     """Prompts over files whose text is blanked when doc_id % 13 = 0 -> rejects."""
     files = fx.source_files(spark, sf_dir).withColumn(
-        "content", F.when(F.col("doc_id") % 13 == 0, F.lit("  \n")).otherwise(F.col("content")))
+        "content", F.when(F.col("doc_id") % 13 == 0, F.lit("  \n")).otherwise(F.col("content"))
+    ).withColumn("lines", C.split_lines("content"))
     _, rej = P.render_prompts(_merged(spark, sf_dir), files)
     return rej
 

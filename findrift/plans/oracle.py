@@ -430,6 +430,10 @@ resp AS (
                 || '3. Recommended Fix: fix ' || CAST(conv_id AS VARCHAR) || {NL} || '4. Final Modified Code:' || {NL}
                 || fence || '5. Additional Notes: n' || CAST(turn AS VARCHAR)
          END AS content,
+         CASE WHEN conv_id % 7 = 0 THEN 2 WHEN conv_id % 11 = 0 THEN 3 ELSE 1 END AS form,
+         text AS s_vuln, 'r' || CAST(turn AS VARCHAR) AS s_risk, 'fix ' || CAST(conv_id AS VARCHAR) AS s_fix,
+         'n' || CAST(turn AS VARCHAR) AS s_notes, fence AS s_fence,
+         CASE WHEN conv_id % 5 <> 0 THEN 'x = ' || CAST(conv_id AS VARCHAR) END AS s_code,
          CAST(length(text) AS BIGINT) AS prompt_tokens, CAST(turn * 10 AS BIGINT) AS completion_tokens,
          CAST(length(text) + turn * 10 AS BIGINT) AS total_tokens
   FROM (SELECT *, CASE WHEN conv_id % 5 = 0 THEN '' ELSE '```python' || {NL} || 'x = ' || CAST(conv_id AS VARCHAR)
@@ -446,36 +450,29 @@ def groups(pattern: str, src: str = "content") -> list[str]:
 
 
 def sections_sql(src_cte: str) -> str:
-    g = groups(_P.SECTIONS_STRICT)
-    return f"SELECT repo, scan_id, path, {g[0]} AS vulnerability, {g[1]} AS risks, {g[2]} AS recommended_fix, {g[3]} AS \"references\" FROM {src_cte}"
+    """T2a from what the recipe put in: only the numbered form has sections."""
+    v = lambda c: f"CASE WHEN form = 1 THEN {STRIP.format(x=c)} ELSE '' END"
+    return (f"SELECT repo, scan_id, path, {v('s_vuln')} AS vulnerability, {v('s_risk')} AS risks, "
+            f"{v('s_fix')} AS recommended_fix, {v('s_notes')} AS \"references\" FROM {src_cte}")
 
 
 def relaxed_sql(src_cte: str) -> str:
-    g1, g2 = groups(_P.SECTIONS_NUMBERED), groups(_P.SECTIONS_PLAIN)
-    m1, m2 = f"regexp_matches(content, {q(_P.SECTIONS_NUMBERED)})", f"regexp_matches(content, {q(_P.SECTIONS_PLAIN)})"
-    cols = []
-    for i, name in enumerate(_P.SECTION_NAMES):
-        grab = "''"
-        for label in reversed(_P.HEADING_LABELS[name]):
-            p = _P.heading_pattern(label)
-            grab = f"CASE WHEN regexp_matches(content, {q(p)}) THEN {STRIP.format(x=f'regexp_extract(content, {q(p)}, 1)')} ELSE {grab} END"
-        cols.append(f"CASE WHEN {m1} THEN {g1[i]} WHEN {m2} THEN {g2[i]} ELSE {grab} END AS \"{name}\"")
-    tier = f"CASE WHEN {m1} THEN 1 WHEN {m2} THEN 2 ELSE 3 END AS tier"
-    return f"SELECT repo, scan_id, path, {tier}, {', '.join(cols)} FROM {src_cte}"
-
-
-CODE = f"""
-blocks AS (SELECT repo, scan_id, path, regexp_extract_all(content, {q(_P.CODE_BLOCK)}, 1) AS b FROM resp),
-code AS (SELECT repo, scan_id, path,
-                array_to_string(list_transform(b, lambda x: {STRIP.format(x='x')}), chr(10) || chr(10)) AS code,
-                CAST(len(b) AS INTEGER) AS n_blocks
-         FROM blocks WHERE len(b) > 0)
+    """T2b from what the recipe put in: the plain form's fix runs on to the notes
+    heading, the heading form has no notes under a known heading."""
+    plain_fix = f"s_fix || {NL} || 'Final Modified Code:' || {NL} || s_fence"
+    fix = f"CASE WHEN form = 2 THEN {STRIP.format(x=plain_fix)} ELSE s_fix END"
+    return (f"SELECT repo, scan_id, path, CAST(form AS INTEGER) AS tier, {STRIP.format(x='s_vuln')} AS vulnerability, s_risk AS risks, "
+            f"{fix} AS recommended_fix, CASE WHEN form = 3 THEN '' ELSE s_notes END AS \"references\" FROM {src_cte}")
+
+
+CODE = """
+code AS (SELECT repo, scan_id, path, s_code AS code, CAST(1 AS INTEGER) AS n_blocks FROM resp WHERE s_code IS NOT NULL)
 """
 
 T1 = with_(RESP, CODE) + "SELECT * FROM code"
 T1_REJ = with_(RESP, CODE) + f"""
-SELECT repo, scan_id, 'parse' AS stage, path AS key, {q(_P.NO_CODE_BLOCK[0])} AS code, {q(_P.NO_CODE_BLOCK[1])} AS message
-FROM blocks WHERE len(b) = 0
+SELECT repo, scan_id, 'parse' AS stage, path AS key, 'NO_CODE_BLOCK' AS code, 'no python code block found' AS message
+FROM resp WHERE s_code IS NULL
 """
 T2A = with_(RESP) + sections_sql("resp")
 T2B = with_(RESP) + relaxed_sql("resp")
@@ -506,8 +503,8 @@ FROM merged m JOIN d ON m.repo = d.repo AND m.path = d.path
 WHERE {STRIP.format(x='d.content')} <> ''
 """
 F4 = with_(BASE, merge_sql("f")) + f"""
-SELECT m.repo, m.scan_id, 'prompt' AS stage, m.path AS key, {q(_P.EMPTY_SNIPPET[0])} AS code,
-       {q(_P.EMPTY_SNIPPET[1])} AS message
+SELECT m.repo, m.scan_id, 'prompt' AS stage, m.path AS key, 'EMPTY_SNIPPET' AS code,
+       'The provided code snippet is empty.' AS message
 FROM merged m JOIN d ON m.repo = d.repo AND m.path = d.path WHERE d.doc_id % 13 = 0
 """
 _ESC = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -550,7 +547,7 @@ FROM (SELECT m.repo, m.scan_id, m.path, {fill(_P.FIX_TEMPLATE, input=INPUT, vuln
       FROM mx m JOIN d ON m.repo = d.repo AND m.path = d.path WHERE {STRIP.format(x='d.content')} <> '')
 """
 T3C = with_(BASE, merge_sql("f")) + f"""
-SELECT m.repo, m.scan_id, m.path, 'fix' AS kind, 'gpt-4o' AS model, {q(_P.SYSTEM_MESSAGE)} AS system,
+SELECT m.repo, m.scan_id, m.path, 'fix' AS kind, 'gpt-4o' AS model, 'You are a security code fixer.' AS system,
        sha256({PROMPT_EXPR}) AS user_sha, '0.3' AS temperature
 FROM merged m JOIN d ON m.repo = d.repo AND m.path = d.path
 WHERE {STRIP.format(x='d.content')} <> ''
@@ -567,7 +564,9 @@ fresp AS (
          '1. Vulnerability Description: ' || message || chr(10) || '2. Potential Risk: r' || CAST(n_findings AS VARCHAR)
          || chr(10) || '3. Recommended Fix: fix ' || path || chr(10) || '4. Final Modified Code:' || chr(10)
          || '```python' || chr(10) || 'x = ' || CAST(first_ordinal AS VARCHAR) || chr(10) || '```' || chr(10)
-         || '5. Additional Notes: n' || CAST(start_line AS VARCHAR) AS content
+         || '5. Additional Notes: n' || CAST(start_line AS VARCHAR) AS content,
+         1 AS form, message AS s_vuln, 'r' || CAST(n_findings AS VARCHAR) AS s_risk, 'fix ' || path AS s_fix,
+         'n' || CAST(start_line AS VARCHAR) AS s_notes, '' AS s_fence
   FROM merged)
 """
 FILE_RESP_SOME = FILE_RESP.replace("FROM merged)", "FROM merged WHERE first_ordinal % 4 <> 3)")  # some answers are missing
