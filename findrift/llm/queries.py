@@ -110,7 +110,7 @@ def op8_decontamination(spark, sf_dir):
 @_query("op6_near_duplicates")
 def op6_near_duplicates(spark, sf_dir):
     return (near_duplicates.grouped(_table(spark, sf_dir, "documents"))
-            .select("doc_id", "class_id", "group_id", "class_links", "is_kept"))
+            .select("doc_id", F.col("group_id").alias("class_id"), "is_kept"))
 
 
 @_query("op9_lm_scores")
