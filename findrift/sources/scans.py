@@ -41,7 +41,8 @@ DOC_KEYS = ("scan_id", "repo", "tool", "part")
 def _parsed(raw: DataFrame, text: Column, schema: str) -> DataFrame:
     """Documents as ``doc`` by ``schema``, with ``doc_error`` where that fails."""
     doc = F.from_json(text, schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    return raw.select(*DOC_KEYS, doc.alias("doc"))
+    # a generator of one row: projections above it can't be merged into the parse and repeat it
+    return raw.select(*DOC_KEYS, F.explode(F.array(doc)).alias("doc"))
 
 
 def _error() -> Column:
