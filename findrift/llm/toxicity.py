@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,57 +49,58 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def _grams(word: str) -> Iterator[tuple[str, str]]:
-    """(context, character) at the longest order, for each character and the end."""
+def _grams(word: str) -> Iterator[str]:
+    """The n-gram of the longest order that ends in each character, and in the word's end."""
     w = f"\x02{word}\x03"
     for i in range(1, len(w)):
-        yield w[max(0, i - ORDER + 1):i], w[i]
+        yield w[max(0, i - ORDER + 1):i + 1]
 
 
-def ratio_tables(counts: dict[str, tuple[int, int]]) -> tuple[dict[str, float], dict[str, float]]:
+def ratio_tables(counts: Iterable[tuple[str, int, int]]) -> tuple[dict[str, float], dict[str, float]]:
     """Log-likelihood ratios (toxic over ordinary) of n-grams and of contexts,
-    from the number of ordinary and toxic documents that hold each word."""
-    own: list[Counter] = [Counter(), Counter()]
-    for word, by_class in counts.items():
-        for ctx, ch in _grams(word):
+    from (word, ordinary documents, toxic documents that hold it)."""
+    own: tuple[dict[str, int], dict[str, int]] = ({}, {})  # by n-gram of the longest order
+    for word, *by_class in counts:
+        for gram in _grams(word):
             for k in (0, 1):
                 if by_class[k]:
-                    own[k][ctx, ch] += by_class[k]
-    # shared model: counts at the longest order, left continuations below it
-    levels: list[dict[str, Counter]] = [defaultdict(Counter) for _ in range(ORDER)]
-    for ctx, ch in own[0].keys() | own[1].keys():
-        for n in range(len(ctx)):
-            levels[n][ctx[len(ctx) - n:]][ch] += 1
-    mass = [{ctx: seen.total() for ctx, seen in level.items()} for level in levels]
-    memo: dict[tuple[str, str], float] = {}
-
-    def shared(ctx: str, ch: str) -> float:
-        got = memo.get((ctx, ch))
-        if got is None:
-            below = shared(ctx[1:], ch) if ctx else 1 / 1000
-            seen = levels[len(ctx)].get(ctx)
-            if not seen:
-                got = below
-            else:
-                got = (max(seen[ch] - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * len(seen) * below) / mass[len(ctx)][ctx]
-            memo[ctx, ch] = got
-        return got
+                    own[k][gram] = own[k].get(gram, 0) + by_class[k]
+    # shared model: left continuations of every shorter n-gram, with the sum and
+    # the number of kinds of each context
+    seen: dict[str, int] = defaultdict(int)
+    for gram in own[0].keys() | own[1].keys():
+        for n in range(1, len(gram)):
+            seen[gram[n:]] += 1
+    mass: dict[str, int] = defaultdict(int)
+    kinds: dict[str, int] = defaultdict(int)
+    for gram, c in seen.items():
+        mass[gram[:-1]] += c
+        kinds[gram[:-1]] += 1
+
+    @lru_cache(maxsize=200_000)
+    def shared(gram: str) -> float:
+        ctx = gram[:-1]
+        below = shared(gram[1:]) if ctx else 1 / 1000
+        total = mass.get(ctx)
+        if not total:
+            return below
+        return (max(seen.get(gram, 0) - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds[ctx] * below) / total
 
     cut = lambda c: DISCOUNTS[min(c, 3) - 1]
-    total: list[Counter] = [Counter(), Counter()]
-    freed: list[Counter] = [Counter(), Counter()]
+    total: tuple[dict[str, int], dict[str, int]] = (defaultdict(int), defaultdict(int))
+    freed: tuple[dict[str, float], dict[str, float]] = (defaultdict(float), defaultdict(float))
     for k in (0, 1):
-        for (ctx, _), c in own[k].items():
-            total[k][ctx] += c
-            freed[k][ctx] += cut(c)
-    back = lambda k, ctx: freed[k][ctx] / total[k][ctx] if total[k][ctx] else 1.0
+        for gram, c in own[k].items():
+            total[k][gram[:-1]] += c
+            freed[k][gram[:-1]] += cut(c)
+    back = lambda k, ctx: freed[k][ctx] / total[k][ctx] if ctx in total[k] else 1.0
     of_context = {ctx: math.log(back(1, ctx) / back(0, ctx)) for ctx in total[0].keys() | total[1].keys()}
 
-    def p(k: int, ctx: str, ch: str) -> float:
-        c = own[k].get((ctx, ch), 0)
-        return ((c - cut(c)) / total[k][ctx] if c else 0.0) + back(k, ctx) * shared(ctx[1:], ch)
+    def p(k: int, gram: str) -> float:
+        c, ctx = own[k].get(gram, 0), gram[:-1]
+        return ((c - cut(c)) / total[k][ctx] if c else 0.0) + back(k, ctx) * shared(gram[1:])
 
-    of_gram = {ctx + ch: math.log(p(1, ctx, ch) / p(0, ctx, ch)) for ctx, ch in own[0].keys() | own[1].keys()}
+    of_gram = {gram: math.log(p(1, gram) / p(0, gram)) for gram in own[0].keys() | own[1].keys()}
     return of_gram, of_context
 
 
@@ -112,9 +114,9 @@ class Scorer:
         got = self._known.get(word)
         if got is None:
             got = 0.0
-            for ctx, ch in _grams(word):
-                r = self._gram.get(ctx + ch)
-                got += self._context.get(ctx, 0.0) if r is None else r
+            for gram in _grams(word):
+                r = self._gram.get(gram)
+                got += self._context.get(gram[:-1], 0.0) if r is None else r
             if len(self._known) >= _CACHE:
                 self._known.clear()
             if len(word) <= 40:
@@ -175,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
                   .groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas())
     if not len(vocabulary) or not vocabulary["c0"].any() or not vocabulary["c1"].any():
         return ToxicityModel(None, None)
-    tables = spark.sparkContext.broadcast(ratio_tables(
-        {w: (a, b) for w, a, b in zip(vocabulary["word"], vocabulary["c0"], vocabulary["c1"], strict=True)}))
+    tables = spark.sparkContext.broadcast(ratio_tables(zip(vocabulary["word"], vocabulary["c0"], vocabulary["c1"], strict=True)))
+    del vocabulary
     shown = sample.where("part = 'calibrate'").select("y", _udf(tables)("text").alias("e")).toPandas()
     if len(shown) < 20:  # too few to calibrate with: the fitted documents serve
         shown = sample.select("y", _udf(tables)("text").alias("e")).toPandas()

@@ -50,7 +50,7 @@ def test_classifiers_without_labels_keep_everything(spark):
 
 
 def test_toxic_ratio_is_zero_where_classes_agree():
-    gram, ctx = toxicity.ratio_tables({"same": (5, 5), "bad": (0, 9), "good": (9, 0)})
+    gram, ctx = toxicity.ratio_tables([("same", 5, 5), ("bad", 0, 9), ("good", 9, 0)])
     s = toxicity.Scorer(gram, ctx)
     assert s.ratio("bad") > 1 and s.ratio("good") < -1 and abs(s.ratio("same")) < 0.2
     assert s.evidence(None) == s.evidence("") == s.evidence(" .,") == 0
