@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from findrift import session
 from findrift.functions.columns import split_lines
 from findrift.operators import ingest, merge
 from findrift.sources import files, scans
@@ -102,3 +103,27 @@ def test_late_status_updates_are_kept(spark, tmp_path):
     land("a.json", row(1, "2026-01-20T00:00:00Z", 2), row(1, "2026-01-20T00:00:00Z", 2))
     land("b.json", row(2, "2026-01-01T00:00:00Z", 1), row(1, "2026-01-02T00:00:00Z", 1))
     assert sorted((r["pr_number"], r["approved"]) for r in streams.current_pr_status(spark, str(tmp_path / "out")).collect()) == [(1, True), (2, False)]
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert session.drop_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_clusters_must_name_the_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
