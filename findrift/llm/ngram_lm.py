@@ -42,7 +42,7 @@ from findrift.session import scratch_path
 U = np.uint64
 START, END = U(0x5EED_0000_0000_0001), U(0x5EED_0000_0000_0002)
 #: Bytes of text in a chunk, and tokens for which a shard is added; they bound a task's memory.
-CHUNK_BYTES, SHARD_TOKENS = 24_000_000, 4_000_000
+CHUNK_BYTES, SHARD_TOKENS = 14_000_000, 2_500_000
 #: A word with this share of all tokens may be dealt over several shards, RANGES at most.
 HEAVY, RANGES = 1 / 512, 64
 DISCOUNT, WORD_DISCOUNT = 0.75, 0.5
@@ -81,6 +81,11 @@ def _chunks(docs: DataFrame) -> DataFrame:
             rest[ends] = False
             full[rest] = words
             vocabulary, local, times = np.unique(full, return_inverse=True, return_counts=True)
+            # frequent words get small numbers, which compress well
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            vocabulary, times, local = vocabulary[order], times[order], rank[local]
             many = np.flatnonzero(times >= HEAVY / 2 * len(full))
             cols = [pa.array([v]) for v in ((part << 32) + made,)]
             cols += [pa.array([b], pa.binary()) for b in (zstandard.compress(local.astype("<u4").tobytes(), 1), vocabulary.tobytes(), counts.astype("<u4").tobytes())]
@@ -107,18 +112,28 @@ class Chunk:
     """Different words and pairs of a chunk in the order they are asked for."""
 
     def __init__(self, tokens: bytes, words: bytes, sizes: bytes, out: list, shards: int, heavy: dict[int, int]):
-        self.word = np.append(np.frombuffer(words, U), START)
-        local = np.frombuffer(zstandard.decompress(tokens), "<u4").astype(np.int64)
+        stored = np.frombuffer(words, U)
+        order = np.argsort(stored)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.word = np.append(stored[order], START)  # in the order of their hashes
+        local = place[np.frombuffer(zstandard.decompress(tokens), "<u4")]
         sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
         self.local, self.starts = local, np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.trains = np.repeat(~np.array(out, bool), sizes)
-        before = np.empty_like(local)
-        before[1:] = local[:-1]
-        before[self.starts] = len(self.word) - 1
+        trains = np.repeat(~np.array(out, bool), sizes)
         v = len(self.word)
-        pair, self.pair_of = np.unique(before * v + local, return_inverse=True)
-        self.first, self.second = np.divmod(pair, v)
-        self.pair_train = np.bincount(self.pair_of, self.trains, len(pair)).astype(np.int64)
+        key = np.empty(len(local), np.int64)
+        key[1:] = local[:-1]
+        key[self.starts] = v - 1
+        key *= v
+        key += local
+        pair, pair_of = np.unique(key, return_inverse=True)
+        del key
+        self.pair_of = pair_of.astype(np.int32)
+        del pair_of
+        self.first, self.second = (pair // v).astype(np.int32), (pair % v).astype(np.int32)
+        self.pair_train = np.bincount(self.pair_of, trains, len(pair)).astype(np.uint32)
+        del pair
         # a word's rows: one, or one for each part of a heavy word
         parts = np.ones(v, np.int64)
         for h, m in heavy.items():
@@ -128,18 +143,20 @@ class Chunk:
         self.ctx = np.repeat(np.arange(v), parts)
         base = np.cumsum(parts) - parts
         self.sub = np.arange(len(self.ctx)) - np.repeat(base, parts)
-        self.row = base[self.first] + ((self.word[self.second] >> U(58)).astype(np.int64) * parts[self.first]) // RANGES
-        n = np.bincount(local, self.trains, v)
+        row = (base[self.first] + ((self.word[self.second] >> U(58)).astype(np.int64) * parts[self.first]) // RANGES).astype(np.int32)
+        self.row = row
+        n = np.bincount(local, trains, v)
         n[-1] = (~np.array(out, bool)).sum()
         self.n = n.astype(np.int64)[self.ctx]
         key = sh.mix(self.word[self.ctx] + self.sub.astype(U) * U(0x9E3779B97F4A7C15))
         shard = (((key >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
         self.rows = np.lexsort((self.sub, self.ctx, shard))  # rows by shard
         self.row_shard = shard[self.rows]
-        place = np.empty_like(self.rows)
-        place[self.rows] = np.arange(len(self.rows))
-        self.pairs = np.argsort(place[self.row], kind="stable")  # pairs by shard and row
-        self.pair_row = place[self.row][self.pairs]
+        at = np.empty(len(self.rows), np.int32)
+        at[self.rows] = np.arange(len(self.rows))
+        at = at[row]
+        self.pairs = np.argsort(at, kind="stable").astype(np.int32)  # pairs by shard and row
+        self.pair_row = at[self.pairs]
 
     def asks(self) -> Iterator[tuple]:
         """(shard, word, part, count, pairs, second words, counts) for each shard."""
