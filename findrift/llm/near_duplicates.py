@@ -1,4 +1,4 @@
-"""Near duplicates by improved consistent weighted sampling.
+"""Near duplicates by consistent weighted sampling.
 
 Documents are sets of five-word shingles weighted by TF-IDF.  Equal texts are
 one class.  Each class draws SAMPLES consistent weighted samples, two classes
@@ -51,6 +51,9 @@ COUNTERS, PARTS = 1 << 20, 64
 GRID, LEVELS = 0.125, 28
 #: Bits of the table that keeps other texts out of the verification's shuffle.
 _BITS = 1 << 25
+#: Bytes of text that are drawn for at a time, so that their units stay in the cache.
+_DRAWN = 400_000
+_LEVEL_HASH = np.arange(LEVELS, dtype=sh.U) * sh.U(0xD6E8FEB86659FD93)
 
 
 # --------------------------------------------------------------------------- document frequencies
@@ -103,34 +106,54 @@ def weighted_shingles(texts: pa.Array, log_idf: np.ndarray) -> tuple[np.ndarray,
 
 # --------------------------------------------------------------------------- consistent weighted samples
 def sample_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Codes by level and slot, and a multiplier for each sample.
-
-    A slot holds one draw (r, c, beta) of the scheme.  For weight w,
-    ``t = floor(ln w / r + beta)`` and ``ln a = ln c - r (t - beta + 1)``; a text's
-    sample is the (slot, t) with the least a.  The code of (level, slot) is the
-    rank of its ln a among all, equal for levels with equal t, so the least code
-    is the sample.  Samples use the table by different hashes of the shingle.
-    """
+    """What each level adds to the weight of the one below it, and a multiplier for each sample."""
     rng = np.random.default_rng(71)
-    r, c, beta = rng.gamma(2, 1, 65536), rng.gamma(2, 1, 65536), rng.random(65536)
-    t = np.floor((np.arange(LEVELS) * GRID)[:, None] / r + beta)
-    a = np.log(c) - r * (t - beta + 1)
-    _, code = np.unique(a, return_inverse=True)
-    return code.reshape(-1).astype(np.uint32), rng.integers(0, 1 << 63, SAMPLES, dtype=sh.U) * sh.U(2) + sh.U(1)
+    return (np.diff(np.exp(GRID * np.arange(LEVELS)), prepend=0.0),
+            rng.integers(0, 1 << 63, SAMPLES, dtype=sh.U) * sh.U(2) + sh.U(1))
 
 
 def draw(h: np.ndarray, level: np.ndarray, owner: np.ndarray, n: int, tables) -> np.ndarray:
-    """Samples (n x SAMPLES) of n texts; those without shingles stay all ones."""
-    code, multipliers = tables
+    """Samples (n x SAMPLES) of n texts; those without shingles stay all ones.
+
+    A shingle of level l stands for the units (shingle, 0) to (shingle, l), unit
+    i with the weight that level i adds.  Each unit draws an exponential time
+    from a 64-bit hash of its own, at the rate of its weight, and the first one
+    is the sample: texts agree on it with the probability of their weighted
+    Jaccard similarity, and on equal units only, however long they are.  Units
+    of one level have one rate, so the largest hash is the first of them.
+    """
+    step, multipliers = tables
     out = np.full((n, SAMPLES), np.iinfo(np.uint32).max, np.uint32)
-    if len(h):
-        at = np.flatnonzero(np.diff(owner, prepend=-1))
-        rows, base = owner[at], level << 16
-        for k, m in enumerate(multipliers):
-            out[rows, k] = np.minimum.reduceat(code[base + ((h * m) >> sh.U(48)).astype(np.int64)], at)
+    if not len(h):
+        return out
+    units, starts, rows, rates, size = [], [], [], [], 0
+    for i in range(int(level.max()) + 1):
+        at = np.flatnonzero(level >= i)
+        first = np.flatnonzero(np.diff(owner[at], prepend=-1))
+        units.append(sh.mix(h[at] + _LEVEL_HASH[i]))
+        starts.append(first + size)
+        rows.append(owner[at][first])
+        rates.append(np.full(len(first), step[i]))
+        size += len(at)
+    unit, start, row, rate = (np.concatenate(x) for x in (units, starts, rows, rates))
+    top, hashed = np.empty((SAMPLES, len(start)), sh.U), np.empty_like(unit)
+    for k, m in enumerate(multipliers):
+        np.maximum.reduceat(np.multiply(unit, m, out=hashed), start, out=top[k])
+    by_text = np.argsort(row, kind="stable")
+    top, row = top[:, by_text], row[by_text]
+    time = -np.log(((top >> sh.U(11)).astype(float) + 0.5) * 2.0 ** -53) / rate[by_text]
+    heads = np.flatnonzero(np.diff(row, prepend=-1))
+    soonest = np.repeat(np.minimum.reduceat(time, heads, axis=1), np.diff(np.append(heads, len(row))), axis=1)
+    taken = np.maximum.reduceat(np.where(time == soonest, top, sh.U(0)), heads, axis=1)
+    out[row[heads]] = _folded(taken).T
     return out
 
 
+def _folded(unit: np.ndarray) -> np.ndarray:
+    """32 bits of a unit's hash, not all ones."""
+    return np.minimum(sh.mix(unit) >> sh.U(32), sh.U(0xFFFF_FFFE)).astype(np.uint32)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
     h = np.zeros((len(samples), BANDS), sh.U)
     for r in range(ROWS):
@@ -143,7 +166,7 @@ def _signatures(docs: DataFrame, log_idf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sample_tables()
         for b in batches:
-            for at, texts in sh.text_slices(b.column(1)):
+            for at, texts in sh.text_slices(b.column(1), _DRAWN):
                 s = draw(*weighted_shingles(texts, log_idf.value), len(texts), tables)
                 have = np.flatnonzero(s[:, 0] != np.iinfo(np.uint32).max)
                 s, keys = s[have], band_keys(s[have])

@@ -188,3 +188,27 @@ def test_word_hashes_of_slices_are_those_of_the_whole(fold):
     parts = [sh.word_hashes(p, sh.SPACED_BYTES, fold) for _, p in sh.text_slices(texts, 400)]
     assert len(parts) > 5 and np.concatenate([p[0] for p in parts]).tolist() == h.tolist()
     assert np.concatenate([p[1] for p in parts]).tolist() == n.tolist() == [len((t.as_py() or "").split()) for t in texts]
+
+
+def test_samples_of_unrelated_long_texts_differ():
+    r, tables = np.random.default_rng(8), near_duplicates.sample_tables()
+    base = np.sort(r.integers(0, 1 << 63, 200_000, dtype=np.uint64) * np.uint64(2))
+    near = np.sort(np.append(base[4_000:], r.integers(0, 1 << 63, 4_000, dtype=np.uint64) * np.uint64(2)))
+    far = np.sort(r.integers(0, 1 << 63, 200_000, dtype=np.uint64) * np.uint64(2))
+    sets = [base, near, far]
+    owner = np.repeat([0, 1, 2], [len(x) for x in sets])
+    s = near_duplicates.draw(np.concatenate(sets), np.full(len(owner), 3), owner, 3, tables)
+    assert (s[0] == s[2]).sum() == 0 and (s[0] == s[1]).mean() > 0.85
+
+
+def test_long_near_copies_are_found_among_unrelated_long_texts(spark):
+    base = ["w%d" % i for i in range(400_000)]
+    texts = []
+    for i in range(4):
+        w = random.Random(i).choices(base, k=200_000)
+        texts.append(" ".join(w))
+        w[::1000] = ["edit"] * 200
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["group_id"] for x in near_duplicates.grouped(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(8)}
