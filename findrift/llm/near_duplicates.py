@@ -13,9 +13,12 @@ share count less, but never so little that copies of one much-copied text come
 apart.  A pair whose shingle sets alone reach the threshold counts too.  ``df``
 comes from counters by hash over all documents (a table of fixed size).
 
-Big buckets never meet in one task and never emit all their pairs: a bucket of
-more than SMALL classes links each to its smallest and, inside parts dealt by
-further samples, to the smallest of the part, found by aggregation.
+Big buckets never meet in one task: a bucket of more than SMALL classes first
+links each to its smallest and, inside parts dealt by further samples, to the
+smallest of the part, found by aggregation.  Where a bucket's classes are then
+in more than one group, those outside its largest group are compared with all
+of the bucket that are in other groups, block by block on their samples, until
+no pair that agrees on enough samples is left unverified between two groups.
 
 Defined cases: null and empty texts are one class; texts of fewer than five
 words match equal texts only; repeated rows belong to their class; a row with a
@@ -45,6 +48,8 @@ SAMPLES = BANDS * ROWS
 AGREE = 0.55
 SMALL = 24
 IDF_SHARE = 0.5
+#: Classes of a block of a big bucket, and how many of a block each stray class is verified with, by round (at last: all).
+BLOCK, ROUNDS = 1024, (8, 128, 1 << 30)
 #: Counters of document frequencies, and the parts they are summed in.
 COUNTERS, PARTS = 1 << 20, 64
 #: Grid of ln(weight), and levels on it (weights up to 30).
@@ -178,17 +183,21 @@ def _signatures(docs: DataFrame, log_idf) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- pairs
-def _pairs(sigs: DataFrame) -> DataFrame:
-    """a < b: proposed pairs that agree on enough samples."""
+def _buckets(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, cls, n, head of the classes in buckets of up to SMALL classes, and of more."""
     entries = sigs.select("cls", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("head")).where("n > 1")
     shared = entries.join(buckets, "key")
+    return shared.where(F.col("n") <= SMALL), shared.where(F.col("n") > SMALL)
+
+
+def _pairs(sigs: DataFrame, big: DataFrame) -> DataFrame:
+    """a < b: proposed pairs that agree on enough samples."""
     # small buckets: every pair, at most SMALL classes a bucket
-    small = (shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("m"))
+    small = (_buckets(sigs)[0].groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("m"))
              .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p"))
              .select("p.a", "p.b"))
-    # big ones: each class with the smallest of its bucket, and of parts of it
-    big = shared.where(F.col("n") > SMALL)
+    # big ones: each class with the smallest of its bucket, and of parts of it; _rest() has the others
     star = big.select(F.col("head").alias("a"), F.col("cls").alias("b"))
     parts = (big.join(sigs.select("cls", "sig"), "cls")
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
@@ -202,6 +211,61 @@ def _pairs(sigs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(same >= AGREE * SAMPLES).select("a", "b")
 
 
+def _best(sa: np.ndarray, sb: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of ``sa`` and ``sb`` that agree on enough samples, where ``other``
+    allows it: for each row of ``sa`` the ``most`` that agree best, and whether there are more."""
+    same = np.zeros((len(sa), len(sb)), np.int16)
+    for x, y in zip(sa.T, sb.T, strict=True):
+        same += x[:, None] == y
+    same[~other] = 0
+    near = same >= AGREE * SAMPLES
+    more = bool((near.sum(axis=1) > most).any())
+    if more:
+        top = np.argpartition(-same, most - 1, axis=1)[:, :most]
+        chosen = np.zeros_like(near)
+        np.put_along_axis(chosen, top, True, axis=1)
+        near &= chosen
+    return *np.nonzero(near), more
+
+
+def _rest(big: DataFrame, sigs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """a < b, more: pairs of big buckets whose classes are in different groups.
+
+    Of the classes outside a bucket's largest group, each with the ``most`` of
+    every block of the bucket that agree best; ``more`` where a class had more.
+    """
+    here = (big.select("key", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
+            .select("key", "cls", F.coalesce("label", "cls").alias("group")))
+    sizes = (here.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key")
+             .agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 1"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    deal = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), n).cast("int")
+    open_ = (here.join(sizes, "key")
+             .select("key", "cls", "group", (F.col("group") != F.col("top.group")).alias("stray"),
+                     blocks(F.col("n") - F.col("top.n")).alias("na"), blocks(F.col("n")).alias("nb"))
+             .join(sigs.select("cls", "sig"), "cls"))
+    # every block of strays meets every block of the bucket in a group of its own
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = open_.where("stray").select("key", deal(1, F.col("na")).alias("i"), every("nb").alias("j"), F.lit(True).alias("a"), "cls", "group", "sig")
+    right = open_.select("key", every("na").alias("i"), deal(2, F.col("nb")).alias("j"), F.lit(False).alias("a"), "cls", "group", "sig")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        side = rows["a"].to_numpy()
+        cls, group = rows["cls"].to_numpy(), rows["group"].to_numpy()
+        sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        if not len(a) or not len(b):
+            i = j = np.empty(0, np.int64)
+            more = False
+        else:
+            i, j, more = _best(sig[a], sig[b], group[a][:, None] != group[b], most)
+        x, y = cls[a][i], cls[b][j]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "more": np.full(len(x), more)})
+
+    return (left.unionAll(right).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+            .groupBy("a", "b").agg(F.max("more").alias("more")))
+
+
 def weighted_jaccard(ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndarray) -> tuple[float, float]:
     """Weighted and plain Jaccard similarity of two sorted shingle sets."""
     weight = np.exp(GRID * np.arange(256))
@@ -286,6 +350,31 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _linked(rows: DataFrame, sigs: DataFrame, log_idf) -> tuple[DataFrame, DataFrame]:
+    """The links, and the label of every linked class."""
+    spark = rows.sparkSession
+
+    def kept(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return path, spark.read.parquet(path)
+
+    _, big = kept(_buckets(sigs)[1], "big")
+    _, tried = kept(_pairs(sigs, big), "pairs")
+    path, links = kept(_links(rows, tried, log_idf), "links")
+    paths, linked = [path], components(spark, links)
+    for most in ROUNDS:
+        _, rest = kept(_rest(big, sigs, linked, most), "rest")
+        _, new = kept(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not new.isEmpty():
+            paths.append(kept(_links(rows, new, log_idf), "links")[0])
+            tried, links = tried.unionAll(new), spark.read.parquet(*paths)
+            linked = components(spark, links)
+        if rest.where("more").isEmpty():
+            break  # each pair that was left has been verified
+    return links, linked
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, class_id (smallest id with an equal text), group_id
     (smallest id of the group), class_links (links of its class to other
@@ -297,11 +386,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     log_idf = spark.sparkContext.broadcast(idf_grid(df, n))  # COUNTERS numbers
     path = scratch_path(spark, "signatures")
     _signatures(rows.select("cls", "text"), log_idf).dropDuplicates(["cls"]).write.parquet(path)
-    pairs_path, links_path = scratch_path(spark, "pairs"), scratch_path(spark, "links")
-    _pairs(spark.read.parquet(path)).write.parquet(pairs_path)
-    _links(rows, spark.read.parquet(pairs_path), log_idf).write.parquet(links_path)
-    links = spark.read.parquet(links_path)
-    linked = components(spark, links)
+    links, linked = _linked(rows, spark.read.parquet(path), log_idf)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     classes = linked.join(degree, "node").withColumnRenamed("node", "cls")
 

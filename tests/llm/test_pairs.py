@@ -212,3 +212,23 @@ def test_long_near_copies_are_found_among_unrelated_long_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {x["doc_id"]: x["group_id"] for x in near_duplicates.grouped(df).collect()}
     assert got == {i: i // 2 * 2 for i in range(8)}
+
+
+def test_a_large_group_that_hangs_together_by_a_rare_hub(spark):
+    base = ["b%d" % i for i in range(204)]  # 200 shingles
+
+    def copy(i, edits):  # one edit changes five shingles
+        w, r = list(base), random.Random(i)
+        for p in r.sample(range(5, 199, 6), edits):
+            w[p] = f"x{i}e{p}"
+        return " ".join(w)
+    texts = [copy(i, 1 if i % 100 == 50 else 3) for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, left, todo = shingle_sets(texts), set(range(1, 1500)), [0]
+    while todo:  # brute force: what is connected to the first text
+        x = todo.pop()
+        near = {y for y in left if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])}
+        left -= near
+        todo += near
+    got = near_duplicates.grouped(df).collect()
+    assert not left and {r["group_id"] for r in got} == {0}
