@@ -4,8 +4,8 @@ Documents are sets of five-word shingles weighted by TF-IDF.  Equal texts are
 one class.  Each class draws SAMPLES consistent weighted samples, two classes
 agreeing on one with the probability of their weighted Jaccard similarity;
 bands of samples propose pairs, the samples discard most wrong ones, and the
-weighted Jaccard similarity of the whole texts decides.  Linked classes form
-groups.
+weighted Jaccard similarity of the whole texts decides.  As many samples without
+weights propose and discard pairs likewise.  Linked classes form groups.
 
 Weights: ``(1 + ln tf) * idf`` on a logarithmic grid, with
 ``idf = 1 + IDF_SHARE * ln(n / df) / ln(n)``, so passages that many documents
@@ -118,19 +118,25 @@ def sample_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def draw(h: np.ndarray, level: np.ndarray, owner: np.ndarray, n: int, tables) -> np.ndarray:
-    """Samples (n x SAMPLES) of n texts; those without shingles stay all ones.
+    """Weighted samples (n x SAMPLES) of n texts."""
+    return draw_both(h, level, owner, n, tables)[0]
+
+
+def draw_both(h: np.ndarray, level: np.ndarray, owner: np.ndarray, n: int, tables) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted and plain samples (n x SAMPLES) of n texts; those without shingles stay all ones.
 
     A shingle of level l stands for the units (shingle, 0) to (shingle, l), unit
     i with the weight that level i adds.  Each unit draws an exponential time
     from a 64-bit hash of its own, at the rate of its weight, and the first one
     is the sample: texts agree on it with the probability of their weighted
     Jaccard similarity, and on equal units only, however long they are.  Units
-    of one level have one rate, so the largest hash is the first of them.
+    of one level have one rate, so the largest hash is the first of them.  Every
+    shingle has one unit of level 0; the first of these is the plain sample.
     """
     step, multipliers = tables
-    out = np.full((n, SAMPLES), np.iinfo(np.uint32).max, np.uint32)
+    out, plain = (np.full((n, SAMPLES), np.iinfo(np.uint32).max, np.uint32) for _ in range(2))
     if not len(h):
-        return out
+        return out, plain
     units, starts, rows, rates, size = [], [], [], [], 0
     for i in range(int(level.max()) + 1):
         at = np.flatnonzero(level >= i)
@@ -144,6 +150,7 @@ def draw(h: np.ndarray, level: np.ndarray, owner: np.ndarray, n: int, tables) ->
     top, hashed = np.empty((SAMPLES, len(start)), sh.U), np.empty_like(unit)
     for k, m in enumerate(multipliers):
         np.maximum.reduceat(np.multiply(unit, m, out=hashed), start, out=top[k])
+    plain[rows[0]] = _folded(top[:, :len(rows[0])]).T
     by_text = np.argsort(row, kind="stable")
     top, row = top[:, by_text], row[by_text]
     time = -np.log(((top >> sh.U(11)).astype(float) + 0.5) * 2.0 ** -53) / rate[by_text]
@@ -151,7 +158,7 @@ def draw(h: np.ndarray, level: np.ndarray, owner: np.ndarray, n: int, tables) ->
     soonest = np.repeat(np.minimum.reduceat(time, heads, axis=1), np.diff(np.append(heads, len(row))), axis=1)
     taken = np.maximum.reduceat(np.where(time == soonest, top, sh.U(0)), heads, axis=1)
     out[row[heads]] = _folded(taken).T
-    return out
+    return out, plain
 
 
 def _folded(unit: np.ndarray) -> np.ndarray:
@@ -159,26 +166,29 @@ def _folded(unit: np.ndarray) -> np.ndarray:
     return np.minimum(sh.mix(unit) >> sh.U(32), sh.U(0xFFFF_FFFE)).astype(np.uint32)
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
+def band_keys(samples: np.ndarray, first: int = 1) -> np.ndarray:
+    """Keys of the bands, which count from ``first``."""
     h = np.zeros((len(samples), BANDS), sh.U)
     for r in range(ROWS):
         h = h * sh.U(0x9E3779B97F4A7C15) + samples[:, r::ROWS][:, :BANDS] + sh.U(1)
-    return sh.mix(h + np.arange(1, BANDS + 1, dtype=sh.U) * sh.U(0xD6E8FEB86659FD93)).view(np.int64)
+    return sh.mix(h + np.arange(first, first + BANDS, dtype=sh.U) * sh.U(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def _signatures(docs: DataFrame, log_idf) -> DataFrame:
-    """cls, keys, sig of every text with shingles."""
+    """cls, keys, sig of every text with shingles; the weighted bands and samples, then the plain ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sample_tables()
         for b in batches:
             for at, texts in sh.text_slices(b.column(1), _DRAWN):
-                s = draw(*weighted_shingles(texts, log_idf.value), len(texts), tables)
+                s, plain = draw_both(*weighted_shingles(texts, log_idf.value), len(texts), tables)
                 have = np.flatnonzero(s[:, 0] != np.iinfo(np.uint32).max)
-                s, keys = s[have], band_keys(s[have])
+                s, plain = s[have], plain[have]
+                keys = np.hstack([band_keys(s), band_keys(plain, BANDS + 1)])
+                s = np.hstack([s, plain])
                 listed = lambda x, n: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), n)
                 yield pa.record_batch([b.column(0).slice(at, len(texts)).take(pa.array(have)),
-                                       listed(keys, BANDS).cast(pa.list_(pa.int64())),
-                                       listed(s.view(np.int32), SAMPLES).cast(pa.list_(pa.int32()))], ["cls", "keys", "sig"])
+                                       listed(keys, 2 * BANDS).cast(pa.list_(pa.int64())),
+                                       listed(s.view(np.int32), 2 * SAMPLES).cast(pa.list_(pa.int32()))], ["cls", "keys", "sig"])
     return docs.mapInArrow(run, "cls long, keys array<long>, sig array<int>")
 
 
@@ -207,16 +217,18 @@ def _pairs(sigs: DataFrame, big: DataFrame) -> DataFrame:
     parted = parts.join(heads, "sub").select("a", F.col("cls").alias("b"))
     pairs = small.unionAll(star).unionAll(parted).where("a < b").distinct()
     left, right = (sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
-    same = F.expr("aggregate(zip_with(sa, sb, (x, y) -> IF(x = y, 1, 0)), 0, (s, x) -> s + x)")
+    same = F.greatest(*(F.expr(f"aggregate(zip_with(slice(sa, {at}, {SAMPLES}), slice(sb, {at}, {SAMPLES}), (x, y) -> IF(x = y, 1, 0)), 0, (s, x) -> s + x)")
+                        for at in (1, SAMPLES + 1)))  # weighted or plain
     return pairs.join(left, "a").join(right, "b").where(same >= AGREE * SAMPLES).select("a", "b")
 
 
 def _best(sa: np.ndarray, sb: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Rows of ``sa`` and ``sb`` that agree on enough samples, where ``other``
     allows it: for each row of ``sa`` the ``most`` that agree best, and whether there are more."""
-    same = np.zeros((len(sa), len(sb)), np.int16)
-    for x, y in zip(sa.T, sb.T, strict=True):
-        same += x[:, None] == y
+    same = np.zeros((2, len(sa), len(sb)), np.int16)  # weighted and plain samples
+    for k, (x, y) in enumerate(zip(sa.T, sb.T, strict=True)):
+        same[k // SAMPLES] += x[:, None] == y
+    same = same.max(axis=0)
     same[~other] = 0
     near = same >= AGREE * SAMPLES
     more = bool((near.sum(axis=1) > most).any())

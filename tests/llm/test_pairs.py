@@ -232,3 +232,10 @@ def test_a_large_group_that_hangs_together_by_a_rare_hub(spark):
         todo += near
     got = near_duplicates.grouped(df).collect()
     assert not left and {r["group_id"] for r in got} == {0}
+
+
+def test_a_text_and_its_repeated_copy_are_near_duplicates(spark):
+    texts = [t for i in range(12) for t in (messy.words(i, 150), " ".join([messy.words(i, 150)] * (3 if i % 2 else 30)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in near_duplicates.grouped(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(24)}
