@@ -53,7 +53,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, queries.byte_bpe())
+    return packing.pack(docs, queries.byte_bpe_added())
 
 
 STAGES = [

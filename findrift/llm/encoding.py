@@ -2,12 +2,13 @@
 
 The vocabulary comes as a file of ranks (base64 token, rank); its ids are those
 of the same vocabulary's ``tokenizers`` file, which the tests hold them
-against, at several times the speed.
+against, at several times the speed.  That file also names the added tokens.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,17 +21,22 @@ SLICE_CHARS = 8_000_000
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    Strings of special tokens inside a text count as ordinary text.
+    Texts are split at the added tokens of the ``tokenizers`` file ``added``,
+    which have ids of their own; without that file their strings are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: str | None = None):
         import tiktoken
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self._encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        special = {}
+        if added:
+            with open(added, encoding="utf-8") as f:
+                special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self._encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(self._encoding.encode_ordinary(t), "<u4").tobytes() for t in texts]
+        return [np.asarray(self._encoding.encode(t, allowed_special="all"), "<u4").tobytes() for t in texts]
 
 
 def slices(values: pa.Array, other: Iterable) -> Iterator[tuple[list[str], list]]:

@@ -32,7 +32,7 @@ from findrift.session import scratch_path
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: tuple[str, str], capacity: int, end_id: int = 0,
+def pieces(docs: DataFrame, vocabulary: tuple[str, ...], capacity: int, end_id: int = 0,
            id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents; only longer ones are cut, the first piece taking the rest."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -115,7 +115,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def pack(docs: DataFrame, vocabulary: tuple[str, str], capacity: int = 2048, end_id: int = 0,
+def pack(docs: DataFrame, vocabulary: tuple[str, ...], capacity: int = 2048, end_id: int = 0,
          id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession

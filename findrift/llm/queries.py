@@ -69,15 +69,20 @@ def byte_bpe() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def byte_bpe_added() -> tuple[str, str, str]:
+    """The same, with the file that names the added tokens."""
+    return *byte_bpe(), public_tokenizers.path("byte_bpe_50k.json")
+
+
 @_query("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return token_counts.with_suffix_sums(token_counts.length_histogram(docs, byte_bpe()))
+    return token_counts.with_suffix_sums(token_counts.length_histogram(docs, byte_bpe_added()))
 
 
 @_query("op10_packing")
 def op10_packing(spark, sf_dir):
-    return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe())
+    return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe_added())
 
 
 #: Scores from which a document counts as its class.

@@ -25,7 +25,7 @@ from findrift.session import materialize
 _BLOCK = 1024
 
 
-def length_histogram(docs: DataFrame, vocabulary: tuple[str, str], text: str = "text") -> DataFrame:
+def length_histogram(docs: DataFrame, vocabulary: tuple[str, ...], text: str = "text") -> DataFrame:
     """n_tokens, n_docs: one row per length that occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*vocabulary)

@@ -213,3 +213,19 @@ def test_quantised_probabilities_never_grow():
     p = np.concatenate([10.0 ** -np.arange(0, 9.5, 0.013), [0.0]])
     back = ngram_lm.restore(ngram_lm.quantise(p))
     assert (back <= p * (1 + 1e-9)).all() and (back >= p * 0.9995).all()
+
+
+def test_ids_of_added_tokens_are_those_of_the_tokenizer_at_its_defaults():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  \n y<|endoftext|", "don't 12ab\t\t x", ""]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoding.Encoder(*queries.byte_bpe_added()).encode(texts)]
+    assert got == want and got[0] == [64, 220, 50256, 275]
+
+
+def test_queries_encode_added_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["n_tokens"] for r in queries.op4_token_counts(spark, str(tmp_path)).collect()] == [4]
+    row, = queries.op10_packing(spark, str(tmp_path)).collect()
+    assert (row["length"], row["ids_crc32"]) == (5, zlib.crc32(np.asarray([64, 220, 50256, 275, 0], "<u4").tobytes()))
