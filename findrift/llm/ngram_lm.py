@@ -12,7 +12,8 @@ among its training documents, to the shard that the pair's first word belongs
 to.  A shard adds the counts up, builds its trie, looks up every pair asked
 for, and answers each chunk, which then scores its documents.  Chunks aggregate
 before the shuffle, so a frequent word or pair costs one entry a chunk; words
-with a large share of all tokens are dealt over several shards by successor.
+with a large share of all tokens are dealt over several shards by successor; the
+numbers of successors that these count are added up, so scores do not depend on it.
 
 Texts are cut at ASCII white space, A-Z lower-cased, and followed by one end
 token.  Words are known by 64-bit hashes.
@@ -50,7 +51,7 @@ DISCOUNT, WORD_DISCOUNT = 0.75, 0.5
 STEPS = 2048
 _CHUNK = "chunk long, tokens binary, words binary, sizes binary, ids array<long>, out array<boolean>, n_tokens long, heavy array<struct<w:long,n:long>>"
 _ASK = "shard int, chunk long, ctx binary, sub binary, n binary, k binary, succ binary, c binary"
-_ANSWER = "chunk long, shard int, c binary, b binary, a binary, totals array<double>"
+_ANSWER = "chunk long, shard int, c binary, b binary, a binary, totals array<double>, successors array<struct<w:long,n:long>>"
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -196,7 +197,18 @@ def _ask(shards: int, heavy: dict[int, int]):
 
 
 # --------------------------------------------------------------------------- shards
-def _answer(group: pa.Table) -> pa.Table:
+def freed(successors: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Codes of B(v); that of a word met in training is never the code of 0."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        b = np.where(total > 0, DISCOUNT * successors / total, 1.0)
+    return np.minimum(quantise(b), 65534).astype(np.uint16)
+
+
+def _answer(heavy: dict[int, int]):
+    return lambda group: _answered(group, heavy)
+
+
+def _answered(group: pa.Table, heavy: dict[int, int]) -> pa.Table:
     """Counts, trie and answers of one shard."""
     col = lambda name: [x.as_py() for x in group.column(name)]
     chunks, shard = col("chunk"), group.column("shard")[0].as_py()
@@ -204,7 +216,7 @@ def _answer(group: pa.Table) -> pa.Table:
     sub = [np.frombuffer(x, np.uint8) for x in col("sub")]
     rows, pairs = np.cumsum([0, *map(len, ctx)]), np.cumsum([0, *(int(x.sum()) for x in k)])
     word, part = np.concatenate(ctx), np.concatenate(sub)
-    key = word + part.astype(U) * U(0x9E3779B97F4A7C15)  # a part of a heavy word is a context of its own
+    key = word + part.astype(U) * U(0x9E3779B97F4A7C15)  # a part of a heavy word is a context of its own in the trie
     asked = np.repeat(key, np.concatenate(k))
     succ = np.concatenate([_from_six(x) for x in col("succ")])
     count = np.concatenate([np.frombuffer(x, "<u4") for x in col("c")]).astype(np.int64)
@@ -221,34 +233,34 @@ def _answer(group: pa.Table) -> pa.Table:
     g_ctx, g_word = asked[order[heads]], succ[order[heads]]
     owner = np.searchsorted(keys, g_ctx)
     a = quantise(np.maximum(c - DISCOUNT, 0) / total[owner]) if len(heads) else np.empty(0, np.uint16)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        b = np.where(total > 0, DISCOUNT * np.bincount(owner, minlength=len(keys)) / total, 1.0)
+    kinds_of = np.bincount(owner, minlength=len(keys))
     trie = Trie(g_ctx, g_word, a)
     found, code = trie.find(asked, succ)
     code = np.where(found, code, np.uint16(65535))
-    back = quantise(b)
+    back = freed(kinds_of, total)  # for heavy words, the parts' numbers are added up first
+    dealt = np.flatnonzero(np.isin(word[first], np.array(list(heavy), U)))
+    parts = [{"w": int(word[first][i].view(np.int64)), "n": int(kinds_of[i])} for i in dealt]
 
     # a word's own totals are told by its first part; the start is no word
     own = np.flatnonzero((part[first] == 0) & (word[first] != START) & (total > 0))
     span = (word[first][own] >> U(58)).astype(np.int64)
     totals = np.concatenate([np.bincount(span, total[own], RANGES), np.bincount(span, minlength=RANGES)])
-    out = [(ch, shard, total[of_row[r:s]].astype("<u8").tobytes(), back[of_row[r:s]].tobytes(), code[p:q].tobytes(), None)
+    out = [(ch, shard, total[of_row[r:s]].astype("<u8").tobytes(), back[of_row[r:s]].tobytes(), code[p:q].tobytes(), None, None)
            for ch, r, s, p, q in zip(chunks, rows, rows[1:], pairs, pairs[1:], strict=False)]
-    out.append((-1, shard, b"", b"", b"", totals.tolist()))
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+    out.append((-1, shard, b"", b"", b"", totals.tolist(), parts))
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()),
+             pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                    names=["chunk", "shard", "c", "b", "a", "totals"])
+                    names=["chunk", "shard", "c", "b", "a", "totals", "successors"])
 
 
 # --------------------------------------------------------------------------- scores
-def _score(shards: int, heavy: dict[int, int], by_range: np.ndarray):
+def _score(shards: int, heavy: dict[int, int], by_range: np.ndarray, successors: dict[int, int]):
     counts, types = by_range
     n_all, v_all = counts.sum(), types.sum()
     base = lambda c: np.log10((c + 0.1) / (n_all + 0.1 * (v_all + 1)))
     spread = WORD_DISCOUNT * v_all / n_all if n_all else 1.0
     single = lambda c: (np.maximum(c - WORD_DISCOUNT, 0) / max(n_all, 1)) + spread / (v_all + 1)
-    # share of the unigram model in each range of words
-    mass = (counts - WORD_DISCOUNT * types) / max(n_all, 1) + spread * (types + 1 / RANGES) / (v_all + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -263,12 +275,12 @@ def _score(shards: int, heavy: dict[int, int], by_range: np.ndarray):
             seen[ch.pairs] = restore(a)
             of_word = np.zeros(len(ch.word))
             of_word[ch.ctx] = count
-            parts = np.bincount(ch.ctx, minlength=len(ch.word))
-            cum = np.concatenate([[0], np.cumsum(mass)])
-            m, s = parts[ch.first], ch.sub[ch.row]
-            low, high = -(-s * RANGES // m), -(-(s + 1) * RANGES // m)
-            share = np.where(m > 1, cum[high] - cum[low], 1.0)
-            p = seen + back[ch.row] * single(of_word[ch.second]) / share
+            for w, kinds in successors.items():
+                i = np.searchsorted(ch.word[:-1], U(w))
+                if i < len(ch.word) - 1 and ch.word[i] == U(w):
+                    here = ch.ctx == i
+                    back[here] = restore(freed(np.array(kinds), count[here]))
+            p = seen + back[ch.row] * single(of_word[ch.second])
             token_c = of_word[ch.local]
             each = [np.add.reduceat(x, ch.starts) for x in ((token_c > 0).astype(np.int64), base(token_c), np.log10(p)[ch.pair_of])]
             sizes = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
@@ -304,7 +316,7 @@ def score_documents(docs: DataFrame, folds: int = 10, held: int = 0, id_col: str
     asked = chunks.select("chunk", "tokens", "words", "sizes", "out").mapInArrow(_ask(shards, heavy), _ASK)
     path = scratch_path(spark, "answers")
     # a number of tasks that follows the shards
-    asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, _ANSWER).write.parquet(path)
+    asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer(heavy), _ANSWER).write.parquet(path)
     answers = spark.read.parquet(path)
     sums = (answers.where("chunk = -1").select(F.posexplode("totals").alias("i", "x"))
             .groupBy("i").agg(F.sum("x").alias("x")).collect())  # 2 x RANGES numbers
@@ -312,9 +324,12 @@ def score_documents(docs: DataFrame, folds: int = 10, held: int = 0, id_col: str
     for r in sums:
         by_range[r["i"]] = r["x"]
     by_range = by_range.reshape(2, RANGES)
+    # one number for each heavy word
+    successors = {r["w"] & 0xFFFF_FFFF_FFFF_FFFF: r["n"] for r in answers.where("chunk = -1").select(F.explode("successors").alias("s"))
+                  .groupBy("s.w").agg(F.sum("s.n").alias("n")).collect()}
     scored = (chunks.select("chunk", "tokens", "words", "sizes", "ids", "out").groupBy("chunk")
               .cogroup(answers.where("chunk >= 0").select("chunk", "shard", "c", "b", "a").groupBy("chunk"))
-              .applyInArrow(_score(shards, heavy, by_range),
+              .applyInArrow(_score(shards, heavy, by_range, successors),
                             "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
                          F.lit(int(by_range[0].sum())).cast("long").alias("train_tokens"), "base_score", "score")

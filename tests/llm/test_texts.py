@@ -229,3 +229,13 @@ def test_queries_encode_added_tokens(spark, tmp_path):
     assert [r["n_tokens"] for r in queries.op4_token_counts(spark, str(tmp_path)).collect()] == [4]
     row, = queries.op10_packing(spark, str(tmp_path)).collect()
     assert (row["length"], row["ids_crc32"]) == (5, zlib.crc32(np.asarray([64, 220, 50256, 275, 0], "<u4").tobytes()))
+
+
+def test_lm_scores_do_not_depend_on_the_size_of_shards(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    r = random.Random(3)  # in training one word always follows "hot"
+    texts = {i: " ".join(("hot " + ("w%d" % r.randrange(50) if i in held else "same")) for _ in range(200)) + " w%d" % r.randrange(50) for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scores = [{x["doc_id"]: x["score"] for x in ngram_lm.score_documents(docs, shard_tokens=n).collect()} for n in (10**6, 4000)]
+    assert all(math.isfinite(s) for s in scores[1].values())
+    assert all(abs(s - scores[1][i]) < 1e-6 * abs(s) for i, s in scores[0].items())
