@@ -21,8 +21,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     Of the ids outside the held-out fold, a fifth (by a hash of the id) may
     calibrate, in their natural shares; the rest fit, up to ``per_class`` ids of
     each class in the order of that hash.  The bounds hold at every size, so
-    the picked ids (at most 2 x per_class + calibration rows) are broadcast and
-    the documents are read once, without a shuffle of their texts.
+    the picked ids (at most 2 x per_class + calibration) are broadcast and the
+    documents are read once; of a repeated id one row is kept, that with the
+    least hash of its text, so only texts of picked ids are shuffled.
     """
     spark = docs.sparkSession
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds, held))
@@ -35,7 +36,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
               .unionAll(first(known.where(fifth), calibration).withColumn("part", F.lit("calibrate"))))
     path = scratch_path(spark, "sample")
     (docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-     .join(F.broadcast(picked), "_id").select("y", "part", "text").write.parquet(path))
+     .join(F.broadcast(picked), "_id").groupBy("_id", "y", "part")
+     .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+     .select("y", "part", "row.text").write.parquet(path))
     return spark.read.parquet(path)
 
 

@@ -35,12 +35,15 @@ def windows(text: str | None) -> list[bytes]:
     return [b[i:i + WINDOW] for i in range(0, len(b), WINDOW)]
 
 
-def train(texts: list[str], size: int = DICTIONARY) -> bytes:
-    """A dictionary; the raw windows themselves where they are too few to train one."""
-    taken = []
-    for t in sorted(texts):
-        w = windows(t)
-        taken += [w[i * len(w) // PER_DOCUMENT] for i in range(PER_DOCUMENT)] if len(w) > PER_DOCUMENT else w
+def shown_windows(text: str | None) -> list[bytes]:
+    """At most PER_DOCUMENT windows of a text, evenly spaced."""
+    w = windows(text)
+    return [w[i * len(w) // PER_DOCUMENT] for i in range(PER_DOCUMENT)] if len(w) > PER_DOCUMENT else w
+
+
+def train(documents: list[list[bytes]], size: int = DICTIONARY) -> bytes:
+    """A dictionary of documents' windows; the raw windows themselves where they are too few to train one."""
+    taken = [w for d in sorted(documents) for w in d]
     order = np.random.default_rng(7).permutation(len(taken))
     taken = [taken[i] for i in order]
     try:
@@ -98,12 +101,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """Learn from the labelled documents outside the held-out fold."""
     sample = training_sample(docs, labels, "quality", folds, held, per_class, calibration)
 
-    def build(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"y": [int(key[0])], "d": [train(list(texts["text"]))]})
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"y": b["y"], "w": [shown_windows(t) for t in b["text"]]})
+
+    def build(key: tuple, shown: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"y": [int(key[0])], "d": [train([[bytes(w) for w in d] for d in shown["w"]])]})
 
-    # one group a class, at most `per_class` documents each
+    # one group a class, at most `per_class` documents of PER_DOCUMENT windows each
     made = {r["y"]: bytes(r["d"]) for r in sample.where("part = 'fit'").select("y", "text")
-            .groupBy("y").applyInPandas(build, "y int, d binary").collect()}
+            .mapInPandas(cut, "y int, w array<binary>").groupBy("y").applyInPandas(build, "y int, d binary").collect()}
     if not made.get(0) or not made.get(1):
         return QualityModel(None, None)
     pair = (made[0], made[1])

@@ -239,3 +239,19 @@ def test_lm_scores_do_not_depend_on_the_size_of_shards(spark):
     scores = [{x["doc_id"]: x["score"] for x in ngram_lm.score_documents(docs, shard_tokens=n).collect()} for n in (10**6, 4000)]
     assert all(math.isfinite(s) for s in scores[1].values())
     assert all(abs(s - scores[1][i]) < 1e-6 * abs(s) for i, s in scores[0].items())
+
+
+def test_training_sample_has_one_row_of_a_repeated_id(spark):
+    docs, labels = messy.labelled(spark), messy.labels(spark)
+    more = docs.where("doc_id in (1, 4, 9, 13)").crossJoin(spark.range(50).select(F.lit(1))).select(docs.columns)
+    pick = lambda d: sorted(tuple(r) for r in labelled.training_sample(d, labels, "toxic", 4, 2, 400, 400).collect())
+    assert pick(docs.unionAll(more)) == pick(docs)
+    other = docs.where("doc_id = 1").withColumn("text", F.lit("another text of this id"))
+    assert len(pick(docs.unionAll(other))) == len(pick(docs))
+
+
+def test_quality_groups_hold_windows_only():
+    text = "".join(chr(97 + i % 26) * quality.WINDOW for i in range(1000))
+    got = quality.shown_windows(text)
+    assert len(got) == quality.PER_DOCUMENT and sum(map(len, got)) == quality.PER_DOCUMENT * quality.WINDOW
+    assert quality.shown_windows("short") == [b"short"] and quality.shown_windows(None) == []
