@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from findrift.llm import (
     decontamination,
+    hard_negatives,
     labelled,
     near_duplicates,
     nearest,
@@ -121,3 +122,9 @@ def op6_near_duplicates(spark, sf_dir):
 @_query("op9_lm_scores")
 def op9_lm_scores(spark, sf_dir):
     return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_hard_negatives")
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
