@@ -75,6 +75,24 @@ def test_ids_are_those_of_the_tokenizers_file(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoding.Encoder(*VOCABULARY).encode(texts)] == want
 
 
+def test_long_white_space_is_encoded_as_by_the_tokenizers_file():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = encoding.Encoder(*queries.byte_bpe_added())
+    for text in (" " * 1_200_000, "\n" * 1_200_000 + "end", "a <|endoftext|> " + " \n\t" * 400_000 + "b c"):
+        assert np.array_equal(np.frombuffer(enc.encode([text])[0], "<u4"), tok.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="ab \n.1é\u00a0'<|>", max_size=80), st.integers(1, 12))
+def test_pieces_of_a_text_have_its_ids(text, size):
+    from tokenizers import Tokenizer
+    text += " <|endoftext|> x<|endoftext|>y"
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = encoding.Encoder(*queries.byte_bpe_added())
+    assert sum(map(enc.ids, encoding.segments(text, size)), []) == tok.encode(text, add_special_tokens=False).ids
+
+
 def lengths():
     enc = encoding.Encoder(*VOCABULARY)
     return [len(enc.encode([r[1] or ""])[0]) // 4 for r in messy.rows()]
