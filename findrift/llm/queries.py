@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findrift.llm import (
+    alignment,
     decontamination,
     hard_negatives,
     labelled,
@@ -128,3 +129,9 @@ def op9_lm_scores(spark, sf_dir):
 def op11_hard_negatives(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    return alignment.align_documents(_table(spark, sf_dir, "documents"),
+                                     (*byte_bpe_added(), public_tokenizers.path("piece_bpe_32k.model")))
