@@ -19,6 +19,7 @@ from findrift.llm import (
     packing,
     quality,
     sharding,
+    suffix_dedup,
     token_counts,
     toxicity,
     url_filter,
@@ -135,3 +136,8 @@ def op11_hard_negatives(spark, sf_dir):
 def op12_token_alignment(spark, sf_dir):
     return alignment.align_documents(_table(spark, sf_dir, "documents"),
                                      (*byte_bpe_added(), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@_query("op13_suffix_dedup")
+def op13_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
