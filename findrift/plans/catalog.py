@@ -50,7 +50,7 @@ def a1_hot_file_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- M1 ingest
 from findrift.operators import ingest  # noqa: E402
-from findrift.sources import scans  # noqa: E402
+from findrift.sources import json_chunks, scans  # noqa: E402
 
 
 def _ingest(spark: SparkSession, sf_dir: str, tool: str):
@@ -74,6 +74,41 @@ def s3_snyk_findings(spark, sf_dir):
     return flat(_ingest(spark, sf_dir, "snykcode")[0])
 
 
+#: Small chunks, so that results, strings and escapes lie across their ends.
+_CHUNK_CHARS = 4096
+
+
+def _ingest_chunks(spark, sf_dir, tool):
+    raw = fx.semgrep_output(spark, sf_dir) if tool == "semgrep" else fx.sarif_output(spark, sf_dir, tool)
+    return ingest.ADAPTERS[tool](json_chunks.chunked(raw, _CHUNK_CHARS), fx.source_files(spark, sf_dir))
+
+
+@register("s2_semgrep_chunks")
+def s2_semgrep_chunks(spark, sf_dir):
+    """S2 over documents cut into chunks of 4 KB."""
+    return flat(_ingest_chunks(spark, sf_dir, "semgrep")[0])
+
+
+@register("s3_codeql_chunks")
+def s3_codeql_chunks(spark, sf_dir):
+    """S3 with the CodeQL policy over documents cut into chunks of 4 KB."""
+    return flat(_ingest_chunks(spark, sf_dir, "codeql")[0])
+
+
+@register("s3_snyk_chunks")
+def s3_snyk_chunks(spark, sf_dir):
+    """S3 with the Snyk policy over documents cut into chunks of 4 KB."""
+    return flat(_ingest_chunks(spark, sf_dir, "snykcode")[0])
+
+
+@register("f2_chunk_rejects")
+def f2_chunk_rejects(spark, sf_dir):
+    """F2 over documents of all tools cut into chunks of 4 KB: broken ones give one reject each."""
+    raws = {"semgrep": fx.semgrep_output(spark, sf_dir), "codeql": fx.sarif_output(spark, sf_dir, "codeql"),
+            "snykcode": fx.sarif_output(spark, sf_dir, "snykcode")}
+    return ingest.union_tools({t: json_chunks.chunked(r, _CHUNK_CHARS) for t, r in raws.items()}, fx.source_files(spark, sf_dir))[1]
+
+
 @register("j2_attach_rules")
 def j2_attach_rules(spark, sf_dir):
     return flat(ingest.codeql_rule_map(fx.sarif_output(spark, sf_dir, "codeql")))
@@ -687,20 +722,33 @@ def a5_distinct_paths(spark, sf_dir):
     return reports.distinct_paths(fx.findings(spark, sf_dir))
 
 
-@register("s2_read_scan_files")
-def s2_read_scan_files(spark, sf_dir):
-    """Scanner output written as one file per document, read by the file reader."""
+def _written_scans(spark, sf_dir):
     base = scratch_path(spark, "s2")
     raw = fx.semgrep_output(spark, sf_dir)
     (raw.where(F.col("part") < fx.BROKEN_PARTS).select("repo", "scan_id", "text").repartition("repo", "scan_id")
      .write.option("maxRecordsPerFile", 1).partitionBy("repo", "scan_id").text(base))
-    files = scans.read_scan_files(spark, base, "semgrep")
+    return base
+
+
+def _read_findings(spark, sf_dir, files):
     for c in ("repo", "scan_id"):
         files = files.withColumn(c, F.regexp_replace(c, "^[a-z_]+=", ""))
     found, _ = ingest.semgrep_findings(files, fx.source_files(spark, sf_dir))
     return flat(found.drop("ordinal", "idx"))
 
 
+@register("s2_read_scan_files")
+def s2_read_scan_files(spark, sf_dir):
+    """Scanner output written as one file per document, read by the file reader."""
+    return _read_findings(spark, sf_dir, scans.read_scan_files(spark, _written_scans(spark, sf_dir), "semgrep"))
+
+
+@register("s2_read_scan_chunks")
+def s2_read_scan_chunks(spark, sf_dir):
+    """The same files read in chunks of 4 KB, ranges of a file in parallel."""
+    return _read_findings(spark, sf_dir, json_chunks.read_scan_chunks(spark, _written_scans(spark, sf_dir), "semgrep", size=_CHUNK_CHARS))
+
+
 @register("s7_read_repo_logs")
 def s7_read_repo_logs(spark, sf_dir):
     """The repos half of legacy log documents, one document per order."""

@@ -204,6 +204,10 @@ ORACLES: dict[str, str] = {
     "s2_semgrep_findings": S2,
     "s3_codeql_findings": S3_CODEQL,
     "s3_snyk_findings": S3_SNYK,
+    "s2_semgrep_chunks": S2,
+    "s3_codeql_chunks": S3_CODEQL,
+    "s3_snyk_chunks": S3_SNYK,
+    "f2_chunk_rejects": REJECTS,
     "j2_attach_rules": J2,
     "f2_rejects": REJECTS,
     "o4_union_tools": O4,
@@ -1093,7 +1097,7 @@ SELECT page_id, CASE WHEN ok THEN seg[1] END AS owner, CASE WHEN ok THEN seg[2]
 FROM (SELECT page_id, seg, page_id % 3 <> 0 AND len(seg) >= 2 AS ok
       FROM (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS seg FROM pages))
 """
-ORACLES.update({"s2_read_scan_files": S2_FILES, "s7_read_repo_logs": S7_REPOS, "l4_updates_from_pulls": L4_PULLS,
+ORACLES.update({"s2_read_scan_files": S2_FILES, "s2_read_scan_chunks": S2_FILES, "s7_read_repo_logs": S7_REPOS, "l4_updates_from_pulls": L4_PULLS,
                 "p16_upstream_from_url": P16_UPSTREAM})
 K3 = f"""
 SELECT repo, scan_id, path, 'parsed' AS kind, sha256(code) AS text_sha FROM ({T1})

@@ -1,10 +1,12 @@
 """Scanner output files -> one row per result.
 
-A scan may be sharded into several files (``part``); every file is one row
-holding its whole text.  A document is parsed once, straight into its results
-(each a VARIANT of its own), so no limit on the size of a single VARIANT
-applies to a whole document.  A document that is no valid scanner output keeps
-one row with ``doc_error`` set, which the adapters turn into a reject.
+A scan may be sharded into several files (``part``).  Documents come in either
+of two forms, and every function here takes both: one row holding a file's
+whole text, or rows with a ``seq`` that hold its chunks (``json_chunks``), for
+documents of any size.  A whole document is parsed once, straight into its
+results (each a VARIANT of its own); chunks are cut into results first.  A
+document that is no valid scanner output keeps one row with ``doc_error`` set,
+which the adapters turn into a reject.
 """
 
 from __future__ import annotations
@@ -12,26 +14,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findrift.sources import json_chunks
+from findrift.sources.json_chunks import FEW_FILES, listed_files
+
 RAW_SCAN_COLUMNS = ("scan_id", "repo", "tool", "part", "text")
 
 
 def read_scan_files(spark: SparkSession, path: str, tool: str, repo: str | None = None) -> DataFrame:
     """Read scanner JSON/SARIF files laid out as <repo>/<scan_id>/<file> under ``path``.
 
-    One row per file holding its whole text.  ``part`` is the file's position
-    among the scan's files by name; it is computed on the file paths alone
-    (one narrow row per file) and joined back, so file texts are never
-    shuffled together by scan."""
-    from pyspark.sql import Window
+    One row per file holding its whole text (``json_chunks.read_scan_chunks`` has
+    no such limit).  ``part`` is the file's position among the scan's files by
+    name; it is told by the listing alone, one narrow row per file, whose side
+    of the join is broadcast while it has at most FEW_FILES rows."""
     df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
           .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path")))
-    parts = F.split(F.col("file_path"), "/")
-    names = df.select("file_path", F.element_at(parts, -2).alias("scan_id"))
-    repo_col = F.lit(repo) if repo else F.element_at(parts, -3)
-    numbered = names.withColumn("repo", repo_col).withColumn(
-        "part", (F.row_number().over(Window.partitionBy("repo", "scan_id").orderBy("file_path")) - 1).cast("long"))
-    return (df.join(numbered, "file_path")
-            .select("scan_id", "repo", F.lit(tool).alias("tool"), "part", "text"))
+    files = listed_files(spark, path, repo)
+    if files.limit(FEW_FILES + 1).count() <= FEW_FILES:
+        files = F.broadcast(files)
+    return df.join(files, "file_path").select("scan_id", "repo", F.lit(tool).alias("tool"), "part", "text")
 
 
 MALFORMED_DOCUMENT = ("MALFORMED_DOCUMENT", "scanner output is not a valid document; dropped")
@@ -49,6 +50,10 @@ def _error() -> Column:
     return F.when(F.col("doc").isNull() | F.col("doc._bad").isNotNull(), F.lit(MALFORMED_DOCUMENT[0]))
 
 
+def in_chunks(raw: DataFrame) -> bool:
+    return "seq" in raw.columns
+
+
 def vget(v: Column | str, path: str, typ: str = "string") -> Column:
     return F.try_variant_get(F.col(v) if isinstance(v, str) else v, path, typ)
 
@@ -57,6 +62,8 @@ def native_results(raw: DataFrame) -> DataFrame:
     """``{"results": [...]}`` or a bare list -> (scan_id, repo, tool, part,
     doc_error, pos, r); a document without results gives no row, a broken one
     a row with its error."""
+    if in_chunks(raw):
+        return json_chunks.native_results(raw, MALFORMED_DOCUMENT[0])
     bare = F.ltrim(F.regexp_replace(F.substring("text", 1, 64), r"\s", " ")).startswith("[")
     text = F.when(bare, F.concat(F.lit('{"results":'), "text", F.lit("}"))).otherwise(F.col("text"))
     # outer: an inferred filter on the array's size would parse the text again
@@ -70,6 +77,10 @@ _SARIF = "runs array<struct<tool: variant, results: array<variant>>>"
 
 def sarif_rules(raw: DataFrame) -> DataFrame:
     """S3 rules: one row per ``runs[].tool.driver.rules[]``."""
+    if in_chunks(raw):
+        _, rules, _ = json_chunks.sarif(raw, F.lit(None), _rule(F.col("x")))
+        return rules.select(*DOC_KEYS, "run_pos", "rule_pos", F.col("rule.id").alias("rule_id"), "rule.tags", "rule.help_uri",
+                            "rule.default_level", "rule.problem_severity")
     runs = _parsed(raw, F.col("text"), _SARIF).select(*DOC_KEYS, F.posexplode_outer("doc.runs").alias("run_pos", "run"))
     ex = runs.select(*DOC_KEYS, "run_pos",
                      F.posexplode_outer(vget("run.tool", "$.driver.rules", "array<variant>")).alias("rule_pos", "rule"))
@@ -115,6 +126,30 @@ def _last_wins_map(rules: Column) -> Column:
     return F.map_from_entries(F.transform(F.get(kept, 0), lambda y: F.struct(y["id"], y["x"])))
 
 
+def _result(r: Column) -> list[Column]:
+    """Fields read from one ``runs[].results[]`` entry."""
+    loc = "$.locations[0].physicalLocation"
+    return [vget(r, "$.ruleId").alias("rule_id"),
+            # a list-valued level must not be read as its JSON text
+            F.when(vget(r, "$.level", "array<string>").isNull(), vget(r, "$.level")).alias("level_str"),
+            vget(r, "$.level", "array<string>").alias("level_arr"),
+            vget(r, "$.message.text").alias("message"),
+            vget(r, f"{loc}.artifactLocation.uri").alias("uri"),
+            vget(r, f"{loc}.region.startLine", "int").alias("start_line"),
+            vget(r, f"{loc}.region.endLine", "int").alias("end_line")]
+
+
+def _sarif_results_of_chunks(chunks: DataFrame, rule_scope: str) -> DataFrame:
+    """``sarif_results`` of chunks: rules are a table here (last one of an id wins), joined by id."""
+    results, rules, broken = json_chunks.sarif(chunks, F.struct(*_result(F.col("r"))), _rule(F.col("x")))
+    scope = [*DOC_KEYS, *(["run_pos"] if rule_scope == "run" else [])]
+    last = (rules.where(F.col("rule.id") != "").groupBy(*scope, F.col("rule.id").alias("rule_id"))
+            .agg(F.max_by("rule", F.struct("run_pos", "rule_pos")).alias("rule")))
+    rows = results.select(*DOC_KEYS, "run_pos", "pos", "v.*").join(last, [*scope, "rule_id"], "left")
+    return rows.withColumn("doc_error", F.lit(None).cast("string")).unionByName(
+        broken.withColumn("doc_error", F.lit(MALFORMED_DOCUMENT[0])), allowMissingColumns=True)
+
+
 def sarif_results(raw: DataFrame, rule_scope: str = "file") -> DataFrame:
     """S3 results, one row per ``runs[].results[]`` (first location only), each
     with the rule it names attached; a broken document gives one row with
@@ -124,6 +159,8 @@ def sarif_results(raw: DataFrame, rule_scope: str = "file") -> DataFrame:
     all runs of the file, later runs win; ``run``: one map per run -- and applied
     before the results are exploded, so there is no second parse, no
     aggregation and no join for rule metadata."""
+    if in_chunks(raw):
+        return _sarif_results_of_chunks(raw, rule_scope)
     d = _parsed(raw, F.col("text"), _SARIF)
     if rule_scope == "file":
         d = d.select(*DOC_KEYS, _error().alias("doc_error"), F.col("doc.runs").alias("runs"),
@@ -136,20 +173,7 @@ def sarif_results(raw: DataFrame, rule_scope: str = "file") -> DataFrame:
         x.alias("r"), F.try_element_at(F.col("_m"), vget(x, "$.ruleId")).alias("rule")))
     res = (ex.select(*DOC_KEYS, "doc_error", "run_pos", F.posexplode_outer(with_rule).alias("pos", "x"))
            .where(F.col("pos").isNotNull() | F.col("doc_error").isNotNull()))
-    loc = "$.locations[0].physicalLocation"
-    r = F.col("x.r")
-    return res.select(
-        *DOC_KEYS, "doc_error", "run_pos", "pos",
-        vget(r, "$.ruleId").alias("rule_id"),
-        # a list-valued level must not be read as its JSON text
-        F.when(vget(r, "$.level", "array<string>").isNull(), vget(r, "$.level")).alias("level_str"),
-        vget(r, "$.level", "array<string>").alias("level_arr"),
-        vget(r, "$.message.text").alias("message"),
-        vget(r, f"{loc}.artifactLocation.uri").alias("uri"),
-        vget(r, f"{loc}.region.startLine", "int").alias("start_line"),
-        vget(r, f"{loc}.region.endLine", "int").alias("end_line"),
-        F.col("x.rule").alias("rule"),
-    )
+    return res.select(*DOC_KEYS, "doc_error", "run_pos", "pos", *_result(F.col("x.r")), F.col("x.rule").alias("rule"))
 
 
 def ordinal(part: Column | str, run_pos: Column | str | int, pos: Column | str) -> Column:
