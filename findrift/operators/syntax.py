@@ -5,11 +5,11 @@ N1 parses each source file with Python's ``ast`` inside ``mapInPandas``
 ``parse_status`` row, never a failed task).  Nodes come out flat, one row per
 node in ``ast.walk`` (BFS) order with its parent's BFS id.
 
-J6 is a range-containment join turned into an equi-join: every positioned
-node is expanded to the lines it spans, findings join on (repo, path, line =
-start_line), and the lexicographic (line, col) tests run as a residual on a
-handful of candidates per finding.  Total expanded rows are bounded by file
-size x nesting depth, never nodes x findings.
+J6 is a range-containment join turned into an equi-join over dyadic blocks of
+lines (2^level lines from a multiple of 2^level on).  A node is filed under the
+blocks that make up its lines, at most 2 log2(lines) of them; a finding asks the
+blocks that hold its start line, at most log2(line) + 1; each node that spans the
+line is met exactly once.  The lexicographic (line, col) tests run as a residual.
 """
 
 from __future__ import annotations
@@ -120,10 +120,42 @@ def _positioned(nodes: DataFrame) -> DataFrame:
         F.coalesce("end_line", "line").alias("end_line"), F.coalesce("end_col", "col").alias("end_col"))
 
 
-def _by_line(nodes: DataFrame) -> DataFrame:
-    """Positioned nodes expanded to every line they span (equi-join key)."""
-    p = _positioned(nodes)
-    return p.withColumn("cover_line", F.explode(F.sequence("line", F.greatest("end_line", "line"))))
+def _log2(x: Column) -> Column:
+    """floor(log2(x)) of a whole number of 1 or more, exactly."""
+    return (F.length(F.bin(x)) - 1).cast("int")
+
+
+def line_blocks(first: Column, last: Column) -> Column:
+    """The dyadic blocks that make up lines first..last (0 <= first <= last), as an
+    array of (level, number); lines count from 1 here, so line 0 is place 1."""
+    a, z = first.cast("long") + 1, last.cast("long") + 2
+
+    def at_level(level):
+        low = F.call_function("shiftright", a + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+        high = F.call_function("shiftright", z, level)
+        block = lambda n: F.struct(level.alias("level"), n.alias("number"))
+        return F.concat(F.when((low < high) & (low % 2 == 1), F.array(block(low))).otherwise(F.array().cast("array<struct<level:int,number:bigint>>")),
+                        F.when((low < high) & (high % 2 == 1), F.array(block(high - 1))).otherwise(F.array().cast("array<struct<level:int,number:bigint>>")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), _log2(z - a)), at_level))
+
+
+def blocks_of_line(line: Column) -> Column:
+    """The dyadic blocks that hold a line (0 or more), as an array of (level, number)."""
+    at = line.cast("long") + 1
+    return F.transform(F.sequence(F.lit(0), _log2(at)),
+                       lambda level: F.struct(level.alias("level"), F.call_function("shiftright", at, level).alias("number")))
+
+
+def _by_block(nodes: DataFrame) -> DataFrame:
+    """Positioned nodes, one row for each block of lines that they are filed under."""
+    p = _positioned(nodes).where(F.col("line") >= 0)
+    return p.withColumn("block", F.explode(line_blocks(F.col("line"), F.greatest("end_line", "line"))))
+
+
+def _asking(points: DataFrame, line: str) -> DataFrame:
+    """Points, one row for each block that holds their line (one with no block for lines below 0)."""
+    return points.withColumn("asked", F.explode_outer(F.when(F.col(line) >= 0, blocks_of_line(F.col(line)))))
 
 
 def _lex_le(a_line: Column, a_col: Column, b_line: Column, b_col: Column) -> Column:
@@ -145,13 +177,13 @@ def map_findings_to_nodes(findings: DataFrame, nodes: DataFrame,
                         F.coalesce("end_line", "start_line").alias("f_end_line"),
                         sc.alias("f_col"))
     f = f.withColumn("f_end_col", F.when(ec_raw == 0, F.greatest(F.col("f_col"), F.lit(0))).otherwise(ec_raw))
-    n = _by_line(nodes)
+    n, f = _by_block(nodes), _asking(f, "start_line")
     s_l, s_c = F.col("start_line"), F.col("f_col")
     covers_start = _lex_le(F.col("line"), F.col("col"), s_l, s_c) & _lex_le(s_l, s_c, F.col("end_line"), F.col("end_col"))
     covers_all = F.col("f_end_line").isNotNull() & _lex_le(F.col("line"), F.col("col"), s_l, s_c) & \
         _lex_le(F.col("f_end_line"), F.col("f_end_col"), F.col("end_line"), F.col("end_col"))
     point = (F.col("col") <= s_c) & (s_c <= F.col("end_col"))
-    j = f.join(n, (f["repo"] == n["repo"]) & (f["path"] == n["path"]) & (f["start_line"] == n["cover_line"])
+    j = f.join(n, (f["repo"] == n["repo"]) & (f["path"] == n["path"]) & (f["asked"] == n["block"])
                & (covers_start | covers_all | point), "left").drop(n["repo"]).drop(n["path"])
     tier = F.when(covers_all, F.lit(1)).when(covers_start, F.lit(2)).when(point, F.lit(3))
     line_span = F.col("end_line") - F.col("line")
@@ -162,7 +194,6 @@ def map_findings_to_nodes(findings: DataFrame, nodes: DataFrame,
                      F.col("bfs_id").alias("b"))
     best = F.struct(tier.alias("tier"), "bfs_id", "node_type", "line", "col",
                     F.col("end_line").alias("node_end_line"), F.col("end_col").alias("node_end_col"))
-    # Group keys include the join keys, so the join's hash partitioning is reused.
     agg = (j.groupBy("repo", "path", "start_line", *[k for k in keys if k != "repo"])
            .agg(F.min_by(best, F.when(tier.isNotNull(), order)).alias("m")))
     return agg.select(*keys, "path", "start_line", "m.tier", "m.bfs_id", "m.node_type",
@@ -172,9 +203,9 @@ def map_findings_to_nodes(findings: DataFrame, nodes: DataFrame,
 
 def find_node_at(points: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("repo", "scan_id", "ordinal")) -> DataFrame:
     """First BFS node whose line range and column range contain (line, col)."""
-    n = _by_line(nodes)
-    p = points.select(*keys, "path", F.col("line").alias("p_line"), F.col("col").alias("p_col"))
-    cond = ((p["repo"] == n["repo"]) & (p["path"] == n["path"]) & (p["p_line"] == n["cover_line"])
+    n = _by_block(nodes)
+    p = _asking(points.select(*keys, "path", F.col("line").alias("p_line"), F.col("col").alias("p_col")), "p_line")
+    cond = ((p["repo"] == n["repo"]) & (p["path"] == n["path"]) & (p["asked"] == n["block"])
             & (n["col"] <= p["p_col"]) & (p["p_col"] <= n["end_col"]))
     j = p.join(n, cond, "left").drop(n["repo"]).drop(n["path"])
     return (j.groupBy("repo", "path", "p_line", *[k for k in keys if k != "repo"])

@@ -462,10 +462,21 @@ def n3_find_node_at(spark, sf_dir):
 
 @register("j6_findings_to_nodes")
 def j6_findings_to_nodes(spark, sf_dir):
-    found = fx.findings(spark, sf_dir)
-    # only files with findings are parsed
-    files = fx.python_sources(spark, sf_dir).join(found.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
-    return SX.map_findings_to_nodes(found, SX.extract_ast_nodes(files)[0])
+    return SX.map_findings_to_nodes(fx.findings(spark, sf_dir), SX.extract_ast_nodes(fx.python_sources(spark, sf_dir))[0])
+
+
+@register("j6_nested_nodes")
+def j6_nested_nodes(spark, sf_dir):
+    """J6 and W4 over functions nested 20 deep around bodies of 10,000 lines."""
+    return SX.map_findings_to_nodes(fx.nested_findings(spark, sf_dir), fx.nested_nodes(spark, sf_dir))
+
+
+@register("n3_nested_nodes")
+def n3_nested_nodes(spark, sf_dir):
+    """N3 over the same files; columns up to 95."""
+    points = fx.nested_findings(spark, sf_dir).select("repo", "scan_id", "ordinal", "path", F.col("start_line").alias("line"),
+                                                      (F.col("ordinal") % 96).cast("int").alias("col"))
+    return SX.find_node_at(points, fx.nested_nodes(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------- M7 publish

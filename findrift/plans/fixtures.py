@@ -309,6 +309,29 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sf.select("doc_id", "repo", "path", text.alias("content"))
 
 
+NEST, BODY = 20, 10_000
+
+
+def nested_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syntax nodes of a large file per document: NEST functions, one inside the
+    other, around a body of BODY lines, and a statement of 40 lines per document line."""
+    sf = source_files(spark, sf_dir)
+    shape = lambda *c: F.struct(*[x.cast("int").alias(n) for x, n in zip(c, ("bfs_id", "parent_id", "line", "col", "end_line", "end_col"))])
+    inner = F.transform(F.sequence(F.lit(1), F.lit(NEST)), lambda i: F.struct(
+        F.lit("FunctionDef").alias("node_type"), shape(i, i - 1, i, (i - 1) * 4, F.lit(2 * NEST + BODY) - i, i * 4 + 10).alias("at")))
+    body = F.transform(F.sequence(F.lit(0), F.col("n_lines") - 1), lambda t: F.struct(
+        F.lit("If").alias("node_type"), shape(F.lit(NEST + 1) + t, F.lit(NEST), F.lit(NEST + 1) + (t % 200) * 50, F.lit(4 * NEST),
+                                              F.lit(NEST + 40) + (t % 200) * 50, F.lit(4 * NEST + 10)).alias("at")))
+    return sf.select("repo", "path", F.explode(F.concat(inner, body)).alias("n")).select("repo", "path", "n.node_type", "n.at.*")
+
+
+def nested_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings spread over the lines of those files, up to 60 lines long."""
+    start = 1 + (F.col("ordinal") * 131 + F.col("start_line")) % (BODY + 2 * NEST - 1)
+    return findings(spark, sf_dir).select("repo", "scan_id", "ordinal", "path", start.cast("int").alias("start_line"),
+                                          (start + F.col("ordinal") % 60).cast("int").alias("end_line"))
+
+
 # --------------------------------------------------------------------------- publish-log inputs
 def _repo_url(user_id):
     return F.concat(F.lit("https://github.com/o"), (user_id % 5).cast("string"), F.lit("/r"), (user_id % 20).cast("string"))

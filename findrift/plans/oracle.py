@@ -736,7 +736,44 @@ SELECT repo, scan_id, ordinal, path, start_line,
 FROM (SELECT f.*, d.doc_id % 97 <> 0 AS ok, CAST((f.start_line + 1) // 2 AS INTEGER) AS kk
       FROM f JOIN d ON f.repo = d.repo AND f.path = d.path)
 """
+# every pair of a finding and a node of its file, tested by the rule itself
+NESTED = """
+nn AS (
+  SELECT repo, path, CAST(i AS INTEGER) AS bfs_id, 'FunctionDef' AS node_type, i AS line, (i - 1) * 4 AS col, 10040 - i AS end_line, i * 4 + 10 AS end_col
+  FROM d, range(1, 21) t(i)
+  UNION ALL
+  SELECT repo, path, CAST(21 + i AS INTEGER), 'If', 21 + (i % 200) * 50, 80, 60 + (i % 200) * 50, 90
+  FROM (SELECT repo, path, unnest(range(0, len(lines))) AS i FROM d)),
+nf AS (
+  SELECT repo, scan_id, ordinal, path, CAST(1 + (ordinal * 131 + start_line) % 10039 AS INTEGER) AS s,
+         CAST(1 + (ordinal * 131 + start_line) % 10039 + ordinal % 60 AS INTEGER) AS e
+  FROM f)
+"""
+J6_NESTED = with_(BASE, NESTED) + """
+SELECT * FROM (
+  SELECT nf.repo, scan_id, ordinal, nf.path, s AS start_line,
+         CASE WHEN (line, col) <= (s, 0) AND (e, 0) <= (end_line, end_col) THEN 1
+              WHEN (line, col) <= (s, 0) AND (s, 0) <= (end_line, end_col) THEN 2
+              WHEN line <= s AND s <= end_line AND col <= 0 AND 0 <= end_col THEN 3 END AS tier,
+         CASE WHEN tier IS NOT NULL THEN bfs_id END AS bfs_id, CASE WHEN tier IS NOT NULL THEN node_type END AS node_type,
+         CAST(CASE WHEN tier IS NOT NULL THEN line END AS INTEGER) AS node_line, CAST(CASE WHEN tier IS NOT NULL THEN col END AS INTEGER) AS node_col,
+         CAST(CASE WHEN tier IS NOT NULL THEN end_line END AS INTEGER) AS node_end_line,
+         CAST(CASE WHEN tier IS NOT NULL THEN end_col END AS INTEGER) AS node_end_col
+  FROM nf JOIN nn ON nf.repo = nn.repo AND nf.path = nn.path)
+QUALIFY row_number() OVER (PARTITION BY repo, scan_id, ordinal, path ORDER BY tier NULLS LAST,
+                           CASE WHEN tier < 3 THEN node_end_line - node_line ELSE 0 END,
+                           CASE WHEN tier < 3 THEN node_end_col - node_col ELSE 0 END, bfs_id) = 1
+"""
+N3_NESTED = with_(BASE, NESTED) + """
+SELECT nf.repo, scan_id, ordinal, nf.path, s AS line, min(CASE WHEN hit THEN bfs_id END) AS bfs_id,
+       min_by(node_type, CASE WHEN hit THEN bfs_id END) AS node_type
+FROM nf JOIN (SELECT * FROM nn) nn ON nf.repo = nn.repo AND nf.path = nn.path,
+     LATERAL (SELECT line <= s AND s <= end_line AND col <= ordinal % 96 AND ordinal % 96 <= end_col AS hit)
+GROUP BY ALL
+"""
 ORACLES.update({
+    "j6_nested_nodes": J6_NESTED,
+    "n3_nested_nodes": N3_NESTED,
     "n1_ast_nodes": N1,
     "n1_parse_status": N1_STATUS,
     "n2_node_type_counts": N2,
