@@ -629,26 +629,46 @@ def r1_stream_findings(spark, sf_dir):
      .write.partitionBy("repo", "scan_id", "part").text(f"{base}/landing"))
     # the static side of the stream-static join is a stored table, read per batch
     files = materialize(fx.source_files(spark, sf_dir).drop("doc_id"))
-    q = ST.stream_findings(spark, f"{base}/landing", files, f"{base}/out", "semgrep", max_files_per_trigger=128)
-    q.awaitTermination()
+    both = [stream(spark, f"{base}/landing", files, f"{base}/out", "semgrep", max_files_per_trigger=128)
+            for stream in (ST.stream_findings, ST.stream_file_findings)]
+    for q in both:
+        q.awaitTermination()
     return flat(ST.latest_file_findings(spark, f"{base}/out").select(*merge.MERGED_COLUMNS))
 
 
 @register("r2_stream_pr_status")
 def r2_stream_pr_status(spark, sf_dir):
-    """Two runs of the status stream, the second with updates days older than
-    the first's, every tenth one delivered twice; W6 over the sink is the
-    current status."""
+    """Three runs of the status stream: the second has updates days older than the
+    first's, every tenth one is delivered twice in its run, and the third run
+    delivers every seventh again; W6 over the sink is the current status."""
+    return ST.current_pr_status(spark, _status_streamed(spark, sf_dir))
+
+
+@register("r2_late_updates")
+def r2_late_updates(spark, sf_dir):
+    """The updates of the second run that are over a day older than the latest of the first."""
+    return ST.late_pr_updates(spark, _status_streamed(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("r2_stored_updates")
+def r2_stored_updates(spark, sf_dir):
+    """How many rows the sink has: each update once, whatever was delivered again."""
+    base = _status_streamed(spark, sf_dir)
+    updates = spark.read.parquet(f"{base}/updates").select("seq")
+    return updates.union(ST.late_pr_updates(spark, base).select("seq")).agg(F.count("*").alias("n_rows"))
+
+
+def _status_streamed(spark, sf_dir):
     base = scratch_path(spark, "r2")
     upd = fx.status_updates(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     upd = upd.unionByName(upd.where(F.col("seq") % 10 == 0))
     mid = upd.agg(F.timestamp_seconds((F.unix_seconds(F.min("ts")) + F.unix_seconds(F.max("ts"))) / 2).alias("t")).first()["t"]
-    for late in (False, True):
-        # PRs of every fourth user are heard of in the second run only
-        later = (F.col("ts") < F.lit(mid)) | (F.coalesce(F.col("pr_number"), F.lit(0)) % 4 == 0)
-        upd.where(later if late else ~later).write.mode("append").json(f"{base}/landing")
+    # PRs of every fourth user are heard of in the second run only
+    later = (F.col("ts") < F.lit(mid)) | (F.coalesce(F.col("pr_number"), F.lit(0)) % 4 == 0)
+    for delivered in (upd.where(~later), upd.where(later), upd.where(F.col("seq") % 7 == 0)):
+        delivered.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{base}/landing")
         ST.stream_pr_status(spark, f"{base}/landing", f"{base}/out").awaitTermination()
-    return ST.current_pr_status(spark, f"{base}/out")
+    return f"{base}/out"
 
 
 # --------------------------------------------------------------------------- sources and sinks

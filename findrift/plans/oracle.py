@@ -1104,7 +1104,14 @@ SELECT repo, scan_id, path, tool, first_ordinal, n_findings, start_line, end_lin
        {arr('vulnerability_class')} AS vulnerability_class, {arr('cwe')} AS cwe, severity, {arr('refs')} AS "references"
 FROM merged
 """
-ORACLES.update({"r1_stream_findings": R1, "r2_stream_pr_status": W6})
+R2_LATE = with_(PUB) + """
+SELECT pr_number, repo_url, approved, opened, ts, seq
+FROM (SELECT *, ts < m OR coalesce(pr_number, 0) % 4 = 0 AS later FROM upd, (
+        SELECT make_timestamp(CAST((floor(epoch(min(ts))) + floor(epoch(max(ts)))) / 2 * 1000000 AS BIGINT)) AS m FROM upd))
+QUALIFY later AND ts <= max(CASE WHEN NOT later THEN ts END) OVER () - INTERVAL 1 DAY
+"""
+R2_STORED = with_(PUB) + "SELECT count(*) AS n_rows FROM (SELECT DISTINCT pr_number, repo_url, ts, seq FROM upd)"
+ORACLES.update({"r1_stream_findings": R1, "r2_stream_pr_status": W6, "r2_late_updates": R2_LATE, "r2_stored_updates": R2_STORED})
 
 S1 = with_(BASE) + """
 SELECT repo, path, CAST(len(lines) AS INTEGER) AS n_lines, sha256(array_to_string(lines, chr(10))) AS lines_sha FROM d

@@ -1,15 +1,19 @@
 """Structured Streaming forms of ingest and status updates: R1, R2.
 
 R1  scanner output files land in a folder laid out as
-    ``repo=<repo>/scan_id=<scan>/part=<n>/<file>``; a file-source stream reads
-    each file whole, the tool adapter runs per micro-batch (stream-static join
-    to ``source_files``), findings are appended per batch, and the state of
-    the per-file merge (A1) of the (repo, scan_id, path) keys the batch touched
-    is added to the one stored before: no batch reads findings of another, and
-    what it reads of the state is the last snapshot's touched parts and the few
-    batches since.  ``latest_file_findings`` is the current view.
-R2  status updates stream in as JSON lines and are all kept, late ones too;
-    W6 over the sink is the current PR status.
+    ``repo=<repo>/scan_id=<scan>/part=<n>/<file>``; file-source streams read
+    each file whole and join its results to ``source_files``.
+    ``stream_findings`` appends findings and rejects per batch.
+    ``stream_file_findings`` keeps the per-file merge (A1) current: a streaming
+    aggregation in update mode whose state (minima, maxima, counts and sets per
+    file) the engine holds in its state store, so a batch reads its own files
+    and nothing that was written before; what changed is written per batch.
+    ``latest_file_findings`` is the current view.  The two streams share no
+    output, so each can be restarted by itself.
+R2  status updates stream in as JSON lines.  Repeats are dropped within a
+    watermark, so the state is bounded by its delay; updates older than that
+    are kept in a table of their own, unless they were delivered before.  W6
+    over both tables is the current PR status.
 
 Every sink folder is keyed by batch id and written with ``overwrite``, so a
 re-run micro-batch (executor loss, restart from the checkpoint) replaces its
@@ -19,19 +23,19 @@ shared folder (``spark.checkpoint.dir``), never on a machine-local disk.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from findrift.operators import ingest
-from findrift.operators.merge import KEYS, STATE_COLUMNS, add_states, finish_state, merge_state
+from findrift.operators.merge import KEYS, STATE_COLUMNS, finish_state, merge_state
 from findrift.operators.publish import latest_status
 
-#: Parts of the stored state that a batch reads only if it touches them, and
-#: batches after which the state is written out whole.
-BUCKETS, SNAPSHOT_EVERY = 64, 10
 STATUS_SCHEMA = "pr_number int, repo_url string, approved boolean, opened boolean, ts timestamp, seq bigint"
+#: What makes two status updates the same delivery, and how long a repeat is expected.
+UPDATE_KEYS, REPEAT_DELAY = ("pr_number", "repo_url", "ts", "seq"), "1 day"
 _LAYOUT = r"repo=([^/]+)/scan_id=([^/]+)/part=(\d+)/"
 
 
@@ -42,17 +46,24 @@ def _raw_from_files(df: DataFrame, tool: str) -> DataFrame:
                      F.col("value").alias("text"))
 
 
-def stream_findings(spark: SparkSession, landing: str, source_files: DataFrame, out_dir: str, tool: str = "semgrep",
-                    checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-                    available_now: bool = True) -> StreamingQuery:
-    """Start the ingest stream (``available_now`` drains what is there and stops)."""
+def _landed(spark: SparkSession, landing: str, tool: str, max_files_per_trigger: int | None) -> DataFrame:
     reader = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    files = reader.load(landing).select("value", F.col("_metadata.file_path").alias("_path"))
+    return _raw_from_files(reader.load(landing).select("value", F.col("_metadata.file_path").alias("_path")), tool)
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        raw = _raw_from_files(batch, tool)
+
+def _start(stream: DataFrame, per_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool,
+           mode: str = "append") -> StreamingQuery:
+    w = stream.writeStream.foreachBatch(per_batch).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
+
+
+def stream_findings(spark: SparkSession, landing: str, source_files: DataFrame, out_dir: str, tool: str = "semgrep",
+                    checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                    available_now: bool = True) -> StreamingQuery:
+    """R1, rows: start the ingest stream (``available_now`` drains what is there and stops)."""
+    def per_batch(raw: DataFrame, batch_id: int) -> None:
         joined = None
         if ingest.is_builtin(tool):  # one join feeds both outputs
             joined = ingest.join_sources(ingest.BASES[tool](raw), source_files).persist()
@@ -63,63 +74,93 @@ def stream_findings(spark: SparkSession, landing: str, source_files: DataFrame,
         rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
         if joined is not None:
             joined.unpersist()
-        found = spark.read.schema(found.schema).parquet(f"{out_dir}/findings/batch_id={batch_id}")
-        state = merge_state(found).withColumn("bucket", _bucket())
-        if batch_id:
-            buckets = [r["bucket"] for r in state.select("bucket").distinct().collect()]  # BUCKETS at most
-            before = _states(spark, out_dir, state.schema, batch_id).where(F.col("bucket").isin(buckets))
-            touched = state.select(*KEYS).distinct()
-            state = (add_states(state.drop("bucket").unionByName(before.join(touched, KEYS, "left_semi").drop("bucket")))
-                     .withColumn("bucket", _bucket()))
-        state.write.mode("overwrite").parquet(f"{out_dir}/state/batch_id={batch_id}")
-        if (batch_id + 1) % SNAPSHOT_EVERY == 0:
-            (_states(spark, out_dir, state.schema, batch_id + 1, snapshot=batch_id + 1 - SNAPSHOT_EVERY)
-             .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/snapshot/batch_id={batch_id}"))
-
-    w = files.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint")
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
-
-
-def _bucket():
-    return F.pmod(F.xxhash64("repo"), F.lit(BUCKETS)).cast("int")
-
-
-def _states(spark: SparkSession, out_dir: str, schema, before: int, snapshot: int | None = None) -> DataFrame:
-    """The state of every key before a batch: the last snapshot and the batches
-    after it, the latest row of each key (a row holds all batches up to its own)."""
-    taken = (before if snapshot is None else snapshot) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    columns = schema.names
-    rows = (spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())]))
-            .parquet(f"{out_dir}/state").where((F.col("batch_id") >= taken) & (F.col("batch_id") < before)))
-    if taken:
-        old = spark.read.schema(schema).parquet(f"{out_dir}/snapshot/batch_id={taken - 1}")
-        rows = rows.unionByName(old.withColumn("batch_id", F.lit(taken - 1).cast("long")))
-    rest = [c for c in columns if c not in KEYS]
-    return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*KEYS, "r.*")
+
+    return _start(_landed(spark, landing, tool, max_files_per_trigger), per_batch, checkpoint or f"{out_dir}/_checkpoint", available_now)
+
+
+def stream_file_findings(spark: SparkSession, landing: str, source_files: DataFrame, out_dir: str, tool: str = "semgrep",
+                         checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                         available_now: bool = True) -> StreamingQuery:
+    """R1, merge: start the stream that keeps the per-file merge current.
+
+    Any tool's results are numbered within their file only for the ``idx``
+    column, which the merge doesn't read, so the plan has no window; an adapter
+    registered by a user must be a plan that streams."""
+    raw = _landed(spark, landing, tool, max_files_per_trigger)
+    if ingest.is_builtin(tool):
+        found, _ = ingest.apply_policies(ingest.join_sources(ingest.BASES[tool](raw), source_files), set())
+    else:
+        found, _ = ingest.ADAPTERS[tool](raw, source_files)
+
+    def per_batch(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out_dir}/merged/batch_id={batch_id}")
+
+    return _start(merge_state(found), per_batch, checkpoint or f"{out_dir}/_merge_checkpoint", available_now, "update")
 
 
 def latest_file_findings(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Current per-file merge: each key's state of the latest batch that touched it."""
-    rows = spark.read.parquet(f"{out_dir}/state")
+    """Current per-file merge: what the latest batch that changed a file wrote of it."""
+    rows = spark.read.parquet(f"{out_dir}/merged")
     return finish_state(rows.groupBy(*KEYS).agg(F.max_by(F.struct(*STATE_COLUMNS), "batch_id").alias("r")).select(*KEYS, "r.*"))
 
 
-def stream_pr_status(spark: SparkSession, landing: str, out_dir: str, checkpoint: str | None = None,
-                     available_now: bool = True) -> StreamingQuery:
-    """R2: status updates are kept whatever their age, one folder per micro-batch
-    (a re-run batch replaces its own).  A redelivered update changes nothing:
-    exact repeats go inside the batch, and W6 picks one latest update per PR."""
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.dropDuplicates(["pr_number", "repo_url", "ts", "seq"])
-         .write.mode("overwrite").parquet(f"{out_dir}/updates/batch_id={batch_id}"))
+def _missing(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows whose update is not among ``stored`` (nulls are equal)."""
+    stored = stored.select(*[F.col(k).alias(f"_{k}") for k in UPDATE_KEYS])
+    same = F.lit(True)
+    for k in UPDATE_KEYS:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(stored, same, "left_anti")
+
 
+def stream_pr_status(spark: SparkSession, landing: str, out_dir: str, checkpoint: str | None = None,
+                     available_now: bool = True, delay: str = REPEAT_DELAY) -> StreamingQuery:
+    """R2: each status update once in ``updates``, whichever batches it is delivered
+    in; one older than the watermark (``delay`` behind the latest update before
+    its batch) goes to ``late``, if neither table has it.
+
+    Each batch gets its rows twice, as they came and as the engine passed them.
+    Those that it held back are repeats or late; the few are looked up in what
+    is stored of their time."""
     s = spark.readStream.schema(STATUS_SCHEMA).json(landing)
-    w = s.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint")
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    passed = s.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(UPDATE_KEYS))
+    both = passed.withColumn("passed", F.lit(True)).unionByName(s.withColumn("passed", F.lit(False)))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        # once: running the plan again would run its state again
+        staged = f"{out_dir}/_staged/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(staged)
+        batch = spark.read.schema(f"{STATUS_SCHEMA}, passed boolean").parquet(staged)
+        new = batch.where("passed").drop("passed")
+        new.write.mode("overwrite").parquet(f"{out_dir}/updates/batch_id={batch_id}")
+        held = _missing(batch.where(~F.col("passed")).drop("passed").dropDuplicates(list(UPDATE_KEYS)), new)
+        span = held.agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.count("*").alias("n")).first()
+        if span["n"]:
+            for table in ("updates", "late"):
+                stored = _stored(spark, out_dir, table, before=batch_id)
+                if stored is not None:
+                    near = F.col("ts").between(F.lit(span["a"]), F.lit(span["z"])) | F.col("ts").isNull()
+                    held = _missing(held, stored.where(near))
+            held.write.mode("overwrite").parquet(f"{out_dir}/late/batch_id={batch_id}")
+
+    return _start(both, per_batch, checkpoint or f"{out_dir}/_checkpoint", available_now)
+
+
+def _stored(spark: SparkSession, out_dir: str, table: str, before: int | None = None) -> DataFrame | None:
+    """Rows of the batches stored so far, or None where there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{table}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    rows = spark.read.schema(STATUS_SCHEMA + ", batch_id bigint").parquet(f"{out_dir}/{table}")
+    return rows if before is None else rows.where(F.col("batch_id") < before)
+
+
+def late_pr_updates(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Updates that came after the watermark had passed them, each once."""
+    rows = _stored(spark, out_dir, "late")
+    return spark.createDataFrame([], STATUS_SCHEMA) if rows is None else rows.drop("batch_id")
 
 
 def current_pr_status(spark: SparkSession, out_dir: str) -> DataFrame:
-    """W6 over all updates so far."""
-    return latest_status(spark.read.schema(STATUS_SCHEMA + ", batch_id bigint").parquet(f"{out_dir}/updates").drop("batch_id"))
+    """W6 over all updates so far, late ones too."""
+    return latest_status(_stored(spark, out_dir, "updates").drop("batch_id").unionByName(late_pr_updates(spark, out_dir)))

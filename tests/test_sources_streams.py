@@ -33,23 +33,44 @@ def test_read_scan_files(spark, tmp_path):
     assert sorted(r["snippet"] for r in out.collect()) == ["x", "y"]
 
 
-def test_stream_equals_batch(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(streams, "SNAPSHOT_EVERY", 3)
-    landing = tmp_path / "landing"
+def _land_scans(landing, parts):
     docs = []
-    for part in range(8):
+    for part in parts:
         res = [{"path": "a.py", "start": {"line": 1 + (part + k) % 3}, "end": {"line": 1 + (part + k) % 3},
                 "extra": {"message": f"m{part}{k}", "severity": ["INFO", "ERROR"][k % 2]}} for k in range(3)]
         d = landing / "repo=r1" / "scan_id=s1" / f"part={part}"
         os.makedirs(d)
         (d / "f.json").write_text(json.dumps({"results": res}))
         docs.append(("s1", "r1", "semgrep", part, json.dumps({"results": res})))
-    q = streams.stream_findings(spark, str(landing), _files(spark), str(tmp_path / "out"), max_files_per_trigger=1)
-    q.awaitTermination()
-    got = sorted(map(tuple, streams.latest_file_findings(spark, str(tmp_path / "out")).select(*merge.MERGED_COLUMNS).collect()))
+    return docs
+
+
+def test_stream_equals_batch_after_restarts(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    docs = []
+    for parts in (range(5), range(5, 8)):  # the second run goes on from the checkpoints
+        docs += _land_scans(landing, parts)
+        for stream in (streams.stream_findings, streams.stream_file_findings):
+            q = stream(spark, str(landing), _files(spark), out, max_files_per_trigger=2)
+            q.awaitTermination()
+            assert q.exception() is None
+    got = sorted(map(tuple, streams.latest_file_findings(spark, out).select(*merge.MERGED_COLUMNS).collect()))
     raw = spark.createDataFrame(docs, "scan_id string, repo string, tool string, part long, text string")
-    exp = sorted(map(tuple, merge.merge_findings_by_file(ingest.semgrep_findings(raw, _files(spark))[0]).collect()))
+    found, _ = ingest.semgrep_findings(raw, _files(spark))
+    exp = sorted(map(tuple, merge.merge_findings_by_file(found).collect()))
     assert got == exp and got[0][merge.MERGED_COLUMNS.index("n_findings")] == 24
+    assert spark.read.parquet(f"{out}/findings").count() == 24
+    assert not {"state", "snapshot"} & set(os.listdir(out))
+
+
+def test_merge_stream_holds_its_state_in_the_engine(spark, tmp_path):
+    for tool in ("semgrep", "codeql", "snykcode"):
+        (tmp_path / tool).mkdir()
+        raw = streams._landed(spark, str(tmp_path / tool), tool, None)
+        found, _ = ingest.apply_policies(ingest.join_sources(ingest.BASES[tool](raw), _files(spark)), set())
+        state = merge.merge_state(found)
+        plan = state._jdf.queryExecution().analyzed().toString()
+        assert state.isStreaming and "Window" not in plan and "/out/" not in plan
 
 
 def test_oracles_at_smoke_scale(spark):
@@ -94,15 +115,34 @@ def test_ordinals_fail_rather_than_collide(spark):
         df.collect()
 
 
-def test_late_status_updates_are_kept(spark, tmp_path):
-    def land(name, *rows):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
-        streams.stream_pr_status(spark, str(tmp_path / "in"), str(tmp_path / "out")).awaitTermination()
-    row = lambda pr, ts, seq: {"pr_number": pr, "repo_url": "u", "approved": seq > 1, "opened": True, "ts": ts, "seq": seq}
-    land("a.json", row(1, "2026-01-20T00:00:00Z", 2), row(1, "2026-01-20T00:00:00Z", 2))
-    land("b.json", row(2, "2026-01-01T00:00:00Z", 1), row(1, "2026-01-02T00:00:00Z", 1))
-    assert sorted((r["pr_number"], r["approved"]) for r in streams.current_pr_status(spark, str(tmp_path / "out")).collect()) == [(1, True), (2, False)]
+def _update(pr, ts, seq):
+    return {"pr_number": pr, "repo_url": "u", "approved": seq > 1, "opened": True, "ts": ts, "seq": seq}
+
+
+def _land_updates(spark, tmp_path, name, *rows):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
+    streams.stream_pr_status(spark, str(tmp_path / "in"), str(tmp_path / "out")).awaitTermination()
+    out = str(tmp_path / "out")
+    found = [sorted(((r["pr_number"], r["seq"]) for r in df.collect()), key=str) for df in
+             (spark.read.schema(streams.STATUS_SCHEMA).parquet(f"{out}/updates"), streams.late_pr_updates(spark, out))]
+    return found, sorted((r["pr_number"], r["approved"]) for r in streams.current_pr_status(spark, out).collect())
+
+
+def test_late_status_updates_are_kept_apart_and_count(spark, tmp_path):
+    first, again = _update(1, "2026-01-20T00:00:00Z", 2), _update(1, "2026-01-19T12:00:00Z", 3)
+    old, older = _update(2, "2026-01-01T00:00:00Z", 1), _update(1, "2026-01-02T00:00:00Z", 1)
+    (updates, late), now = _land_updates(spark, tmp_path, "a.json", first, first, again)
+    assert (updates, late, now) == ([(1, 2), (1, 3)], [], [(1, True)])
+    # a redelivery in a later batch adds no row; rows behind the watermark go to the late table
+    (updates, late), now = _land_updates(spark, tmp_path, "b.json", old, older, first, again, old)
+    assert (updates, late, now) == ([(1, 2), (1, 3)], [(1, 1), (2, 1)], [(1, True), (2, False)])
+    # neither do redeliveries of late rows, or of rows that the watermark has passed since
+    _land_updates(spark, tmp_path, "c.json", _update(3, "2026-03-01T00:00:00Z", 5))
+    (updates, late), now = _land_updates(spark, tmp_path, "d.json", old, first, _update(2, "2026-01-03T00:00:00Z", 2), _update(None, "2026-01-03T00:00:00Z", 9))
+    assert updates == [(1, 2), (1, 3), (3, 5)]
+    assert sorted(late, key=str) == [(1, 1), (2, 1), (2, 2), (None, 9)]
+    assert now == [(1, True), (2, True), (3, True)]
 
 
 def test_scratch_tables_can_be_dropped(spark):
