@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findrift.functions import branding as B
+from findrift.session import scratch_path
 
+#: Digests (8 bytes each) that may be broadcast.
+FEW = 500_000
 # Columns whose equality makes two repo-log entries "the same" (fixed by the reference).
 REPO_LOG_EQUALITY = ("name", "owner", "repo_url", "vulnerabilities", "byClass", "sastTool", "rerun", "analysis")
 # Hashed fields, title prefix; also the 400 / 404 texts below.
@@ -77,16 +80,36 @@ def replace_equal_rows(existing: DataFrame, new: DataFrame, keys: Sequence[str]
                        order: str = "seq") -> DataFrame:
     """Drop existing rows equal (null-safe, on ``keys``) to any new row,
     then append the new rows; among equal new rows the last (by ``order``) stays,
-    as sequential single-row upserts would leave it."""
-    cond = None
-    nk = new.select(*[F.col(k).alias(f"_n_{k}") for k in keys]).distinct()
+    as sequential single-row upserts would leave it.
+
+    Rows carry whole reports, so a 64-bit digest of the columns is what is
+    shuffled to find equal rows; only rows whose digest occurs again move
+    themselves, for the exact comparison."""
+    keys = list(keys)
+    existing, new = (df.withColumn("_d", F.xxhash64(*keys)) for df in (existing, new))
+    both = _few(existing.select("_d").distinct().join(new.select("_d").distinct(), "_d", "left_semi"))
+    many = _few(new.groupBy("_d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_d"))
+    # digests that one side only has tell enough; rows that share one are compared column by column
+    asked = new.join(both, "_d", "left_semi").select("_d", *[F.col(k).alias(f"_n_{k}") for k in keys])
+    hit = existing.join(both, "_d", "left_semi")
+    same = hit["_d"] == asked["_d"]
     for k in keys:
-        c = existing[k].eqNullSafe(nk[f"_n_{k}"])
-        cond = c if cond is None else cond & c
-    kept = existing.join(nk, cond, "left_anti")
-    last = (new.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in new.columns if c not in keys]), F.col(order)).alias("r"))
+        same = same & hit[k].eqNullSafe(asked[f"_n_{k}"])
+    kept = existing.join(both, "_d", "left_anti").unionByName(hit.join(asked, same, "left_anti"))
+    rest = [c for c in new.columns if c not in keys]
+    last = (new.join(many, "_d", "left_semi").groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
             .select(*keys, "r.*"))
-    return kept.unionByName(last.select(*existing.columns))
+    added = new.join(many, "_d", "left_anti").unionByName(last)
+    return kept.unionByName(added).drop("_d")
+
+
+def _few(digests: DataFrame) -> DataFrame:
+    """Stored digests (8 bytes each), broadcast while there are at most FEW of them."""
+    spark = digests.sparkSession
+    path = scratch_path(spark, "digests")
+    digests.write.parquet(path)
+    stored = spark.read.parquet(path)
+    return F.broadcast(stored) if stored.count() <= FEW else stored
 
 
 # --------------------------------------------------------------------------- W5 / J7 / L5

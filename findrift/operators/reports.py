@@ -2,7 +2,7 @@
 
 Order-dependent semantics (first seen, stable ties) use the scan ordinal.
 Group-wide numbering (W2) never sorts a whole scan in one task: rows are
-bucketed by ordinal range, bucket sizes are prefix-summed on a tiny table,
+bucketed by ordinal range, bucket sizes are prefix-summed up and down a tree,
 and each bucket is numbered on its own (``ranked``).
 """
 
@@ -18,21 +18,35 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def ranked(df: DataFrame, group: list[str], order: str, name: str = "rn", bucket_bits: int = 16) -> DataFrame:
-    """1-based position of each row inside ``group`` by the unique bigint ``order``.
-
-    Equivalent to row_number() over (partition by group order by order), but a
-    hot group is split into ordinal buckets: one small aggregate gives bucket
-    sizes, a window over those (rows = buckets, not findings) gives offsets, and
-    the per-row numbering runs per (group, bucket)."""
-    x = df.withColumn("_b", F.shiftright(F.col(order), bucket_bits))
-    sizes = x.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    wb = Window.partitionBy(*group, "_b").orderBy(order)
-    return (x.join(offsets, [*group, "_b"])
-            .withColumn(name, F.col("_off") + F.row_number().over(wb))
-            .drop("_b", "_off"))
+def ranked(df: DataFrame, group: list[str], order: str, name: str = "rn", bits: int = 16) -> DataFrame:
+    """1-based position of each row inside ``group`` by the unique bigint ``order`` (0 or more).
+
+    Equivalent to row_number() over (partition by group order by order), but no
+    task gets a whole group: rows are numbered within buckets of 2^bits orders.
+    Bucket sizes are summed up a tree whose nodes have at most 2^bits children,
+    so what lies before a bucket is a sum of one number per level, and no window
+    has more than 2^bits rows, however many buckets a group has."""
+    x = df.withColumn("_0", F.shiftright(F.col(order), bits))
+    shifts = range(2 * bits, 64, bits)  # of the tree's levels above the buckets
+    # sizes of nodes, from the buckets up
+    sizes = [x.groupBy(*group, "_0").agg(F.count(F.lit(1)).alias("_n"))]
+    for k, _ in enumerate(shifts, 1):
+        below = sizes[-1].withColumn(f"_{k}", F.shiftright(F.col(f"_{k - 1}"), bits))
+        sizes[-1] = below
+        sizes.append(below.groupBy(*group, f"_{k}").agg(F.sum("_n").alias("_n")))
+    # what lies before each node, from the root (all of a group) down
+    before = None
+    for k in reversed(range(len(sizes))):
+        parent = [*group, *([f"_{k + 1}"] if k + 1 < len(sizes) else [])]
+        siblings = Window.partitionBy(*parent).orderBy(f"_{k}").rowsBetween(Window.unboundedPreceding, -1)
+        here = sizes[k].withColumn("_off", F.coalesce(F.sum("_n").over(siblings), F.lit(0)))
+        if before is not None:
+            here = here.join(before.withColumnRenamed("_off", "_up"), parent).withColumn("_off", F.col("_off") + F.col("_up"))
+        before = here.select(*group, f"_{k}", "_off")
+    inside = Window.partitionBy(*group, "_0").orderBy(order)
+    return (x.join(before, [*group, "_0"])
+            .withColumn(name, F.col("_off") + F.row_number().over(inside))
+            .drop("_0", "_off"))
 
 
 # --------------------------------------------------------------------------- A2
@@ -120,14 +134,31 @@ def run_summary(file_findings: DataFrame, responses: DataFrame) -> DataFrame:
 
 def fleet_rollup(findings: DataFrame) -> DataFrame:
     """Findings, files and errors per (repo, tool, first class) with rollup
-    subtotals, and the status of each line: failed (errors found) or passed."""
-    f = findings.select("repo", "tool", F.coalesce(F.get("vulnerability_class", 0), F.lit("N/A")).alias("cls"),
-                        "path", "severity")
-    return (f.rollup("repo", "tool", "cls")
-            .agg(F.count(F.lit(1)).alias("n_findings"), F.count_distinct("repo", "path").alias("n_files"),
-                 F.count_if(F.upper("severity") == "ERROR").alias("n_error"),
-                 F.grouping_id().alias("level"))
-            .withColumn("status", F.when(F.col("n_error") > 0, "failed").otherwise("passed")))
+    subtotals, and the status of each line: failed (errors found) or passed.
+
+    Findings are counted by file, tool and class first.  A file's few counts then
+    lie in one row, which adds itself once to each line that it belongs to, so
+    files are counted exactly without a second copy of any finding."""
+    f = findings.select("repo", "tool", F.coalesce(F.get("vulnerability_class", 0), F.lit("N/A")).alias("cls"), "path", "severity")
+    counted = f.groupBy("repo", "path", "tool", "cls").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.upper("severity") == "ERROR").alias("e"))
+    files = counted.groupBy("repo", "path").agg(F.collect_list(F.struct("tool", "cls", "n", "e")).alias("xs"))
+    none = F.lit(None).cast("string")
+
+    def line(tool, cls, level, xs):
+        total = lambda c: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x[c]).alias(c)
+        return F.struct(tool.alias("tool"), cls.alias("cls"), F.lit(level).alias("level"), total("n"), total("e"))
+
+    xs = F.col("xs")
+    by_class = F.transform(xs, lambda x: line(x["tool"], x["cls"], 0, F.array(x)))
+    by_tool = F.transform(F.array_distinct(F.transform(xs, lambda x: x["tool"])),
+                          lambda t: line(t, none, 1, F.filter(xs, lambda x: x["tool"].eqNullSafe(t))))
+    lines = files.select("repo", F.explode(F.concat(by_class, by_tool, F.array(line(none, none, 3, xs), line(none, none, 7, xs)))).alias("x"))
+    return (lines.groupBy(F.when(F.col("x.level") < 7, F.col("repo")).alias("repo"), "x.tool", "x.cls",
+                          F.col("x.level").cast("long").alias("level"))
+            .agg(F.sum("x.n").alias("n_findings"), F.count(F.lit(1)).alias("n_files"), F.sum("x.e").alias("n_error"))
+            .select("repo", "tool", "cls", "n_findings", "n_files", "n_error", "level",
+                    F.when(F.col("n_error") > 0, "failed").otherwise("passed").alias("status")))
 
 
 def distinct_paths(findings: DataFrame) -> DataFrame:
