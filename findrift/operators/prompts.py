@@ -8,6 +8,8 @@ and never groups more than one file's rows together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,20 +90,29 @@ NO_CODE_BLOCK = ("NO_CODE_BLOCK", "no python code block found")
 # ----------------------------------------------------------------- regex patterns (Java + RE2 common subset)
 # Code fences, headings and their order must match the answers' agreed format.
 CODE_BLOCK = r"(?i)```(?:py|python)\n([\s\S]+?)```"
-SECTIONS_STRICT = (r"(?s)1\. Vulnerability Description\s*[:：]?\s*(.*?)\s*"
-                   r"2\. Potential Risk\s*[:：]?\s*(.*?)\s*"
-                   r"3\. Recommended Fix\s*[:：]?\s*(.*?)\s*"
-                   r"(?:4\. Final Modified Code.*?\s*)?"
-                   r"5\. Additional Notes\s*[:：]?\s*(.*)")
-SECTIONS_NUMBERED = (r"(?si)1\.\s*Vulnerability Description\s*[:：]?\s*(.*?)\s*"
-                     r"2\.\s*Potential Risks?\s*[:：]?\s*(.*?)\s*"
-                     r"3\.\s*Recommended Fix\s*[:：]?\s*(.*?)\s*"
-                     r"(?:4\.\s*Final Modified Code.*?\s*)?"
-                     r"5\.\s*(?:Additional Notes|References)\s*[:：]?\s*(.*)")
-SECTIONS_PLAIN = (r"(?si)(?:^|\n)\s*(?:\d+\.\s*)?Vulnerability Description\s*[:：]?\s*(.*?)\s*"
-                  r"(?:^|\n)\s*(?:\d+\.\s*)?Potential Risks?\s*[:：]?\s*(.*?)\s*"
-                  r"(?:^|\n)\s*(?:\d+\.\s*)?Recommended Fix\s*[:：]?\s*(.*?)\s*"
-                  r"(?:^|\n)\s*(?:\d+\.\s*)?(?:Additional Notes|References)\s*[:：]?\s*(.*)")
+# Headings of sections 1, 2, 3, (4), 5, in the three forms that answers come in; 4 is no section of its own.
+STRICT_HEADINGS = {
+    "1": r"1\. Vulnerability Description",
+    "2": r"2\. Potential Risk",
+    "3": r"3\. Recommended Fix",
+    "4": r"4\. Final Modified Code",
+    "5": r"5\. Additional Notes",
+}
+NUMBERED_HEADINGS = {
+    "1": r"(?i)1\.\s*+Vulnerability Description",
+    "2": r"(?i)2\.\s*+Potential Risks?",
+    "3": r"(?i)3\.\s*+Recommended Fix",
+    "4": r"(?i)4\.\s*+Final Modified Code",
+    "5": r"(?i)5\.\s*+(?:Additional Notes|References)",
+}
+# on a line of their own; white space is read from its first character only, so that a long run is read once
+_OWN_LINE = r"(?i)(?:\A\s*+|(?<=\S)[^\S\n]*+\n\s*+)(?:\d++\.\s*+)?"
+PLAIN_HEADINGS = {
+    "1": _OWN_LINE + "Vulnerability Description",
+    "2": _OWN_LINE + "Potential Risks?",
+    "3": _OWN_LINE + "Recommended Fix",
+    "5": _OWN_LINE + "(?:Additional Notes|References)",
+}
 # Label variants of the heading fallback, tried in order per section.
 HEADING_LABELS = {
     "vulnerability": ["Vulnerability Description", "Vulnerability"],
@@ -243,14 +254,79 @@ def extract_code_blocks(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ----------------------------------------------------------------- T2a / T2b
-def _groups(pattern: str) -> list[Column]:
-    return [pystrip(F.regexp_extract(F.col("content"), pattern, i)) for i in range(1, 5)]
+#: Put before each heading, with its number; where a text has it, it is followed by an x.
+_MARK = "\ue000"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def sections(content: Column, headings: dict[str, str]) -> Column:
+    """The four sections of an answer as a struct, null where it lacks a heading.
+
+    Headings are marked and the text is cut at the marks; a few passes over the
+    cuts' numbers take the first heading 1, the first 2 after it, then 3 and 5,
+    so that all are found; what follows a heading up to the next one taken
+    (section 3: or a heading 4 before that) is its section.  Nothing is tried
+    twice, so the time is linear in the text.
+
+    A heading that needs a line of its own does not end an empty section before
+    it if a later one can: the white space after a heading belongs to it.  A number
+    on the line above such a heading belongs to it too."""
+    marked = F.replace(content, F.lit(_MARK), F.lit(_MARK + "x"))
+    for number, pattern in headings.items():
+        marked = F.regexp_replace(marked, pattern, f"{_MARK}{number}$0")
+    own_line = "4" not in headings
+
+    def headless(cut: Column, number: str) -> Column:
+        own = "^" + number + "(?:" + headings[number].replace(r"\A", "") + r")\s*+[:：]?"
+        return F.regexp_replace(cut, own, "")
+
+    def places(cuts: Column, number: str) -> Column:
+        at = F.transform(cuts, lambda c, i: F.when((i > 0) & c.startswith(number), i))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    def before(at: Column, end: Column) -> Column:
+        return F.filter(at, lambda i: i < end)
+
+    def next_of(cuts: Column, at: Column, h: Column, number: str) -> Column:
+        after = lambda n: F.array_min(F.filter(at, lambda i: i > h + n))
+        if not own_line:
+            return after(0)
+        return F.when(pystrip(headless(F.get(cuts, h), number)) == "", F.coalesce(after(1), after(0))).otherwise(after(0))
+
+    def text(cuts: Column, number: str, first: Column, last: Column) -> Column:
+        """Cuts first..last - 1 put together, without marks and without the heading that opens them."""
+        parts = F.transform(F.slice(cuts, first + 1, last - first), lambda c, i: F.when(i == 0, headless(c, number)).otherwise(F.substring(c, 2, 2**31 - 1)))
+        return pystrip(F.replace(F.array_join(parts, ""), F.lit(_MARK + "x"), F.lit(_MARK)))
+
+    def of_cuts(cuts: Column) -> Column:
+        def found(p: Column) -> Column:
+            # headings from which on the rest can still be found
+            return _let(before(p["p3"], F.array_max(p["p5"])), lambda p3: _let(before(p["p2"], F.array_max(p3)), lambda p2: _let(
+                F.array_min(before(p["p1"], F.array_max(p2))), lambda h1: _let(next_of(cuts, p2, h1, "1"), lambda h2: _let(
+                    next_of(cuts, p3, h2, "2"), lambda h3: _let(next_of(cuts, p["p5"], h3, "3"), lambda h5: taken(p, h1, h2, h3, h5)))))))
+
+        def taken(p: Column, h1: Column, h2: Column, h3: Column, h5: Column) -> Column:
+            end3 = h5 if own_line else F.coalesce(F.array_min(F.filter(p["p4"], lambda i: (i > h3) & (i < h5))), h5)
+            spans = (("1", h1, h2), ("2", h2, h3), ("3", h3, end3), ("5", h5, F.size(cuts)))
+            return F.when(h5.isNotNull(), F.struct(*[text(cuts, k, a, z).alias(n) for (k, a, z), n in zip(spans, SECTION_NAMES, strict=True)]))
+
+        return _let(F.struct(*[places(cuts, k).alias(f"p{k}") for k in headings]), found)
+
+    return _let(F.split(marked, _MARK + "(?=[1-5])", -1), of_cuts)
 
 
 def sections_strict(responses: DataFrame) -> DataFrame:
     """Numbered headings 1/2/3/(4)/5; no match -> four empty strings."""
-    g = _groups(SECTIONS_STRICT)
-    return responses.select("repo", "scan_id", "path", *[x.alias(n) for x, n in zip(g, SECTION_NAMES)])
+    c = F.col("content")
+    held = F.lit(True)  # plain searches first
+    for heading in (h for k, h in STRICT_HEADINGS.items() if k != "4"):
+        held = held & c.contains(heading.replace("\\", ""))
+    x = responses.select("repo", "scan_id", "path", F.when(held, sections(c, STRICT_HEADINGS)).alias("s"))
+    return x.select("repo", "scan_id", "path", *[F.coalesce(f"s.{n}", F.lit("")).alias(n) for n in SECTION_NAMES])
 
 
 def _grab(label_variants: list[str]) -> Column:
@@ -265,19 +341,18 @@ def sections_relaxed(responses: DataFrame) -> DataFrame:
     """Numbered pattern, else un-numbered pattern, else per-heading blocks.
     The tier is chosen by *match* (a matched-but-empty section stays empty).
 
-    The costly patterns run only on answers that hold the headings they need, in
-    any order (a linear test), and the second only where the first fails."""
+    Both are looked for only in answers that hold the headings they need, in any
+    order, and the second only where the first fails."""
     low = F.lower(F.col("content"))
     three = low.contains("vulnerability description") & low.contains("potential risk") & low.contains("recommended fix") \
         & (low.contains("additional notes") | low.contains("references"))
     c = F.col("content")
-    m1 = three & c.rlike(SECTIONS_NUMBERED)
-    tier = F.when(m1, F.lit(1)).when(three & c.rlike(SECTIONS_PLAIN), F.lit(2)).otherwise(F.lit(3))
-    x = responses.select("repo", "scan_id", "path", "content", tier.alias("tier"))
-    g1, g2 = _groups(SECTIONS_NUMBERED), _groups(SECTIONS_PLAIN)
-    t = F.col("tier")
-    return x.select("repo", "scan_id", "path", "tier", *[
-        F.when(t == 1, g1[i]).when(t == 2, g2[i]).otherwise(_grab(HEADING_LABELS[n])).alias(n) for i, n in enumerate(SECTION_NAMES)])
+    x = responses.select("repo", "scan_id", "path", "content", three.alias("three"), F.when(three, sections(c, NUMBERED_HEADINGS)).alias("s1"))
+    x = x.withColumn("s2", F.when(F.col("three") & F.col("s1").isNull(), sections(c, PLAIN_HEADINGS)))
+    tier = F.when(F.col("s1").isNotNull(), 1).when(F.col("s2").isNotNull(), 2).otherwise(3)
+    return x.select("repo", "scan_id", "path", tier.alias("tier"), *[
+        F.when(F.col("s1").isNotNull(), F.col(f"s1.{n}")).when(F.col("s2").isNotNull(), F.col(f"s2.{n}"))
+         .otherwise(_grab(HEADING_LABELS[n])).alias(n) for n in SECTION_NAMES])
 
 
 # ----------------------------------------------------------------- A9 / J5
