@@ -225,17 +225,20 @@ def chat_requests(prompts: DataFrame, model: str = DEFAULT_MODEL, temperature: f
 
 
 # ----------------------------------------------------------------- S6
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``response_*.md`` under ``path`` (laid out as <repo>/<scan_id>/file);
-    the finding path is decoded from the file name.  Names without the prefix
-    give a null path (reported by callers as a parse reject)."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.md").text(path)
-          .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file_path"),
-                  F.col("_metadata.file_name").alias("file_name")))
-    parts = F.split("file_path", "/")
-    return df.select(F.element_at(parts, -3).alias("repo"), F.element_at(parts, -2).alias("scan_id"),
-                     decode_key("file_name").alias("path"), "file_name", "content")
+RESPONSE_LAYOUT = r"([^/]+)/([^/]+)/([^/]+\.md)$"
+
+
+def read_responses(spark: SparkSession, path: str, layout: str = RESPONSE_LAYOUT, glob: str = "*.md") -> DataFrame:
+    """Every ``response_*.md`` under ``path`` (by default <repo>/<scan_id>/file;
+    ``layout`` finds the three in a file's path); the finding path is decoded from
+    the file name.  Names without the prefix give a null path (reported by callers
+    as a parse reject)."""
+    df = (spark.read.option("recursiveFileLookup", True)
+          .option("pathGlobFilter", glob).text(path, wholetext=True)
+          .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file_path")))
+    repo, scan_id, name = (F.regexp_extract("file_path", layout, i) for i in (1, 2, 3))
+    return df.select(repo.alias("repo"), scan_id.alias("scan_id"), name.alias("file_name"), "content").select(
+        "repo", "scan_id", decode_key("file_name").alias("path"), "file_name", "content")
 
 
 # ----------------------------------------------------------------- T1

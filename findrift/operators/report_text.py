@@ -8,7 +8,7 @@ sections are unioned, and text is assembled only at the sink
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findrift.functions import branding as B
@@ -92,6 +92,29 @@ def assemble(lines: DataFrame, sep: str = "\n") -> DataFrame:
                                           lambda x: x["text"]), sep).alias("text")))
 
 
+def write_reports(lines: DataFrame, path: str, lines_per_part: int = 100_000) -> None:
+    """Reports as text under ``path``/repo=/scan_id=, in parts of at most
+    ``lines_per_part`` rows whose names are in the order of the report: no row,
+    file or task holds a whole one."""
+    order = ["repo", "scan_id", "block", "file_no", "part", "seq"]
+    (lines.repartitionByRange(*order).sortWithinPartitions(*order).select("repo", "scan_id", "text")
+     .write.option("maxRecordsPerFile", lines_per_part).partitionBy("repo", "scan_id").text(path))
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """repo, scan_id, line_no, text: the lines of stored reports, numbered from 1
+    (a text of several lines gives several)."""
+    parts = (spark.read.text(path, wholetext=True)
+             .select(F.col("repo").cast("string").alias("repo"), F.col("scan_id").cast("string").alias("scan_id"), "value",
+                     F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*?(\d+)\.txt$", 1).cast("long").alias("task"),
+                     F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*?(\d+)\.txt$", 2).cast("long").alias("piece")))
+    # each part ends in a line break
+    lines = parts.select("repo", "scan_id", "task", "piece", F.posexplode(F.split(F.expr("substring(value, 1, length(value) - 1)"), "\n", -1)).alias("at", "text"))
+    order = F.shiftleft(F.col("task"), 44) + F.shiftleft(F.col("piece"), 28) + F.col("at")
+    return (reports.ranked(lines.withColumn("_o", order), ["repo", "scan_id"], "_o", "line_no")
+            .select("repo", "scan_id", "line_no", "text"))
+
+
 def _md_row(cells: list[Column]) -> Column:
     """Bar-separated row; null cells are optional columns left out."""
     return row_parts(cells)

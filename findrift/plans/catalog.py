@@ -50,6 +50,7 @@ def a1_hot_file_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- M1 ingest
 from findrift.operators import ingest  # noqa: E402
+from findrift.sources import files as SRC  # noqa: E402
 from findrift.sources import json_chunks, scans  # noqa: E402
 
 
@@ -114,8 +115,13 @@ def j2_attach_rules(spark, sf_dir):
     return flat(ingest.codeql_rule_map(fx.sarif_output(spark, sf_dir, "codeql")))
 
 
+def stored_files(spark, sf_dir):
+    """The source files as a bucketed table."""
+    return SRC.store_sources(fx.source_files(spark, sf_dir))
+
+
 def all_tools(spark, sf_dir):
-    files = fx.source_files(spark, sf_dir)
+    files = stored_files(spark, sf_dir)
     raws = {"semgrep": fx.semgrep_output(spark, sf_dir),
             "codeql": fx.sarif_output(spark, sf_dir, "codeql"),
             "snykcode": fx.sarif_output(spark, sf_dir, "snykcode")}
@@ -386,7 +392,7 @@ from findrift.operators import patches as PT  # noqa: E402
 
 
 def _pairs(spark, sf_dir):
-    return PT.pair_files(fx.parsed_code(spark, sf_dir), fx.source_files(spark, sf_dir))
+    return PT.pair_files(fx.parsed_code(spark, sf_dir), stored_files(spark, sf_dir))
 
 
 @register("t5_annotate_source")
@@ -575,6 +581,25 @@ def t9b_pr_body_lines(spark, sf_dir):
     return RT.pr_body_lines(_attached(spark, sf_dir), _file_sections(spark, sf_dir, True))
 
 
+@register("t9b_stored_report")
+def t9b_stored_report(spark, sf_dir):
+    """T9b written as ordered parts of text, read back line by line."""
+    base = scratch_path(spark, "reports")
+    RT.write_reports(RT.pr_body_lines(_attached(spark, sf_dir), _file_sections(spark, sf_dir, True)), base, lines_per_part=2000)
+    return RT.read_reports(spark, base)
+
+
+@register("s6_read_responses")
+def s6_read_responses(spark, sf_dir):
+    """Answers written under names made of their paths, read back by the S6 reader."""
+    base = scratch_path(spark, "s6")
+    r = fx.responses(spark, sf_dir).select("repo", "scan_id", C.encode_key("path").alias("file"), "content")
+    r.repartition("repo", "scan_id", "file").write.partitionBy("repo", "scan_id", "file").text(base)
+    found = P.read_responses(spark, base, r"repo=([^/]+)/scan_id=([^/]+)/file=([^/]+)/[^/]+$", "*.txt")
+    content = F.expr("substring(content, 1, length(content) - 1)")  # the writer ends a text with a line break
+    return found.select("repo", "scan_id", "path", "file_name", F.sha2(content, 256).alias("content_sha"))
+
+
 @register("t9a_report_lines")
 def t9a_report_lines(spark, sf_dir):
     return RT.repo_log_lines(fx.findings(spark, sf_dir), _file_sections(spark, sf_dir, False))
@@ -672,7 +697,6 @@ def _status_streamed(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- sources and sinks
-from findrift.sources import files as SRC  # noqa: E402
 from findrift.sources import sinks as SNK  # noqa: E402
 
 

@@ -486,6 +486,7 @@ SELECT repo, scan_id, count(*) AS n_calls, CAST(sum(prompt_tokens) AS BIGINT) AS
 FROM resp GROUP BY repo, scan_id
 """
 _KEY = "'response_' || array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('artifacts', 'downloaded_repo')), '‣') || '.md'"
+ORACLES["s6_read_responses"] = with_(RESP) + f"SELECT repo, scan_id, path, {_KEY} AS file_name, sha256(content) AS content_sha FROM resp"
 P14 = with_(RESP) + f"""
 SELECT path, {_KEY} AS file_name, replace(regexp_extract({_KEY}, '^response_(.*)\\.md$', 1), '‣', '/') AS decoded
 FROM (SELECT path FROM resp UNION ALL SELECT 'artifacts/downloaded_repo/' || path FROM resp)
@@ -1011,6 +1012,11 @@ T9B_BODY = " UNION ALL ".join([
 ])
 T9B = with_(BASE, merge_sql("f"), ATTACH, FILE_RESP, T9B_CTE) + T9B_BODY
 ORACLES["t9b_pr_body_lines"] = T9B
+ORACLES["t9b_stored_report"] = f"""
+SELECT repo, scan_id, CAST(i AS BIGINT) AS line_no, lines[i] AS text
+FROM (SELECT repo, scan_id, string_split(string_agg(text, chr(10) ORDER BY block, file_no, part, seq), chr(10)) AS lines
+      FROM ({T9B}) GROUP BY repo, scan_id), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)
+"""
 
 
 _LVL = "coalesce(nullif(upper(severity), ''), 'N/A')"

@@ -73,9 +73,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_SCRATCH_TABLES: list[str] = []
+
+
+def scratch_table(name: str) -> str:
+    """A unique name for an intermediate table that is stored at a scratch path
+    (bucketed ones must be tables)."""
+    _SCRATCH_TABLES.append(f"{name}_{uuid.uuid4().hex[:12]}")
+    return _SCRATCH_TABLES[-1]
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables made so far; call it when the frames that
     read them have been written.  Returns how many were deleted."""
+    while _SCRATCH_TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_SCRATCH_TABLES.pop()}")
     jvm, conf, n = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
     while _SCRATCH:
         path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())

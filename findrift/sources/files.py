@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from findrift.functions.columns import split_lines
 from findrift.operators.prompts import read_responses  # noqa: F401  (S6 lives with the response operators)
+from findrift.session import scratch_path, scratch_table
+
+#: Bytes of source texts in a bucket.
+BUCKET_BYTES = 128_000_000
 
 FINDING_SCHEMA = ("input string, idx int, start_line int, end_line int, snippet string, message string, "
                   "vulnerability_class array<string>, cwe array<string>, severity string, "
@@ -46,6 +50,31 @@ def read_source_files(spark: SparkSession, root: str, exts: Sequence[str] = ("py
             .select("repo", "path", "content", lines.alias("lines"), F.size(lines).alias("n_lines")))
 
 
+def store_sources(source_files: DataFrame, table: str | None = None, path: str | None = None,
+                  bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Source files stored once, in buckets by (repo, path) and sorted, so that every
+    join on that key leaves the texts where they are and moves the other side only.
+
+    Without ``table`` and ``path`` the table is an intermediate one.  A bucket is one
+    task of every join: where a single file has a large share of all findings,
+    pass the files unstored, whose joins split such a key."""
+    spark = source_files.sparkSession
+    files = source_files.select("repo", "path", "content")
+    size = files.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+    # not fewer than a shuffle has, or a join would rather shuffle both sides
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    table = table or scratch_table("sources")
+    (files.repartition(n, "repo", "path").sortWithinPartitions("repo", "path").write
+     .option("path", path or scratch_path(spark, "sources")).bucketBy(n, "repo", "path").sortBy("repo", "path").saveAsTable(table))
+    return stored_sources(spark, table)
+
+
+def stored_sources(spark: SparkSession, table: str) -> DataFrame:
+    """The stored files, lines cut as they are read."""
+    lines = split_lines("content")
+    return spark.table(table).select("repo", "path", "content", lines.alias("lines"), F.size(lines).alias("n_lines"))
+
+
 def source_rejects(spark: SparkSession, root: str, exts: Sequence[str] = ("py", "pyi"),
                    layout: str = r"^([^/]+)/(.+)$") -> DataFrame:
     """Files under ``root`` that S1 can't read, as reject rows."""

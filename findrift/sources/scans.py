@@ -27,7 +27,7 @@ def read_scan_files(spark: SparkSession, path: str, tool: str, repo: str | None
     no such limit).  ``part`` is the file's position among the scan's files by
     name; it is told by the listing alone, one narrow row per file, whose side
     of the join is broadcast while it has at most FEW_FILES rows."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    df = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
           .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path")))
     files = listed_files(spark, path, repo)
     if files.limit(FEW_FILES + 1).count() <= FEW_FILES:

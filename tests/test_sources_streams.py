@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from findrift import session
 from findrift.functions.columns import split_lines
-from findrift.operators import ingest, merge
-from findrift.sources import files, scans
+from findrift.operators import ingest, merge, prompts, report_text
+from findrift.sources import files, json_chunks, scans
 from findrift.streaming import streams
 
 SMOKE = "/root/testdata/sf0.001"
@@ -33,6 +33,41 @@ def test_read_scan_files(spark, tmp_path):
     assert sorted(r["snippet"] for r in out.collect()) == ["x", "y"]
 
 
+def test_files_of_several_lines_are_one_document_each(spark, tmp_path):
+    d = tmp_path / "r1" / "scanA"
+    os.makedirs(d)
+    doc = {"results": [{"path": "a.py", "start": {"line": 1}, "end": {"line": 2}}]}
+    (d / "out.json").write_text(json.dumps(doc, indent=2))
+    for raw in (scans.read_scan_files(spark, str(tmp_path), "semgrep"), json_chunks.read_scan_chunks(spark, str(tmp_path), "semgrep", size=20)):
+        out, rejects = ingest.semgrep_findings(raw, _files(spark))
+        assert [r["snippet"] for r in out.collect()] == ["x\ny"] and rejects.count() == 0
+    answer = "1. Vulnerability Description: v\n\n2. Potential Risk: r\n"
+    (d / "response_src‣a.py.md").write_text(answer, encoding="utf-8")
+    (d / "notes.md").write_text(answer, encoding="utf-8")
+    got = sorted((r["repo"], r["scan_id"], r["path"] or "", r["content"]) for r in prompts.read_responses(spark, str(tmp_path)).collect())
+    assert got == [("r1", "scanA", "", answer), ("r1", "scanA", "src/a.py", answer)]
+
+
+def test_stored_sources_and_their_table(spark):
+    stored = files.store_sources(_files(spark), bucket_bytes=10)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, _files(spark).collect()))
+    tables = len(spark.catalog.listTables())
+    session.drop_scratch(spark)
+    assert len(spark.catalog.listTables()) < tables
+    assert files.store_sources(_files(spark).where("false")).count() == 0
+
+
+def test_reports_are_stored_in_ordered_parts(spark, tmp_path):
+    rows = [("r", s, b, f, 0, q, t) for s in ("s1", "s2") for b in (0, 1) for f in range(30) for q, t in ((0, f"a{b}.{f}\nmore"), (1, ""), (2, "end"))]
+    lines = spark.createDataFrame(rows, "repo string, scan_id string, block int, file_no long, part int, seq long, text string").repartition(5)
+    report_text.write_reports(lines, str(tmp_path / "reports"), lines_per_part=7)
+    got = report_text.read_reports(spark, str(tmp_path / "reports")).collect()
+    for s in ("s1", "s2"):
+        text = "\n".join(t for _, s_, *_, t in rows if s_ == s)
+        assert [r["text"] for r in sorted((r for r in got if r["scan_id"] == s), key=lambda r: r["line_no"])] == text.split("\n")
+    assert sum(len(f) for _, _, f in os.walk(tmp_path / "reports")) > 20
+
+
 def _land_scans(landing, parts):
     docs = []
     for part in parts:
