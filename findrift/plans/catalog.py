@@ -210,6 +210,12 @@ def f5_validate_context(spark, sf_dir):
     return flat(full.unionByName(mini))
 
 
+@register("f5_broken_contexts")
+def f5_broken_contexts(spark, sf_dir):
+    """F5 over contexts of which each breaks one rule of the schema, told by its start line (every 19th none)."""
+    return flat(ctxop.validate_contexts(fx.broken_contexts(_contexts(spark, sf_dir))))
+
+
 @register("j3_attach_context")
 def j3_attach_context(spark, sf_dir):
     a = _attached(spark, sf_dir)

@@ -267,6 +267,17 @@ UNION ALL
 SELECT repo, scan_id, path, false, 'SEVERITY@bit is required;BIT is required', 'v1.0' FROM merged
 """
 
+# fixed texts of the rules, in the order in which the recipe breaks them
+_RULES = ("VULNERABILITY@id is required", "FILE@path is required", "RANGE@start must be a positive integer", "RANGE@end must be a positive integer",
+          "SEVERITY@overall is required", "SEVERITY@bit is required", "MESSAGE is required", "MESSAGES needs at least one ITEM", "SNIPPET is required",
+          "BIT is required", "BIT/TRIGGER is required", "BIT/STEPS needs at least one STEP", "BIT/REPRODUCTION is required", "BIT/BIT_SEVERITY is required",
+          "CLASSES needs at least one CLASS", "CWE@id is required", "REF@href is required", "PRECONDITIONS needs at least one ITEM")
+F5_BROKEN = with_(BASE, merge_sql("f")) + f"""
+SELECT repo, scan_id, path, start_line % 19 = 0 AS is_valid,
+       CASE WHEN start_line % 19 = 0 THEN '' ELSE ([{", ".join("'" + r + "'" for r in _RULES)}])[start_line % 19] END AS errors
+FROM merged
+"""
+
 ATTACH = r"""
 att AS (
   SELECT f.*, m.repo IS NOT NULL AS matched, m.cwe AS xc, m.refs AS xrefs,
@@ -381,6 +392,7 @@ ORACLES.update({
     "w2_file_number": W2,
     "a4_scan_meta": A4,
     "f5_validate_context": F5,
+    "f5_broken_contexts": F5_BROKEN,
     "j3_attach_context": J3,
     "a7_choose_cwes": A7,
     "w3_top_cwes": W3,
