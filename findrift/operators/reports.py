@@ -18,20 +18,20 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def ranked(df: DataFrame, group: list[str], order: str, name: str = "rn", bits: int = 16) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: str, name: str = "rn", bucket_bits: int = 16) -> DataFrame:
     """1-based position of each row inside ``group`` by the unique bigint ``order`` (0 or more).
 
     Equivalent to row_number() over (partition by group order by order), but no
-    task gets a whole group: rows are numbered within buckets of 2^bits orders.
-    Bucket sizes are summed up a tree whose nodes have at most 2^bits children,
+    task gets a whole group: rows are numbered within buckets of 2^bucket_bits orders.
+    Bucket sizes are summed up a tree whose nodes have at most 2^bucket_bits children,
     so what lies before a bucket is a sum of one number per level, and no window
-    has more than 2^bits rows, however many buckets a group has."""
-    x = df.withColumn("_0", F.shiftright(F.col(order), bits))
-    shifts = range(2 * bits, 64, bits)  # of the tree's levels above the buckets
+    has more than 2^bucket_bits rows, however many buckets a group has."""
+    x = df.withColumn("_0", F.shiftright(F.col(order), bucket_bits))
+    shifts = range(2 * bucket_bits, 64, bucket_bits)  # of the tree's levels above the buckets
     # sizes of nodes, from the buckets up
     sizes = [x.groupBy(*group, "_0").agg(F.count(F.lit(1)).alias("_n"))]
     for k, _ in enumerate(shifts, 1):
-        below = sizes[-1].withColumn(f"_{k}", F.shiftright(F.col(f"_{k - 1}"), bits))
+        below = sizes[-1].withColumn(f"_{k}", F.shiftright(F.col(f"_{k - 1}"), bucket_bits))
         sizes[-1] = below
         sizes.append(below.groupBy(*group, f"_{k}").agg(F.sum("_n").alias("_n")))
     # what lies before each node, from the root (all of a group) down

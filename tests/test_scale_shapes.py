@@ -33,7 +33,7 @@ def test_positions_of_any_orders_and_small_buckets(spark):
     rows = [(g, o) for g in "ab" for o in rnd.sample([0, 1, 2, 7, 2**63 - 1, 2**40, *(rnd.randrange(2**62) for _ in range(200))], 150)]
     df = spark.createDataFrame(rows, "g string, o long")
     for bits in (4, 16):
-        got = {(r["g"], r["o"]): r["rn"] for r in RP.ranked(df, ["g"], "o", bits=bits).collect()}
+        got = {(r["g"], r["o"]): r["rn"] for r in RP.ranked(df, ["g"], "o", bucket_bits=bits).collect()}
         assert got == {(g, o): 1 + sum(h == g and p < o for h, p in rows) for g, o in rows}
     assert RP.ranked(df.where("false"), ["g"], "o").count() == 0
 
