@@ -31,9 +31,7 @@ def main() -> None:
     out = ["# Physical plans of the headline queries", "",
            f"Final adaptive plans after one run at `{sf_dir}` (local[8]).  Counts are operator occurrences;",
            "ReadSchema lists the columns each parquet scan reads (column pruning).",
-           "RoundRobinPartitioning exchanges come from spreading the single-split local fixture files",
-           "(`fixtures.read_spread`); inputs that arrive in many splits skip them.  SinglePartition exchanges",
-           "belong to the one-row document count used as a scalar subquery.", ""]
+           "SinglePartition exchanges belong to one-row aggregates (document counts, sizes).", ""]
     for name in HEADLINE:
         if name not in catalog.REGISTRY or name.startswith("r1"):
             continue
