@@ -13,12 +13,13 @@ share count less, but never so little that copies of one much-copied text come
 apart.  A pair whose shingle sets alone reach the threshold counts too.  ``df``
 comes from counters by hash over all documents (a table of fixed size).
 
-Big buckets never meet in one task: a bucket of more than SMALL classes first
-links each to its smallest and, inside parts dealt by further samples, to the
-smallest of the part, found by aggregation.  Where a bucket's classes are then
-in more than one group, those outside its largest group are compared with all
-of the bucket that are in other groups, block by block on their samples, until
-no pair that agrees on enough samples is left unverified between two groups.
+A bucket of n classes proposes n - 1 pairs, each class with the smallest.  Where
+its classes are then in several groups, those outside its largest group (its
+hub) are compared with all members of the hub's buckets, in blocks of bounded
+size: samples first, then the whole shingle sets, in the task where they meet.
+A task passes on only the links that connect groups, so rows grow with the
+classes, while every two classes of a bucket that any chain of links does not
+connect have been compared.
 
 Defined cases: null and empty texts are one class; texts of fewer than five
 words match equal texts only; repeated rows belong to their class; a row with a
@@ -46,10 +47,9 @@ BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
 #: Share of samples that a proposed pair must agree on (five deviations below the threshold).
 AGREE = 0.55
-SMALL = 24
 IDF_SHARE = 0.5
-#: Classes of a block of a big bucket, and how many of a block each stray class is verified with, by round (at last: all).
-BLOCK, ROUNDS = 1024, (8, 128, 1 << 30)
+#: Classes of a block, bytes of their shingles, and how many a class is compared with first.
+BLOCK, BLOCK_BYTES, TRIED = 1024, 8_000_000, 32
 #: Counters of document frequencies, and the parts they are summed in.
 COUNTERS, PARTS = 1 << 20, 64
 #: Grid of ln(weight), and levels on it (weights up to 30).
@@ -193,89 +193,142 @@ def _signatures(docs: DataFrame, log_idf) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- pairs
-def _buckets(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, cls, n, head of the classes in buckets of up to SMALL classes, and of more."""
+def _shared(sigs: DataFrame) -> DataFrame:
+    """key, cls, n, head of the classes in buckets of two or more."""
     entries = sigs.select("cls", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("head")).where("n > 1")
-    shared = entries.join(buckets, "key")
-    return shared.where(F.col("n") <= SMALL), shared.where(F.col("n") > SMALL)
-
-
-def _pairs(sigs: DataFrame, big: DataFrame) -> DataFrame:
-    """a < b: proposed pairs that agree on enough samples."""
-    # small buckets: every pair, at most SMALL classes a bucket
-    small = (_buckets(sigs)[0].groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("m"))
-             .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p"))
-             .select("p.a", "p.b"))
-    # big ones: each class with the smallest of its bucket, and of parts of it; _rest() has the others
-    star = big.select(F.col("head").alias("a"), F.col("cls").alias("b"))
-    parts = (big.join(sigs.select("cls", "sig"), "cls")
-             .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
-             .select("cls", F.xxhash64("key", "j", F.expr("sig[cast(pmod(key, 61) + j * 17 as int) % 80]"),
-                                       F.expr("sig[cast(pmod(key, 61) + j * 17 + 7 as int) % 80]")).alias("sub")))
-    heads = parts.groupBy("sub").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1")
-    parted = parts.join(heads, "sub").select("a", F.col("cls").alias("b"))
-    pairs = small.unionAll(star).unionAll(parted).where("a < b").distinct()
+    return entries.join(buckets, "key")
+
+
+def _stars(shared: DataFrame, sigs: DataFrame) -> DataFrame:
+    """a < b: each class with the smallest of its buckets, where they agree on enough samples."""
+    pairs = shared.where("head < cls").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     left, right = (sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
     same = F.greatest(*(F.expr(f"aggregate(zip_with(slice(sa, {at}, {SAMPLES}), slice(sb, {at}, {SAMPLES}), (x, y) -> IF(x = y, 1, 0)), 0, (s, x) -> s + x)")
                         for at in (1, SAMPLES + 1)))  # weighted or plain
     return pairs.join(left, "a").join(right, "b").where(same >= AGREE * SAMPLES).select("a", "b")
 
 
-def _best(sa: np.ndarray, sb: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rows of ``sa`` and ``sb`` that agree on enough samples, where ``other``
-    allows it: for each row of ``sa`` the ``most`` that agree best, and whether there are more."""
-    same = np.zeros((2, len(sa), len(sb)), np.int16)  # weighted and plain samples
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """hub, cls, group, stray: members of buckets whose classes are in several groups.
+
+    The largest group of a bucket is its hub; buckets of one hub are taken
+    together, so a class that shares many of them is there once."""
+    here = (shared.where("n > 2").select("key", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
+            .select("key", "cls", F.coalesce("label", "cls").alias("group")))
+    hubs = (here.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key")
+            .agg(F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+            .select("key", F.col("top.group").alias("hub")))
+    return (here.join(hubs, "key").select("hub", "cls", "group").distinct()
+            .withColumn("stray", F.col("group") != F.col("hub")))
+
+
+def agreement(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """Samples on which rows of ``sa`` and ``sb`` agree, weighted or plain ones, whichever are more."""
+    if len(sa) * len(sb) <= 4096:
+        same = sa[:, None, :] == sb[None, :, :]
+        return np.maximum(same[..., :SAMPLES].sum(axis=2), same[..., SAMPLES:].sum(axis=2))
+    same = np.zeros((2, len(sa), len(sb)), np.int16)
     for k, (x, y) in enumerate(zip(sa.T, sb.T, strict=True)):
         same[k // SAMPLES] += x[:, None] == y
-    same = same.max(axis=0)
-    same[~other] = 0
-    near = same >= AGREE * SAMPLES
-    more = bool((near.sum(axis=1) > most).any())
-    if more:
-        top = np.argpartition(-same, most - 1, axis=1)[:, :most]
-        chosen = np.zeros_like(near)
-        np.put_along_axis(chosen, top, True, axis=1)
-        near &= chosen
-    return *np.nonzero(near), more
-
-
-def _rest(big: DataFrame, sigs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """a < b, more: pairs of big buckets whose classes are in different groups.
-
-    Of the classes outside a bucket's largest group, each with the ``most`` of
-    every block of the bucket that agree best; ``more`` where a class had more.
-    """
-    here = (big.select("key", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
-            .select("key", "cls", F.coalesce("label", "cls").alias("group")))
-    sizes = (here.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key")
-             .agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("groups")).where("groups > 1"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    return same.max(axis=0)
+
+
+def similarities(h: np.ndarray, w: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted and plain Jaccard similarity of a sorted shingle set to each of several (none of them empty)."""
+    sizes = np.array([len(o[0]) for o in others])
+    hb, wb = (np.concatenate([o[k] for o in others]) for k in (0, 1))
+    at = np.minimum(np.searchsorted(h, hb), len(h) - 1)
+    match = h[at] == hb
+    first = np.cumsum(sizes) - sizes
+    both = np.add.reduceat(np.where(match, np.minimum(w[at], wb), 0.0), first)
+    n = np.add.reduceat(match.astype(np.int64), first)
+    return both / (w.sum() + np.add.reduceat(wb, first) - both), n / (len(h) + sizes - n)
+
+
+def connect(cls: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, stray: np.ndarray, sig: np.ndarray,
+            features: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, float, float]]:
+    """(a, b, weighted, plain): similar pairs of a left and a right class, enough of
+    them to connect every two groups that any pair of theirs connects.
+
+    Each class tries those that agree with it on enough samples, best first, until
+    the groups left have no untried one.  A pair of strays is tried from the smaller."""
+    _, joined = np.unique(group, return_inverse=True)  # a number for each group, equal once they are connected
+    for at in range(0, len(left), BLOCK):
+        part = left[at:at + BLOCK]
+        same = agreement(sig[part], sig[right])
+        fits = (same >= AGREE * SAMPLES) & (group[part][:, None] != group[right]) & (~stray[right] | (cls[part][:, None] < cls[right]))
+        for row in np.flatnonzero(fits.any(axis=1)):
+            i, most = part[row], TRIED
+            todo = right[fits[row]]
+            todo = todo[np.argsort(-same[row][fits[row]], kind="stable")]
+            todo = todo[joined[todo] != joined[i]]
+            while len(todo):
+                now, todo = todo[:most], todo[most:]
+                most = min(8 * most, BLOCK)
+                w, plain = similarities(*features[i], [features[j] for j in now])
+                for k in np.flatnonzero(np.maximum(w, plain) >= THRESHOLD):
+                    if joined[now[k]] != joined[i]:
+                        joined[joined == joined[now[k]]] = joined[i]
+                        a, b = sorted((int(cls[i]), int(cls[now[k]])))
+                        yield a, b, float(w[k]), float(plain[k])
+                todo = todo[joined[todo] != joined[i]]
+
+
+_MEMBER = "hub long, i int, j int, side int, cls long, `group` long, stray boolean, sig array<int>, h binary, l binary"
+
+
+def _connections(open_: DataFrame, sigs: DataFrame, features: DataFrame) -> DataFrame:
+    """a, b, weighted, plain: links between groups whose classes share buckets.
+
+    The strays of a hub meet all its members, block by block of bounded rows and
+    bytes; what meets is compared where it is, and only links leave the task."""
+    member = open_.join(sigs.select("cls", "sig"), "cls").join(features, "cls")
+    size = F.octet_length("h").cast("long")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    # counted on narrow rows
+    counted = (open_.join(features.select("cls", size.alias("size")), "cls").groupBy("hub")
+               .agg(F.count_if("stray").alias("na"), F.count("*").alias("nb"), F.sum(F.when(F.col("stray"), F.col("size"))).alias("sa"), F.sum("size").alias("sb"))
+               .select("hub", blocks(F.col("na"), F.col("sa")).alias("na"), blocks(F.col("nb"), F.col("sb")).alias("nb")))
+    member = member.join(counted, "hub")
     deal = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), n).cast("int")
-    open_ = (here.join(sizes, "key")
-             .select("key", "cls", "group", (F.col("group") != F.col("top.group")).alias("stray"),
-                     blocks(F.col("n") - F.col("top.n")).alias("na"), blocks(F.col("n")).alias("nb"))
-             .join(sigs.select("cls", "sig"), "cls"))
-    # every block of strays meets every block of the bucket in a group of its own
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = open_.where("stray").select("key", deal(1, F.col("na")).alias("i"), every("nb").alias("j"), F.lit(True).alias("a"), "cls", "group", "sig")
-    right = open_.select("key", every("na").alias("i"), deal(2, F.col("nb")).alias("j"), F.lit(False).alias("a"), "cls", "group", "sig")
-
-    def compare(rows: pa.Table) -> pa.Table:
-        side = rows["a"].to_numpy()
-        cls, group = rows["cls"].to_numpy(), rows["group"].to_numpy()
-        sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
-        a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        if not len(a) or not len(b):
-            i = j = np.empty(0, np.int64)
-            more = False
-        else:
-            i, j, more = _best(sig[a], sig[b], group[a][:, None] != group[b], most)
-        x, y = cls[a][i], cls[b][j]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "more": np.full(len(x), more)})
-
-    return (left.unionAll(right).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
-            .groupBy("a", "b").agg(F.max("more").alias("more")))
+    rest = ["cls", "group", "stray", "sig", "h", "l"]
+    one = (F.col("na") == 1) & (F.col("nb") == 1)
+    whole = member.where(one).select("hub", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *rest)
+    left = member.where(~one & F.col("stray")).select("hub", deal(1, F.col("na")).alias("i"), every("nb").alias("j"), F.lit(1).alias("side"), *rest)
+    right = member.where(~one).select("hub", every("na").alias("i"), deal(2, F.col("nb")).alias("j"), F.lit(2).alias("side"), *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.exp(GRID * np.arange(256))
+
+        def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows)
+            cls, group, side = (t.column(c).to_numpy() for c in ("cls", "group", "side"))
+            stray = t.column("stray").to_numpy(zero_copy_only=False)
+            sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+            features = [(np.frombuffer(h, sh.U), weight[np.frombuffer(x, np.uint8)])
+                        for h, x in zip(t.column("h").to_pylist(), t.column("l").to_pylist(), strict=True)]
+            found = list(connect(cls, group, np.flatnonzero(stray & (side != 2)), np.flatnonzero(side != 1), stray, sig, features))
+            return pa.record_batch([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
+                                   names=["a", "b", "weighted", "plain"])
+
+        key, held = None, []
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in ("hub", "i", "j")])
+            heads = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if b.num_rows else []
+            for a, z in zip(heads, np.append(heads[1:], b.num_rows).astype(int) if len(heads) else [], strict=True):
+                here = tuple(keys[:, a].tolist())
+                if here != key and held:
+                    yield links(held)
+                    held = []
+                key = here
+                held.append(b.slice(a, z - a))
+        if held:
+            yield links(held)
+
+    return (whole.unionAll(left).unionAll(right).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+            .mapInArrow(run, "a long, b long, weighted double, plain double"))
 
 
 def weighted_jaccard(ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndarray) -> tuple[float, float]:
@@ -288,13 +341,12 @@ def weighted_jaccard(ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndar
     return (float(both / total) if union else 1.0), (len(i) / union if union else 1.0)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, log_idf) -> DataFrame:
-    """The pairs that are similar, with both similarities."""
-    # which slots of a fixed table of bits the classes in pairs use; other texts
-    # are kept out of the shuffle by it (never one that is in a pair)
+def _features(docs: DataFrame, wanted: DataFrame, log_idf) -> DataFrame:
+    """cls, h, l: sorted shingles and their levels of the classes in ``wanted`` (cls, each once), stored."""
+    # which slots of a fixed table of bits these classes use; other texts are kept
+    # out of the shuffle by it
     spark = docs.sparkSession
     slot = F.pmod(F.col("cls"), F.lit(_BITS))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     bits = (wanted.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_p"))
             .groupBy("_bucket").agg(F.bitmap_construct_agg("_p").alias("_bits")))
     near = (docs.withColumn("_bucket", F.bitmap_bucket_number(slot)).withColumn("_p", F.bitmap_bit_position(slot))
@@ -315,8 +367,11 @@ def _links(docs: DataFrame, pairs: DataFrame, log_idf) -> DataFrame:
 
     path = scratch_path(spark, "features")
     texts.mapInArrow(features, "cls long, h binary, l binary").write.parquet(path)
-    known = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
 
+def _links(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs that are similar, with both similarities."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(n) for n in b.schema.names}
@@ -362,35 +417,32 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _linked(rows: DataFrame, sigs: DataFrame, log_idf) -> tuple[DataFrame, DataFrame]:
-    """The links, and the label of every linked class."""
+def _linked(rows: DataFrame, sigs: DataFrame, log_idf) -> DataFrame:
+    """The label of every linked class."""
     spark = rows.sparkSession
 
-    def kept(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    def kept(df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(spark, name)
         df.write.parquet(path)
-        return path, spark.read.parquet(path)
-
-    _, big = kept(_buckets(sigs)[1], "big")
-    _, tried = kept(_pairs(sigs, big), "pairs")
-    path, links = kept(_links(rows, tried, log_idf), "links")
-    paths, linked = [path], components(spark, links)
-    for most in ROUNDS:
-        _, rest = kept(_rest(big, sigs, linked, most), "rest")
-        _, new = kept(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            paths.append(kept(_links(rows, new, log_idf), "links")[0])
-            tried, links = tried.unionAll(new), spark.read.parquet(*paths)
-            linked = components(spark, links)
-        if rest.where("more").isEmpty():
-            break  # each pair that was left has been verified
-    return links, linked
+        return spark.read.parquet(path)
+
+    shared = kept(_shared(sigs), "shared")
+    pairs = kept(_stars(shared, sigs), "pairs")
+    wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
+    links = kept(_links(pairs, _features(rows, wanted, log_idf)).select("a", "b"), "links")
+    labels = components(spark, links)
+    open_ = kept(_open(shared, labels), "open")
+    if open_.isEmpty():
+        return labels
+    features = _features(rows, open_.select("cls").distinct(), log_idf)
+    more = kept(_connections(open_, sigs, features).select("a", "b"), "links")
+    return components(spark, links.unionAll(more)) if not more.isEmpty() else labels
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, class_id (smallest id with an equal text), group_id
-    (smallest id of the group), class_links (links of its class to other
-    texts), cls and group (their hashes), is_kept (the row that stands for its group)."""
+    (smallest id of the group), cls and group (their hashes), is_kept (the row
+    that stands for its group)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("cls"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -398,21 +450,19 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     log_idf = spark.sparkContext.broadcast(idf_grid(df, n))  # COUNTERS numbers
     path = scratch_path(spark, "signatures")
     _signatures(rows.select("cls", "text"), log_idf).dropDuplicates(["cls"]).write.parquet(path)
-    links, linked = _linked(rows, spark.read.parquet(path), log_idf)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    classes = linked.join(degree, "node").withColumnRenamed("node", "cls")
+    classes = _linked(rows, spark.read.parquet(path), log_idf).withColumnRenamed("node", "cls")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("cls").alias("cls")))
     by_class = (rows.groupBy("cls").agg(first.alias("first")).join(classes, "cls", "left")
                 .withColumn("group", F.coalesce("label", "cls")))
     path = scratch_path(spark, "classes")
-    by_class.select("cls", "first", "group", F.coalesce("degree", F.lit(0)).alias("links")).write.parquet(path)
+    by_class.select("cls", "first", "group").write.parquet(path)
     by_class = spark.read.parquet(path)
     of_group = by_class.groupBy("group").agg(F.min("first").alias("head"))
     table = by_class.join(of_group, "group")
     return (rows.select("doc_id", "cls").join(table, "cls")
             .select("doc_id", F.col("first.id").alias("class_id"), F.col("head.id").alias("group_id"),
-                    F.col("links").alias("class_links"), "cls", "group",
+                    "cls", "group",
                     ((F.col("cls") == F.col("head.cls")) & F.col("doc_id").eqNullSafe(F.col("head.id"))).alias("is_kept")))
 
 
