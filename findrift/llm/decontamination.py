@@ -6,12 +6,15 @@ finds all pieces in one pass over a document, and Myers' bit-parallel distance
 decides at the places they point to.
 
 Texts are compared in lower case with runs of anything but letters, digits and
-``_`` read as one space.
-
-Defined cases: items without a letter or digit match nothing; null and empty
-texts hold no item; items with equal texts are reported under each of their
-ids; repeated rows are judged each; an empty benchmark flags nothing; an empty
-table gives an empty result; other columns do not matter.
+``_`` read as one space, and with a space at either end, so that an item is
+found as words and not inside of one.
+
+Defined cases: items without a letter or digit match nothing; items of fewer
+than SHORTEST characters, which ordinary text has by chance, match only a text
+that is nothing else; null and empty texts hold no item; items with equal texts
+are reported under each of their ids; repeated rows are judged each; an empty
+benchmark flags nothing; an empty table gives an empty result; other columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -19,16 +22,20 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed per character of an item, and the shortest piece looked for.
-EDIT_RATE, MIN_PIECE = 0.08, 10
-#: Characters of items in one automaton; larger benchmarks take several passes.
-AUTOMATON_CHARS = 16_000_000
+from findrift.session import scratch_path
+
+#: Edits allowed per character of an item, the shortest piece looked for, and the shortest item looked for in texts.
+EDIT_RATE, MIN_PIECE, SHORTEST = 0.08, 10, 12
+#: Characters of items in one automaton (some 60 bytes of memory each); larger benchmarks take several passes.
+AUTOMATON_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W]+")
 
 
@@ -41,9 +48,9 @@ def budget(length: int) -> int:
     return max(0, min(int(length * EDIT_RATE), length // MIN_PIECE - 1))
 
 
-def cut(item: str) -> list[tuple[int, str]]:
-    """(start, piece): budget + 1 pieces of nearly equal length."""
-    n = budget(len(item)) + 1
+def cut(item: str, edits: int) -> list[tuple[int, str]]:
+    """(start, piece): edits + 1 pieces of nearly equal length."""
+    n = edits + 1
     ends = [i * len(item) // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -87,54 +94,69 @@ class Matcher:
         for item_id, text in items:
             if t := normal(text):
                 by_text[t].append(item_id)
-        self.items = [(t, ids, budget(len(t)), Pattern(t), Pattern(t[::-1])) for t, ids in sorted(by_text.items())]
+        self.short = {t: ids for t, ids in by_text.items() if len(t) < SHORTEST}
+        self.items = [(f" {t} ", ids, budget(len(t))) for t, ids in sorted(by_text.items()) if len(t) >= SHORTEST]
         found = defaultdict(list)
-        for n, (t, *_) in enumerate(self.items):
-            for start, piece in cut(t):
+        for n, (t, _, k) in enumerate(self.items):
+            for start, piece in cut(t, k):
                 found[piece].append((n, start))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
+        # items met lately, forwards and backwards
+        self.pattern = lru_cache(2000)(lambda n, back: Pattern(self.items[n][0][::-1] if back else self.items[n][0]))
 
     def matches(self, text: str | None) -> Iterator[tuple[list, int, int, int]]:
         """(item ids, distance, start, end) in the normal text: each item's best match."""
-        doc = normal(text)
-        if not self.items or not doc:
+        plain = normal(text)
+        if not plain:
             return
+        if ids := self.short.get(plain):
+            yield ids, 0, 0, len(plain)
+        if not self.items:
+            return
+        doc = f" {plain} "
         places: dict[int, set[int]] = defaultdict(set)
         for end, (size, where) in self.automaton.iter(doc):
             for n, start in where:
                 places[n].add(end + 1 - size - start)  # where the item would begin
         for n, begins in places.items():
-            t, ids, k, pattern, reverse = self.items[n]
-            best, reach = None, -1
-            for begin in sorted(begins):
-                if begin <= reach:
-                    continue  # within the window tried last
-                # windows grow to hold the places nearby, so each stretch is tried once
-                last = begin
-                for b in sorted(x for x in begins if begin < x <= begin + len(t)):
-                    last = b
-                a, z, reach = max(0, begin - k), last + len(t) + k, last
-                d, at = pattern.best(doc[a:z])
+            t, ids, k = self.items[n]
+            best = None
+            # windows grow to hold the places nearby, so each stretch is tried once
+            for first, last in stretches(sorted(begins), len(t)):
+                a = max(0, first - k)
+                d, at = self.pattern(n, False).best(doc[a:last + len(t) + k])
                 if d <= k and (best is None or d < best[0]):
                     best = (d, a + at)
                 if d == 0:
                     break
             if best:
                 d, z = best
-                _, back = reverse.best(doc[max(0, z - len(t) - k):z][::-1])
-                yield ids, d, z - back, z
+                _, back = self.pattern(n, True).best(doc[max(0, z - len(t) - k):z][::-1])
+                # without the spaces put around both
+                yield ids, d, min(z - back, len(plain)), min(max(z - 2, 0), len(plain))
+
 
+def stretches(places: list[int], reach: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of sorted places within ``reach`` of their first."""
+    i = 0
+    while i < len(places):
+        first = i
+        while i < len(places) and places[i] <= places[first] + reach:
+            i += 1
+        yield places[first], places[i - 1]
 
-def _automata(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """Items in blocks whose size is checked before they are collected."""
-    items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Broadcast]:
+    """Items in blocks whose size is checked before they are collected and broadcast."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     chars = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = -(-chars // AUTOMATON_CHARS)
     for b in range(blocks):
-        yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
+        block = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(block)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -143,10 +165,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     start and end of the match in the document's normal text."""
     schema = "doc_id long, item_id long, distance int, start long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    for items in _automata(benchmark, item_col, item_text):
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    for items in _blocks(benchmark, item_col, item_text):
         def find(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(items)
+            matcher = Matcher(items.value)
             for b in batches:
                 found = [(doc, i, d, s, e) for doc, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True)
                          for ids, d, s, e in matcher.matches(text) for i in ids]
@@ -156,22 +178,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def is_clean(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text"):
-    """A function of a text column: True where the text holds no item.  It is
-    applied row by row, so a filter on it moves no text."""
-    def test(items: list[tuple[object, str]]):
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                    item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts hold no item, judged row by row where they are.
+
+    Each block of a large benchmark takes a pass of its own over what the blocks
+    before it left, so that a worker holds one automaton at a time.
+    """
+    def test(items: Broadcast):
         @F.pandas_udf("boolean")
         def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            matcher = Matcher(items)
+            matcher = Matcher(items.value)
             for texts in batches:
                 yield pd.Series([next(matcher.matches(t), None) is None for t in texts], dtype=bool)
         return clean
 
-    tests = [test(items) for items in _automata(benchmark, item_col, item_text)]
-
-    def column(text: Column) -> Column:
-        out = F.lit(True)
-        for t in tests:
-            out = out & t(text)
-        return out
-    return column
+    for n, items in enumerate(_blocks(benchmark, item_col, item_text)):
+        if n:
+            path = scratch_path(docs.sparkSession, "clean")
+            docs.write.parquet(path)
+            docs = docs.sparkSession.read.parquet(path)
+        docs = docs.where(test(items)(F.col(text_col)))
+    return docs

@@ -138,11 +138,10 @@ def test_contamination_finds_edited_items_only(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"], r["distance"] == 0) for r in decontamination.contamination(docs, bench).collect())
     assert found == [(-1, 1, False), (-1, 6, False), (0, 1, True), (0, 6, True), (1, 1, False), (1, 6, False), (5, 2, True)]
-    clean = decontamination.is_clean(bench)
-    assert sorted(r["doc_id"] for r in docs.where(clean(docs["text"])).collect()) == [2, 3, 4, 6]
+    assert sorted(r["doc_id"] for r in decontamination.clean_documents(docs, bench).collect()) == [2, 3, 4, 6]
     none = bench.where("false")
     assert decontamination.contamination(docs, none).count() == 0
-    assert docs.where(decontamination.is_clean(none)(docs["text"])).count() == 8
+    assert decontamination.clean_documents(docs, none).count() == 8
     assert decontamination.contamination(docs.where("false"), bench).count() == 0
 
 
@@ -165,6 +164,140 @@ def test_contamination_within_the_budget_is_never_missed(seed):
     assert list(decontamination.Matcher([(1, item)]).matches(doc))
 
 
+def test_items_are_words_and_short_ones_whole_texts(spark):
+    find = lambda items, text: [(ids, d, s, e) for ids, d, s, e in decontamination.Matcher(items).matches(text)]
+    short = [(1, "yes"), (2, "B"), (3, "Yes!")]
+    assert find(short, "eyesight about") == [] == find(short, "oh yes b")
+    assert find(short, " yes. ") == [([1, 3], 0, 0, 3)] and find(short, "b") == [([2], 0, 0, 1)]
+    longer = [(1, "cat sat on it")]
+    assert find(longer, "A cat sat on it.") == [([1], 0, 2, 15)] and find(longer, "concat sat on items") == []
+    docs = spark.createDataFrame([(1, "eyesight about"), (2, "yes")], "doc_id string, text string")
+    bench = spark.createDataFrame([("1", "yes"), ("2", "B")], "item_id string, text string")
+    assert [tuple(r) for r in decontamination.contamination(docs, bench).collect()] == [(2, 1, 0, 0, 3)]
+
+
+def distance_anywhere(item, text):
+    """Least edit distance of the item to any part of the text, by a table of all windows."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, x in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
+        row = new
+    return min(row)
+
+
+def test_every_window_of_every_text_is_decided_right(spark):
+    r = random.Random(8)
+    words = [messy.words(900 + i, 1) for i in range(12)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, say(r.randrange(3, 9))) for i in range(25)]
+
+    def damaged(t):
+        t = list(t)
+        for _ in range(r.randrange(6)):
+            t[r.randrange(len(t))] = r.choice("xyz ")
+        return "".join(t)
+    texts = [(i, f"{say(r.randrange(6))} {damaged(r.choice(items)[1])} {say(r.randrange(6))}") for i in range(60)]
+    want = set()
+    for d, text in texts:
+        for i, item in items:
+            t = decontamination.normal(item)
+            if len(t) >= decontamination.SHORTEST:
+                least = distance_anywhere(f" {t} ", f" {decontamination.normal(text)} ")
+                if least <= decontamination.budget(len(t)):
+                    want.add((d, i, least))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"], x["distance"]) for x in decontamination.contamination(docs, bench).collect()}
+    assert found == want and len(want) > 20
+    assert {x["doc_id"] for x in decontamination.clean_documents(docs, bench).collect()} == {d for d, _ in texts} - {d for d, _, _ in want}
+
+
+def test_large_benchmarks_take_several_passes(spark, monkeypatch):
+    items = [(i, messy.words(3000 + i, 20)) for i in range(40)]
+    texts = [(i, messy.words(i, 20) + " " + (items[i][1] if i % 3 == 0 else "") + " " + messy.words(i + 99, 10)) for i in range(40)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "AUTOMATON_CHARS", 1000)
+    assert len(list(decontamination._blocks(bench, "item_id", "text"))) > 3
+    assert sorted(r["doc_id"] for r in decontamination.contamination(docs, bench).collect()) == list(range(0, 40, 3))
+    assert sorted(r["doc_id"] for r in decontamination.clean_documents(docs, bench).collect()) == [i for i in range(40) if i % 3]
+
+
+def test_a_text_that_repeats_a_piece_is_read_in_linear_time():
+    import time
+    item = messy.words(77, 30)
+    t = f" {decontamination.normal(item)} "
+    piece = decontamination.cut(t, decontamination.budget(len(t) - 2))[3][1]
+    m, took = decontamination.Matcher([(1, item)]), []
+    for n in (4_000, 16_000):
+        text = " ".join(f"{piece.strip()} {messy.words(i % 50, 12)}" for i in range(n))
+        start = time.perf_counter()
+        list(m.matches(text))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 0.5  # four times the text
+    places = sorted({random.Random(1).randrange(10**6) for _ in range(5000)})
+    runs = list(decontamination.stretches(places, 300))
+    assert all(z - a <= 300 for a, z in runs) and all(z < a for (_, z), (a, _) in zip(runs, runs[1:]))
+
+
+def test_connections_join_the_same_groups_as_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "AGREE", 0.0)
+    monkeypatch.setattr(near_duplicates, "TRIED", 3)
+    r = np.random.default_rng(12)
+    for _ in range(30):
+        n = 40
+        base = [np.sort(r.choice(10**6, 60, replace=False)).astype(np.uint64) for _ in range(3)]
+        sets = []
+        for i in range(n):
+            b = base[i % 3]
+            drop = r.integers(0, 14)
+            sets.append(np.unique(np.concatenate([r.choice(b, len(b) - drop, replace=False), r.choice(10**6, drop).astype(np.uint64) + np.uint64(10**7)])))
+        features = [(s, r.choice([1.0, 1.5, 2.0], len(s))) for s in sets]
+        cls, group = np.arange(n) * 10, np.where(np.arange(n) % 3 == 0, 0, np.arange(n) * 10)  # one group joined before
+        group[(np.arange(n) % 3 == 0)] = 0
+        stray = group != 0
+        sig = np.zeros((n, 2 * near_duplicates.SAMPLES), np.int32)
+        links = list(near_duplicates.connect(cls, group, np.flatnonzero(stray), np.arange(n), stray, sig, features))
+
+        def closure(pairs, group=group):
+            up = {int(g): int(g) for g in group}
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+            for a, b in pairs:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+            return [root(int(g)) for g in group]
+        at = {int(c): int(g) for c, g in zip(cls, group)}
+        every = []
+        for i in np.flatnonzero(stray):
+            w, plain = near_duplicates.similarities(*features[i], features)
+            for j in range(n):
+                inside = np.intersect1d(sets[i], sets[j])
+                assert abs(plain[j] - len(inside) / len(np.union1d(sets[i], sets[j]))) < 1e-12
+                if max(w[j], plain[j]) >= near_duplicates.THRESHOLD:
+                    every.append((int(group[i]), int(group[j])))
+        assert closure(every) == closure([(at[a], at[b]) for a, b, *_ in links])
+        assert len(links) <= len(set(group.tolist())) - 1
+
+
+def test_agreement_counts_weighted_or_plain_samples():
+    r = np.random.default_rng(5)
+    a, b = (r.integers(0, 3, (n, 2 * near_duplicates.SAMPLES)) for n in (90, 70))
+    k = near_duplicates.SAMPLES
+    want = np.array([[max((x[:k] == y[:k]).sum(), (x[k:] == y[k:]).sum()) for y in b] for x in a])
+    assert (near_duplicates.agreement(a, b) == want).all() and (near_duplicates.agreement(a[:9], b[:9]) == want[:9, :9]).all()
+
+
+def test_blocks_of_a_hub_give_the_groups_of_one_task(spark, monkeypatch):
+    texts = near_corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r["group_id"] for r in near_duplicates.grouped(df).collect()}
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    assert {r["doc_id"]: r["group_id"] for r in near_duplicates.grouped(df).collect()} == whole
+
+
 def test_word_hashes_follow_the_words():
     import pyarrow as pa
     texts = ["One two  one.", None, "", "…", "ÉTÉ été", "end", "two"]
