@@ -10,8 +10,8 @@ turns it into a probability.
 
 Because both models share everything below the longest context, the ratio of
 a character is one of three constants: that of its n-gram, that of its context,
-or 0 where neither class knows the context.  The model is two tables whose size
-is bounded by the training sample.
+or 0 where neither class knows the context.  The model is two tables of packed
+keys and values, whose size is bounded by the training sample.
 
 Defined cases: null and empty texts, and texts without words, have no evidence
 and get the lowest score; without labels of both classes every score is 0;
@@ -20,12 +20,10 @@ repeated rows score alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,8 +32,10 @@ from pyspark.sql import functions as F
 
 from findrift.llm.labelled import logistic, probability, training_sample
 
-#: Bounds of the training sample: documents of each class, documents for calibration.
-PER_CLASS, CALIBRATION = 6000, 6000
+#: Bounds of the training sample: documents of each class, documents for calibration,
+#: and windows of WINDOW characters, spread evenly, that a longer document is fitted by.
+PER_CLASS, CALIBRATION, PER_DOCUMENT, WINDOW = 6000, 6000, 64, 1024
+U = np.uint64
 ORDER = 6
 #: Discounts of classes' counts of 1, 2 and more: what was seen once or twice is nearly ignored.
 DISCOUNTS, SHARED_DISCOUNT = (0.99, 1.8, 2.5), 0.75
@@ -49,83 +49,137 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def _grams(word: str) -> Iterator[str]:
-    """The n-gram of the longest order that ends in each character, and in the word's end."""
-    w = f"\x02{word}\x03"
-    for i in range(1, len(w)):
-        yield w[max(0, i - ORDER + 1):i + 1]
-
-
-def ratio_tables(counts: Iterable[tuple[str, int, int]]) -> tuple[dict[str, float], dict[str, float]]:
+# --------------------------------------------------------------------------- n-grams as arrays
+def grams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of the longest order that ends in each character and in the end of
+    each word: code points in ORDER columns, filled up with 0 on the left; and the
+    number of its word."""
+    sizes = np.array([len(w) + 2 for w in found], np.int64)
+    chars = np.frombuffer("".join(f"\x02{w}\x03" for w in found).encode("utf-32-le", "surrogatepass"), "<u4")
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(np.arange(len(chars)) > first)  # a word's start is only context
+    out = np.zeros((len(at), ORDER), np.uint32)
+    for back in range(ORDER):
+        place = at - back
+        held = place >= first[at]
+        out[held, ORDER - 1 - back] = chars[place[held]]
+    return out, np.repeat(np.arange(len(found)), sizes - 1)
+
+
+def key_of(x: np.ndarray, length: int | None = None, context: bool = False) -> np.ndarray:
+    """64-bit keys of n-grams: of their last ``length`` characters, and without the last of those for ``context``."""
+    h = np.zeros(len(x), U)
+    for c in range(ORDER if length is None else length, 0, -1):
+        if context and c == 1:
+            break
+        h = (h ^ x[:, ORDER - c].astype(U)) * U(0x9E3779B97F4A7C15)
+        h ^= h >> U(29)
+    return h * U(0xD6E8FEB86659FD93) ^ (h >> U(32))
+
+
+class Table:
+    """Sorted keys with a value each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def get(self, keys: np.ndarray, otherwise: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(whether known, values)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.full(len(keys), otherwise)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return known, np.where(known, self.values[at], otherwise)
+
+
+def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted different keys, one place of each, and sums of weights."""
+    found, place, of = np.unique(keys, return_index=True, return_inverse=True)
+    return found, place, *(np.bincount(of, w, len(found)) for w in weights)
+
+
+def _counted(found: list[str], ordinary: np.ndarray, toxic: np.ndarray, block: int = 20_000) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys, code points and counts by class of the different n-grams, a block of words at a time."""
+    key, x, own = np.empty(0, U), np.empty((0, ORDER), np.uint32), [np.empty(0), np.empty(0)]
+    held: list[tuple] = []
+    for a in range(0, len(found) + block, block):
+        if a < len(found):
+            y, of = grams(found[a:a + block])
+            k, place, *c = _summed(key_of(y), *(np.asarray(n[a:a + block], float)[of] for n in (ordinary, toxic)))
+            held.append((k, y[place], c))
+        if sum(len(h[0]) for h in held) > len(key) or a + block >= len(found):
+            every = np.concatenate([key, *(h[0] for h in held)])
+            rows = np.concatenate([x, *(h[1] for h in held)])
+            both = [np.concatenate([own[k], *(h[2][k] for h in held)]) for k in (0, 1)]
+            held.clear()
+            key, place, *own = _summed(every, *both)
+            x = rows[place]
+    return key, x, own
+
+
+def ratio_tables(found: list[str], ordinary: np.ndarray, toxic: np.ndarray) -> tuple[Table, Table]:
     """Log-likelihood ratios (toxic over ordinary) of n-grams and of contexts,
-    from (word, ordinary documents, toxic documents that hold it)."""
-    own: tuple[dict[str, int], dict[str, int]] = ({}, {})  # by n-gram of the longest order
-    for word, *by_class in counts:
-        for gram in _grams(word):
-            for k in (0, 1):
-                if by_class[k]:
-                    own[k][gram] = own[k].get(gram, 0) + by_class[k]
+    from words and the ordinary and toxic documents that hold each."""
+    key, x, own = _counted(found, ordinary, toxic)
+    size = (x != 0).sum(axis=1)
     # shared model: left continuations of every shorter n-gram, with the sum and
-    # the number of kinds of each context
-    seen: dict[str, int] = defaultdict(int)
-    for gram in own[0].keys() | own[1].keys():
-        for n in range(1, len(gram)):
-            seen[gram[n:]] += 1
-    mass: dict[str, int] = defaultdict(int)
-    kinds: dict[str, int] = defaultdict(int)
-    for gram, c in seen.items():
-        mass[gram[:-1]] += c
-        kinds[gram[:-1]] += 1
-
-    @lru_cache(maxsize=200_000)
-    def shared(gram: str) -> float:
-        ctx = gram[:-1]
-        below = shared(gram[1:]) if ctx else 1 / 1000
-        total = mass.get(ctx)
-        if not total:
-            return below
-        return (max(seen.get(gram, 0) - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds[ctx] * below) / total
-
-    cut = lambda c: DISCOUNTS[min(c, 3) - 1]
-    total: tuple[dict[str, int], dict[str, int]] = (defaultdict(int), defaultdict(int))
-    freed: tuple[dict[str, float], dict[str, float]] = (defaultdict(float), defaultdict(float))
+    # the number of kinds of each context; a shorter one backs off to one shorter still
+    shared, lower = None, np.zeros(len(x))
+    for m in range(1, ORDER):
+        longer = x[size > m]
+        k, at, seen = _summed(key_of(longer, m), np.ones(len(longer)))
+        ends = longer[at]
+        ctx = key_of(ends, m, context=True)
+        c, _, mass, kinds = _summed(ctx, seen, np.ones(len(seen)))
+        here = np.searchsorted(c, ctx)
+        below = np.full(len(k), 1 / 1000) if shared is None else shared.get(key_of(ends, m - 1))[1]
+        p = (np.maximum(seen - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds[here] * below) / mass[here]
+        shared = Table(k, p)
+        mine = size == m + 1  # n-grams whose next shorter one has m characters
+        lower[mine] = shared.get(key_of(x[mine], m))[1]
+
+    cut = lambda c: np.array([0.0, *DISCOUNTS])[np.minimum(c, 3).astype(np.int64)]
+    ctx = key_of(x, context=True)
+    contexts, _, *sums = _summed(ctx, own[0], cut(own[0]), own[1], cut(own[1]))
+    here = np.searchsorted(contexts, ctx)
+    back, p = [], []
     for k in (0, 1):
-        for gram, c in own[k].items():
-            total[k][gram[:-1]] += c
-            freed[k][gram[:-1]] += cut(c)
-    back = lambda k, ctx: freed[k][ctx] / total[k][ctx] if ctx in total[k] else 1.0
-    of_context = {ctx: math.log(back(1, ctx) / back(0, ctx)) for ctx in total[0].keys() | total[1].keys()}
-
-    def p(k: int, gram: str) -> float:
-        c, ctx = own[k].get(gram, 0), gram[:-1]
-        return ((c - cut(c)) / total[k][ctx] if c else 0.0) + back(k, ctx) * shared(gram[1:])
-
-    of_gram = {gram: math.log(p(1, gram) / p(0, gram)) for gram in own[0].keys() | own[1].keys()}
-    return of_gram, of_context
+        total, freed = sums[2 * k], sums[2 * k + 1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            back.append(np.where(total > 0, freed / total, 1.0))
+            kept = np.where(own[k] > 0, (own[k] - cut(own[k])) / total[here], 0.0)
+        p.append(kept + back[k][here] * lower)
+    return Table(key, np.log(p[1] / p[0])), Table(contexts, np.log(back[1] / back[0]))
 
 
 class Scorer:
     """Evidence of texts; keeps the ratios of words met before, up to a bound."""
 
-    def __init__(self, of_gram: dict[str, float], of_context: dict[str, float]):
+    def __init__(self, of_gram: Table, of_context: Table):
         self._gram, self._context, self._known = of_gram, of_context, {}
 
-    def ratio(self, word: str) -> float:
-        got = self._known.get(word)
-        if got is None:
-            got = 0.0
-            for gram in _grams(word):
-                r = self._gram.get(gram)
-                got += self._context.get(gram[:-1], 0.0) if r is None else r
+    def ratios(self, found: list[str]) -> np.ndarray:
+        """Log-likelihood ratio of each word."""
+        if not found:
+            return np.empty(0)
+        x, of = grams(found)
+        known, r = self._gram.get(key_of(x))
+        r[~known] = self._context.get(key_of(x[~known], context=True))[1]
+        return np.bincount(of, r, len(found))
+
+    def evidence(self, texts: list[str | None]) -> list[float]:
+        out = []
+        for a in range(0, len(texts), 64):
+            held = [sorted(words(t)) for t in texts[a:a + 64]]  # one order of addition on every worker
             if len(self._known) >= _CACHE:
                 self._known.clear()
-            if len(word) <= 40:
-                self._known[word] = got
-        return got
-
-    def evidence(self, text: str | None) -> float:
-        found = sorted(words(text))  # one order of addition on every worker
-        return sum(max(0.0, self.ratio(w) - MARGIN) for w in found) / max(1, len(found)) ** LENGTH_POWER
+            new = {w for f in held for w in f if w not in self._known}
+            ratio = dict(zip(new, self.ratios(list(new)).tolist(), strict=True))
+            short = {w: r for w, r in ratio.items() if len(w) <= 40}
+            self._known.update(short)
+            get = lambda w, ratio=ratio: self._known[w] if w in self._known else ratio[w]
+            out += [sum(max(0.0, get(w) - MARGIN) for w in f) / max(1, len(f)) ** LENGTH_POWER for f in held]
+        return out
 
 
 def features(evidence: np.ndarray) -> np.ndarray:
@@ -152,11 +206,18 @@ def _udf(tables, weights=None):
         if not keep:
             keep.append(Scorer(*tables.value))
         for texts in batches:
-            e = np.array([keep[0].evidence(t) for t in texts], float)
+            e = np.array(keep[0].evidence(texts.tolist()), float)
             yield pd.Series(e if weights is None else probability(features(e), weights))
     return run
 
 
+def windows(text: str) -> list[str]:
+    """The text, or PER_DOCUMENT windows of it where it is longer than they are."""
+    if len(text) <= PER_DOCUMENT * WINDOW:
+        return [text]
+    return [text[a:a + WINDOW] for a in np.linspace(0, len(text) - WINDOW, PER_DOCUMENT).astype(int)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
         per_class: int = PER_CLASS, calibration: int = CALIBRATION) -> ToxicityModel:
     """Learn from the labelled documents outside the held-out fold."""
@@ -167,18 +228,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
         for b in batches:
             found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for y, text in zip(b["y"], b["text"], strict=True):
-                for w in words(text):
+                for w in {w for part in windows(text) for w in words(part)}:
                     found[w][int(y)] += 1
             yield pd.DataFrame({"word": list(found), "c0": [c[0] for c in found.values()], "c1": [c[1] for c in found.values()]})
 
-    # the sample is bounded, and with it the words and tables on the driver
+    # documents and windows are bounded, and with them the words on the driver
     vocabulary = (sample.where("part = 'fit'").select("y", "text")
                   .mapInPandas(count, "word string, c0 long, c1 long")
-                  .groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas())
-    if not len(vocabulary) or not vocabulary["c0"].any() or not vocabulary["c1"].any():
+                  .groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow())
+    found, c0, c1 = (vocabulary.column(c) for c in ("word", "c0", "c1"))
+    c0, c1 = c0.to_numpy(), c1.to_numpy()
+    if not c0.any() or not c1.any():
         return ToxicityModel(None, None)
-    tables = spark.sparkContext.broadcast(ratio_tables(zip(vocabulary["word"], vocabulary["c0"], vocabulary["c1"], strict=True)))
-    del vocabulary
+    tables = spark.sparkContext.broadcast(ratio_tables(found.to_pylist(), c0, c1))
+    del vocabulary, found, c0, c1
     shown = sample.where("part = 'calibrate'").select("y", _udf(tables)("text").alias("e")).toPandas()
     if len(shown) < 20:  # too few to calibrate with: the fitted documents serve
         shown = sample.select("y", _udf(tables)("text").alias("e")).toPandas()
