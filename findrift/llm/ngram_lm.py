@@ -44,8 +44,9 @@ U = np.uint64
 START, END = U(0x5EED_0000_0000_0001), U(0x5EED_0000_0000_0002)
 #: Bytes of text in a chunk, and tokens for which a shard is added; they bound a task's memory.
 CHUNK_BYTES, SHARD_TOKENS = 14_000_000, 2_500_000
-#: A word with this share of all tokens may be dealt over several shards, RANGES at most.
-HEAVY, RANGES = 1 / 512, 64
+#: A word (or the start of a text) with this share of all tokens is dealt over as many shards as
+#: its count needs, by the upper bits of its successors' hashes; sums over all words are taken in RANGES.
+HEAVY, PART_BITS, RANGES = 1 / 512, 16, 64
 DISCOUNT, WORD_DISCOUNT = 0.75, 0.5
 #: Steps of a quantised value for each halving; values are rounded down, so no probability is overstated.
 STEPS = 2048
@@ -92,7 +93,8 @@ def _chunks(docs: DataFrame) -> DataFrame:
             cols += [pa.array([b], pa.binary()) for b in (zstandard.compress(local.astype("<u4").tobytes(), 1), vocabulary.tobytes(), counts.astype("<u4").tobytes())]
             cols += [pa.array([[i for h in held for i in h[2]]], pa.list_(pa.int64())), pa.array([[o for h in held for o in h[3]]], pa.list_(pa.bool_())),
                      pa.array([len(full)], pa.int64()),
-                     pa.array([[{"w": int(vocabulary[i].view(np.int64)), "n": int(times[i])} for i in many]], pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))]
+                     pa.array([[{"w": int(vocabulary[i].view(np.int64)), "n": int(times[i])} for i in many]
+                               + [{"w": int(START), "n": len(counts)}]], pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))]
             return pa.record_batch(cols, ["chunk", "tokens", "words", "sizes", "ids", "out", "n_tokens", "heavy"])
 
         for b in batches:
@@ -138,13 +140,13 @@ class Chunk:
         # a word's rows: one, or one for each part of a heavy word
         parts = np.ones(v, np.int64)
         for h, m in heavy.items():
-            i = np.searchsorted(self.word[:-1], U(h))
-            if i < v - 1 and self.word[i] == U(h):
+            if (i := self.place(h)) is not None:
                 parts[i] = m
         self.ctx = np.repeat(np.arange(v), parts)
         base = np.cumsum(parts) - parts
         self.sub = np.arange(len(self.ctx)) - np.repeat(base, parts)
-        row = (base[self.first] + ((self.word[self.second] >> U(58)).astype(np.int64) * parts[self.first]) // RANGES).astype(np.int32)
+        bits = (self.word[self.second] >> U(64 - PART_BITS)).astype(np.int64)
+        row = (base[self.first] + ((bits * parts[self.first]) >> PART_BITS)).astype(np.int32)
         self.row = row
         n = np.bincount(local, trains, v)
         n[-1] = (~np.array(out, bool)).sum()
@@ -159,6 +161,13 @@ class Chunk:
         self.pairs = np.argsort(at, kind="stable").astype(np.int32)  # pairs by shard and row
         self.pair_row = at[self.pairs]
 
+    def place(self, h: int) -> int | None:
+        """Number of a word (or of the start) in this chunk."""
+        if U(h) == START:
+            return len(self.word) - 1
+        i = int(np.searchsorted(self.word[:-1], U(h)))
+        return i if i < len(self.word) - 1 and self.word[i] == U(h) else None
+
     def asks(self) -> Iterator[tuple]:
         """(shard, word, part, count, pairs, second words, counts) for each shard."""
         heads = np.flatnonzero(np.diff(self.row_shard, prepend=-1))
@@ -190,7 +199,7 @@ def _ask(shards: int, heavy: dict[int, int]):
                 for s, ctx, sub, n, k, succ, c in chunk.asks():
                     yield pa.record_batch([pa.array([s], pa.int32()), pa.array([r["chunk"]]),
                                            *(pa.array([x], pa.binary()) for x in (
-                                               ctx.tobytes(), sub.astype(np.uint8).tobytes(), n.astype("<u4").tobytes(),
+                                               ctx.tobytes(), sub.astype("<u2").tobytes(), n.astype("<u4").tobytes(),
                                                k.astype("<u4").tobytes(), _six(succ), c.astype("<u4").tobytes()))],
                                           ["shard", "chunk", "ctx", "sub", "n", "k", "succ", "c"])
     return run
@@ -213,7 +222,7 @@ def _answered(group: pa.Table, heavy: dict[int, int]) -> pa.Table:
     col = lambda name: [x.as_py() for x in group.column(name)]
     chunks, shard = col("chunk"), group.column("shard")[0].as_py()
     ctx, n, k = ([np.frombuffer(x, t) for x in col(c)] for c, t in (("ctx", U), ("n", "<u4"), ("k", "<u4")))
-    sub = [np.frombuffer(x, np.uint8) for x in col("sub")]
+    sub = [np.frombuffer(x, "<u2") for x in col("sub")]
     rows, pairs = np.cumsum([0, *map(len, ctx)]), np.cumsum([0, *(int(x.sum()) for x in k)])
     word, part = np.concatenate(ctx), np.concatenate(sub)
     key = word + part.astype(U) * U(0x9E3779B97F4A7C15)  # a part of a heavy word is a context of its own in the trie
@@ -276,8 +285,7 @@ def _score(shards: int, heavy: dict[int, int], by_range: np.ndarray, successors:
             of_word = np.zeros(len(ch.word))
             of_word[ch.ctx] = count
             for w, kinds in successors.items():
-                i = np.searchsorted(ch.word[:-1], U(w))
-                if i < len(ch.word) - 1 and ch.word[i] == U(w):
+                if (i := ch.place(w)) is not None:
                     here = ch.ctx == i
                     back[here] = restore(freed(np.array(kinds), count[here]))
             p = seen + back[ch.row] * single(of_word[ch.second])
@@ -309,7 +317,7 @@ def score_documents(docs: DataFrame, folds: int = 10, held: int = 0, id_col: str
             .where(F.col("n") >= HEAVY * n_tokens).collect())
     heavy = {}
     for r in many:
-        parts = min(RANGES, -(-r["n"] * shards // n_tokens))
+        parts = min(1 << PART_BITS, -(-r["n"] * shards // n_tokens))
         if parts > 1:
             heavy[r["w"] & 0xFFFF_FFFF_FFFF_FFFF] = int(parts)
 

@@ -49,13 +49,6 @@ def test_classifiers_without_labels_keep_everything(spark):
         assert {r[0] for r in docs.select(m.fit(messy.empty(spark), messy.labels(spark)).score(F.col("text"))).collect()} == {score}
 
 
-def test_toxic_ratio_is_zero_where_classes_agree():
-    gram, ctx = toxicity.ratio_tables([("same", 5, 5), ("bad", 0, 9), ("good", 9, 0)])
-    s = toxicity.Scorer(gram, ctx)
-    assert s.ratio("bad") > 1 and s.ratio("good") < -1 and abs(s.ratio("same")) < 0.2
-    assert s.evidence(None) == s.evidence("") == s.evidence(" .,") == 0
-
-
 def test_training_sample_is_bounded_and_leaves_the_fold(spark):
     s = labelled.training_sample(messy.labelled(spark), messy.labels(spark), "toxic", 4, 2, 10, 15).collect()
     n = Counter((r["part"], r["y"]) for r in s)
@@ -259,6 +252,19 @@ def test_lm_scores_do_not_depend_on_the_size_of_shards(spark):
     assert all(abs(s - scores[1][i]) < 1e-6 * abs(s) for i, s in scores[0].items())
 
 
+def test_lm_deals_the_start_of_texts_like_a_heavy_word(spark):
+    r = random.Random(5)
+    texts = {i: " ".join("w%d" % r.randrange(90) for _ in range(r.randrange(3))) for i in range(600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scores = [{x["doc_id"]: (x["n_known"], x["score"]) for x in ngram_lm.score_documents(docs, shard_tokens=n).collect()} for n in (10**6, 20)]
+    assert scores[0].keys() == scores[1].keys()
+    assert all(n == scores[1][i][0] and abs(s - scores[1][i][1]) < 1e-6 * (1 + abs(s)) for i, (n, s) in scores[0].items())
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    _, want = lm_by_hand(rows)
+    by_id = {i: w for (i, _), w in zip(rows, want)}
+    assert all(abs(s - by_id[i][4]) <= 3e-4 * by_id[i][1] + 1e-3 for i, (_, s) in scores[1].items())
+
+
 def test_training_sample_has_one_row_of_a_repeated_id(spark):
     docs, labels = messy.labelled(spark), messy.labels(spark)
     more = docs.where("doc_id in (1, 4, 9, 13)").crossJoin(spark.range(50).select(F.lit(1))).select(docs.columns)
