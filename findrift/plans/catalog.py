@@ -600,7 +600,7 @@ def s6_read_responses(spark, sf_dir):
     """Answers written under names made of their paths, read back by the S6 reader."""
     base = scratch_path(spark, "s6")
     r = fx.responses(spark, sf_dir).select("repo", "scan_id", C.encode_key("path").alias("file"), "content")
-    r.repartition("repo", "scan_id", "file").write.partitionBy("repo", "scan_id", "file").text(base)
+    SNK.write_text_per_key(r, ["repo", "scan_id", "file"], "content", base)
     found = P.read_responses(spark, base, r"repo=([^/]+)/scan_id=([^/]+)/file=([^/]+)/[^/]+$", "*.txt")
     content = F.expr("substring(content, 1, length(content) - 1)")  # the writer ends a text with a line break
     return found.select("repo", "scan_id", "path", "file_name", F.sha2(content, 256).alias("content_sha"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -62,6 +64,19 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+@contextmanager
+def many_folders(spark: SparkSession) -> Iterator[None]:
+    """Lists files below many folders in a few tasks for each core, instead of one
+    task for each folder; wrap what lists them (``load`` and the like)."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _SCRATCH: list[str] = []
 
 
