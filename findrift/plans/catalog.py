@@ -724,7 +724,7 @@ def s1_default_layout(spark, sf_dir):
     """Files below nested folders, read with the default <repo>/<path> layout."""
     base = scratch_path(spark, "s1")
     d = fx.table(spark, sf_dir, "documents").select("source", "lang", F.col("doc_id").cast("string").alias("doc"), "text")
-    d.repartition("source", "lang", "doc").write.partitionBy("source", "lang", "doc").text(base)
+    SNK.write_text_per_key(d, ["source", "lang", "doc"], "text", base)
     sf = SRC.read_source_files(spark, base, exts=("txt",))
     return sf.select("repo", F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), "n_lines")
 
