@@ -712,7 +712,7 @@ def s1_read_source_files(spark, sf_dir):
     base = scratch_path(spark, "s1")
     d = fx.table(spark, sf_dir, "documents").select(
         F.col("source").alias("repo"), "lang", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc"), "text")
-    d.repartition("repo", "lang", "doc").write.partitionBy("repo", "lang", "doc").text(base)
+    SNK.write_text_per_key(d, ["repo", "lang", "doc"], "text", base)
     sf = SRC.read_source_files(spark, base, exts=("txt",), layout=r"repo=([^/]+)/(lang=[^/]+/doc=[^/]+)/")
     path = F.concat(F.lit("src/"), F.regexp_extract("path", r"lang=([^/]+)/", 1), F.lit("/"),
                     F.regexp_extract("path", r"doc=([^/]+)", 1), F.lit(".py"))
