@@ -37,8 +37,11 @@ def _rejects(df: DataFrame, stage: str, key: Column, code: str, message: Column)
 def _files(source_files: DataFrame) -> DataFrame:
     """Join side: line array per file; the raw text travels only for the rare
     files with extra line-break characters (flag computed once per file)."""
-    return source_files.select("repo", "path", "lines", "n_lines",
-                               F.when(F.col("content").rlike(_ODD_BREAKS), F.col("content")).alias("odd_content"))
+    return source_files.select("repo", "path", "lines", "n_lines", odd_content().alias("odd_content"))
+
+
+def odd_content() -> Column:
+    return F.when(F.col("content").rlike(_ODD_BREAKS), F.col("content"))
 
 
 # --------------------------------------------------------------------------- shared finishing step

@@ -146,7 +146,7 @@ def o5_tool_agreement(spark, sf_dir):
 # --------------------------------------------------------------------------- M2 / M3 rollups and contexts
 from findrift.operators import context as ctxop  # noqa: E402
 from findrift.operators import reports  # noqa: E402
-from findrift.session import materialize, scratch_path  # noqa: E402
+from findrift.session import many_folders, scratch_path  # noqa: E402
 
 
 def _contexts(spark, sf_dir):
@@ -656,14 +656,16 @@ def r1_stream_findings(spark, sf_dir):
     in several micro-batches and keeps the per-file merge current."""
     base = scratch_path(spark, "r1")
     raw = fx.semgrep_output(spark, sf_dir)
-    (raw.repartition("repo", "scan_id", "part").select("repo", "scan_id", "part", "text")
-     .write.partitionBy("repo", "scan_id", "part").text(f"{base}/landing"))
-    # the static side of the stream-static join is a stored table, read per batch
-    files = materialize(fx.source_files(spark, sf_dir).drop("doc_id"))
-    both = [stream(spark, f"{base}/landing", files, f"{base}/out", "semgrep", max_files_per_trigger=128)
-            for stream in (ST.stream_findings, ST.stream_file_findings)]
-    for q in both:
-        q.awaitTermination()
+    n_files = SNK.write_text_per_key(raw, ["repo", "scan_id", "part"], "text", f"{base}/landing")
+    # the static side of the stream-static join is stored in buckets; each batch reads it
+    # whole, so batches of more than 128 files are taken where there would be over 8
+    files = stored_files(spark, sf_dir)
+    per_batch = max(128, -(-n_files // 8))
+    with many_folders(spark):
+        both = [stream(spark, f"{base}/landing", files, f"{base}/out", "semgrep", max_files_per_trigger=per_batch)
+                for stream in (ST.stream_findings, ST.stream_file_findings)]
+        for q in both:
+            q.awaitTermination()
     return flat(ST.latest_file_findings(spark, f"{base}/out").select(*merge.MERGED_COLUMNS))
 
 

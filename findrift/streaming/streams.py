@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from findrift.functions.columns import split_lines
 from findrift.operators import ingest
 from findrift.operators.merge import KEYS, STATE_COLUMNS, finish_state, merge_state
 from findrift.operators.publish import latest_status
+from findrift.session import many_folders
 
 STATUS_SCHEMA = "pr_number int, repo_url string, approved boolean, opened boolean, ts timestamp, seq bigint"
 #: What makes two status updates the same delivery, and how long a repeat is expected.
@@ -50,7 +52,20 @@ def _landed(spark: SparkSession, landing: str, tool: str, max_files_per_trigger:
     reader = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _raw_from_files(reader.load(landing).select("value", F.col("_metadata.file_path").alias("_path")), tool)
+    with many_folders(spark):
+        files = reader.load(landing)
+    return _raw_from_files(files.select("value", F.col("_metadata.file_path").alias("_path")), tool)
+
+
+def _joined(raw: DataFrame, source_files: DataFrame, tool: str) -> DataFrame:
+    """``ingest.join_sources`` for a batch, which names few of the files: the batch is the
+    side that is hashed, so that the sources are read past it, neither sorted nor (where
+    stored in buckets) moved, and lines are cut of the files that it names only."""
+    files = source_files.select("repo", "path", "content", F.lit(True).alias("_is"))
+    j = ingest.BASES[tool](raw).hint("shuffle_hash").join(files, ["repo", "path"], "left")
+    # a generator of one row: what is computed above it can't repeat the cutting
+    cut = F.inline(F.array(F.struct(split_lines("content").alias("lines"), ingest.odd_content().alias("odd_content"))))
+    return j.select(*ingest.BASE_COLUMNS, "_is", cut).withColumn("n_lines", F.when(F.col("_is"), F.size("lines"))).drop("_is")
 
 
 def _start(stream: DataFrame, per_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool,
@@ -66,7 +81,7 @@ def stream_findings(spark: SparkSession, landing: str, source_files: DataFrame,
     def per_batch(raw: DataFrame, batch_id: int) -> None:
         joined = None
         if ingest.is_builtin(tool):  # one join feeds both outputs
-            joined = ingest.join_sources(ingest.BASES[tool](raw), source_files).persist()
+            joined = _joined(raw, source_files, tool).persist()
             found, rejects = ingest.apply_policies(joined, {tool})
         else:
             found, rejects = ingest.ADAPTERS[tool](raw, source_files)
@@ -88,7 +103,7 @@ def stream_file_findings(spark: SparkSession, landing: str, source_files: DataFr
     registered by a user must be a plan that streams."""
     raw = _landed(spark, landing, tool, max_files_per_trigger)
     if ingest.is_builtin(tool):
-        found, _ = ingest.apply_policies(ingest.join_sources(ingest.BASES[tool](raw), source_files), set())
+        found, _ = ingest.apply_policies(_joined(raw, source_files, tool), set())
     else:
         found, _ = ingest.ADAPTERS[tool](raw, source_files)
 
