@@ -180,12 +180,13 @@ def render_prompts(merged: DataFrame, source_files: DataFrame, contexts_xml: Dat
     ``contexts_xml`` (repo, scan_id, path, start_line, xml) adds the structured
     context section for the matching (path, start_line)."""
     files = source_files.select("repo", "path", "content", "lines")
-    j = merged.join(files, ["repo", "path"], "left")
+    # contexts before texts: what moves for the contexts' keys has no text yet
     if contexts_xml is not None:
-        j = j.join(contexts_xml.select("repo", "scan_id", "path", "start_line", "xml"),
-                   ["repo", "scan_id", "path", "start_line"], "left")
+        j = merged.join(contexts_xml.select("repo", "scan_id", "path", "start_line", "xml"),
+                        ["repo", "scan_id", "path", "start_line"], "left")
     else:
-        j = j.withColumn("xml", F.lit(None).cast("string"))
+        j = merged.withColumn("xml", F.lit(None).cast("string"))
+    j = j.join(files, ["repo", "path"], "left")
     tool = F.col(tool_col) if tool_col and tool_col in merged.columns else None
     inp = F.coalesce(input_text(tool), F.lit(""))
     ctx = F.when(F.col("xml").isNotNull() & (F.col("xml") != ""), _fill(CONTEXT_SECTION, xml=F.col("xml"))).otherwise(F.lit(""))
