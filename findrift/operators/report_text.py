@@ -95,7 +95,9 @@ def assemble(lines: DataFrame, sep: str = "\n") -> DataFrame:
 def write_reports(lines: DataFrame, path: str, lines_per_part: int = 100_000) -> None:
     """Reports as text under ``path``/repo=/scan_id=, in parts of at most
     ``lines_per_part`` rows whose names are in the order of the report: no row,
-    file or task holds a whole one."""
+    file or task holds a whole one.  The rows are stored first: the ranges are
+    found on them, which would make every line twice otherwise."""
+    lines = _stored(lines)
     order = ["repo", "scan_id", "block", "file_no", "part", "seq"]
     (lines.repartitionByRange(*order).sortWithinPartitions(*order).select("repo", "scan_id", "text")
      .write.option("maxRecordsPerFile", lines_per_part).partitionBy("repo", "scan_id").text(path))
