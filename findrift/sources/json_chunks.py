@@ -262,7 +262,10 @@ def _joined(rows: DataFrame, keys: list[str], *firsts: Column) -> DataFrame:
 def cut(chunks: DataFrame, outline: int) -> tuple[DataFrame, DataFrame]:
     """(records: keys, seq, run, k, text), (outlines: keys, bare, text), read from a stored table."""
     spark = chunks.sparkSession
-    binary = chunks.select(*KEYS, "seq", F.col("text").cast("binary").alias("text"))
+    # stored, as they are read twice: for their summaries and to be cut
+    kept = scratch_path(spark, "chunks")
+    chunks.select(*KEYS, "seq", F.col("text").cast("binary").alias("text")).write.parquet(kept)
+    binary = spark.read.parquet(kept)
     states = (binary.mapInArrow(_summaries, _SUMMARY).repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
               .mapInArrow(_compose(outline), _STATE))
     path = scratch_path(spark, "records")

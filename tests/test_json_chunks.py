@@ -148,3 +148,17 @@ def test_files_are_read_in_ranges(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert ["".join(got[k]) for k in sorted(got)] == [texts[n] for n in sorted(texts)]
     assert len(got[0]) > 5
+
+
+def test_chunks_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(t):
+        made.add(1)
+        return t
+
+    texts = ['{"results":[{"a":1},{"a"', ':2},{"a":3}', ']}']
+    chunks = spark.createDataFrame([("s", "r", "semgrep", 0, i, t) for i, t in enumerate(texts)], "scan_id string, repo string, tool string, part long, seq long, text string")
+    records, outlines = jc.cut(chunks.withColumn("text", F.udf(count, "string").asNondeterministic()("text")), jc.NATIVE)
+    assert sorted(r["text"] for r in records.collect()) == ['{"a":1}', '{"a":2}', '{"a":3}']
+    assert outlines.count() == 1 and made.value == 3
