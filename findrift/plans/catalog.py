@@ -587,16 +587,26 @@ def _file_sections(spark, sf_dir, relaxed: bool):
     return P.sections_relaxed(resp).drop("tier") if relaxed else P.sections_strict(resp)
 
 
+def _body_lines(spark, sf_dir, used=None):
+    """PR body lines (of the scans that ``used`` keeps).  Findings and merged files are stored
+    once: contexts, attached findings and responses are all made of these copies."""
+    found = fx.findings(spark, sf_dir).drop("snippet")  # neither the merge nor the body reads it
+    found = RT.stored(found if used is None else found.where(used))
+    merged = RT.stored(merge.merge_findings_by_file(found, snippet=False))
+    attached = ctxop.attach_context(found, ctxop.build_contexts(merged))
+    return RT.pr_body_lines(attached, P.sections_relaxed(fx.file_responses(spark, sf_dir, merged)).drop("tier"))
+
+
 @register("t9b_pr_body_lines")
 def t9b_pr_body_lines(spark, sf_dir):
-    return RT.pr_body_lines(_attached(spark, sf_dir), _file_sections(spark, sf_dir, True))
+    return _body_lines(spark, sf_dir)
 
 
 @register("t9b_stored_report")
 def t9b_stored_report(spark, sf_dir):
     """T9b written as ordered parts of text, read back line by line."""
     base = scratch_path(spark, "reports")
-    RT.write_reports(RT.pr_body_lines(_attached(spark, sf_dir), _file_sections(spark, sf_dir, True)), base, lines_per_part=2000)
+    RT.write_reports(_body_lines(spark, sf_dir), base, lines_per_part=2000)
     return RT.read_reports(spark, base)
 
 
@@ -643,7 +653,7 @@ def a10_run_summary(spark, sf_dir):
 def l6_pr_requests(spark, sf_dir):
     # only the scans whose text is used
     used = F.col("scan_id").endswith("-semgrep")
-    body = RT.assemble(RT.pr_body_lines(_attached(spark, sf_dir).where(used), _file_sections(spark, sf_dir, True).where(used)))
+    body = RT.assemble(_body_lines(spark, sf_dir, used))
     body = (body
             .select(F.regexp_replace("repo", "^src", "r").alias("repo"), F.col("text").alias("body")))
     pub = PB.publishable_prs(fx.fork_prs(spark, sf_dir), fx.workflow_runs(spark, sf_dir))

@@ -67,3 +67,21 @@ def test_meta_counts_read_no_text(spark, tmp_path):
     assert read and not any("text:" in x for x in read)
     key = lambda r: r["scan_id"]
     assert sorted(meta.collect(), key=key) == sorted(ctxop.scan_meta(catalog._contexts(spark, d), F.lit("t")).collect(), key=key)
+
+
+def test_body_lines_make_each_finding_once(spark, tmp_path, monkeypatch):
+    d = str(tmp_path)
+    spark.createDataFrame([(0, "a\nb", "en", "src0"), (1, "c", "de", "src1")], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, i % 3, "error", '{"k": 1}') for i in range(6)], "event_id long, user_id long, event_type string, props string").withColumn(
+        "ts", F.lit("2026-01-01").cast("timestamp_ntz")).write.parquet(f"{d}/events.parquet")
+    made, found = spark.sparkContext.accumulator(0), catalog.fx.findings
+
+    def count(t):
+        made.add(1)
+        return t
+
+    counting = F.udf(count, "string").asNondeterministic()
+    monkeypatch.setattr(catalog.fx, "findings", lambda *a, **k: found(*a, **k).withColumn("message", counting("message")))
+    lines = catalog.t9b_pr_body_lines(spark, d)
+    assert lines.where("block = 2 and part = 3").count() == 6
+    assert made.value == 6
