@@ -149,6 +149,7 @@ def blocks_of_line(line: Column) -> Column:
                        lambda level: F.struct(level.alias("level"), F.call_function("shiftright", at, level).alias("number")))
 
 
+# The plain form of the join, one row for each node and dyadic block; tests hold the pages against it.
 def _by_block(nodes: DataFrame) -> DataFrame:
     """Positioned nodes, one row for each block of lines that they are filed under."""
     p = _positioned(nodes).where(F.col("line") >= 0)
