@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from findrift.functions.columns import split_lines
 from findrift.operators.prompts import read_responses  # noqa: F401  (S6 lives with the response operators)
-from findrift.session import many_folders, scratch_path, scratch_table
+from findrift.session import scratch_path, scratch_table
+from findrift.sources.tree import read_small_files
 
 #: Bytes of source texts in a bucket.
 BUCKET_BYTES = 128_000_000
@@ -30,19 +31,16 @@ REPO_LOG_SCHEMA = ("name string, owner string, repo_url string, vulnerabilities
 
 def _scan_sources(spark: SparkSession, root: str, exts: Sequence[str], layout: str) -> DataFrame:
     glob = "*." + (exts[0] if len(exts) == 1 else "{" + ",".join(exts) + "}")
-    with many_folders(spark):
-        df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-              .load(root).select("path", "content"))
-    below = "^.*?" + "".join(c if c.isalnum() or c in "/_-" else f"\\x{{{ord(c):x}}}" for c in root.rstrip("/").split("://")[-1]) + "/"
-    rel = F.regexp_replace("path", below, "")
-    return df.select(F.regexp_extract(rel, layout, 1).alias("repo"), F.regexp_extract(rel, layout, 2).alias("path"),
-                     F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+    rel = F.col("rel")
+    return read_small_files(spark, root, glob).select(
+        F.regexp_extract(rel, layout, 1).alias("repo"), F.regexp_extract(rel, layout, 2).alias("path"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def read_source_files(spark: SparkSession, root: str, exts: Sequence[str] = ("py", "pyi"),
                       layout: str = r"^([^/]+)/(.+)$") -> DataFrame:
-    """Recursive read of UTF-8 source files under ``root`` (binaryFile source,
-    extension glob pushed into the listing).  ``layout`` maps the path below
+    """Recursive read of UTF-8 source files under ``root`` (listed and read by
+    tasks, extension glob applied in the listing).  ``layout`` maps the path below
     ``root`` to (repo, path) with two regex groups; default <repo>/<path>.
     Files that are not UTF-8 are left out here and listed by
     :func:`source_rejects`."""

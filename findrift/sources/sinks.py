@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findrift.operators.context import write_context_xml  # noqa: F401  (K2)
+from findrift.sources.tree import arrow_uri
 
 # Worker-side code ships with the task, so workers need not import this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,9 +44,7 @@ def write_text_per_key(df: DataFrame, keys: Sequence[str], text_col: str, path:
     # '' has the folder of null
     rows = df.select(*[F.nullif(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], F.col(text_col).cast("string").alias("_text"))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
-    uri = f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    uri = arrow_uri(spark, path)
     try:
         store, root = pafs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
